@@ -2,14 +2,18 @@
 
 Windows are counted exactly by super-k-mer partitioning. Within a text, consecutive windows share their minimiser, the
 least hash among the short runs of words inside a window; such a stretch travels as one packed string, with the place of
-its first window, to the bucket of that minimiser, so each word is sent about three times and not twenty times. In the
-bucket all windows are sorted by hash and compared word for word; every occurrence but the earliest is reported, as
-spans of words. The spans come back to the texts by doc_id.
+its first window, to the bucket of that minimiser, so each word is sent about three times and not twenty times. A map
+task packs the stretches of a block of texts that go to one bucket into one compressed row. In the bucket all windows
+are sorted by hash and compared byte for byte; every occurrence but the earliest is reported, as spans of words. The
+spans come back to the texts by doc_id.
+
+Hashes are differences of one running polynomial sum over the bytes, so the hash of every run of words costs a few array
+operations and no word is handled on its own. Nothing rests on hashes alone: equal hashes are compared as strings.
 
 Hot groups: before anything is sent, a map task works out which windows of a block of texts already occurred in the same
 block, reports those at once, and cuts the stretches down to windows that are new in the block. So a passage that a third
-of all texts share reaches its bucket once for each block, and not once for each text. Buckets are sorted on disk and
-read in chunks of bounded size.
+of all texts share reaches its bucket once for each block, and not once for each text. The number of buckets follows the
+bytes of the texts, so that a bucket is worked through in bounded memory.
 
 Order: a window starts earlier if its doc_id is smaller, or the doc_id is the same and its place is. A null doc_id orders
 before all others. Rows with the same doc_id count as one document: the same place in each isn't earlier, and what
@@ -21,12 +25,11 @@ Defined results: null and empty texts have no words, nothing is removed, and the
 from __future__ import annotations
 
 import hashlib
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
+import zstandard
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from plausia.llm.common import NULL_ID, Scratch, ready, table
@@ -34,46 +37,77 @@ from plausia.llm.common import NULL_ID, Scratch, ready, table
 WINDOW = 20
 #: Words of a minimiser.
 SHORT = 4
-#: Words in a block of texts, bytes in a chunk of a bucket.
-BLOCK_WORDS, CHUNK_BYTES = 1_500_000, 12_000_000
-MAX_WORDS = 500_000
-
-_ODD = np.uint64(0x9E3779B97F4A7C15)
-
-
-class _WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        h = xxhash.xxh64_intdigest(word, seed=8)
-        if len(self) >= MAX_WORDS:
-            self.clear()
-        self[word] = h
-        return h
-
-
-_WORDS = _WordHashes()
-
-
-def _runs_hash(h: np.ndarray, k: int) -> np.ndarray:
-    """A hash of every k consecutive entries, by doubling. The result has len(h) - k + 1 entries."""
-    out, size, done = None, 1, 0
-    power = h
-    while True:
-        if k & size:
-            if out is None:
-                out, done = power, size
-            else:
-                n = len(h) - (done + size) + 1
-                x = out[:n] * (_ODD + np.uint64(2 * size)) + power[done : done + n]
-                out, done = x ^ (x >> np.uint64(29)), done + size
-        if done == k:
-            return out[: len(h) - k + 1]
-        n = len(power) - size
-        x = power[:n] * (_ODD ^ np.uint64(2 * size)) + power[size : size + n]
-        power, size = x ^ (x >> np.uint64(32)), 2 * size
+#: Bytes of a block of texts, of what a bucket should hold, and of the strings hashed at a time.
+BLOCK_BYTES, BUCKET_BYTES, SLICE_BYTES = 6_000_000, 6_000_000, 2_000_000
+
+_BASE = 0x9E3779B97F4A7C15
+_BACK = pow(_BASE, -1, 1 << 64)
+_POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of the base and of its inverse, modulo 2 ** 64."""
+    if len(_POWERS[0]) < n:
+        for i, base in enumerate((_BASE, _BACK)):
+            out = np.full(max(n, SLICE_BYTES + 65_536), base, np.uint64)
+            out[0] = 1
+            _POWERS[i] = np.cumprod(out, dtype=np.uint64)
+    return _POWERS[0][:n], _POWERS[1][:n]
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return x ^ (x >> np.uint64(29))
+
+
+class _Strings:
+    """Strings of words joined by one space, laid end to end, each followed by one byte that is no letter of a word."""
+
+    def __init__(self, whole: bytes, lengths: np.ndarray):
+        """lengths: bytes of each string, its closing byte included."""
+        raw = np.frombuffer(whole, np.uint8)
+        gaps = np.flatnonzero((raw == 32) | (raw == 10))  # ends of words
+        self.whole = whole
+        self.end = gaps
+        self.start = np.concatenate([[0], gaps[:-1] + 1]) if len(gaps) else gaps
+        last = np.cumsum(lengths) - 1  # the closing byte of each string
+        self.words = np.diff(np.concatenate([[0], np.searchsorted(gaps, last) + 1]))
+        self.first = np.cumsum(self.words) - self.words
+
+    def runs(self, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """For every run of so many words within a string: the string's number and the run's first word."""
+        many = np.maximum(self.words - size + 1, 0)
+        owner = np.repeat(np.arange(len(many)), many)
+        at = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + self.first[owner]
+        return owner, at
+
+    def hashes(self, *sizes: int) -> list[np.ndarray]:
+        """For each size the hash of the run of so many words that begins at each word (of any use only within a string)."""
+        raw = np.frombuffer(self.whole, np.uint8)
+        out = [np.zeros(len(self.start), np.uint64) for _ in sizes]
+        low = 0
+        while low < len(self.start):  # slices of words; the runs of a slice reach over its end
+            base = int(self.start[low])
+            high = max(low + 1, int(np.searchsorted(self.start, base + SLICE_BYTES)))
+            reach = min(high + max(sizes), len(self.start)) - 1
+            n = int(self.end[reach]) - base
+            up, back = _powers(n + 1)
+            sums = np.zeros(n + 1, np.uint64)
+            np.cumsum(raw[base : base + n] * up[:n], out=sums[1:])
+            begin = self.start[low:high] - base
+            for h, size in zip(out, sizes, strict=True):
+                stop = self.end[np.minimum(np.arange(low, high) + size - 1, reach)] - base
+                h[low:high] = _mixed((sums[stop] - sums[begin]) * back[begin])
+            low = high
+        return out
+
+    def text(self, first: int, last: int) -> bytes:
+        """The words from first to last."""
+        return self.whole[self.start[first] : self.end[last]]
 
 
 def _least(x: np.ndarray, k: int) -> np.ndarray:
-    """The least of every k consecutive entries."""
+    """The least of every k consecutive entries, as far as there are any."""
     out, size = x, 1
     while 2 * size <= k:
         out = np.minimum(out[: len(out) - size], out[size:])
@@ -82,93 +116,104 @@ def _least(x: np.ndarray, k: int) -> np.ndarray:
     return np.minimum(out[: len(out) - rest], out[rest:]) if rest else out
 
 
-def _repeats(ids: np.ndarray, at: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    """For windows in order of occurrence, the position (in at) of the earliest equal window; its own if it is the first.
+def _earliest(strings: _Strings, at: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """For windows in order of occurrence the position (in at) of the earliest equal one; its own for the first.
 
-    ids: exact word numbers; at: where each window begins in ids; hashes: of each window.
+    Windows that follow one another, and repeat windows that follow one another, are compared as one string.
     """
     n = len(at)
     order = np.argsort(hashes, kind="stable")
     ordered = hashes[order]
     new = np.ones(n, bool)
     new[1:] = ordered[1:] != ordered[:-1]
-    first = order[np.flatnonzero(new)][np.cumsum(new) - 1]
     out = np.empty(n, np.int64)
-    out[order] = first
+    out[order] = order[np.flatnonzero(new)][np.cumsum(new) - 1] if n else order
     again = np.flatnonzero(out != np.arange(n))
-    wrong = np.zeros(len(again), bool)
-    for k in range(WINDOW):
-        wrong |= ids[at[again] + k] != ids[at[out[again]] + k]
-    if wrong.any():  # two different windows with one hash: settle their groups word for word
-        bad = np.isin(hashes, hashes[again[wrong]])
+    if not len(again):
+        return out
+    cut = np.ones(len(again), bool)
+    cut[1:] = (at[again[1:]] != at[again[:-1]] + 1) | (at[out[again[1:]]] != at[out[again[:-1]]] + 1)
+    begin = np.flatnonzero(cut)
+    stop = np.append(begin[1:], len(again)) - 1
+    same = all(
+        strings.text(a, b + WINDOW - 1) == strings.text(c, d + WINDOW - 1)
+        for a, b, c, d in zip(at[again[begin]].tolist(), at[again[stop]].tolist(), at[out[again[begin]]].tolist(), at[out[again[stop]]].tolist(), strict=True)
+    )
+    if not same:  # two different windows with one hash: settle the groups concerned string by string
         seen: dict[bytes, int] = {}
-        for i in np.flatnonzero(bad):
-            out[i] = seen.setdefault(ids[at[i] : at[i] + WINDOW].tobytes(), int(i))
+        for i in np.flatnonzero(np.isin(hashes, hashes[again])).tolist():
+            out[i] = seen.setdefault(strings.text(int(at[i]), int(at[i]) + WINDOW - 1), i)
     return out
 
 
-def _spans(doc: np.ndarray, pos: np.ndarray) -> Iterator[tuple[int, int, int]]:
+def _spans(doc: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Maximal spans (doc_id, first word, end) of windows given in order of doc and pos."""
     if not len(doc):
-        return
+        return doc, pos, pos
     cut = np.ones(len(doc), bool)
     cut[1:] = (doc[1:] != doc[:-1]) | (pos[1:] > pos[:-1] + WINDOW)
     start = np.flatnonzero(cut)
     end = np.append(start[1:], len(doc)) - 1
-    yield from zip(doc[start].tolist(), pos[start].tolist(), (pos[end] + WINDOW).tolist(), strict=True)
-
-
-SENT = "bucket long, doc_id long, pos int, end int, packed binary"
-
-
-def _send_block(ids: list[int], texts: list[bytes]) -> pa.RecordBatch:
-    """What a block of texts sends: new stretches of windows, and spans already known to be repeats (packed is null)."""
-    order = np.argsort(np.array(ids, np.int64), kind="stable")
-    words_of = [texts[i].split() for i in order]
-    keep = [(int(ids[i]), w) for i, w in zip(order, words_of, strict=True) if len(w) >= WINDOW]
-    bucket, doc, pos, end, packed = [], [], [], [], []
-    if keep:
-        lengths = np.array([len(w) for _, w in keep])
-        begin = np.concatenate([[0], np.cumsum(lengths)])
-        words = [x for _, w in keep for x in w]
-        number: defaultdict[bytes, int] = defaultdict()
-        number.default_factory = number.__len__
-        exact = np.fromiter(map(number.__getitem__, words), np.int64, len(words))
-        hashed = np.fromiter(map(_WORDS.__getitem__, number), np.uint64, len(number))[exact]
-        starts = np.concatenate([np.arange(b, b + n - WINDOW + 1) for b, n in zip(begin[:-1], lengths, strict=True)])
-        owner = np.repeat(np.arange(len(keep)), lengths - WINDOW + 1)
-        windows = _runs_hash(hashed, WINDOW)[starts]
-        first = _repeats(exact, starts, windows)
-        own_id = np.array([d for d, _ in keep], np.int64)
-        place = starts - begin[owner]
-        again = (own_id[first_owner := owner[first]] != own_id[owner]) | (place[first] != place)
-        del first_owner
-        which = np.flatnonzero(again)
-        for d, a, z in _spans(own_id[owner[which]], place[which]):
-            bucket.append(d)
-            doc.append(d)
-            pos.append(a)
-            end.append(z)
-            packed.append(None)
-        least = _least(_runs_hash(hashed, SHORT), WINDOW - SHORT + 1)[starts]
-        fresh = np.flatnonzero(~again)
-        if len(fresh):
-            cut = np.ones(len(fresh), bool)
-            cut[1:] = (fresh[1:] != fresh[:-1] + 1) | (owner[fresh[1:]] != owner[fresh[:-1]]) | (least[fresh[1:]] != least[fresh[:-1]])
-            a = fresh[np.flatnonzero(cut)]
-            z = fresh[np.append(np.flatnonzero(cut)[1:], len(fresh)) - 1]
-            size = np.fromiter(map(len, words), np.int64, len(words))
-            offset = np.concatenate([[0], np.cumsum(size + 1)])
-            whole = b" ".join(words)
-            bucket += least[a].view(np.int64).tolist()
-            doc += own_id[owner[a]].tolist()
-            pos += place[a].tolist()
-            end += (place[z] + WINDOW).tolist()
-            packed += [whole[i:j] for i, j in zip(offset[starts[a]].tolist(), (offset[starts[z] + WINDOW] - 1).tolist(), strict=True)]
-    return pa.RecordBatch.from_arrays([pa.array(bucket, pa.int64()), pa.array(doc, pa.int64()), pa.array(pos, pa.int32()), pa.array(end, pa.int32()), pa.array(packed, pa.binary())], ["bucket", "doc_id", "pos", "end", "packed"])
-
-
-def _send(block_words: int):
+    return doc[start], pos[start], pos[end] + WINDOW
+
+
+#: A row is one bucket's share of a block: ids and places of its stretches and their strings, compressed; or, with no
+#: bucket, spans that are known to repeat.
+SENT = "bucket long, n int, docs binary, places binary, packed binary"
+
+
+def _row(bucket: int | None, docs: np.ndarray, places: np.ndarray, packed: bytes) -> tuple:
+    return bucket, len(docs), docs.astype(np.int64).tobytes(), places.astype(np.int32).tobytes(), packed
+
+
+def _rows(rows: list[tuple]) -> pa.RecordBatch:
+    b, n, d, p, s = zip(*rows, strict=True) if rows else ((),) * 5
+    return pa.RecordBatch.from_arrays([pa.array(b, pa.int64()), pa.array(n, pa.int32()), pa.array(d, pa.binary()), pa.array(p, pa.binary()), pa.array(s, pa.binary())], ["bucket", "n", "docs", "places", "packed"])
+
+
+def _send_block(ids: list[int], texts: list[bytes], buckets: int) -> pa.RecordBatch:
+    """What a block of texts sends: its new stretches by bucket, and spans already known to repeat."""
+    order = np.argsort(np.array(ids, np.int64), kind="stable").tolist()
+    joined = [b" ".join(texts[i].split()) for i in order]
+    own_id = np.array([ids[i] for i in order], np.int64)
+    kept = [k for k, j in enumerate(joined) if j]
+    if not kept:
+        return _rows([])
+    joined, own_id = [joined[k] for k in kept], own_id[kept]
+    strings = _Strings(b"\n".join(joined) + b"\n", np.array([len(j) + 1 for j in joined]))
+    owner, at = strings.runs(WINDOW)
+    if not len(at):
+        return _rows([])
+    short, long = strings.hashes(SHORT, WINDOW)
+    first = _earliest(strings, at, long[at])
+    place = at - strings.first[owner]
+    doc = own_id[owner]
+    again = (doc[first] != doc) | (place[first] != place)
+    which = np.flatnonzero(again)
+    rows = []
+    if len(which):
+        d, a, z = _spans(doc[which], place[which])
+        rows.append(_row(None, d, a, z.astype(np.int32).tobytes()))
+    fresh = np.flatnonzero(~again)
+    least = _least(short, WINDOW - SHORT + 1)[at[fresh]]
+    cut = np.ones(len(fresh), bool)
+    cut[1:] = (at[fresh[1:]] != at[fresh[:-1]] + 1) | (owner[fresh[1:]] != owner[fresh[:-1]]) | (least[1:] != least[:-1])
+    begin = np.flatnonzero(cut)
+    stop = np.append(begin[1:], len(fresh)) - 1
+    bucket = (_mixed(least[begin]) % np.uint64(buckets)).astype(np.int64)
+    a, z = fresh[begin], fresh[stop]
+    by = np.argsort(bucket, kind="stable")
+    low, high = strings.start[at[a[by]]].tolist(), strings.end[at[z[by]] + WINDOW - 1].tolist()
+    whole, squeeze = strings.whole, zstandard.ZstdCompressor(level=3)
+    edges = np.flatnonzero(np.concatenate([[True], np.diff(bucket[by]) != 0, [True]])).tolist()
+    docs, places = doc[a[by]], place[a[by]]
+    for i, j in zip(edges, edges[1:], strict=False):
+        packed = b"\n".join([whole[x:y] for x, y in zip(low[i:j], high[i:j], strict=True)])
+        rows.append(_row(int(bucket[by[i]]), docs[i:j], places[i:j], squeeze.compress(packed)))
+    return _rows(rows)
+
+
+def _send(block_bytes: int, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, texts, size = [], [], 0
         for b in batches:
@@ -177,11 +222,11 @@ def _send(block_words: int):
                     ids.append(i)
                     texts.append(t)
                     size += len(t)
-                if size >= 6 * block_words:
-                    yield _send_block(ids, texts)
+                if size >= block_bytes:
+                    yield _send_block(ids, texts, buckets)
                     ids, texts, size = [], [], 0
         if ids:
-            yield _send_block(ids, texts)
+            yield _send_block(ids, texts, buckets)
 
     return run
 
@@ -189,68 +234,55 @@ def _send(block_words: int):
 FOUND = "doc_id long, pos int, end int"
 
 
-def _found(rows: list[tuple[int, int, int]]) -> pa.RecordBatch:
-    d, a, z = zip(*rows, strict=True) if rows else ((), (), ())
-    return pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(a, pa.int32()), pa.array(z, pa.int32())], ["doc_id", "pos", "end"])
+def _found(doc: np.ndarray, pos: np.ndarray, end: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(pos.astype(np.int32)), pa.array(end.astype(np.int32))], ["doc_id", "pos", "end"])
 
 
-def _count_chunk(doc: np.ndarray, pos: np.ndarray, packed: list[bytes]) -> list[tuple[int, int, int]]:
-    """The spans of windows that occur earlier within a chunk of whole buckets."""
+def _count_bucket(rows: list[tuple[np.ndarray, np.ndarray, bytes]]) -> pa.RecordBatch:
+    """The spans of a bucket's windows that occur earlier."""
+    doc, pos = np.concatenate([r[0] for r in rows]), np.concatenate([r[1] for r in rows]).astype(np.int64)
+    strings_of = [x for r in rows for x in zstandard.ZstdDecompressor().decompress(r[2]).split(b"\n")]
     order = np.lexsort((pos, doc))
     doc, pos = doc[order], pos[order]
-    pieces = [packed[i].split() for i in order]
-    lengths = np.array([len(p) for p in pieces])
-    begin = np.concatenate([[0], np.cumsum(lengths)])
-    words = [w for p in pieces for w in p]
-    number: defaultdict[bytes, int] = defaultdict()
-    number.default_factory = number.__len__
-    ids = np.fromiter(map(number.__getitem__, words), np.int64, len(words))
-    counts = lengths - WINDOW + 1
-    owner = np.repeat(np.arange(len(pieces)), counts)
-    starts = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts) + begin[owner]
-    x = (ids.astype(np.uint64) + np.uint64(1)) * _ODD
-    first = _repeats(ids, starts, _runs_hash(x ^ (x >> np.uint64(31)), WINDOW)[starts])
-    place = pos[owner] + (starts - begin[owner])
-    d = doc[owner]
+    pieces = [strings_of[i] for i in order.tolist()]
+    strings = _Strings(b"\n".join(pieces) + b"\n", np.fromiter(map(len, pieces), np.int64, len(pieces)) + 1)
+    del strings_of, pieces
+    owner, at = strings.runs(WINDOW)
+    (long,) = strings.hashes(WINDOW)
+    first = _earliest(strings, at, long[at])
+    place, d = pos[owner] + (at - strings.first[owner]), doc[owner]
     which = np.flatnonzero((d[first] != d) | (place[first] != place))
     which = which[np.lexsort((place[which], d[which]))]
-    return list(_spans(d[which], place[which]))
+    return _found(*_spans(d[which], place[which]))
 
 
-def _count(chunk_bytes: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by bucket."""
-        doc, pos, packed, buckets, size = [], [], [], [], 0
-        for b in batches:
-            known = b.column("packed").is_null()
-            spans = b.filter(known)
-            if len(spans):
-                yield spans.select(["doc_id", "pos", "end"])
-            b = b.filter(pa.compute.invert(known))
-            doc.append(b.column("doc_id").to_numpy(zero_copy_only=False))
-            pos.append(b.column("pos").to_numpy(zero_copy_only=False))
-            buckets.append(b.column("bucket").to_numpy(zero_copy_only=False))
-            packed += b.column("packed").to_pylist()
-            size += b.column("packed").nbytes
-            if size >= chunk_bytes and len(buckets[-1]):
-                of = np.concatenate(buckets)
-                whole = int(np.searchsorted(of, of[-1]))  # the last bucket may go on
-                if whole:
-                    d, p = np.concatenate(doc), np.concatenate(pos)
-                    yield _found(_count_chunk(d[:whole], p[:whole].astype(np.int64), packed[:whole]))
-                    doc, pos, buckets, packed = [d[whole:]], [p[whole:]], [of[whole:]], packed[whole:]
-                    size = sum(map(len, packed))
-        if packed:
-            yield _found(_count_chunk(np.concatenate(doc), np.concatenate(pos).astype(np.int64), packed))
-
-    return run
-
-
-def repeated_spans(docs: DataFrame, block_words: int = BLOCK_WORDS, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted by bucket; a bucket's rows are gathered and counted."""
+    rows, now = [], None
+    for b in batches:
+        for bucket, docs, places, packed in zip(*(b.column(c).to_pylist() for c in ("bucket", "docs", "places", "packed")), strict=True):
+            docs, places = np.frombuffer(docs, np.int64), np.frombuffer(places, np.int32)
+            if bucket is None:
+                yield _found(docs, places, np.frombuffer(packed, np.int32))
+                continue
+            if bucket != now and rows:
+                yield _count_bucket(rows)
+                rows = []
+            now = bucket
+            rows.append((docs, places, packed))
+    if rows:
+        yield _count_bucket(rows)
+
+
+def repeated_spans(docs: DataFrame, block_bytes: int = BLOCK_BYTES, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """doc_id (NULL_ID for null), pos and end: spans of words inside windows that start earlier as well. May overlap."""
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id"), F.col("text").cast("string"))
-    sent = rows.mapInArrow(_send(block_words), SENT)
-    return sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_count(chunk_bytes), FOUND)
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = max(64, 3 * size // bucket_bytes)  # each word is sent about three times
+    sent = rows.mapInArrow(_send(block_bytes, buckets), SENT)
+    # spans have no bucket: they are dealt out by their own content
+    key = F.coalesce(F.col("bucket"), F.xxhash64("docs", "places"))
+    return sent.repartition(key).sortWithinPartitions("bucket").mapInArrow(_count, FOUND)
 
 
 def _removed(n: int, spans: list[dict] | None) -> np.ndarray:
