@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import uuid
+from collections.abc import Callable
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: A word is a run of anything but space, tab, newline, vertical tab, form feed and return.
@@ -37,6 +41,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_CLEAR: dict[str, Callable[[], None]] = {}
+_NOW: list[str | None] = [None]
+
+
+def cached_for(owner: str, clear: Callable[[], None]) -> None:
+    """Says how to empty an operator's caches in a Python worker."""
+    _CLEAR[owner] = clear
+
+
+def turn_to(owner: str) -> None:
+    """Called by each task of an operator: a worker that served another one lets go of that one's caches, and memory that is
+    free goes back to the system, so that a worker never holds more than one operator needs."""
+    if _NOW[0] != owner:
+        for other, clear in _CLEAR.items():
+            if other != owner:
+                clear()
+        _NOW[0] = owner
+        gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 class Scratch:
     """Tables written to the shared folder in spark.checkpoint.dir, read again as new plans.
 

@@ -25,11 +25,11 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from plausia.llm.common import Scratch, ready, table
+from plausia.llm.common import Scratch, cached_for, ready, table, turn_to
 
 WINDOW, LEAST_WORDS = 10, 5
 MAX_SENT = 2_000_000
-MAX_WORDS = 500_000
+MAX_WORDS = 200_000
 UNITS = frozenset(
     "% $ c cm day days dollars euro euros f ft g gb gram grams h hour hours hz inch inches k kb kg khz kilometers kilometres km kmh kw kwh l lb lbs "
     "liter liters litre litres m mb meter meters metre metres mg mhz mi mile miles min minute minutes ml mm month months mph ms oz percent pound "
@@ -74,6 +74,7 @@ class _Codes(dict):
 
 
 _CODES = _Codes()
+cached_for("benchmark", _CODES.clear)
 
 
 def codes(words: list[str]) -> np.ndarray:
@@ -207,12 +208,13 @@ class Matcher:
 
 def _in_place(windows):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn_to("benchmark")
         matcher = Matcher(windows)
         for b in batches:
             got = matcher.match(b.column("text").to_pylist())
             items = [sorted(x) for x in got]
             n = [sum(x.values()) for x in got]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(items, pa.list_(pa.int64())), pa.array(n, pa.int64())], [*b.schema.names, "item_ids", "n_windows"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(items, pa.list_(pa.int64())), pa.array(n, pa.int64())], [*b.schema.names, "__item_ids", "__n_windows"])
 
     return run
 
@@ -220,7 +222,7 @@ def _in_place(windows):
 def _document_windows(sizes: list[int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for row, text in zip(b.column("_row").to_pylist(), b.column("text").to_pylist(), strict=True):
+            for row, text in zip(b.column("__row").to_pylist(), b.column("text").to_pylist(), strict=True):
                 words = (text or "").split()
                 words, code = something(words, codes(words))
                 first, inner, _ = template(code)
@@ -228,7 +230,7 @@ def _document_windows(sizes: list[int]):
                     h = window_hashes(first, inner, size)
                     n = len(h)
                     own = [" ".join(words[i : i + size]) for i in range(n)]
-                    yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array([row] * n, pa.int64()), pa.array(np.arange(n), pa.int64()), pa.array(own, pa.string())], ["hash", "_row", "place", "words"])
+                    yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array([row] * n, pa.int64()), pa.array(np.arange(n), pa.int64()), pa.array(own, pa.string())], ["hash", "__row", "place", "words"])
 
     return run
 
@@ -241,7 +243,7 @@ def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             m = mapping(slots(a), slots(z)) if len(a) == len(z) else None
             maps.append(None if m is None else [{"kind": k, "value": v, "own": o} for (k, v), o in sorted(m.items())])
         kind_ = pa.list_(pa.struct([("kind", pa.int32()), ("value", pa.string()), ("own", pa.string())]))
-        out = pa.RecordBatch.from_arrays([b.column("_row"), b.column("item_id"), b.column("lie"), pa.array(maps, kind_)], ["_row", "item_id", "lie", "slots"])
+        out = pa.RecordBatch.from_arrays([b.column("__row"), b.column("item_id"), b.column("lie"), pa.array(maps, kind_)], ["__row", "item_id", "lie", "slots"])
         yield out.filter(pa.array([m is not None for m in maps], pa.bool_()))
 
 
@@ -255,40 +257,40 @@ def _item_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def matched(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, most_sent: int = MAX_SENT) -> DataFrame:
-    """docs with item_ids, the items each row holds, and n_windows, the confirmed windows."""
+    """docs with __item_ids, the items each row holds, and __n_windows, the confirmed windows."""
     ready(spark)
     scratch = Scratch(spark, "benchmark")
     items = benchmark.filter("item_id is not null and text is not null").select(F.col("item_id").cast("long"), F.col("text").cast("string"))
     windows = scratch.save(items.mapInArrow(_item_rows, "hash long, size int, item_id long, item_place long, item_words string"), "windows")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + ", item_ids array<long>, n_windows long"
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + ", __item_ids array<long>, __n_windows long"
     if windows.count() <= most_sent:
         sent = [(r["hash"] % 2**64, r["size"], r["item_id"], r["item_place"], r["item_words"].split(" ")) for r in windows.collect()]  # at most most_sent rows
         return docs.mapInArrow(_in_place(sorted(sent)), schema)
-    numbered = scratch.save(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    numbered = scratch.save(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
     sizes = [r["size"] for r in windows.select("size").distinct().collect()]  # at most WINDOW values
-    theirs = numbered.select("_row", F.col("text").cast("string").alias("text")).mapInArrow(_document_windows(sizes), "hash long, _row long, place long, words string")
-    pairs = theirs.join(windows, "hash").select("_row", "item_id", (F.col("place") - F.col("item_place")).alias("lie"), "item_words", "words")
-    sure = scratch.save(pairs.mapInArrow(_confirmed, "_row long, item_id long, lie long, slots array<struct<kind:int,value:string,own:string>>"), "sure")
-    slot = sure.select("_row", "item_id", "lie", F.explode("slots").alias("s")).groupBy("_row", "item_id", "lie", "s.kind", "s.value").agg(F.count_distinct("s.own").alias("n"))
-    torn = slot.filter("n > 1").select("_row", "item_id", "lie").distinct().withColumn("torn", F.lit(True))
+    theirs = numbered.select("__row", F.col("text").cast("string").alias("text")).mapInArrow(_document_windows(sizes), "hash long, __row long, place long, words string")
+    pairs = theirs.join(windows, "hash").select("__row", "item_id", (F.col("place") - F.col("item_place")).alias("lie"), "item_words", "words")
+    sure = scratch.save(pairs.mapInArrow(_confirmed, "__row long, item_id long, lie long, slots array<struct<kind:int,value:string,own:string>>"), "sure")
+    slot = sure.select("__row", "item_id", "lie", F.explode("slots").alias("s")).groupBy("__row", "item_id", "lie", "s.kind", "s.value").agg(F.count_distinct("s.own").alias("n"))
+    torn = slot.filter("n > 1").select("__row", "item_id", "lie").distinct().withColumn("torn", F.lit(True))
     word_for_word = F.forall("slots", lambda s: s["value"] == s["own"])
-    by = sure.groupBy("_row", "item_id", "lie").agg(F.count(F.lit(1)).alias("n"), F.bool_or(word_for_word).alias("same"))
-    fine = by.join(torn, ["_row", "item_id", "lie"], "left").filter("torn is null or same")
-    per_row = fine.groupBy("_row", "item_id").agg(F.sum("n").alias("n")).groupBy("_row").agg(F.array_sort(F.collect_list("item_id")).alias("item_ids"), F.sum("n").alias("n_windows"))
-    out = numbered.join(per_row, "_row", "left")
-    return out.select(*(F.col(f"`{c}`") for c in docs.columns), F.coalesce("item_ids", F.array().cast("array<long>")).alias("item_ids"), F.coalesce("n_windows", F.lit(0).cast("long")).alias("n_windows"))
+    by = sure.groupBy("__row", "item_id", "lie").agg(F.count(F.lit(1)).alias("n"), F.bool_or(word_for_word).alias("same"))
+    fine = by.join(torn, ["__row", "item_id", "lie"], "left").filter("torn is null or same")
+    per_row = fine.groupBy("__row", "item_id").agg(F.sum("n").alias("n")).groupBy("__row").agg(F.array_sort(F.collect_list("item_id")).alias("__items"), F.sum("n").alias("__n"))
+    out = numbered.join(per_row, "__row", "left")
+    return out.select(*(F.col(f"`{c}`") for c in docs.columns), F.coalesce("__items", F.array().cast("array<long>")).alias("__item_ids"), F.coalesce("__n", F.lit(0).cast("long")).alias("__n_windows"))
 
 
 def judged(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, most_sent: int = MAX_SENT) -> DataFrame:
     """doc_id, contaminated, kept, n_items, n_windows and item_ids for every row of docs."""
     rows = matched(spark, docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), benchmark, most_sent)
-    found = F.size("item_ids") > 0
-    return rows.select("doc_id", found.alias("contaminated"), (~found).alias("kept"), F.size("item_ids").cast("long").alias("n_items"), "n_windows", "item_ids")
+    found = F.size("__item_ids") > 0
+    return rows.select("doc_id", found.alias("contaminated"), (~found).alias("kept"), F.size("__item_ids").cast("long").alias("n_items"), F.col("__n_windows").alias("n_windows"), F.col("__item_ids").alias("item_ids"))
 
 
 def clean(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs that hold no item, with docs' own columns."""
-    return matched(spark, docs, benchmark).filter(F.size("item_ids") == 0).select(*(F.col(f"`{c}`") for c in docs.columns))
+    return matched(spark, docs, benchmark).filter(F.size("__item_ids") == 0).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from plausia.llm.common import fold, held_out, ready, table
+from plausia.llm.common import cached_for, fold, held_out, ready, table, turn_to
 
 VOCABULARY = "piece_bpe_32k.model"
 FOLDS, HELD_OUT = 4, 2
@@ -202,10 +202,12 @@ class Scorer(dict):
 
 
 _SCORERS: dict[int, Scorer] = {}
+cached_for("language", _SCORERS.clear)
 
 
 def _predicted(model: Model, key: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn_to("language")
         scorer = _SCORERS.get(key)
         if scorer is None:
             _SCORERS.clear()

@@ -170,10 +170,11 @@ def mixed(spark: SparkSession, docs: DataFrame, labels: DataFrame, targets: dict
 
 
 def drawn(spark: SparkSession, docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None) -> DataFrame:
-    """docs with rate and copies, without the rows that get no copy. Rows with one doc_id share the mean of their rates."""
-    by = mixed(spark, docs, labels, targets).groupBy(F.col("doc_id").alias("_id")).agg(F.avg("rate").alias("rate"), F.max("copies").alias("copies")).filter("copies > 0")
-    own = [F.col(f"`{c}`") for c in docs.columns]
-    return docs.join(by, F.col("doc_id").cast("long").eqNullSafe(F.col("_id"))).select(*own, "rate", "copies")
+    """docs with rate and copies (in the place of columns of these names), without the rows that get no copy. Rows with one
+    doc_id share the mean of their rates."""
+    by = mixed(spark, docs, labels, targets).groupBy(F.col("doc_id").alias("__id")).agg(F.avg("rate").alias("__rate"), F.max("copies").alias("__copies")).filter("__copies > 0")
+    own = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("rate", "copies")]
+    return docs.join(by, F.col("doc_id").cast("long").eqNullSafe(F.col("__id"))).select(*own, F.col("__rate").alias("rate"), F.col("__copies").alias("copies"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

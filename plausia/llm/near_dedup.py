@@ -30,7 +30,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from plausia.llm.common import Scratch, ready, table
+from plausia.llm.common import Scratch, cached_for, ready, table, turn_to
 
 WORDS, BANDS, ROWS = 5, 32, 4
 HASHES = BANDS * ROWS
@@ -39,7 +39,7 @@ LINK, LINK_OF = 75, 100
 LEAST_AGREEMENT = 0.56
 #: Documents in a block of step 5, and columns of its incidence matrix at a time.
 BLOCK, SLICE = 32, 65_536
-MAX_WORDS = 500_000
+MAX_WORDS = 200_000
 
 _SEED = np.random.default_rng(20240607)
 _A = _SEED.integers(0, 2**63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -59,6 +59,7 @@ class _WordHashes(dict):
 
 
 _WORDS = _WordHashes()
+cached_for("near", _WORDS.clear)
 
 
 def shingles(text: bytes | None) -> np.ndarray:
@@ -88,6 +89,7 @@ def signature(x: np.ndarray) -> np.ndarray:
 
 
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    turn_to("near")
     for b in batches:
         size, digest, mark = [], [], []
         for t in b.column("text").cast(pa.binary()).to_pylist():
@@ -109,6 +111,7 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _with_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    turn_to("near")
     for b in batches:
         x = [shingles(t).tobytes() for t in b.column("text").cast(pa.binary()).to_pylist()]
         yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(x, pa.binary())], ["doc_id", "shingles"])
@@ -250,11 +253,14 @@ def groups(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """One document of each group, the one with the least doc_id, and all that are in none, with docs' own columns."""
-    kept = groups(spark, docs).filter("kept and doc_id is not null").select(F.col("doc_id").alias("_kept")).distinct()
+    """One document of each group, the one with the least doc_id, and all that are in none, with docs' own columns. Of rows with
+    one doc_id the one with the least text stays; rows without a doc_id stay."""
+    kept = groups(spark, docs).filter("kept and doc_id is not null").select(F.col("doc_id").alias("__kept")).distinct()
     own = [F.col(f"`{c}`") for c in docs.columns]
     key = F.col("doc_id").cast("long")
-    first = docs.filter("doc_id is not null").join(kept, key == F.col("_kept"), "left_semi").dropDuplicates(["doc_id"])
+    first = docs.filter("doc_id is not null").join(kept, key == F.col("__kept"), "left_semi")
+    if not docs.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").isEmpty():
+        first = first.groupBy("doc_id").agg(F.min_by(F.struct(*own), F.struct(F.col("text").isNull(), "text")).alias("__row")).select("__row.*")
     return first.select(*own).unionByName(docs.filter("doc_id is null").select(*own))
 
 

@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from plausia.llm.common import Scratch, fold, held_out, ready, table
+from plausia.llm.common import Scratch, fold, held_out, ready, table, turn_to
 
 #: Weights of the pooled covariance and of the diagonal in each class covariance, and what is added to the diagonal.
 SHRINK_POOLED, SHRINK_DIAGONAL, RIDGE = 0.10, 0.10, 1e-3
@@ -79,6 +79,7 @@ def statistics(text: bytes) -> list[float]:
 
 
 def _with_statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    turn_to("quality")
     for b in batches:
         x = [statistics(t or b"") for t in b.column("text").cast(pa.binary()).to_pylist()]
         yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(x, pa.list_(pa.float64()))], ["doc_id", "x"])

@@ -32,13 +32,13 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from plausia.llm.common import NULL_ID, Scratch, ready, table
+from plausia.llm.common import NULL_ID, Scratch, ready, table, turn_to
 
 WINDOW = 20
 #: Words of a minimiser.
 SHORT = 4
 #: Bytes of a block of texts, of what a bucket should hold, and of the strings hashed at a time.
-BLOCK_BYTES, BUCKET_BYTES, SLICE_BYTES = 6_000_000, 6_000_000, 2_000_000
+BLOCK_BYTES, BUCKET_BYTES, SLICE_BYTES = 4_000_000, 4_000_000, 1_000_000
 
 _BASE = 0x9E3779B97F4A7C15
 _BACK = pow(_BASE, -1, 1 << 64)
@@ -215,6 +215,7 @@ def _send_block(ids: list[int], texts: list[bytes], buckets: int) -> pa.RecordBa
 
 def _send(block_bytes: int, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn_to("substring")
         ids, texts, size = [], [], 0
         for b in batches:
             for i, t in zip(b.column("doc_id").to_pylist(), b.column("text").cast(pa.binary()).to_pylist(), strict=True):
@@ -258,6 +259,7 @@ def _count_bucket(rows: list[tuple[np.ndarray, np.ndarray, bytes]]) -> pa.Record
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows come sorted by bucket; a bucket's rows are gathered and counted."""
+    turn_to("substring")
     rows, now = [], None
     for b in batches:
         for bucket, docs, places, packed in zip(*(b.column(c).to_pylist() for c in ("bucket", "docs", "places", "packed")), strict=True):
@@ -302,45 +304,45 @@ def _kept(text: bytes | None, spans: list[dict] | None) -> tuple[int, int, bytes
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        got = [_kept(t, s) for t, s in zip(b.column("text").cast(pa.binary()).to_pylist(), b.column("spans").to_pylist(), strict=True)]
+        got = [_kept(t, s) for t, s in zip(b.column("text").cast(pa.binary()).to_pylist(), b.column("__spans").to_pylist(), strict=True)]
         n, gone, kept = zip(*got, strict=True) if got else ((), (), ())
         ids = b.column("doc_id")
         yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256"])
 
 
 def with_spans(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """docs and the column spans: what to remove from each row, null for nothing."""
+    """docs and the column __spans: what to remove from each row, null for nothing."""
     ready(spark)
     scratch = Scratch(spark, "substring")
     spans = scratch.save(repeated_spans(docs), "spans")
-    by_doc = scratch.save(spans.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_list(F.struct("pos", "end")).alias("spans")), "by-doc")
+    by_doc = scratch.save(spans.groupBy(F.col("doc_id").alias("__id")).agg(F.collect_list(F.struct("pos", "end")).alias("__spans")), "by-doc")
     scratch.drop("spans")
-    keyed = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)))
-    return keyed.join(by_doc, "_id", "left")
+    keyed = docs.withColumn("__id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)))
+    return keyed.join(by_doc, "__id", "left")
 
 
 def removals(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_removed and kept_sha256 for every row of docs."""
     rows = with_spans(spark, docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")))
-    return rows.select("doc_id", "text", "spans").mapInArrow(_digests, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return rows.select("doc_id", "text", "__spans").mapInArrow(_digests, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        texts = [_kept(t, s)[2].decode() if s else None for t, s in zip(b.column("text").cast(pa.binary()).to_pylist(), b.column("spans").to_pylist(), strict=True)]
-        yield pa.RecordBatch.from_arrays([*(b.column(c) for c in b.schema.names if c != "spans"), pa.array(texts, pa.string())], [*(c for c in b.schema.names if c != "spans"), "_text"])
+        texts = [_kept(t, s)[2].decode() if s else None for t, s in zip(b.column("text").cast(pa.binary()).to_pylist(), b.column("__spans").to_pylist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([*(b.column(c) for c in b.schema.names if c != "__spans"), pa.array(texts, pa.string())], [*(c for c in b.schema.names if c != "__spans"), "__text"])
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """docs with repeated spans taken out of text (kept words joined by one space) and n_chars brought up to date; texts
     that lose nothing stay as they are, and no row is dropped."""
     own = docs.columns
-    rows = with_spans(spark, docs).drop("_id")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + ", _text string"
+    rows = with_spans(spark, docs).drop("__id")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + ", __text string"
     out = rows.mapInArrow(_texts, schema)
-    new = {"text": F.coalesce("_text", "text")}
+    new = {"text": F.coalesce("__text", "text")}
     if "n_chars" in own:
-        new["n_chars"] = F.when(F.col("_text").isNotNull(), F.char_length("_text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+        new["n_chars"] = F.when(F.col("__text").isNotNull(), F.char_length("__text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
     return out.select(*((new[c].alias(c) if c in new else F.col(f"`{c}`")) for c in own))
 
 

@@ -25,12 +25,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from plausia.llm.common import ready, table
+from plausia.llm.common import cached_for, ready, table, turn_to
 
 VOCABULARY = "word_bpe_49k.json"
 LIMIT = 2048
 #: Entries of the caches of runs and of token pairs; a cache that is full is emptied.
-MAX_RUNS, MAX_PAIRS = 600_000, 1_000_000
+MAX_RUNS, MAX_PAIRS = 600_000, 300_000
 #: Unicode's White_Space, which both the library's normaliser and its pattern split at.
 _SPACE = re.compile("[\t-\r \x85\xa0  -     　]+")
 _PLAIN = re.compile(r"[\x00-\x7f]*")
@@ -242,6 +242,7 @@ class PrefixCounter:
 
 
 _COUNTERS: dict[str, PrefixCounter] = {}
+cached_for("tokens", _COUNTERS.clear)
 
 
 def counter(path: str) -> PrefixCounter:
@@ -253,6 +254,7 @@ def counter(path: str) -> PrefixCounter:
 
 def _totals(name: str, limit: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn_to("tokens")
         c = counter(vocabulary_path(name))
         for b in batches:
             texts = b.column("text").to_pylist()
@@ -272,6 +274,7 @@ def token_counts(spark: SparkSession, docs: DataFrame, vocabulary: str = VOCABUL
 
 def _ledgers(name: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn_to("tokens")
         c = counter(vocabulary_path(name))
         for b in batches:
             steps = [np.diff(c.prefixes(t or "")).astype("<i4").tobytes() for t in b.column("text").to_pylist()]

@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from plausia.llm.common import Scratch, fold, held_out, ready, table
+from plausia.llm.common import Scratch, cached_for, fold, held_out, ready, table, turn_to
 
 FOLDS, HELD_OUT, THRESHOLD = 5, 0, 0.5
 BUCKETS, WIDTH = 1 << 17, 8
@@ -140,10 +140,12 @@ class Scorer(dict):
 
 
 _SCORERS: dict[int, Scorer] = {}
+cached_for("toxicity", _SCORERS.clear)
 
 
 def _scored(model: Model, key: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn_to("toxicity")
         scorer = _SCORERS.get(key)
         if scorer is None:
             _SCORERS.clear()
