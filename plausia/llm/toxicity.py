@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -32,7 +33,7 @@ from plausia.llm.common import Scratch, cached_for, fold, held_out, ready, table
 FOLDS, HELD_OUT, THRESHOLD = 5, 0, 0.5
 BUCKETS, WIDTH = 1 << 17, 8
 SHORTEST, LONGEST = 3, 5
-SAMPLE, LEAST_TEXTS = 2_500, 15
+SAMPLE, LEAST_TEXTS = 2_000, 15
 #: Words of no weight that each text is taken to have besides its own, so that one odd word doesn't decide a short text.
 PADDING = 15
 STEPS, RATE, DECAY = 150, 0.05, 1e-5
@@ -66,27 +67,45 @@ class Model:
         return float(self.bucket[bag(word)].mean())
 
 
-def fit(texts: list[Counter], labels: np.ndarray, weights: np.ndarray, steps: int = STEPS) -> Model:
+class Bags:
+    """Texts as numbered words with their counts, in compact arrays: what the driver holds of the sample."""
+
+    def __init__(self):
+        self.number: dict[str, int] = {}
+        self.words, self.counts, self.sizes, self.lengths = array("i"), array("i"), array("i"), array("i")
+
+    def add(self, text: str) -> None:
+        counts = Counter(words_of(text))
+        number = self.number
+        self.words.extend([number.setdefault(w, len(number)) for w in counts])
+        self.counts.extend(counts.values())
+        self.sizes.append(len(counts))
+        self.lengths.append(sum(counts.values()))
+
+
+def fit(texts: Bags, labels: np.ndarray, weights: np.ndarray, steps: int = STEPS) -> Model:
     """Embeddings and layer fitted on bags of words. weights: of each class."""
-    vocabulary = sorted({w for t in texts for w in t})
-    number = {w: i for i, w in enumerate(vocabulary)}
-    doc = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
-    word = np.array([number[w] for t in texts for w in t], np.int64)
-    many = np.array([sum(t.values()) + PADDING for t in texts], float)
-    share = np.array([n for t in texts for n in t.values()], float) / many[doc]
-    bags = [bag(w) for w in vocabulary]
-    owner = np.repeat(np.arange(len(bags)), [len(b) for b in bags])
-    bucket = np.array([x for b in bags for x in b], np.int64)
-    part = 1.0 / np.array([len(b) for b in bags], float)[owner]
+    many_texts, vocabulary = len(texts.sizes), len(texts.number)
+    doc = np.repeat(np.arange(many_texts, dtype=np.int32), np.array(texts.sizes))
+    word = np.array(texts.words, np.int32)
+    share = np.array(texts.counts, float) / (np.array(texts.lengths) + PADDING)[doc]
+    bucket, lengths = array("i"), array("i")
+    for w in texts.number:
+        grams = bag(w)
+        bucket.extend(grams)
+        lengths.append(len(grams))
+    bucket = np.array(bucket, np.int32)
+    owner = np.repeat(np.arange(vocabulary, dtype=np.int32), np.array(lengths))
+    part = (1.0 / np.array(lengths, np.float32))[owner]
     # buckets that enough texts touch, renumbered
-    touched = np.zeros(BUCKETS)
-    seen = np.bincount(word, minlength=len(vocabulary)).astype(float)  # texts that hold a word
-    np.add.at(touched, bucket, seen[owner])
+    seen = np.bincount(word, minlength=vocabulary)  # texts that hold a word
+    touched = np.bincount(bucket, seen[owner], minlength=BUCKETS)
     used = np.flatnonzero(touched >= LEAST_TEXTS)
-    place = np.full(BUCKETS, -1)
+    place = np.full(BUCKETS, -1, np.int32)
     place[used] = np.arange(len(used))
     kept = place[bucket] >= 0
     owner, part, bucket = owner[kept], part[kept], place[bucket[kept]]
+    del kept, seen, touched
     rng = np.random.default_rng(1)
     e = rng.normal(0, 0.1, (len(used), WIDTH))
     layer = rng.normal(0, 0.5, (WIDTH, 2))
@@ -98,17 +117,17 @@ def fit(texts: list[Counter], labels: np.ndarray, weights: np.ndarray, steps: in
     for t in range(1, steps + 1):
         # the mean of the embeddings, class by class, without building the texts' vectors
         by_bucket = e @ layer
-        logits = np.empty((len(texts), 2))
+        logits = np.empty((many_texts, 2))
         for c in (0, 1):
-            by_word = np.bincount(owner, part * by_bucket[bucket, c], minlength=len(vocabulary))
-            logits[:, c] = scale * np.bincount(doc, share * by_word[word], minlength=len(texts)) + bias[c]
+            by_word = np.bincount(owner, part * by_bucket[bucket, c], minlength=vocabulary)
+            logits[:, c] = scale * np.bincount(doc, share * by_word[word], minlength=many_texts) + bias[c]
         logits -= logits.max(1, keepdims=True)
         p = np.exp(logits)
         p /= p.sum(1, keepdims=True)
         g = (p - target) * own[:, None]
         back = np.empty_like(by_bucket)
         for c in (0, 1):
-            by_word = np.bincount(word, share * (scale * g[:, c])[doc], minlength=len(vocabulary))
+            by_word = np.bincount(word, share * (scale * g[:, c])[doc], minlength=vocabulary)
             back[:, c] = np.bincount(bucket, part * by_word[owner], minlength=len(used))
         grads = (back @ layer.T + DECAY * e, e.T @ back + DECAY * layer, g.sum(0))
         rate = RATE * min(1.0, 2 * (1 - t / (steps + 1)))
@@ -143,6 +162,53 @@ _SCORERS: dict[int, Scorer] = {}
 cached_for("toxicity", _SCORERS.clear)
 
 
+def _scored(model: Model, key: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn_to("toxicity")
+        scorer = _SCORERS.get(key)
+        if scorer is None:
+            _SCORERS.clear()
+            scorer = _SCORERS[key] = Scorer(model)
+        for b in batches:
+            s = np.array([scorer.score(t) for t in b.column("text").to_pylist()], float)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), pa.array(s), pa.array((s >= THRESHOLD).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
+
+    return run
+
+
+def trained(docs: DataFrame, labels: DataFrame, scratch: Scratch, most: int = SAMPLE) -> Model:
+    marked = labels.filter("doc_id is not null and toxic in (0, 1)").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("label"))
+    marked = marked.filter(fold(F.col("doc_id"), FOLDS) != HELD_OUT)
+    rows = {r.label: r["count"] for r in marked.groupBy("label").count().collect()}  # two rows
+    if len(rows) < 2:
+        return Model(np.zeros(BUCKETS), 0.0, constant=float(1 in rows))
+    share = F.when(F.col("label") == 1, F.lit(min(1.0, most / rows[1]))).otherwise(F.lit(min(1.0, most / rows[0])))
+    drawn = scratch.save(marked.filter(F.pmod(F.xxhash64(F.col("doc_id")), F.lit(1_000_003)) < share * 1_000_003), "drawn")
+    # about 2 * most ids, so small enough to send to every task that reads the texts
+    texts = docs.filter(F.col("text").isNotNull()).join(F.broadcast(drawn), "doc_id").select("doc_id", "label", "text")
+    bags, of = Bags(), array("b")
+    for r in texts.toLocalIterator():
+        bags.add(r.text)
+        of.append(r.label)
+    of = np.array(of, np.int64)
+    drawn_rows = np.bincount(of, minlength=2)
+    if not drawn_rows.all():
+        return Model(np.zeros(BUCKETS), 0.0, constant=float(1 in of))
+    return fit(bags, of, np.array([rows[0] / drawn_rows[0], rows[1] / drawn_rows[1]]))
+
+
+def score(self, text: str | None) -> float:
+        if self.model.constant is not None:
+            return self.model.constant
+        words = words_of(text) if text else []
+        z = sum(map(self.__getitem__, words)) / (len(words) + PADDING)
+        return float(1 / (1 + np.exp(-max(-60.0, min(60.0, z + self.model.bias)))))
+
+
+_SCORERS: dict[int, Scorer] = {}
+cached_for("toxicity", _SCORERS.clear)
+
+
 def _scored(model: Model, key: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         turn_to("toxicity")
