@@ -284,7 +284,8 @@ def repeated_spans(docs: DataFrame, block_bytes: int = BLOCK_BYTES, bucket_bytes
     sent = rows.mapInArrow(_send(block_bytes, buckets), SENT)
     # spans have no bucket: they are dealt out by their own content
     key = F.coalesce(F.col("bucket"), F.xxhash64("docs", "places"))
-    return sent.repartition(key).sortWithinPartitions("bucket").mapInArrow(_count, FOUND)
+    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), buckets // 8)
+    return sent.repartition(tasks, key).sortWithinPartitions("bucket").mapInArrow(_count, FOUND)
 
 
 def _removed(n: int, spans: list[dict] | None) -> np.ndarray:
