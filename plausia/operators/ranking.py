@@ -116,7 +116,7 @@ def score_products(votes: DataFrame, bonuses: DataFrame | None = None, rules: Ru
     good, bad = is_credible() & (F.col("stance") == "recommend"), is_credible() & (F.col("stance") == "warn")
     one = votes.groupBy("category", "product_key").agg(
         F.min("product_name").alias("product_name"),
-        F.round(F.sum("weight"), rules.decimals).alias("points"),
+        (F.round(F.sum("weight"), rules.decimals) + F.lit(0.0)).alias("points"),
         F.count_if(F.col("stance") == "recommend").alias("recommends"),
         F.count_if(F.col("stance") == "warn").alias("warnings"),
         F.count_if(F.col("stance") == "neutral").alias("neutral"),

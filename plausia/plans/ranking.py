@@ -166,7 +166,7 @@ _RANKED = f"""{_VOTES}, {_KINDS},
 own AS (SELECT p_brand AS category, p_partkey AS product_key, l.kind_key, CASE WHEN l.leads THEN 1.0 WHEN l.warned THEN -1.0 ELSE 0.0 END::DOUBLE AS kind_bonus
   FROM part JOIN leads l ON l.category = p_brand AND l.kind_key = p_type
   QUALIFY row_number() OVER (PARTITION BY p_brand, p_partkey ORDER BY NOT l.leads, l.place) = 1),
-p0 AS (SELECT category, product_key, min(product_name) AS product_name, round(sum(weight), 6) AS points,
+p0 AS (SELECT category, product_key, min(product_name) AS product_name, round(sum(weight), 6) + 0.0::DOUBLE AS points,
   count(*) FILTER (stance = 'recommend') AS recommends, count(*) FILTER (stance = 'warn') AS warnings, count(*) FILTER (stance = 'neutral') AS neutral,
   count(*) FILTER (credible AND stance = 'recommend') AS credible_recommends, count(*) FILTER (credible AND stance = 'warn') AS credible_warnings,
   count(DISTINCT thread_id) AS threads, count(DISTINCT thread_id) FILTER (credible AND stance = 'recommend') AS credible_threads,

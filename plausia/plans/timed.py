@@ -19,9 +19,9 @@ def _checks(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "events").select(F.col("user_id").alias("comment_id"), F.col("ts").alias("at"), outcome.alias("outcome"))
 
 
-_CHECKS = "checks AS (SELECT user_id AS comment_id, ts AS at, CASE event_type WHEN 'error' THEN 'unreadable' WHEN 'signup' THEN 'changed' WHEN 'purchase' THEN 'deleted' ELSE 'passing' END AS outcome FROM events)"
-_LEDGER = f"""{_CHECKS}, l0 AS (SELECT comment_id, max(at) AS at, arg_max(outcome, at) AS outcome, max(at) FILTER (outcome = 'passing') AS last_pass, max(at) FILTER (outcome <> 'unreadable') AS r FROM checks GROUP BY 1),
-ledger AS (SELECT comment_id, at, outcome, last_pass, (SELECT min(c.at) FROM checks c WHERE c.comment_id = l0.comment_id AND c.outcome = 'unreadable' AND (l0.r IS NULL OR c.at > l0.r)) AS unreadable_since FROM l0)"""
+_CHECKS = "checks AS (SELECT user_id AS comment_id, ts AS t, CASE event_type WHEN 'error' THEN 'unreadable' WHEN 'signup' THEN 'changed' WHEN 'purchase' THEN 'deleted' ELSE 'passing' END AS outcome FROM events)"
+_LEDGER = f"""{_CHECKS}, l0 AS (SELECT comment_id, max(t) AS t, arg_max(outcome, t) AS outcome, max(t) FILTER (outcome = 'passing') AS last_pass, max(t) FILTER (outcome <> 'unreadable') AS r FROM checks GROUP BY 1),
+ledger AS (SELECT comment_id, t AS "at", outcome, last_pass, (SELECT min(c.t) FROM checks c WHERE c.comment_id = l0.comment_id AND c.outcome = 'unreadable' AND (l0.r IS NULL OR c.t > l0.r)) AS unreadable_since FROM l0)"""
 
 
 def ledger_latest_pass(spark: SparkSession, sf: str) -> DataFrame:
@@ -130,7 +130,7 @@ QUERIES = {
     "applied_checks": (
         applied_checks,
         f"WITH {_LEDGER}, k AS (SELECT i AS comment_id, TIMESTAMP '2023-12-20' + to_days((i % 40)::INT) AS collected FROM range(0, 400) t(i)) "
-        f"SELECT comment_id, CASE WHEN outcome IN ('deleted', 'removed', 'changed') AND (last_pass IS NULL OR at > last_pass) THEN 'dropped' WHEN DATE '2024-01-31' > CAST(coalesce(last_pass, collected) AS DATE) + 30 THEN 'expired' "
+        f"SELECT comment_id, CASE WHEN outcome IN ('deleted', 'removed', 'changed') AND (last_pass IS NULL OR \"at\" > last_pass) THEN 'dropped' WHEN DATE '2024-01-31' > CAST(coalesce(last_pass, collected) AS DATE) + 30 THEN 'expired' "
         "WHEN last_pass IS NOT NULL THEN 'verified' ELSE 'kept' END AS state FROM k LEFT JOIN ledger USING (comment_id)",
     ),
     "cached_checks": (cached_checks, None),
@@ -154,7 +154,7 @@ QUERIES = {
     ),
     "recent_union": (
         recent_union,
-        "SELECT user_id, ts AS at, event_id, event_type FROM events WHERE event_type IN ('view', 'click') QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1 AND ts > TIMESTAMP '2024-01-30' - INTERVAL 48 HOUR",
+        "SELECT user_id, ts AS \"at\", event_id, event_type FROM events WHERE event_type IN ('view', 'click') QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1 AND ts > TIMESTAMP '2024-01-30' - INTERVAL 48 HOUR",
     ),
     "seeded_order": (seeded_order, "SELECT s_suppkey, row_number() OVER (ORDER BY sha256('2026-10-15:' || s_suppkey::VARCHAR), s_suppkey) AS place FROM supplier QUALIFY place <= 20"),
     "queue_waits": (queue_waits, "WITH q AS (SELECT o_orderkey, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderdate, o_orderkey) AS p FROM orders) SELECT o_orderkey, CASE WHEN p <= 2000 THEN ceil(p / 75.0)::BIGINT END AS days FROM q"),
