@@ -2,7 +2,8 @@
 
 A text is read as a template: numbers, units after a number, and names (a capitalised word that doesn't open a sentence)
 become typed slots, all else is lower case without outer punctuation. The first word of a window is never read
-as a name, so what a window's template is depends on its own words only. Windows of WINDOW words (a shorter item is one window)
+as a name, so what a window's template is depends on its own words only. Because case may be lost when a text is copied, every
+window has a second template in which names are plain words; either may match. Windows of WINDOW words (a shorter item is one window)
 of texts and benchmark are joined by hash; a pair is confirmed word for word, and its slots must be consistent: a value of
 the benchmark always stands against the same value of the text, over all windows of an item that lie alike. So a question
 with other numbers or names is caught, and a chance likeness of slots isn't.
@@ -58,7 +59,7 @@ def kind(word: str) -> int:
     if not c:
         return NOTHING
     low = c.lower()
-    k = NUMBER if _NUMBER.fullmatch(c) or low in NUMBERS else UNIT if low in UNITS else NAME if c[0].isupper() else LITERAL
+    k = NUMBER if _NUMBER.fullmatch(c) or low in NUMBERS else UNIT if low in UNITS else NAME if c[0].isupper() and (len(c) == 1 or not c.isupper()) else LITERAL
     return k | (ENDS if word.rstrip("\"')]}»”’")[-1:] in (".", "!", "?", ":") else 0)
 
 
@@ -81,38 +82,38 @@ def codes(words: list[str]) -> np.ndarray:
     return np.fromiter(map(_CODES.__getitem__, words), np.uint64, len(words))
 
 
-def template(code: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For words that are something: each one's hash as a window's first word, its hash elsewhere, and its kind elsewhere."""
+def template(code: np.ndarray, named: bool) -> tuple[np.ndarray, np.ndarray]:
+    """For words that are something: each one's hash as a window's first word, and its hash elsewhere. named: names are slots."""
     literal = code & ~_FLAGS
     k = (code & np.uint64(KIND)).astype(np.uint8)
     ends = (code & np.uint64(ENDS)) != 0
     opens = np.concatenate([[True], ends[:-1]]) if len(k) else ends
     after_number = np.concatenate([[False], k[:-1] == NUMBER]) if len(k) else ends
-    k = np.where((k == NAME) & opens | (k == UNIT) & ~after_number, LITERAL, k).astype(np.uint8)
+    k = np.where((k == NAME) & (opens | (not named)) | (k == UNIT) & ~after_number, LITERAL, k).astype(np.uint8)
     inner = literal.copy()
     for slot, h in _SLOTS.items():
         inner[k == slot] = h
     first = np.where(k == NUMBER, _SLOTS[NUMBER], literal)
-    return first, inner, k
+    return first, inner
 
 
-def window_hashes(first: np.ndarray, inner: np.ndarray, size: int) -> np.ndarray:
+def window_hashes(first: np.ndarray, inner: np.ndarray, size: int, named: bool) -> np.ndarray:
     n = len(first) - size + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    x = first[:n] * _PLACES[0] + np.uint64(size)
+    x = first[:n] * _PLACES[0] + np.uint64(2 * size + named)
     for k in range(1, size):
         x = (x ^ (x >> np.uint64(31))) * _PLACES[k] + inner[k : k + n]
     return x ^ (x >> np.uint64(29))
 
 
-def slots(words: list[str]) -> list[tuple[int, str]]:
+def slots(words: list[str], named: bool) -> list[tuple[int, str]]:
     """A window's words as (kind, value): what template() makes of them with the first word never a name or unit."""
     out, before, ended = [], NOTHING, True
     for i, w in enumerate(words):
         k = kind(w)
         plain = k & KIND
-        if plain == NAME and (ended or i == 0) or plain == UNIT and (before != NUMBER or i == 0):
+        if plain == NAME and (ended or i == 0 or not named) or plain == UNIT and (before != NUMBER or i == 0):
             plain = LITERAL
         out.append((plain, core(w).lower()))
         before, ended = k & KIND, bool(k & ENDS)
@@ -145,30 +146,31 @@ def something(words: list[str], code: np.ndarray) -> tuple[list[str], np.ndarray
     return (words, code) if keep.all() else ([w for w, k in zip(words, keep.tolist(), strict=True) if k], code[keep])
 
 
-def item_windows(item_id: int, text: str | None) -> list[tuple[int, int, int, int, list[str]]]:
-    """(hash, size, item_id, place, words) of each window of an item that has enough words that aren't slots."""
+Window = tuple[int, int, bool, int, int, list[str]]
+
+
+def item_windows(item_id: int, text: str | None) -> list[Window]:
+    """(hash, size, named, item_id, place, words) of each window of an item that has enough words that aren't slots."""
     words = (text or "").split()
     words, code = something(words, codes(words))
     size = min(WINDOW, len(words))
-    if size < LEAST_WORDS:
-        return []
-    first, inner, _ = template(code)
     out = []
-    for i, h in enumerate(window_hashes(first, inner, size).tolist()):
-        own = words[i : i + size]
-        if sum(k == LITERAL for k, _ in slots(own)) >= LEAST_WORDS:
-            out.append((h, size, item_id, i, own))
+    for named in (True, False) if size >= LEAST_WORDS else ():
+        for i, h in enumerate(window_hashes(*template(code, named), size, named).tolist()):
+            own = words[i : i + size]
+            if sum(k == LITERAL for k, _ in slots(own, named)) >= LEAST_WORDS:
+                out.append((h, size, named, item_id, i, own))
     return out
 
 
 class Matcher:
     """The benchmark's windows by hash."""
 
-    def __init__(self, windows: list[tuple[int, int, int, int, list[str]]]):
+    def __init__(self, windows: list[Window]):
         self.by_hash: dict[int, list[tuple[int, int, list[tuple[int, str]]]]] = defaultdict(list)
-        for h, _, item, place, words in windows:
-            self.by_hash[h].append((item, place, slots(words)))
-        self.sizes = sorted({w[1] for w in windows})
+        for h, _, named, item, place, words in windows:
+            self.by_hash[h].append((item, place, slots(words, named)))
+        self.forms = sorted({(w[1], w[2]) for w in windows}, reverse=True)
         self.sorted = np.sort(np.fromiter(self.by_hash, np.uint64, len(self.by_hash)))
         self.bits = np.zeros(1 << 22, bool)
         self.bits[(self.sorted >> np.uint64(42)).astype(np.int64)] = True
@@ -184,23 +186,22 @@ class Matcher:
         owner = np.repeat(np.arange(len(texts)), lengths)
         keep = np.flatnonzero((code & np.uint64(KIND)) != NOTHING)
         code, owner = code[keep], owner[keep]
-        first, inner, _ = template(code)
-        found: list[dict[tuple[int, int], list]] = [defaultdict(list) for _ in texts]
-        for size in self.sizes:
-            h = window_hashes(first, inner, size)
+        found: list[dict[tuple[int, int], dict]] = [defaultdict(dict) for _ in texts]
+        for size, named in self.forms:
+            h = window_hashes(*template(code, named), size, named)
             near = np.flatnonzero(self.bits[(h >> np.uint64(42)).astype(np.int64)])
             near = near[owner[near] == owner[near + size - 1]]
             at = np.minimum(np.searchsorted(self.sorted, h[near]), max(0, len(self.sorted) - 1))
             for i in near[self.sorted[at] == h[near]].tolist():
-                own = slots([words[j] for j in keep[i : i + size].tolist()])
+                own = slots([words[j] for j in keep[i : i + size].tolist()], named)
                 for item, place, theirs in self.by_hash[int(h[i])]:
                     if len(theirs) == size and (m := mapping(theirs, own)) is not None:
-                        found[owner[i]][item, i - place].append(m)
+                        found[owner[i]][item, i - place].setdefault(i, m)
         out = []
         for by in found:
             items: dict[int, int] = defaultdict(int)
             for (item, _), maps in by.items():
-                if consistent(maps):
+                if consistent([*maps.values()]):
                     items[item] += len(maps)
             out.append(dict(items))
         return out
@@ -219,15 +220,14 @@ def _in_place(windows):
     return run
 
 
-def _document_windows(sizes: list[int]):
+def _document_windows(forms: list[tuple[int, bool]]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for row, text in zip(b.column("__row").to_pylist(), b.column("text").to_pylist(), strict=True):
                 words = (text or "").split()
                 words, code = something(words, codes(words))
-                first, inner, _ = template(code)
-                for size in sizes:
-                    h = window_hashes(first, inner, size)
+                for size, named in forms:
+                    h = window_hashes(*template(code, named), size, named)
                     n = len(h)
                     own = [" ".join(words[i : i + size]) for i in range(n)]
                     yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array([row] * n, pa.int64()), pa.array(np.arange(n), pa.int64()), pa.array(own, pa.string())], ["hash", "__row", "place", "words"])
@@ -236,23 +236,28 @@ def _document_windows(sizes: list[int]):
 
 
 def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    kind_ = pa.list_(pa.struct([("kind", pa.int32()), ("value", pa.string()), ("own", pa.string())]))
     for b in batches:
         maps = []
-        for a, z in zip(b.column("item_words").to_pylist(), b.column("words").to_pylist(), strict=True):
+        for a, z, named in zip(*(b.column(c).to_pylist() for c in ("item_words", "words", "named")), strict=True):
             a, z = a.split(" "), z.split(" ")
-            m = mapping(slots(a), slots(z)) if len(a) == len(z) else None
+            m = mapping(slots(a, named), slots(z, named)) if len(a) == len(z) else None
             maps.append(None if m is None else [{"kind": k, "value": v, "own": o} for (k, v), o in sorted(m.items())])
-        kind_ = pa.list_(pa.struct([("kind", pa.int32()), ("value", pa.string()), ("own", pa.string())]))
-        out = pa.RecordBatch.from_arrays([b.column("__row"), b.column("item_id"), b.column("lie"), pa.array(maps, kind_)], ["__row", "item_id", "lie", "slots"])
+        names = ["__row", "item_id", "lie", "place", "named"]
+        out = pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(maps, kind_)], [*names, "slots"])
         yield out.filter(pa.array([m is not None for m in maps], pa.bool_()))
 
 
+ITEM_ROWS = "hash long, size int, named boolean, item_id long, item_place long, item_words string"
+
+
 def _item_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         rows = [w for i, t in zip(b.column("item_id").to_pylist(), b.column("text").to_pylist(), strict=True) for w in item_windows(i, t)]
+        h, size, named, item, place, words = zip(*rows, strict=True) if rows else ((),) * 6
         yield pa.RecordBatch.from_arrays(
-            [pa.array(np.array([r[0] for r in rows], np.uint64).view(np.int64)), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.int64()), pa.array([r[3] for r in rows], pa.int64()), pa.array([" ".join(r[4]) for r in rows], pa.string())],
-            ["hash", "size", "item_id", "item_place", "item_words"],
+            [pa.array(np.array(h, np.uint64).view(np.int64)), pa.array(size, pa.int32()), pa.array(named, pa.bool_()), pa.array(item, pa.int64()), pa.array(place, pa.int64()), pa.array([" ".join(w) for w in words], pa.string())],
+            ["hash", "size", "named", "item_id", "item_place", "item_words"],
         )
 
 
@@ -261,16 +266,17 @@ def matched(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, most_sen
     ready(spark)
     scratch = Scratch(spark, "benchmark")
     items = benchmark.filter("item_id is not null and text is not null").select(F.col("item_id").cast("long"), F.col("text").cast("string"))
-    windows = scratch.save(items.mapInArrow(_item_rows, "hash long, size int, item_id long, item_place long, item_words string"), "windows")
+    windows = scratch.save(items.mapInArrow(_item_rows, ITEM_ROWS), "windows")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + ", __item_ids array<long>, __n_windows long"
     if windows.count() <= most_sent:
-        sent = [(r["hash"] % 2**64, r["size"], r["item_id"], r["item_place"], r["item_words"].split(" ")) for r in windows.collect()]  # at most most_sent rows
+        sent = [(r["hash"] % 2**64, r["size"], r["named"], r["item_id"], r["item_place"], r["item_words"].split(" ")) for r in windows.collect()]  # at most most_sent rows
         return docs.mapInArrow(_in_place(sorted(sent)), schema)
     numbered = scratch.save(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
-    sizes = [r["size"] for r in windows.select("size").distinct().collect()]  # at most WINDOW values
-    theirs = numbered.select("__row", F.col("text").cast("string").alias("text")).mapInArrow(_document_windows(sizes), "hash long, __row long, place long, words string")
-    pairs = theirs.join(windows, "hash").select("__row", "item_id", (F.col("place") - F.col("item_place")).alias("lie"), "item_words", "words")
-    sure = scratch.save(pairs.mapInArrow(_confirmed, "__row long, item_id long, lie long, slots array<struct<kind:int,value:string,own:string>>"), "sure")
+    forms = [(r["size"], r["named"]) for r in windows.select("size", "named").distinct().collect()]  # at most 2 * WINDOW values
+    theirs = numbered.select("__row", F.col("text").cast("string").alias("text")).mapInArrow(_document_windows(forms), "hash long, __row long, place long, words string")
+    pairs = theirs.join(windows, "hash").select("__row", "item_id", (F.col("place") - F.col("item_place")).alias("lie"), "place", "named", "item_words", "words")
+    both = pairs.mapInArrow(_confirmed, "__row long, item_id long, lie long, place long, named boolean, slots array<struct<kind:int,value:string,own:string>>")
+    sure = scratch.save(both.groupBy("__row", "item_id", "lie", "place").agg(F.max_by("slots", "named").alias("slots")), "sure")
     slot = sure.select("__row", "item_id", "lie", F.explode("slots").alias("s")).groupBy("__row", "item_id", "lie", "s.kind", "s.value").agg(F.count_distinct("s.own").alias("n"))
     torn = slot.filter("n > 1").select("__row", "item_id", "lie").distinct().withColumn("torn", F.lit(True))
     word_for_word = F.forall("slots", lambda s: s["value"] == s["own"])

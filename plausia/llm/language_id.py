@@ -136,7 +136,7 @@ def fit(counts: dict[str, Counter], rows: dict[str, int], vocabulary: list[str],
             for part in stretches(w):
                 weight.setdefault(part, np.zeros(many))[c] += n
     parts = sorted(weight)
-    times = np.array([weight[x] for x in parts]).reshape(-1, many)
+    times = np.array([weight[x] for x in parts]).reshape(len(parts), many)
     grids = [(at, lattice([parts[i] for i in at], number)) for _, at in sorted(by_length(parts).items())]
     p = np.full((size, many), 1.0 / size)
     p[-2:] = [[UNKNOWN] * many, [0.0] * many]

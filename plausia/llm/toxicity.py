@@ -197,50 +197,6 @@ def trained(docs: DataFrame, labels: DataFrame, scratch: Scratch, most: int = SA
     return fit(bags, of, np.array([rows[0] / drawn_rows[0], rows[1] / drawn_rows[1]]))
 
 
-def score(self, text: str | None) -> float:
-        if self.model.constant is not None:
-            return self.model.constant
-        words = words_of(text) if text else []
-        z = sum(map(self.__getitem__, words)) / (len(words) + PADDING)
-        return float(1 / (1 + np.exp(-max(-60.0, min(60.0, z + self.model.bias)))))
-
-
-_SCORERS: dict[int, Scorer] = {}
-cached_for("toxicity", _SCORERS.clear)
-
-
-def _scored(model: Model, key: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        turn_to("toxicity")
-        scorer = _SCORERS.get(key)
-        if scorer is None:
-            _SCORERS.clear()
-            scorer = _SCORERS[key] = Scorer(model)
-        for b in batches:
-            s = np.array([scorer.score(t) for t in b.column("text").to_pylist()], float)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), pa.array(s), pa.array((s >= THRESHOLD).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
-
-    return run
-
-
-def trained(docs: DataFrame, labels: DataFrame, scratch: Scratch, most: int = SAMPLE) -> Model:
-    marked = labels.filter("doc_id is not null and toxic in (0, 1)").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("label"))
-    marked = marked.filter(fold(F.col("doc_id"), FOLDS) != HELD_OUT)
-    rows = {r.label: r["count"] for r in marked.groupBy("label").count().collect()}  # two rows
-    if len(rows) < 2:
-        return Model(np.zeros(BUCKETS), 0.0, constant=float(1 in rows))
-    share = F.when(F.col("label") == 1, F.lit(min(1.0, most / rows[1]))).otherwise(F.lit(min(1.0, most / rows[0])))
-    drawn = scratch.save(marked.filter(F.pmod(F.xxhash64(F.col("doc_id")), F.lit(1_000_003)) < share * 1_000_003), "drawn")
-    # about 2 * most ids, so small enough to send to every task that reads the texts
-    texts = docs.filter(F.col("text").isNotNull()).join(F.broadcast(drawn), "doc_id").select("doc_id", "label", "text")
-    got = sorted(((r.doc_id, r.label, Counter(words_of(r.text))) for r in texts.toLocalIterator()), key=lambda r: (r[0], r[1], sorted(r[2].items())))
-    of = np.array([r[1] for r in got], np.int64)
-    if len(set(of.tolist())) < 2:
-        return Model(np.zeros(BUCKETS), 0.0, constant=float(1 in of))
-    drawn_rows = np.bincount(of, minlength=2)
-    return fit([r[2] for r in got], of, np.array([rows[0] / drawn_rows[0], rows[1] / drawn_rows[1]]))
-
-
 def score(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score and predicted for every row of docs."""
     ready(spark)

@@ -98,17 +98,17 @@ def test_templates_equal_brute_force():
     for text, items in zip(texts, got, strict=True):
         words = [w for w in text.split() if decontamination.core(w)]
         found = set()
-        for _, size, item, _, own in windows:
+        for _, size, named, item, _, own in windows:
             for i in range(len(words) - size + 1):
-                if decontamination.mapping(decontamination.slots(own), decontamination.slots(words[i : i + size])) is not None:
+                if decontamination.mapping(decontamination.slots(own, named), decontamination.slots(words[i : i + size], named)) is not None:
                     found.add(item)
         assert set(items) <= found and (found <= set(items) or not items)
 
 
 def test_slots_must_be_consistent():
-    a = decontamination.slots("when 3 meets 3 in the old town 5 times".split())
-    same = decontamination.slots("when 8 meets 8 in the old town 9 times".split())
-    torn = decontamination.slots("when 8 meets 7 in the old town 9 times".split())
+    a = decontamination.slots("when 3 meets 3 in the old town 5 times".split(), True)
+    same = decontamination.slots("when 8 meets 8 in the old town 9 times".split(), True)
+    torn = decontamination.slots("when 8 meets 7 in the old town 9 times".split(), True)
     assert decontamination.mapping(a, same) == {(1, "3"): "8", (1, "5"): "9"} and decontamination.mapping(a, torn) is None
     assert decontamination.consistent([{(1, "3"): "8"}, {(1, "3"): "8"}]) and not decontamination.consistent([{(1, "3"): "8"}, {(1, "3"): "7"}])
 
