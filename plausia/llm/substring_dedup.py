@@ -12,8 +12,11 @@ operations and no word is handled on its own. Nothing rests on hashes alone: equ
 
 Hot groups: before anything is sent, a map task works out which windows of a block of texts already occurred in the same
 block, reports those at once, and cuts the stretches down to windows that are new in the block. So a passage that a third
-of all texts share reaches its bucket once for each block, and not once for each text. The number of buckets follows the
-bytes of the texts, so that a bucket is worked through in bounded memory.
+of all texts share reaches its bucket once for each block, and not once for each text. Windows that reach over such a
+passage's edge differ from text to text; so that they don't all follow a short run of the passage to one bucket, short runs
+that are frequent in the whole corpus come last in the order of minimisers. They are counted in a pass of its own; there
+are at most MAX_FREQUENT of them, which bounds what is sent to the tasks. The number of buckets follows the bytes of the
+texts, so that a bucket is worked through in bounded memory.
 
 Order: a window starts earlier if its doc_id is smaller, or the doc_id is the same and its place is. A null doc_id orders
 before all others. Rows with the same doc_id count as one document: the same place in each isn't earlier, and what
@@ -39,6 +42,9 @@ WINDOW = 20
 SHORT = 4
 #: Bytes of a block of texts, of what a bucket should hold, and of the strings hashed at a time.
 BLOCK_BYTES, BUCKET_BYTES, SLICE_BYTES = 4_000_000, 4_000_000, 1_000_000
+#: A short run is frequent from so many occurrences on, and there are at most so many frequent ones (8 bytes each): beyond it the
+#: limit rises with the corpus. Occurrences are counted from BLOCK_LEAST in a block on.
+FREQUENT, MAX_FREQUENT, BLOCK_LEAST = 20_000, 4_000_000, 4
 
 _BASE = 0x9E3779B97F4A7C15
 _BACK = pow(_BASE, -1, 1 << 64)
@@ -171,7 +177,15 @@ def _rows(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(b, pa.int64()), pa.array(n, pa.int32()), pa.array(d, pa.binary()), pa.array(p, pa.binary()), pa.array(s, pa.binary())], ["bucket", "n", "docs", "places", "packed"])
 
 
-def _send_block(ids: list[int], texts: list[bytes], buckets: int) -> pa.RecordBatch:
+def _ordered(short: np.ndarray, frequent: np.ndarray) -> np.ndarray:
+    """Hashes of short runs as they are ordered for minimisers: the frequent ones after all others."""
+    if not len(frequent):
+        return short
+    at = np.minimum(np.searchsorted(frequent, short), len(frequent) - 1)
+    return (short >> np.uint64(1)) | ((frequent[at] == short).astype(np.uint64) << np.uint64(63))
+
+
+def _send_block(ids: list[int], texts: list[bytes], buckets: int, frequent: np.ndarray) -> pa.RecordBatch:
     """What a block of texts sends: its new stretches by bucket, and spans already known to repeat."""
     order = np.argsort(np.array(ids, np.int64), kind="stable").tolist()
     joined = [b" ".join(texts[i].split()) for i in order]
@@ -195,7 +209,7 @@ def _send_block(ids: list[int], texts: list[bytes], buckets: int) -> pa.RecordBa
         d, a, z = _spans(doc[which], place[which])
         rows.append(_row(None, d, a, z.astype(np.int32).tobytes()))
     fresh = np.flatnonzero(~again)
-    least = _least(short, WINDOW - SHORT + 1)[at[fresh]]
+    least = _least(_ordered(short, frequent), WINDOW - SHORT + 1)[at[fresh]]
     cut = np.ones(len(fresh), bool)
     cut[1:] = (at[fresh[1:]] != at[fresh[:-1]] + 1) | (owner[fresh[1:]] != owner[fresh[:-1]]) | (least[1:] != least[:-1])
     begin = np.flatnonzero(cut)
@@ -213,25 +227,59 @@ def _send_block(ids: list[int], texts: list[bytes], buckets: int) -> pa.RecordBa
     return _rows(rows)
 
 
-def _send(block_bytes: int, buckets: int):
+def _blocks(batches: Iterator[pa.RecordBatch], block_bytes: int) -> Iterator[tuple[list[int], list[bytes]]]:
+    """Ids and texts of a task's rows, in blocks of so many bytes."""
+    ids, texts, size = [], [], 0
+    for b in batches:
+        for i, t in zip(b.column("doc_id").to_pylist(), b.column("text").cast(pa.binary()).to_pylist(), strict=True):
+            if t:
+                ids.append(i)
+                texts.append(t)
+                size += len(t)
+            if size >= block_bytes:
+                yield ids, texts
+                ids, texts, size = [], [], 0
+    if ids:
+        yield ids, texts
+
+
+def _send(block_bytes: int, buckets: int, frequent: np.ndarray):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn_to("substring")
+        for ids, texts in _blocks(batches, block_bytes):
+            yield _send_block(ids, texts, buckets, frequent)
+
+    return run
+
+
+def _short_counts(block_bytes: int, least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The short runs that occur often in a block of texts, with their number, and the block's words under hash 0."""
         turn_to("substring")
-        ids, texts, size = [], [], 0
-        for b in batches:
-            for i, t in zip(b.column("doc_id").to_pylist(), b.column("text").cast(pa.binary()).to_pylist(), strict=True):
-                if t:
-                    ids.append(i)
-                    texts.append(t)
-                    size += len(t)
-                if size >= block_bytes:
-                    yield _send_block(ids, texts, buckets)
-                    ids, texts, size = [], [], 0
-        if ids:
-            yield _send_block(ids, texts, buckets)
+        for _, texts in _blocks(batches, block_bytes):
+            joined = [j for j in (b" ".join(t.split()) for t in texts) if j]
+            if not joined:
+                continue
+            strings = _Strings(b"\n".join(joined) + b"\n", np.array([len(j) + 1 for j in joined]))
+            (short,) = strings.hashes(SHORT)
+            h, n = np.unique(short[strings.runs(SHORT)[1]], return_counts=True)
+            often = n >= least
+            h, n = np.append(h[often], np.uint64(0)), np.append(n[often], strings.words.sum())
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], ["hash", "n"])
 
     return run
 
 
+def frequent_runs(scratch: Scratch, rows: DataFrame, block_bytes: int, frequent: int, block_least: int) -> np.ndarray:
+    """The sorted hashes of the corpus's frequent short runs, at most MAX_FREQUENT."""
+    counts = rows.mapInArrow(_short_counts(block_bytes, block_least), "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n"))
+    counts = scratch.save(counts.filter((F.col("n") >= frequent) | (F.col("hash") == 0)), "frequent")
+    words = counts.filter("hash = 0").agg(F.sum("n")).first()[0] or 0
+    # each of the runs found occurs so often that no more than MAX_FREQUENT fit among all words
+    found = counts.filter((F.col("n") >= max(frequent, words // MAX_FREQUENT)) & (F.col("hash") != 0)).select("hash").toArrow()
+    return np.sort(found.column("hash").to_numpy().astype(np.int64).view(np.uint64))
+
+
 FOUND = "doc_id long, pos int, end int"
 
 
@@ -276,12 +324,12 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _count_bucket(rows)
 
 
-def repeated_spans(docs: DataFrame, block_bytes: int = BLOCK_BYTES, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+def repeated_spans(scratch: Scratch, docs: DataFrame, block_bytes: int = BLOCK_BYTES, bucket_bytes: int = BUCKET_BYTES, frequent: int = FREQUENT, block_least: int = BLOCK_LEAST) -> DataFrame:
     """doc_id (NULL_ID for null), pos and end: spans of words inside windows that start earlier as well. May overlap."""
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id"), F.col("text").cast("string"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(64, 3 * size // bucket_bytes)  # each word is sent about three times
-    sent = rows.mapInArrow(_send(block_bytes, buckets), SENT)
+    sent = rows.mapInArrow(_send(block_bytes, buckets, frequent_runs(scratch, rows, block_bytes, frequent, block_least)), SENT)
     # spans have no bucket: they are dealt out by their own content
     key = F.coalesce(F.col("bucket"), F.xxhash64("docs", "places"))
     tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), buckets // 8)
@@ -315,7 +363,7 @@ def with_spans(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """docs and the column __spans: what to remove from each row, null for nothing."""
     ready(spark)
     scratch = Scratch(spark, "substring")
-    spans = scratch.save(repeated_spans(docs), "spans")
+    spans = scratch.save(repeated_spans(scratch, docs), "spans")
     by_doc = scratch.save(spans.groupBy(F.col("doc_id").alias("__id")).agg(F.collect_list(F.struct("pos", "end")).alias("__spans")), "by-doc")
     scratch.drop("spans")
     keyed = docs.withColumn("__id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)))

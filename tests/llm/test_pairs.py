@@ -109,9 +109,9 @@ def brute_removals(rows):
     return set(out)
 
 
-@pytest.mark.parametrize("block, bucket", [(6_000_000, 6_000_000), (2_000, 500)])
-def test_removals_equal_brute_force(spark, monkeypatch, block, bucket):
-    """Also with blocks and buckets so small that repeats meet only in buckets."""
+@pytest.mark.parametrize("block, bucket, frequent, least", [(6_000_000, 6_000_000, 20_000, 4), (2_000, 500, 20_000, 4), (2_000, 500, 5, 1)])
+def test_removals_equal_brute_force(spark, monkeypatch, block, bucket, frequent, least):
+    """Also with blocks and buckets so small that repeats meet only in buckets, and with frequent short runs."""
     r = random.Random(4)
     passage = prose(900, 70)
     rows = []
@@ -120,7 +120,7 @@ def test_removals_equal_brute_force(spark, monkeypatch, block, bucket):
         rows.append((i, t[: len(t) // 2] + " " + passage + "\n" + t if i % 3 == 0 else t))
     rows.append((200, "same " * 300))
     spans = substring_dedup.repeated_spans
-    monkeypatch.setattr(substring_dedup, "repeated_spans", lambda d: spans(d, block, bucket))
+    monkeypatch.setattr(substring_dedup, "repeated_spans", lambda s, d: spans(s, d, block, bucket, frequent, least))
     got = substring_dedup.removals(spark, docs(spark, [(i, t, "en", "a") for i, t in rows])).collect()
     assert {tuple(x) for x in got} == brute_removals(rows)
 
