@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from plausia.operators import threads as t
+from plausia.operators.copies import ensure_checkpoint_dir
 from plausia.plans.views import COMMENTS, MENTIONS, REPLIES, comments, mentions, replies, table
 
 #: The day that rules about age count from.
@@ -115,6 +116,7 @@ def reply_agreement(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def thread_depth(spark: SparkSession, sf: str) -> DataFrame:
+    ensure_checkpoint_dir(spark)
     return t.depths(replies(spark, sf))
 
 
