@@ -16,7 +16,7 @@ features. The telling words are found on a bounded sample of labelled rows (SAMP
 rows fit the classifier, and all rows are mixed.
 
 Defined results: null and empty texts have no tokens and features of their own; without labels there is one domain, `all`,
-and every rate is the target total over the natural total; a domain without weight has the target 0; a null doc_id is
+and every rate is the budget; a domain with the weight 0 has the target 0, one that the targets don't name is left free; a null doc_id is
 never labelled; several labels of one doc_id count as their maximum; repeated rows have rates each.
 """
 
@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from plausia.llm.common import Scratch, table
 
-#: Shares of the tokens that each domain should have after mixing; scaled to a sum of 1 over the domains there are.
+#: Shares that the named domains should have of their tokens after mixing; scaled to a sum of 1 over those there are.
 TARGETS = {"q1_t0": 0.90, "q1_t1": 0.03, "q0_t0": 0.06, "q0_t1": 0.01}
 #: Expected tokens after mixing, as a share of the tokens before.
 BUDGET = 1.0
@@ -138,16 +138,19 @@ def rates(known: DataFrame, names: list[str], targets: dict[str, float] | None =
         return [float(x) for x in one.first()]
 
     natural = masses(F.lit(1.0))
-    total = sum(natural)
-    share = {d: targets.get(d, 0.0) for d in names} if any(targets.get(d, 0.0) > 0 for d in names) else dict.fromkeys(names, 1.0)
-    wanted = [budget * total * share[d] / sum(share.values()) for d in names]
+    held = [d in targets for d in names]
+    if not any(targets.get(d, 0.0) > 0 for d in names):  # none of the named domains is there
+        held, targets = [True] * k, dict(zip(names, natural, strict=True))
+    total = sum(m for m, h in zip(natural, held, strict=True) if h)
+    weight = sum(targets[d] for d, h in zip(names, held, strict=True) if h) or 1.0
+    wanted = [budget * total * targets[d] / weight if h else m for d, h, m in zip(names, held, natural, strict=True)]
     errors: list[list[float]] = []
     now = natural
     for _ in range(iterations):
-        e = [(s - t) / m if m > 0 else 0.0 for s, t, m in zip(now, wanted, natural, strict=True)]
-        if total <= 0 or max(abs(s - t) for s, t in zip(now, wanted, strict=True)) <= TOLERANCE * total:
+        gap = [s - t if h else 0.0 for s, t, h in zip(now, wanted, held, strict=True)]
+        if total <= 0 or max(map(abs, gap)) <= TOLERANCE * total:
             break
-        errors.append(e)
+        errors.append([g / m if m > 0 else 0.0 for g, m in zip(gap, natural, strict=True)])
         now = masses(_folded(errors, k))
     return _folded(errors, k), {d: (t, s) for d, t, s in zip(names, wanted, now, strict=True)}
 
