@@ -30,7 +30,7 @@ from plausia.llm.common import Scratch, cached_for, ready, table, turn_to
 
 WINDOW, LEAST_WORDS = 10, 5
 MAX_SENT = 2_000_000
-MAX_WORDS = 200_000
+MAX_WORDS = 300_000
 UNITS = frozenset(
     "% $ c cm day days dollars euro euros f ft g gb gram grams h hour hours hz inch inches k kb kg khz kilometers kilometres km kmh kw kwh l lb lbs "
     "liter liters litre litres m mb meter meters metre metres mg mhz mi mile miles min minute minutes ml mm month months mph ms oz percent pound "
@@ -39,9 +39,12 @@ UNITS = frozenset(
 NUMBERS = frozenset("zero one two three four five six seven eight nine ten eleven twelve twenty thirty forty fifty hundred thousand million".split())
 _NUMBER = re.compile(r"[+-]?[$£€]?\d[\d.,:/]*(?:st|nd|rd|th|%|[a-z]{1,3})?", re.I)
 _CORE = re.compile(r"[^\W_].*[^\W_]|[^\W_]|[$%]", re.S)
+#: Most words: Latin letters, at most the first one a capital, and marks after them.
+_COMMON = re.compile("([A-ZÀ-ÖØ-Þ]?[a-zß-öø-ÿ]+)([.,;:!?]*)")
 #: What a word is, in the low bits of its code; ENDS marks the end of a sentence.
 LITERAL, NUMBER, NAME, UNIT, NOTHING, KIND, ENDS = 0, 1, 2, 3, 4, 7, 8
 _FLAGS = np.uint64(15)
+_ENDING = frozenset(".!?:")
 _SLOTS = {NUMBER: np.uint64(0x1000), NAME: np.uint64(0x2000), UNIT: np.uint64(0x3000)}
 _RNG = np.random.default_rng(77)
 _PLACES = _RNG.integers(0, 2**63, WINDOW, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -67,7 +70,13 @@ class _Codes(dict):
     """A 60-bit hash of a word's core in lower case, and its kind, for a bounded number of words."""
 
     def __missing__(self, word: str) -> int:
-        c = (xxhash.xxh64_intdigest(core(word).lower(), seed=10) & ~15) | kind(word)
+        m = _COMMON.fullmatch(word)
+        if m:
+            low = m[1].lower()
+            k = NUMBER if low in NUMBERS else UNIT if low in UNITS else NAME if m[1] != low and len(low) > 1 else LITERAL
+            c = (xxhash.xxh64_intdigest(low, seed=10) & ~15) | k | (ENDS if m[2][-1:] in _ENDING else 0)
+        else:
+            c = (xxhash.xxh64_intdigest(core(word).lower(), seed=10) & ~15) | kind(word)
         if len(self) >= MAX_WORDS:
             self.clear()
         self[word] = c
@@ -82,28 +91,40 @@ def codes(words: list[str]) -> np.ndarray:
     return np.fromiter(map(_CODES.__getitem__, words), np.uint64, len(words))
 
 
-def template(code: np.ndarray, named: bool) -> tuple[np.ndarray, np.ndarray]:
-    """For words that are something: each one's hash as a window's first word, and its hash elsewhere. named: names are slots."""
+def template(code: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For words that are something: each one's hash as a window's first word, its hash elsewhere, and whether it is a name there."""
     literal = code & ~_FLAGS
     k = (code & np.uint64(KIND)).astype(np.uint8)
     ends = (code & np.uint64(ENDS)) != 0
     opens = np.concatenate([[True], ends[:-1]]) if len(k) else ends
     after_number = np.concatenate([[False], k[:-1] == NUMBER]) if len(k) else ends
-    k = np.where((k == NAME) & (opens | (not named)) | (k == UNIT) & ~after_number, LITERAL, k).astype(np.uint8)
+    name = (k == NAME) & ~opens
     inner = literal.copy()
-    for slot, h in _SLOTS.items():
-        inner[k == slot] = h
-    first = np.where(k == NUMBER, _SLOTS[NUMBER], literal)
-    return first, inner
+    inner[k == NUMBER] = _SLOTS[NUMBER]
+    inner[(k == UNIT) & after_number] = _SLOTS[UNIT]
+    inner[name] = _SLOTS[NAME]
+    return np.where(k == NUMBER, _SLOTS[NUMBER], literal), inner, name
 
 
-def window_hashes(first: np.ndarray, inner: np.ndarray, size: int, named: bool) -> np.ndarray:
-    n = len(first) - size + 1
+def windows_of(code: np.ndarray, size: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The first words and hashes of all windows; then of those that hold a name, with names as plain words."""
+    n = len(code) - size + 1
     if n <= 0:
-        return np.zeros(0, np.uint64)
-    x = first[:n] * _PLACES[0] + np.uint64(2 * size + named)
+        return
+    first, inner, name = template(code)
+    yield np.arange(n), _hashed(size, lambda k: first[:n] if k == 0 else inner[k : k + n])
+    at = np.flatnonzero(name)
+    if len(at):
+        starts = np.unique((at[:, None] - np.arange(1, size)).ravel())
+        starts = starts[(starts >= 0) & (starts < n)]
+        plain = np.where(name, code & ~_FLAGS, inner)
+        yield starts, _hashed(size, lambda k: first[starts] if k == 0 else plain[starts + k])
+
+
+def _hashed(size: int, word) -> np.ndarray:
+    x = word(0) * _PLACES[0] + np.uint64(size)
     for k in range(1, size):
-        x = (x ^ (x >> np.uint64(31))) * _PLACES[k] + inner[k : k + n]
+        x = (x ^ (x >> np.uint64(31))) * _PLACES[k] + word(k)
     return x ^ (x >> np.uint64(29))
 
 
@@ -131,6 +152,15 @@ def mapping(item: list[tuple[int, str]], text: list[tuple[int, str]]) -> dict[tu
     return out
 
 
+def confirmed(item: list[str], text: list[str]) -> dict[tuple[int, str], str] | None:
+    """mapping() of two windows' words, with names as slots or else as plain words."""
+    for named in (True, False):
+        m = mapping(slots(item, named), slots(text, named))
+        if m is not None:
+            return m
+    return None
+
+
 def consistent(maps: list[dict[tuple[int, str], str]]) -> bool:
     """Whether windows that lie alike agree on what stands against each value, or one of them is word for word."""
     every: dict[tuple[int, str], set[str]] = defaultdict(set)
@@ -146,20 +176,20 @@ def something(words: list[str], code: np.ndarray) -> tuple[list[str], np.ndarray
     return (words, code) if keep.all() else ([w for w, k in zip(words, keep.tolist(), strict=True) if k], code[keep])
 
 
-Window = tuple[int, int, bool, int, int, list[str]]
+Window = tuple[int, int, int, int, list[str]]
 
 
 def item_windows(item_id: int, text: str | None) -> list[Window]:
-    """(hash, size, named, item_id, place, words) of each window of an item that has enough words that aren't slots."""
+    """(hash, size, item_id, place, words) of each window of an item that has enough words that aren't slots."""
     words = (text or "").split()
     words, code = something(words, codes(words))
     size = min(WINDOW, len(words))
     out = []
-    for named in (True, False) if size >= LEAST_WORDS else ():
-        for i, h in enumerate(window_hashes(*template(code, named), size, named).tolist()):
+    for named, (starts, hashes) in zip((True, False), windows_of(code, size), strict=False) if size >= LEAST_WORDS else ():
+        for i, h in zip(starts.tolist(), hashes.tolist(), strict=True):
             own = words[i : i + size]
             if sum(k == LITERAL for k, _ in slots(own, named)) >= LEAST_WORDS:
-                out.append((h, size, named, item_id, i, own))
+                out.append((h, size, item_id, i, own))
     return out
 
 
@@ -167,10 +197,10 @@ class Matcher:
     """The benchmark's windows by hash."""
 
     def __init__(self, windows: list[Window]):
-        self.by_hash: dict[int, list[tuple[int, int, list[tuple[int, str]]]]] = defaultdict(list)
-        for h, _, named, item, place, words in windows:
-            self.by_hash[h].append((item, place, slots(words, named)))
-        self.forms = sorted({(w[1], w[2]) for w in windows}, reverse=True)
+        self.by_hash: dict[int, list[tuple[int, int, list[str]]]] = defaultdict(list)
+        for h, _, item, place, words in windows:
+            self.by_hash[h].append((item, place, words))
+        self.sizes = sorted({w[1] for w in windows}, reverse=True)
         self.sorted = np.sort(np.fromiter(self.by_hash, np.uint64, len(self.by_hash)))
         self.bits = np.zeros(1 << 22, bool)
         self.bits[(self.sorted >> np.uint64(42)).astype(np.int64)] = True
@@ -187,16 +217,17 @@ class Matcher:
         keep = np.flatnonzero((code & np.uint64(KIND)) != NOTHING)
         code, owner = code[keep], owner[keep]
         found: list[dict[tuple[int, int], dict]] = [defaultdict(dict) for _ in texts]
-        for size, named in self.forms:
-            h = window_hashes(*template(code, named), size, named)
-            near = np.flatnonzero(self.bits[(h >> np.uint64(42)).astype(np.int64)])
-            near = near[owner[near] == owner[near + size - 1]]
-            at = np.minimum(np.searchsorted(self.sorted, h[near]), max(0, len(self.sorted) - 1))
-            for i in near[self.sorted[at] == h[near]].tolist():
-                own = slots([words[j] for j in keep[i : i + size].tolist()], named)
-                for item, place, theirs in self.by_hash[int(h[i])]:
-                    if len(theirs) == size and (m := mapping(theirs, own)) is not None:
-                        found[owner[i]][item, i - place].setdefault(i, m)
+        for size in self.sizes:
+            for starts, h in windows_of(code, size):
+                near = np.flatnonzero(self.bits[(h >> np.uint64(42)).astype(np.int64)])
+                near = near[owner[starts[near]] == owner[starts[near] + size - 1]]
+                at = np.minimum(np.searchsorted(self.sorted, h[near]), max(0, len(self.sorted) - 1))
+                for j in near[self.sorted[at] == h[near]].tolist():
+                    i = int(starts[j])
+                    own = [words[x] for x in keep[i : i + size].tolist()]
+                    for item, place, theirs in self.by_hash[int(h[j])]:
+                        if len(theirs) == size and (m := confirmed(theirs, own)) is not None:
+                            found[owner[i]][item, i - place].setdefault(i, m)
         out = []
         for by in found:
             items: dict[int, int] = defaultdict(int)
@@ -220,17 +251,16 @@ def _in_place(windows):
     return run
 
 
-def _document_windows(forms: list[tuple[int, bool]]):
+def _document_windows(sizes: list[int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for row, text in zip(b.column("__row").to_pylist(), b.column("text").to_pylist(), strict=True):
                 words = (text or "").split()
                 words, code = something(words, codes(words))
-                for size, named in forms:
-                    h = window_hashes(*template(code, named), size, named)
-                    n = len(h)
-                    own = [" ".join(words[i : i + size]) for i in range(n)]
-                    yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array([row] * n, pa.int64()), pa.array(np.arange(n), pa.int64()), pa.array(own, pa.string())], ["hash", "__row", "place", "words"])
+                for size in sizes:
+                    for starts, h in windows_of(code, size):
+                        own = [" ".join(words[i : i + size]) for i in starts.tolist()]
+                        yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array([row] * len(h), pa.int64()), pa.array(starts), pa.array(own, pa.string())], ["hash", "__row", "place", "words"])
 
     return run
 
@@ -239,25 +269,25 @@ def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kind_ = pa.list_(pa.struct([("kind", pa.int32()), ("value", pa.string()), ("own", pa.string())]))
     for b in batches:
         maps = []
-        for a, z, named in zip(*(b.column(c).to_pylist() for c in ("item_words", "words", "named")), strict=True):
+        for a, z in zip(b.column("item_words").to_pylist(), b.column("words").to_pylist(), strict=True):
             a, z = a.split(" "), z.split(" ")
-            m = mapping(slots(a, named), slots(z, named)) if len(a) == len(z) else None
+            m = confirmed(a, z) if len(a) == len(z) else None
             maps.append(None if m is None else [{"kind": k, "value": v, "own": o} for (k, v), o in sorted(m.items())])
-        names = ["__row", "item_id", "lie", "place", "named"]
+        names = ["__row", "item_id", "lie", "place"]
         out = pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(maps, kind_)], [*names, "slots"])
         yield out.filter(pa.array([m is not None for m in maps], pa.bool_()))
 
 
-ITEM_ROWS = "hash long, size int, named boolean, item_id long, item_place long, item_words string"
+ITEM_ROWS = "hash long, size int, item_id long, item_place long, item_words string"
 
 
 def _item_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         rows = [w for i, t in zip(b.column("item_id").to_pylist(), b.column("text").to_pylist(), strict=True) for w in item_windows(i, t)]
-        h, size, named, item, place, words = zip(*rows, strict=True) if rows else ((),) * 6
+        h, size, item, place, words = zip(*rows, strict=True) if rows else ((),) * 5
         yield pa.RecordBatch.from_arrays(
-            [pa.array(np.array(h, np.uint64).view(np.int64)), pa.array(size, pa.int32()), pa.array(named, pa.bool_()), pa.array(item, pa.int64()), pa.array(place, pa.int64()), pa.array([" ".join(w) for w in words], pa.string())],
-            ["hash", "size", "named", "item_id", "item_place", "item_words"],
+            [pa.array(np.array(h, np.uint64).view(np.int64)), pa.array(size, pa.int32()), pa.array(item, pa.int64()), pa.array(place, pa.int64()), pa.array([" ".join(w) for w in words], pa.string())],
+            ["hash", "size", "item_id", "item_place", "item_words"],
         )
 
 
@@ -269,14 +299,14 @@ def matched(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, most_sen
     windows = scratch.save(items.mapInArrow(_item_rows, ITEM_ROWS), "windows")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + ", __item_ids array<long>, __n_windows long"
     if windows.count() <= most_sent:
-        sent = [(r["hash"] % 2**64, r["size"], r["named"], r["item_id"], r["item_place"], r["item_words"].split(" ")) for r in windows.collect()]  # at most most_sent rows
+        sent = [(r["hash"] % 2**64, r["size"], r["item_id"], r["item_place"], r["item_words"].split(" ")) for r in windows.collect()]  # at most most_sent rows
         return docs.mapInArrow(_in_place(sorted(sent)), schema)
     numbered = scratch.save(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
-    forms = [(r["size"], r["named"]) for r in windows.select("size", "named").distinct().collect()]  # at most 2 * WINDOW values
-    theirs = numbered.select("__row", F.col("text").cast("string").alias("text")).mapInArrow(_document_windows(forms), "hash long, __row long, place long, words string")
-    pairs = theirs.join(windows, "hash").select("__row", "item_id", (F.col("place") - F.col("item_place")).alias("lie"), "place", "named", "item_words", "words")
-    both = pairs.mapInArrow(_confirmed, "__row long, item_id long, lie long, place long, named boolean, slots array<struct<kind:int,value:string,own:string>>")
-    sure = scratch.save(both.groupBy("__row", "item_id", "lie", "place").agg(F.max_by("slots", "named").alias("slots")), "sure")
+    sizes = [r["size"] for r in windows.select("size").distinct().collect()]  # at most WINDOW values
+    theirs = numbered.select("__row", F.col("text").cast("string").alias("text")).mapInArrow(_document_windows(sizes), "hash long, __row long, place long, words string")
+    pairs = theirs.join(windows, "hash").select("__row", "item_id", (F.col("place") - F.col("item_place")).alias("lie"), "place", "item_words", "words")
+    both = pairs.mapInArrow(_confirmed, "__row long, item_id long, lie long, place long, slots array<struct<kind:int,value:string,own:string>>")
+    sure = scratch.save(both.groupBy("__row", "item_id", "lie", "place").agg(F.first("slots").alias("slots")), "sure")
     slot = sure.select("__row", "item_id", "lie", F.explode("slots").alias("s")).groupBy("__row", "item_id", "lie", "s.kind", "s.value").agg(F.count_distinct("s.own").alias("n"))
     torn = slot.filter("n > 1").select("__row", "item_id", "lie").distinct().withColumn("torn", F.lit(True))
     word_for_word = F.forall("slots", lambda s: s["value"] == s["own"])
