@@ -31,12 +31,9 @@ def windowed_counts(rows: DataFrame, minutes: int = 60, late: str = "2 hours") -
 
 def rate_limited(requests: DataFrame, limit: int, seconds: float) -> DataFrame:
     """requests: client, at, request_id. The seconds that each request must wait, 0 for accepted; only accepted ones count. A client's
-    state is its accepted times within the window, at most `limit` of them, and is dropped when the window has passed."""
+    state is its accepted times within the window: at most `limit` numbers, brought up to date by its next request."""
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
         times = list(state.get[0]) if state.exists else []
         rows = pd.concat(list(frames)).sort_values(["at", "request_id"], kind="stable")
         waits = []
@@ -49,10 +46,9 @@ def rate_limited(requests: DataFrame, limit: int, seconds: float) -> DataFrame:
             else:
                 waits.append(max(1, -int(-(seconds - (now - times[0])) // 1)))
         state.update((times,))
-        state.setTimeoutDuration(max(1, int(seconds * 1000)))
         yield pd.DataFrame({"request_id": rows["request_id"], "client": key[0], "wait": waits})
 
-    return requests.groupBy("client").applyInPandasWithState(run, "request_id long, client long, wait long", "times array<double>", "update", GroupStateTimeout.ProcessingTimeTimeout)
+    return requests.groupBy("client").applyInPandasWithState(run, "request_id long, client long, wait long", "times array<double>", "update", GroupStateTimeout.NoTimeout)
 
 
 def run_available(df: DataFrame, name: str, checkpoint: str, mode: str) -> DataFrame:
