@@ -1,8 +1,11 @@
 """Every registered query against its SQL, on the smallest driver tables."""
 
 import os
+from decimal import Decimal
 
 import duckdb
+import numpy as np
+import pandas as pd
 import pytest
 
 from plausia.plans.registry import ORACLES, QUERIES
@@ -21,16 +24,18 @@ def duck():
 
 
 def plain(v):
-    if v is None or isinstance(v, float) and v != v:
+    """A value as text, alike for either engine's types: frames hold integers with nulls as floats, and dates as timestamps."""
+    if v is None or not hasattr(v, "__len__") and pd.isna(v):
         return ""
-    return f"{v:.6f}" if isinstance(v, float) else str(v)
+    if isinstance(v, (bool, np.bool_)):
+        return str(bool(v))
+    if isinstance(v, (int, float, np.number, Decimal)):
+        return f"{float(v):.6f}"
+    return pd.Timestamp(v).isoformat() if hasattr(v, "isoformat") else str(v)
 
 
 def rows(frame):
-    import pandas as pd
-
-    frame = frame[sorted(frame.columns)].astype(object)
-    return sorted(tuple(plain(None if v is None or v is pd.NaT else float(v) if type(v).__name__ in ("Decimal", "float64") else v) for v in r) for r in frame.itertuples(index=False))
+    return sorted(tuple(map(plain, r)) for r in frame[sorted(frame.columns)].astype(object).itertuples(index=False))
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="needs the driver's tables")
