@@ -1,4 +1,4 @@
-"""Mixing sources to target weights: soft domain membership, and document rates by projected gradient.
+"""Mixing sources to target weights: soft domain membership, and document rates by projected gradient and Newton steps.
 
 Domains are the label classes of the labelled table (`q1_t0` is quality 1, toxic 0). A naive Bayes classifier over a few
 features of a text (bands of its statistics, and which of the most telling words it holds) gives each document a posterior
@@ -11,6 +11,14 @@ metric that weighs documents by tokens, a gradient step is r <- max(0, r - step
 domain, and a step of 1 is stable. So an iteration is one aggregation over the documents that returns one row, and the
 rate of a document is a fold of its posterior over the errors so far: no join, no shuffle of documents, no state.
 
+Where ITERATIONS steps don't bring every domain within TOLERANCE of its target, the rates that do and are nearest to those of
+the last step are sought (in the sum of tokens * difference ** 2). They are max(0, rate - posterior . price) for one price a
+domain, and the prices are the minimum of a convex function of as many variables as there are domains: a damped Newton step
+on it is again one aggregation that returns one row. Prices are held by the weights RIDGES, one after the other, so that the
+steps end also where no rates meet the targets, because every document has too much of some domain; then they end near the
+nearest that can be had. The column gap has, in every row, by how much the domain that is furthest off misses its target, as a
+share of the tokens of the domains with targets; beyond TOLERANCE, a warning says what each domain has and wants.
+
 All of it is DataFrame functions; what reaches the driver is bounded: a row a domain, at most WORDS words, counts of the
 features. The telling words are found on a bounded sample of labelled rows (SAMPLE, by a hash of doc_id); all labelled
 rows fit the classifier, and all rows are mixed.
@@ -23,7 +31,9 @@ never labelled; several labels of one doc_id count as their maximum; repeated ro
 from __future__ import annotations
 
 import math
+import warnings
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from plausia.llm.common import Scratch, table
@@ -35,7 +45,10 @@ BUDGET = 1.0
 #: SAMPLE: labelled rows that telling words are sought in, all their words. WORDS: telling words at most; a word must be in
 #: LEAST_TEXTS of those texts and have a chi-square of LEAST_SCORE, far above what the most telling of many random words has.
 SAMPLE, WORDS, LEAST_TEXTS, LEAST_SCORE = 4_000, 48, 8, 40.0
+#: ITERATIONS: gradient steps at most. TOLERANCE: what a domain may be off its target. RIDGES: weights of the squares of the
+#: prices, as shares of natural tokens. NEWTON: aggregations at most for each of them.
 ITERATIONS, TOLERANCE = 24, 1e-4
+RIDGES, NEWTON = (1e-6, 1e-8), 60
 SMOOTHING = 0.5
 BLANK = r"[\x20\x09-\x0D]"
 
@@ -128,8 +141,49 @@ def _folded(errors: list[list[float]], k: int) -> Column:
     return F.aggregate(history, F.lit(1.0), lambda r, e: F.greatest(F.lit(0.0), r - dot(e)))
 
 
-def rates(known: DataFrame, names: list[str], targets: dict[str, float] | None = None, budget: float = BUDGET, iterations: int = ITERATIONS) -> tuple[Column, dict[str, tuple[float, float]]]:
-    """The column of rates, and for each domain its target and the expected tokens that the rates give."""
+def _priced(known: DataFrame, start: Column, wanted: np.ndarray, natural: np.ndarray, held: np.ndarray, close: float) -> tuple[Column, list[float]]:
+    """The rates nearest to start that give the held domains the tokens wanted, within close, and the expected tokens of all."""
+    k, at = len(natural), np.flatnonzero(held)
+    pairs = [(i, j) for i in range(len(at)) for j in range(i, len(at))]
+
+    def priced(price: np.ndarray) -> Column:
+        return F.greatest(F.lit(0.0), start - sum((F.col("posterior")[int(d)] * float(x) for d, x in zip(at, price, strict=True)), F.lit(0.0)))
+
+    def measured(price: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        """Half the sum of tokens * rate ** 2, the expected tokens of each domain, and by how much those of held ones fall with a price."""
+        n, r, p = F.col("n"), F.col("rate"), [F.col("posterior")[i] for i in range(k)]
+        sums = [n * r * r / 2, *(n * r * x for x in p), *(F.when(r > 0, n * p[at[i]] * p[at[j]]).otherwise(0.0) for i, j in pairs)]
+        row = known.select(F.col("n_tokens").cast("double").alias("n"), "posterior", priced(price).alias("rate")).agg(*(F.coalesce(F.sum(x), F.lit(0.0)) for x in sums)).first()
+        falls = np.zeros((len(at), len(at)))
+        for (i, j), x in zip(pairs, row[k + 1 :], strict=True):
+            falls[i, j] = falls[j, i] = x
+        return float(row[0]), np.array(row[1 : k + 1], float), falls
+
+    goal, total = wanted[at], float(natural[at].sum())
+    price = np.zeros(len(at))
+    half, now, falls = measured(price)
+    for weight in RIDGES:
+        ridge = weight * np.maximum(natural[at], 1e-6 * total)
+        value = lambda half, x: half + goal @ x + ridge @ (x * x) / 2
+        passes = 0
+        while passes < NEWTON and np.abs(now[at] - goal).max() > close:
+            slope = goal - now[at] + ridge * price
+            step = -np.linalg.solve(falls + np.diag(ridge), slope)
+            gain, length = -float(slope @ step), 1.0
+            if gain <= 1e-12 * total:  # the best prices for this weight
+                break
+            while (passes := passes + 1) <= NEWTON:
+                trial = measured(price + length * step)
+                if value(trial[0], price + length * step) <= value(half, price) - 1e-4 * length * gain:
+                    price, (half, now, falls) = price + length * step, trial
+                    break
+                length /= 4
+    return priced(price), now.tolist()
+
+
+def rates(known: DataFrame, names: list[str], targets: dict[str, float] | None = None, budget: float = BUDGET, iterations: int = ITERATIONS) -> tuple[Column, dict[str, tuple[float, float]], float]:
+    """The column of rates; for each domain its target (or what it has, without one) and the expected tokens that the rates give;
+    and the largest difference of the two, as a share of the tokens of the domains with targets."""
     targets = TARGETS if targets is None else targets
     k = len(names)
 
@@ -146,18 +200,23 @@ def rates(known: DataFrame, names: list[str], targets: dict[str, float] | None =
     wanted = [budget * total * targets[d] / weight if h else m for d, h, m in zip(names, held, natural, strict=True)]
     errors: list[list[float]] = []
     now = natural
+    gaps = lambda: [s - t if h else 0.0 for s, t, h in zip(now, wanted, held, strict=True)]
+    met = lambda: total <= 0 or max(map(abs, gaps())) <= TOLERANCE * total
     for _ in range(iterations):
-        gap = [s - t if h else 0.0 for s, t, h in zip(now, wanted, held, strict=True)]
-        if total <= 0 or max(map(abs, gap)) <= TOLERANCE * total:
+        if met():
             break
-        errors.append([g / m if m > 0 else 0.0 for g, m in zip(gap, natural, strict=True)])
+        errors.append([g / m if m > 0 else 0.0 for g, m in zip(gaps(), natural, strict=True)])
         now = masses(_folded(errors, k))
-    return _folded(errors, k), {d: (t, s) for d, t, s in zip(names, wanted, now, strict=True)}
+    rate = _folded(errors, k)
+    if not met():
+        rate, now = _priced(known, rate, np.array(wanted), np.array(natural), np.array(held), TOLERANCE * total)
+    gap = max(map(abs, gaps())) / total if total > 0 else 0.0
+    return rate, {d: (t if h else s, s) for d, t, s, h in zip(names, wanted, now, held, strict=True)}, gap
 
 
 def mixed(spark: SparkSession, docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, budget: float = BUDGET, iterations: int = ITERATIONS) -> DataFrame:
-    """doc_id, n_tokens, domain (the likeliest), posterior, rate and copies for every row of docs. copies: the rate rounded up
-    or down by a hash of doc_id, so that copies match rates in the mean and a rerun gives the same."""
+    """doc_id, n_tokens, domain (the likeliest), posterior, rate, gap and copies for every row of docs. copies: the rate rounded
+    up or down by a hash of doc_id, so that copies match rates in the mean and a rerun gives the same."""
     scratch = Scratch(spark, "mixing")
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     domains = scratch.save(domain_of(labels), "domains")
@@ -165,9 +224,11 @@ def mixed(spark: SparkSession, docs: DataFrame, labels: DataFrame, targets: dict
     known = scratch.save(features(rows, words), "features")
     names, known = posteriors(known, domains)
     known = scratch.save(known.select("doc_id", "n_tokens", "posterior"), "posteriors")
-    rate, _ = rates(known, names, targets, budget, iterations)
+    rate, per, gap = rates(known, names, targets, budget, iterations)
+    if gap > TOLERANCE:
+        warnings.warn("mixing misses its targets: " + ", ".join(f"{d} wants {t:.6g} tokens and has {s:.6g}" for d, (t, s) in per.items()), stacklevel=2)
     domain = F.element_at(F.array(*map(F.lit, names)), F.array_position("posterior", F.array_max("posterior")).cast("int"))
-    out = known.select("doc_id", "n_tokens", domain.alias("domain"), "posterior", rate.alias("rate"))
+    out = known.select("doc_id", "n_tokens", domain.alias("domain"), "posterior", rate.alias("rate"), F.lit(gap).alias("gap"))
     part = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id"), F.lit(0))), F.lit(1_000_003)) / F.lit(1_000_003.0)
     return out.withColumn("copies", (F.floor("rate") + F.when(part < F.col("rate") - F.floor("rate"), 1).otherwise(0)).cast("long"))
 

@@ -150,6 +150,29 @@ def test_rates_equal_projected_gradient_in_numpy(spark):
     assert all(names[int(np.argmax(x.posterior))] == x.domain and abs(x.copies - x.rate) < 1 and x.rate >= 0 for x in rows)
 
 
+def test_rates_meet_targets_that_gradient_steps_do_not_reach(spark):
+    r = np.random.default_rng(5)
+    p = r.dirichlet([6, 2, 1], 400)
+    n = r.integers(1, 300, 400)
+    known = spark.createDataFrame([(i, int(n[i]), p[i].tolist()) for i in range(400)], "doc_id long, n_tokens long, posterior array<double>")
+    for targets in ({"a": 0.88, "b": 0.1, "c": 0.02}, {"a": 0.6, "c": 0.4}):  # b is free in the second
+        rate, per, gap = mixing.rates(known, ["a", "b", "c"], targets)
+        rows = known.select("doc_id", rate.alias("rate")).orderBy("doc_id").collect()
+        x = np.array([row.rate for row in rows])
+        have, held = p.T @ (n * x), [d in targets for d in "abc"]
+        total = (p.T @ n)[held].sum()
+        want = total * np.array([targets.get(d, 0) for d in "abc"])
+        off = np.abs(have - want)[held].max() / total
+        assert (x >= 0).all() and np.allclose([per[d][1] for d in "abc"], have) and np.isclose(gap, off, atol=1e-9)
+        assert off <= mixing.TOLERANCE
+
+
+def test_targets_out_of_reach_are_said(spark):
+    known = spark.createDataFrame([(1, 10, [0.8, 0.2]), (2, 30, [0.6, 0.4])], "doc_id long, n_tokens long, posterior array<double>")
+    _, per, gap = mixing.rates(known, ["a", "b"], {"a": 0.99, "b": 0.01})
+    assert gap > 0.05 and abs(per["a"][1] - per["a"][0]) <= gap * 40 + 1e-6
+
+
 def test_posteriors_know_the_domains(spark):
     d, l = mixing_tables(spark)
     truth = {r.doc_id: f"q{r.quality}_t{r.toxic}" for r in l.collect()}
