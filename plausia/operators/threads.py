@@ -156,8 +156,11 @@ def integrity_problems(comments: DataFrame) -> DataFrame:
 def choose_mix(posts: DataFrame, total: int, quotas: dict[str, int], per_community: int) -> DataFrame:
     """Down each request's ranking, a quota a kind and a cap a community, then filling up regardless of kind.
 
-    posts: request, place, post_id, kind, community. Sequential by nature; each request's ranking is one group.
+    posts: request, place, post_id, kind, community. Sequential by nature; each request's ranking is one group. A kind's posts in a
+    community are taken in the order of the ranking, so none but its best `total` can be; only they go into the group.
     """
+    within = F.row_number().over(Window.partitionBy("request", "kind", "community").orderBy("place"))
+    posts = posts.withColumn("within", within).filter(F.col("within") <= total).drop("within")
 
     def pick(rows):
         import pandas as pd

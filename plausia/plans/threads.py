@@ -201,7 +201,7 @@ def choose_mix(spark: SparkSession, sf: str) -> DataFrame:
     o = table(spark, sf, "orders").join(table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey"))
     place = F.row_number().over(Window.partitionBy("c_mktsegment").orderBy(F.desc("o_totalprice"), "o_orderkey"))
     posts = o.select(F.col("c_mktsegment").alias("request"), place.alias("place"), F.col("o_orderkey").alias("post_id"), F.col("o_orderstatus").alias("kind"), F.col("o_orderpriority").alias("community"))
-    return t.choose_mix(posts.filter("place <= 400"), 12, {"F": 6, "O": 2, "P": 4}, 3)
+    return t.choose_mix(posts, 12, {"F": 6, "O": 2, "P": 4}, 3)
 
 
 def apportionment(spark: SparkSession, sf: str) -> DataFrame:
