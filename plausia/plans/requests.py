@@ -31,22 +31,34 @@ def parsed(vocabulary: dict[str, str]):
     return parse_request
 
 
+#: Types that are sent to every task at most.
+MOST_NOUNS = 10_000
+
+
 def _requests(spark: SparkSession, sf: str) -> DataFrame:
     noun = F.split("p_name", " ")[1]
     typo = F.when(F.col("p_partkey") % 4 == 1, F.concat(F.substring(noun, 1, 3), F.expr("substring(split(p_name, ' ')[1], 5, 20)"))).otherwise(noun)
     ask = F.concat(F.lit("a sturdy "), typo, F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit(" under £"), F.col("p_size").cast("string"))).otherwise(""), F.when(F.col("p_partkey") % 5 == 0, ", 12 inch").otherwise(""))
-    return table(spark, sf, "part").filter("p_partkey < 2000").select("p_partkey", noun.alias("noun"), ask.alias("request"))
+    return table(spark, sf, "part").select("p_partkey", noun.alias("noun"), ask.alias("request"))
+
+
+def _nouns(spark: SparkSession, sf: str) -> list[str]:
+    """The vocabulary of types, whole; more than MOST_NOUNS are an error, never cut."""
+    nouns = [r[0] for r in table(spark, sf, "part").select(F.split("p_name", " ")[1].alias("w")).filter("w is not null").distinct().limit(MOST_NOUNS + 1).collect()]
+    if len(nouns) > MOST_NOUNS:
+        raise ValueError(f"more than {MOST_NOUNS} types, too many to send to every task")
+    return nouns
 
 
 def parsed_requests(spark: SparkSession, sf: str) -> DataFrame:
-    nouns = [r[0] for r in table(spark, sf, "part").select(F.split("p_name", " ")[1]).distinct().limit(10_000).collect()]  # a vocabulary, bounded
+    nouns = _nouns(spark, sf)
     rows = _requests(spark, sf).withColumn("p", parsed({w: w for w in sorted(nouns)})("request"))
     return rows.select("p_partkey", "request", "p.status", "p.product_type", "p.max", "p.currency", "p.size")
 
 
 def query_case_accuracy(spark: SparkSession, sf: str) -> DataFrame:
     """How often the type that a request was made with is the type it is read as."""
-    nouns = [r[0] for r in table(spark, sf, "part").select(F.split("p_name", " ")[1]).distinct().limit(10_000).collect()]
+    nouns = _nouns(spark, sf)
     rows = _requests(spark, sf).withColumn("p", parsed({w: w for w in sorted(nouns)})("request"))
     return rows.agg(F.count(F.lit(1)).alias("cases"), F.count_if(F.col("p.product_type") == F.col("noun")).alias("right"))
 

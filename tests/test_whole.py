@@ -1,5 +1,8 @@
 """Queries over tables with ids, kinds and places beyond those of the smallest driver tables: every row counts."""
 
+import pytest
+
+from plausia.plans import requests
 from plausia.plans.registry import QUERIES
 
 
@@ -18,3 +21,13 @@ def test_quotas_and_budgets_reach_every_post(spark, tmp_path):
     mix = QUERIES["choose_mix"](spark, sf).collect()
     assert [r.post_id for r in sorted(mix, key=lambda r: r.shown)] == [0, 1, 2, 3, 4, 5, 500, 501, 502, 503, 6, 7]
     assert {r.request for r in QUERIES["within_calls"](spark, sf).collect()} == {str(i) for i in range(510)}
+
+
+def test_requests_of_every_part_are_read(spark, tmp_path, monkeypatch):
+    parts = [(i, f"red {('kettle', 'grinder', 'skillet')[i % 3]}", 5) for i in range(1990, 2020)]
+    sf = saved(spark, tmp_path, part=(parts, "p_partkey long, p_name string, p_size int"))
+    assert {r.p_partkey for r in QUERIES["parsed_requests"](spark, sf).collect()} == set(range(1990, 2020))
+    assert QUERIES["query_case_accuracy"](spark, sf).first().cases == 30
+    monkeypatch.setattr(requests, "MOST_NOUNS", 2)
+    with pytest.raises(ValueError, match="too many"):
+        QUERIES["parsed_requests"](spark, sf)
