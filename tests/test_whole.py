@@ -31,3 +31,9 @@ def test_requests_of_every_part_are_read(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(requests, "MOST_NOUNS", 2)
     with pytest.raises(ValueError, match="too many"):
         QUERIES["parsed_requests"](spark, sf)
+
+
+def test_lines_of_every_order_are_matched(spark, tmp_path):
+    lines = [(k, n, 5 * k + n, 5 * k + n) for k in range(1995, 2006) for n in (1, 2)]
+    sf = saved(spark, tmp_path, lineitem=(lines, "l_orderkey long, l_linenumber int, l_suppkey long, l_partkey long"))
+    assert {r.grp for r in QUERIES["max_matching"](spark, sf).select("grp").collect()} == set(range(1995, 2006))
