@@ -5,14 +5,18 @@ into runs that are encoded on their own; a run is parted again by the tokenizer'
 encoding of a prefix is found from those of shorter prefixes: a token may follow the last token of the prefix before
 it if, and only if, merging the two tokens' bytes afresh gives the same two tokens; exactly one token that ends at a
 place passes. So one pass over a piece yields the last token, and the token count, at each of its prefixes, with and
-without the word end. Counts are kept as differences from one code point to the next; their running sum is the count
-of the text cut there, which answers truncation and budget questions without encoding again.
+without the word end. These entries stand in one table for the prefixes of all words, so a word costs what its longest
+known prefix leaves, and the count of a whole run is the entry of its last prefix: the query reads its counts there.
+Counts are kept as differences from one code point to the next; their running sum is the count of the text cut there,
+which answers truncation and budget questions without encoding again.
 
-What the pattern does to a run is found once and cached; runs that normalisation could change beyond their own
-characters, or that hold a special token's string, are encoded prefix by prefix with the library itself.
+Where a text holds marks or letters that combine, normalisation changes at most what stands since the last code point that
+begins afresh. There the library's own normaliser is asked for that stretch only, and the piece before it grows on, so that the
+cost of a run is in proportion to its length (and to the square only of the marks that stack on one letter). Strings of special tokens
+part a run before all else; until the last character of one is there, it is text like any other.
 
 Defined results: a null text counts as empty; empty texts have 0 tokens; repeated rows are counted each; a null doc_id
-stays null.
+stays null. Other columns of the input, whatever their names, are neither read nor returned.
 """
 
 from __future__ import annotations
@@ -29,8 +33,10 @@ from plausia.llm.common import cached_for, ready, table, turn_to
 
 VOCABULARY = "word_bpe_49k.json"
 LIMIT = 2048
-#: Entries of the caches of runs and of token pairs; a cache that is full is emptied.
-MAX_RUNS, MAX_PAIRS = 600_000, 300_000
+#: Entries of the caches of runs, of token pairs and of prefixes; a cache that is full is emptied.
+MAX_RUNS, MAX_PAIRS, MAX_PREFIXES = 500_000, 300_000, 500_000
+#: Longer prefixes aren't kept, so that long pieces cost memory in proportion to their length.
+LONGEST_KEPT = 24
 #: Unicode's White_Space, which both the library's normaliser and its pattern split at.
 _SPACE = re.compile("[\t-\r \x85\xa0  -     　]+")
 _PLAIN = re.compile(r"[\x00-\x7f]*")
@@ -40,6 +46,78 @@ _ODD_SPACE = "\x1c\x1d\x1e\x1f"
 _LETTERS_MARKS = re.compile("([a-z\xdf-\xf6\xf8-\xff]*)([.,;:!?()\"#*$%&|<>-]*)")
 
 
+def _inert(c: str) -> bool:
+    """Whether normalisation neither changes a code point nor joins it with others."""
+    return not (unicodedata.category(c)[0] == "M" or "\u1100" <= c <= "\u11ff" or unicodedata.normalize("NFC", c) != c)
+
+
+_JOINING: set[str] = set()
+
+
+def _joins(c: str) -> bool:
+    """Whether a code point may change with what stands before it: marks that are reordered, and second halves of compositions."""
+    if c < "\u0300":
+        return False
+    if not _JOINING:
+        for i in range(0x110000):
+            parts = unicodedata.decomposition(chr(i)).split()
+            if len(parts) == 2 and parts[0][0] != "<":
+                _JOINING.add(chr(int(parts[1], 16)))
+        _JOINING.update(map(chr, range(0x1161, 0x1176)), map(chr, range(0x11A8, 0x11C3)))
+    return c in _JOINING or unicodedata.combining(c) > 0
+
+
+class _Grown:
+    """A run that grows by normalised stretches: the tokens of its finished pieces, and what its last piece ends with."""
+
+    def __init__(self, counter: PrefixCounter):
+        self.counter = counter
+        self.before, self.closed = 0, 0  # tokens before the last piece, and of it
+        self.kind = None  # the pattern of what makes the last piece longer
+        self.tail: tuple[str, list[str], list[int]] = ("", [""], [0])  # its last letters, with the table's entries there
+        self.held: tuple[str, int] | None = None  # an apostrophe that begins a piece and what follows it, while that may become one piece
+
+    def _longer(self, tail: tuple[str, list[str], list[int]], lead: str) -> tuple[int, tuple[str, list[str], list[int]]]:
+        c = self.counter
+        more, closed = c._letters(lead), 0
+        letters, last, count = tail[0] + more, [*tail[1]], [*tail[2]]
+        for k in range(len(tail[0]) + 1, len(letters) + 1):
+            token, n, closed = c._entry(letters, k, last, count)
+            last.append(token)
+            count.append(n)
+        cut = max(0, len(letters) - 2 * c.longest)
+        return closed, (letters[cut:], last[cut:], count[cut:])
+
+    def count(self, stretch: str, keep: bool) -> int:
+        """Tokens of the run with this stretch after it; the run keeps it, or not."""
+        c, lead = self.counter, ""
+        if self.held:
+            text, before = self.held[0] + stretch, self.held[1]
+        else:
+            m = self.kind.match(stretch) if self.kind else None
+            lead = m[0] if m else ""
+            text, before = stretch[len(lead) :], self.before
+            closed, tail = self._longer(self.tail, lead) if lead else (self.closed, self.tail)
+            before += closed
+        pieces = c.pattern.findall(text)
+        counts = [c.closing(c._letters(x)) for x in pieces]
+        total = before + sum(counts)
+        if keep and pieces:
+            self.before, self.closed = total - counts[-1], counts[-1]
+            final = pieces[-1]
+            suffix = final[0] == "'" and c.letter_run.match(final[1:])
+            self.kind = None if suffix else next((k for k in (c.letter_run, c.mark_run) if k.match(final)), None)
+            self.tail = self._longer(("", [""], [0]), final)[1] if self.kind else ("", [""], [0])
+            self.held = None
+            for i, x in enumerate(pieces):
+                if x[0] == "'" and len(rest := "".join(pieces[i:])) <= 2:
+                    self.held = rest, before + sum(counts[:i])
+                    break
+        elif keep and lead:
+            self.closed, self.tail = closed, tail
+        return total
+
+
 class _Totals(dict):
     """Token counts of whole runs, found when first asked for."""
 
@@ -67,6 +145,7 @@ class PrefixCounter:
     def __init__(self, path: str):
         import json
 
+        import regex
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
@@ -76,13 +155,16 @@ class PrefixCounter:
         self.end = model["end_of_word_suffix"] or ""
         merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
         self.ranks = {m: i for i, m in enumerate(merges)}
-        self.special = tuple(t["content"] for t in kept["added_tokens"])
+        self.special = re.compile("|".join(re.escape(t["content"]) for t in sorted(kept["added_tokens"], key=lambda t: -len(t["content"]))) or "(?!)")
         vocab = model["vocab"]
         # only tokens that merging really yields can be last
         self.open = {t for t in vocab if not t.endswith(self.end) and self._merged(list(t)) == [t]}
         self.closed = {t[: -len(self.end)] for t in vocab if t.endswith(self.end) and self._merged([*t[: -len(self.end)][:-1], t[: -len(self.end)][-1:] + self.end]) == [t]}
         self.longest = max(map(len, self.open | self.closed))
+        self.kinds = {t: (t in self.open) + 2 * (t in self.closed) for t in self.open | self.closed}
+        self.table: dict[str, tuple[str, int, int]] = {}
         self.pattern = self._pattern(kept["pre_tokenizer"])
+        self.letter_run, self.mark_run = regex.compile(r"\p{L}+"), regex.compile(r"[^\s\p{L}\p{N}]+")
         self.bytes = self._byte_letters()
         self.pairs: dict[tuple[str, str], bool] = {}
         self.runs: dict[str, np.ndarray] = {}
@@ -125,39 +207,80 @@ class PrefixCounter:
             self.pairs[key] = known
         return known
 
+    def _entry(self, letters: str, k: int, last: list[str], count: list[int]) -> tuple[str, int, int]:
+        """The table's entry for letters[:k], from those of shorter prefixes: last token and count while the word goes on, and the
+        count if it ends there."""
+        kinds, pairs, end = self.kinds, self.pairs, self.end
+        token, n, closed = "", 0, 0
+        for i in range(k - self.longest if k > self.longest else 0, k):  # the longest token first
+            t = letters[i:k]
+            what = kinds.get(t)
+            if what is None:
+                continue
+            prior = last[i]  # empty where the piece begins
+            if what & 1 and not n:
+                known = pairs.get((prior, t)) if prior else True
+                if known or known is None and self._may_follow(prior, t, False):
+                    token, n = t, count[i] + 1
+            if what & 2 and not closed:
+                known = pairs.get((prior, t + end)) if prior else True
+                if known or known is None and self._may_follow(prior, t, True):
+                    closed = count[i] + 1
+            if n and closed:
+                break
+        return token, n, closed
+
     def piece(self, letters: str) -> list[int]:
         """For each length k from 1 on, the tokens of letters[:k] as a word of its own. letters: a letter for each byte."""
-        n = len(letters)
-        last, count, out = [""] * (n + 1), [0] * (n + 1), [0] * n
-        for k in range(1, n + 1):
-            opened = closed = False
-            for i in range(max(0, k - self.longest), k):  # the longest token first
-                t = letters[i:k]
-                if not opened and t in self.open and (i == 0 or self._may_follow(last[i], t, False)):
-                    last[k], count[k], opened = t, count[i] + 1, True
-                if not closed and t in self.closed and (i == 0 or self._may_follow(last[i], t, True)):
-                    out[k - 1], closed = count[i] + 1, True
-                if opened and closed:
-                    break
+        table = self.table
+        last, count, out = [""], [0], []
+        for k in range(1, len(letters) + 1):
+            if k > LONGEST_KEPT:
+                entry = self._entry(letters, k, last, count)
+            else:
+                entry = table.get(letters[:k])
+                if entry is None:
+                    if len(table) >= MAX_PREFIXES:
+                        table.clear()
+                    entry = table[letters[:k]] = self._entry(letters, k, last, count)
+            last.append(entry[0])
+            count.append(entry[1])
+            out.append(entry[2])
         return out
 
+    def closing(self, letters: str) -> int:
+        """Tokens of letters as a word of its own: the table's entry for its last prefix."""
+        entry = self.table.get(letters)
+        return entry[2] if entry else self.piece(letters)[-1]
+
     def _counts(self, run: str) -> np.ndarray:
         """The token count at each code point of a run without white space."""
+        out = np.zeros(len(run), np.int64)
+        at = done = 0
+        for m in self.special.finditer(run):
+            out[at : m.end() - 1] = done + self._plain(run[at : m.end() - 1])
+            done = int(out[m.start() - 1]) + 1 if m.start() > at else done + 1
+            out[m.end() - 1] = done
+            at = m.end()
+        out[at:] = done + self._plain(run[at:])
+        return out
+
+    def _plain(self, run: str) -> np.ndarray:
+        """The token count at each code point of a run that holds no special token's string."""
         n = len(run)
         lower = run.lower() if _PLAIN.fullmatch(run) else "".join(map(str.lower, run))
-        inert = len(lower) == n and unicodedata.is_normalized("NFC", run) and not any(unicodedata.category(c)[0] == "M" or "ᄀ" <= c <= "ᇿ" for c in run if c > "\x7f")
-        if not inert or any(s in run for s in self.special):
-            return self._by_library(run)
+        if len(lower) != n or not all(c <= "\x7f" or _inert(c) for c in run):
+            return self._by_stretches(run)
         out = np.zeros(n, np.int64)
         before = 0  # tokens of the pieces that end before this one
         for m in self.pattern.finditer(lower):
             a, z = m.span()
             if z - a == 1:
-                out[a] = before + self.piece(self._letters(lower[a]))[-1]
-            elif lower[a] == "'":
+                out[a] = before + self.closing(self._letters(lower[a]))
+            elif lower[a] == "'" and z - a <= 3:
                 # an apostrophe's suffix, or marks that begin with one: its prefixes may be parted in other ways
                 for k in range(a, z):
-                    out[k] = before + sum(self.piece(self._letters(x))[-1] for x in self.pattern.findall(lower[a : k + 1]))
+                    out[k] = before + sum(self.closing(self._letters(x)) for x in self.pattern.findall(lower[a : k + 1]))
             else:
                 letters = self._letters(lower[a:z])
                 ends = np.cumsum([len(c.encode()) for c in lower[a:z]]) if len(letters) > z - a else np.arange(1, z - a + 1)
@@ -165,14 +288,20 @@ class PrefixCounter:
             before = int(out[z - 1])
         return out
 
+    def _by_stretches(self, run: str) -> np.ndarray:
+        """The same for runs that normalisation may change: stretches from one code point that begins afresh to the next."""
+        out = np.zeros(len(run), np.int64)
+        normal = self.library.normalizer.normalize_str
+        state = _Grown(self)
+        starts = [i for i, c in enumerate(run) if i == 0 or not _joins(c)]
+        for a, z in zip(starts, [*starts[1:], len(run)], strict=True):
+            for k in range(a + 1, z + 1):
+                out[k - 1] = state.count(normal(run[a:k]), k == z)
+        return out
+
     def _letters(self, s: str) -> str:
         return "".join([self.bytes[b] for b in s.encode()])
 
-    def _by_library(self, run: str) -> np.ndarray:
-        cut = [run[: k + 1] for k in range(len(run))]
-        out = [len(e.ids) for at in range(0, len(cut), 256) for e in self.library.encode_batch(cut[at : at + 256], add_special_tokens=False)]
-        return np.array(out, np.int64)
-
     def run(self, run: str) -> np.ndarray:
         known = self.runs.get(run)
         if known is None:
@@ -184,45 +313,24 @@ class PrefixCounter:
             self.runs[run] = known
         return known
 
-    def closing(self, letters: str) -> int:
-        """Tokens of letters as a word of its own: the count at its last prefix alone, over the open prefixes before it."""
-        n, longest, opened, pairs, end = len(letters), self.longest, self.open, self.pairs, self.end
-        last, count = [""] * n, [0] * n
-        for k in range(1, n):
-            for i in range(k - longest if k > longest else 0, k):
-                t = letters[i:k]
-                if t in opened:
-                    if i:
-                        known = pairs.get((last[i], t))
-                        if known is None:
-                            known = self._may_follow(last[i], t, False)
-                        if not known:
-                            continue
-                    last[k], count[k] = t, count[i] + 1
-                    break
-        for i in range(n - longest if n > longest else 0, n):
-            t = letters[i:]
-            if t in self.closed:
-                if i:
-                    known = pairs.get((last[i], t + end))
-                    if known is None:
-                        known = self._may_follow(last[i], t, True)
-                    if not known:
-                        continue
-                return count[i] + 1
-        return 0
-
     def whole(self, run: str) -> int:
-        """Tokens of a whole run without white space."""
+        """Tokens of a whole run without white space: the entry of its last prefix."""
         lower = run.lower()
         m = _LETTERS_MARKS.fullmatch(lower)
-        if not m or len(lower) != len(run):
-            return int(self.run(run)[-1])
-        letters, marks = m.groups()
-        return (self.closing(letters if letters.isascii() else self._letters(letters)) if letters else 0) + (self.closing(marks) if marks else 0)
+        if m and len(lower) == len(run):
+            letters, marks = m.groups()
+            return (self.closing(letters if letters.isascii() else self._letters(letters)) if letters else 0) + (self.closing(marks) if marks else 0)
+        if len(run) <= 64:
+            return int(self._counts(run)[-1])
+        total = at = 0
+        for m in [*self.special.finditer(run), None]:
+            pieces = self.pattern.findall(self.library.normalizer.normalize_str(run[at : m.start() if m else len(run)]))
+            total += sum(self.closing(self._letters(x)) for x in pieces) + (m is not None)
+            at = m.end() if m else at
+        return total
 
     def total(self, text: str) -> int:
-        """Tokens of the whole text: the last entry of each run's table."""
+        """Tokens of the whole text: the sum of the last entries of its runs."""
         runs = [r for r in _SPACE.split(text) if r] if any(c in text for c in _ODD_SPACE) else text.split()
         return sum(map(self.totals.__getitem__, runs))
 
