@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import ctypes
 import gc
 import os
@@ -65,27 +67,72 @@ def turn_to(owner: str) -> None:
         trim(0)
 
 
+def unused(columns: list[str], *names: str) -> list[str]:
+    """A column name for each of names, none of them among columns (nor alike but for case)."""
+    taken = {c.lower() for c in columns}
+    mark = "__"
+    while any((mark + n).lower() in taken for n in names):
+        mark += "_"
+    return [mark + n for n in names]
+
+
+_MADE: list[Scratch] = []
+
+
 class Scratch:
     """Tables written to the shared folder in spark.checkpoint.dir, read again as new plans.
 
-    A lost executor then costs only the tasks since the last table. The folder is read from the session; where the
-    session names none (tests on one machine), a folder of the warehouse is used.
+    A lost executor then costs only the tasks since the last table. The folder is read from the session; only a session that
+    runs on one machine may name none: then a folder of its warehouse is used.
     """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         base = spark.conf.get("spark.checkpoint.dir", None)
         if not base:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
         self.path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        _MADE.append(self)
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         at = f"{self.path}/{name}"
         df.write.mode("overwrite").parquet(at)
         return self.spark.read.schema(df.schema).parquet(at)
 
-    def drop(self, name: str) -> None:
-        """Deletes a table that no later plan reads."""
+    def drop(self, *names: str) -> None:
+        """Deletes tables that no later plan reads."""
+        for name in names:
+            self._delete(f"{self.path}/{name}")
+
+    def remove(self) -> None:
+        """Deletes all tables, once nothing reads them."""
+        self._delete(self.path)
+
+    def _delete(self, at: str) -> None:
         jvm, sc = self.spark._jvm, self.spark.sparkContext
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        path = jvm.org.apache.hadoop.fs.Path(at)
         path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def made() -> int:
+    """How many Scratch there are: what a caller notes before it calls an operator, to sweep what the operator left."""
+    return len(_MADE)
+
+
+def sweep(since: int = 0) -> None:
+    """Deletes the tables of every Scratch made since then; their operators' results must have been written by now."""
+    for scratch in _MADE[since:]:
+        scratch.remove()
+    del _MADE[since:]
+
+
+def _at_exit() -> None:
+    """What is left when the driver ends is deleted, if the session still answers."""
+    with contextlib.suppress(Exception):
+        if SparkSession.getActiveSession() is not None:
+            sweep()
+
+
+atexit.register(_at_exit)

@@ -15,14 +15,19 @@ block, reports those at once, and cuts the stretches down to windows that are ne
 of all texts share reaches its bucket once for each block, and not once for each text. Windows that reach over such a
 passage's edge differ from text to text; so that they don't all follow a short run of the passage to one bucket, short runs
 that are frequent in the whole corpus come last in the order of minimisers. They are counted in a pass of its own; there
-are at most MAX_FREQUENT of them, which bounds what is sent to the tasks. The number of buckets follows the bytes of the
-texts, so that a bucket is worked through in bounded memory.
-
-Order: a window starts earlier if its doc_id is smaller, or the doc_id is the same and its place is. A null doc_id orders
-before all others. Rows with the same doc_id count as one document: the same place in each isn't earlier, and what
-is removed from one is removed from each.
-
-Defined results: null and empty texts have no words, nothing is removed, and the digest is that of the empty string.
+are at most MAX_FREQUENT of them, which bounds what is sent to the tasks. Where a window has frequent runs only, its bucket is
+dealt over SALTS parts by the block's ids; each part is cut down to its own new windows, and only these meet in
+a second round. Other buckets are worked through in one round. In either, a bucket that holds many rows is folded as its
+rows come in: what is held is its distinct windows and one share of rows, not all rows. The number of buckets follows the bytes of the
+texts; a task works through many buckets, one after the other, and there are at most MOST_TASKS tasks.
+
+Order: a document is told by its doc_id and a 64-bit hash of its text. A window starts earlier if its doc_id is smaller (null is
+the smallest), or the doc_id is the same and the hash of the text is, or both are the same and its place is smaller. So rows with
+one doc_id, or without one, are documents of their own as far as their texts differ; rows that are alike in both lose the
+same words, and neither is earlier than the other.
+
+Defined results: null and empty texts have no words, nothing is removed, and the digest is that of the empty string. Columns of the
+input may have any name.
 """
 
 from __future__ import annotations
@@ -33,9 +38,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from plausia.llm.common import NULL_ID, Scratch, ready, table, turn_to
+from plausia.llm.common import NULL_ID, Scratch, ready, table, turn_to, unused
 
 WINDOW = 20
 #: Words of a minimiser.
@@ -45,6 +50,9 @@ BLOCK_BYTES, BUCKET_BYTES, SLICE_BYTES = 4_000_000, 4_000_000, 1_000_000
 #: A short run is frequent from so many occurrences on, and there are at most so many frequent ones (8 bytes each): beyond it the
 #: limit rises with the corpus. Occurrences are counted from BLOCK_LEAST in a block on.
 FREQUENT, MAX_FREQUENT, BLOCK_LEAST = 20_000, 4_000_000, 4
+#: Parts of a bucket of frequent runs. Bytes of strings that are sent to a task, as aimed at, and tasks at most. Bytes of a bucket's
+#: strings that are gathered before they are folded.
+SALTS, TASK_BYTES, MOST_TASKS, FOLD_BYTES = 64, 64_000_000, 50_000, 24_000_000
 
 _BASE = 0x9E3779B97F4A7C15
 _BACK = pow(_BASE, -1, 1 << 64)
@@ -152,8 +160,12 @@ def _earliest(strings: _Strings, at: np.ndarray, hashes: np.ndarray) -> np.ndarr
     return out
 
 
+#: A document: its doc_id, and the hash of its text.
+DOC = np.dtype([("id", np.int64), ("mark", np.int64)])
+
+
 def _spans(doc: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Maximal spans (doc_id, first word, end) of windows given in order of doc and pos."""
+    """Maximal spans (document, first word, end) of windows given in order of doc and pos."""
     if not len(doc):
         return doc, pos, pos
     cut = np.ones(len(doc), bool)
@@ -163,18 +175,30 @@ def _spans(doc: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return doc[start], pos[start], pos[end] + WINDOW
 
 
-#: A row is one bucket's share of a block: ids and places of its stretches and their strings, compressed; or, with no
-#: bucket, spans that are known to repeat.
-SENT = "bucket long, n int, docs binary, places binary, packed binary"
+#: A row is one bucket's share of a block: documents and places of its stretches and their strings, compressed; salt is a part
+#: of a bucket of frequent runs, else null. Or, with no bucket, spans that are known to repeat.
+SENT = "bucket long, salt int, docs binary, places binary, packed binary"
+_SENT = pa.schema([("bucket", pa.int64()), ("salt", pa.int32()), ("docs", pa.binary()), ("places", pa.binary()), ("packed", pa.binary())])
+Row = tuple[int | None, int | None, bytes, bytes, bytes]
+
 
+def _row(bucket: int | None, salt: int | None, docs: np.ndarray, places: np.ndarray, packed: bytes) -> Row:
+    return bucket, salt, docs.tobytes(), places.astype(np.int32).tobytes(), packed
 
-def _row(bucket: int | None, docs: np.ndarray, places: np.ndarray, packed: bytes) -> tuple:
-    return bucket, len(docs), docs.astype(np.int64).tobytes(), places.astype(np.int32).tobytes(), packed
 
+def _span_row(docs: np.ndarray, pos: np.ndarray, end: np.ndarray) -> Row:
+    return _row(None, None, docs, pos, end.astype(np.int32).tobytes())
 
-def _rows(rows: list[tuple]) -> pa.RecordBatch:
-    b, n, d, p, s = zip(*rows, strict=True) if rows else ((),) * 5
-    return pa.RecordBatch.from_arrays([pa.array(b, pa.int64()), pa.array(n, pa.int32()), pa.array(d, pa.binary()), pa.array(p, pa.binary()), pa.array(s, pa.binary())], ["bucket", "n", "docs", "places", "packed"])
+
+def _rows(rows: list[Row]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True) if rows else ((),) * 5, _SENT, strict=True)], schema=_SENT)
+
+
+def _packed(strings: _Strings, first: np.ndarray, last: np.ndarray) -> bytes:
+    """Stretches from word to word, compressed together."""
+    whole = strings.whole
+    joined = b"\n".join([whole[x:y] for x, y in zip(strings.start[first].tolist(), strings.end[last].tolist(), strict=True)])
+    return zstandard.ZstdCompressor(level=3).compress(joined)
 
 
 def _ordered(short: np.ndarray, frequent: np.ndarray) -> np.ndarray:
@@ -185,69 +209,73 @@ def _ordered(short: np.ndarray, frequent: np.ndarray) -> np.ndarray:
     return (short >> np.uint64(1)) | ((frequent[at] == short).astype(np.uint64) << np.uint64(63))
 
 
-def _send_block(ids: list[int], texts: list[bytes], buckets: int, frequent: np.ndarray) -> pa.RecordBatch:
+def _stretches(at: np.ndarray, owner: np.ndarray, fresh: np.ndarray, parted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The first and last of each run of fresh windows that follow one another in one string (and agree in parted)."""
+    cut = np.ones(len(fresh), bool)
+    cut[1:] = (at[fresh[1:]] != at[fresh[:-1]] + 1) | (owner[fresh[1:]] != owner[fresh[:-1]])
+    if parted is not None:
+        cut[1:] |= parted[1:] != parted[:-1]
+    begin = np.flatnonzero(cut)
+    return begin, np.append(begin[1:], len(fresh)) - 1
+
+
+def _send_block(ids: list[int], marks: list[int], texts: list[bytes], buckets: int, frequent: np.ndarray) -> list[Row]:
     """What a block of texts sends: its new stretches by bucket, and spans already known to repeat."""
-    order = np.argsort(np.array(ids, np.int64), kind="stable").tolist()
-    joined = [b" ".join(texts[i].split()) for i in order]
-    own_id = np.array([ids[i] for i in order], np.int64)
+    known = np.array([*zip(ids, marks, strict=True)], DOC)
+    known, order = np.unique(known, return_index=True)  # rows that are alike in both are one document
+    joined = [b" ".join(texts[i].split()) for i in order.tolist()]
     kept = [k for k, j in enumerate(joined) if j]
     if not kept:
-        return _rows([])
-    joined, own_id = [joined[k] for k in kept], own_id[kept]
+        return []
+    joined, known = [joined[k] for k in kept], known[kept]
     strings = _Strings(b"\n".join(joined) + b"\n", np.array([len(j) + 1 for j in joined]))
     owner, at = strings.runs(WINDOW)
     if not len(at):
-        return _rows([])
+        return []
     short, long = strings.hashes(SHORT, WINDOW)
     first = _earliest(strings, at, long[at])
     place = at - strings.first[owner]
-    doc = own_id[owner]
-    again = (doc[first] != doc) | (place[first] != place)
+    again = first != np.arange(len(at))
     which = np.flatnonzero(again)
-    rows = []
-    if len(which):
-        d, a, z = _spans(doc[which], place[which])
-        rows.append(_row(None, d, a, z.astype(np.int32).tobytes()))
+    rows = [_span_row(*_spans(known[owner[which]], place[which]))] if len(which) else []
     fresh = np.flatnonzero(~again)
     least = _least(_ordered(short, frequent), WINDOW - SHORT + 1)[at[fresh]]
-    cut = np.ones(len(fresh), bool)
-    cut[1:] = (at[fresh[1:]] != at[fresh[:-1]] + 1) | (owner[fresh[1:]] != owner[fresh[:-1]]) | (least[1:] != least[:-1])
-    begin = np.flatnonzero(cut)
-    stop = np.append(begin[1:], len(fresh)) - 1
-    bucket = (_mixed(least[begin]) % np.uint64(buckets)).astype(np.int64)
+    begin, stop = _stretches(at, owner, fresh, least)
+    hot = (least[begin] >> np.uint64(63)).astype(bool) if len(frequent) else np.zeros(len(begin), bool)
+    bucket = (_mixed(least[begin]) % np.uint64(buckets)).astype(np.int64) + np.where(hot, buckets, 0)
     a, z = fresh[begin], fresh[stop]
     by = np.argsort(bucket, kind="stable")
-    low, high = strings.start[at[a[by]]].tolist(), strings.end[at[z[by]] + WINDOW - 1].tolist()
-    whole, squeeze = strings.whole, zstandard.ZstdCompressor(level=3)
-    edges = np.flatnonzero(np.concatenate([[True], np.diff(bucket[by]) != 0, [True]])).tolist()
-    docs, places = doc[a[by]], place[a[by]]
+    edges = np.flatnonzero(np.concatenate([[True], np.diff(bucket[by]) != 0, [True]])).tolist() if len(by) else []
+    salt = int(_mixed(known["mark"][:1].view(np.uint64))[0] % np.uint64(SALTS))
     for i, j in zip(edges, edges[1:], strict=False):
-        packed = b"\n".join([whole[x:y] for x, y in zip(low[i:j], high[i:j], strict=True)])
-        rows.append(_row(int(bucket[by[i]]), docs[i:j], places[i:j], squeeze.compress(packed)))
-    return _rows(rows)
+        some = by[i:j]
+        docs, places = known[owner[a[some]]], place[a[some]]
+        rows.append(_row(int(bucket[some[0]]), salt if hot[some[0]] else None, docs, places, _packed(strings, at[a[some]], at[z[some]] + WINDOW - 1)))
+    return rows
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], block_bytes: int) -> Iterator[tuple[list[int], list[bytes]]]:
-    """Ids and texts of a task's rows, in blocks of so many bytes."""
-    ids, texts, size = [], [], 0
+def _blocks(batches: Iterator[pa.RecordBatch], block_bytes: int) -> Iterator[tuple[list[int], list[int], list[bytes]]]:
+    """Ids, hashes and texts of a task's rows, in blocks of so many bytes."""
+    ids, marks, texts, size = [], [], [], 0
     for b in batches:
-        for i, t in zip(b.column("doc_id").to_pylist(), b.column("text").cast(pa.binary()).to_pylist(), strict=True):
+        for i, m, t in zip(b.column("doc_id").to_pylist(), b.column("mark").to_pylist(), b.column("text").cast(pa.binary()).to_pylist(), strict=True):
             if t:
                 ids.append(i)
+                marks.append(m)
                 texts.append(t)
                 size += len(t)
             if size >= block_bytes:
-                yield ids, texts
-                ids, texts, size = [], [], 0
+                yield ids, marks, texts
+                ids, marks, texts, size = [], [], [], 0
     if ids:
-        yield ids, texts
+        yield ids, marks, texts
 
 
 def _send(block_bytes: int, buckets: int, frequent: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         turn_to("substring")
-        for ids, texts in _blocks(batches, block_bytes):
-            yield _send_block(ids, texts, buckets, frequent)
+        for ids, marks, texts in _blocks(batches, block_bytes):
+            yield _rows(_send_block(ids, marks, texts, buckets, frequent))
 
     return run
 
@@ -256,7 +284,7 @@ def _short_counts(block_bytes: int, least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The short runs that occur often in a block of texts, with their number, and the block's words under hash 0."""
         turn_to("substring")
-        for _, texts in _blocks(batches, block_bytes):
+        for _, _, texts in _blocks(batches, block_bytes):
             joined = [j for j in (b" ".join(t.split()) for t in texts) if j]
             if not joined:
                 continue
@@ -280,60 +308,114 @@ def frequent_runs(scratch: Scratch, rows: DataFrame, block_bytes: int, frequent:
     return np.sort(found.column("hash").to_numpy().astype(np.int64).view(np.uint64))
 
 
-FOUND = "doc_id long, pos int, end int"
-
-
-def _found(doc: np.ndarray, pos: np.ndarray, end: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(pos.astype(np.int32)), pa.array(end.astype(np.int32))], ["doc_id", "pos", "end"])
-
-
-def _count_bucket(rows: list[tuple[np.ndarray, np.ndarray, bytes]]) -> pa.RecordBatch:
-    """The spans of a bucket's windows that occur earlier."""
-    doc, pos = np.concatenate([r[0] for r in rows]), np.concatenate([r[1] for r in rows]).astype(np.int64)
-    strings_of = [x for r in rows for x in zstandard.ZstdDecompressor().decompress(r[2]).split(b"\n")]
-    order = np.lexsort((pos, doc))
+def _fold(rows: list[Row]) -> tuple[Row | None, Row | None]:
+    """A bucket's rows as one: the spans of windows that occur earlier, and the stretches of all others."""
+    doc = np.concatenate([np.frombuffer(r[2], DOC) for r in rows])
+    pos = np.concatenate([np.frombuffer(r[3], np.int32) for r in rows]).astype(np.int64)
+    pieces = [x for r in rows for x in zstandard.ZstdDecompressor().decompress(r[4]).split(b"\n")]
+    order = np.lexsort((pos, doc["mark"], doc["id"]))
     doc, pos = doc[order], pos[order]
-    pieces = [strings_of[i] for i in order.tolist()]
+    pieces = [pieces[i] for i in order.tolist()]
     strings = _Strings(b"\n".join(pieces) + b"\n", np.fromiter(map(len, pieces), np.int64, len(pieces)) + 1)
-    del strings_of, pieces
+    del pieces
     owner, at = strings.runs(WINDOW)
+    place = pos[owner] + (at - strings.first[owner])
+    d = doc[owner]
+    back = np.flatnonzero((d[1:] == d[:-1]) & (place[1:] <= place[:-1]))
+    if len(back):  # a document that came twice, cut in other ways
+        turn = np.lexsort((place, d["mark"], d["id"]))
+        owner, at, place, d = owner[turn], at[turn], place[turn], d[turn]
     (long,) = strings.hashes(WINDOW)
     first = _earliest(strings, at, long[at])
-    place, d = pos[owner] + (at - strings.first[owner]), doc[owner]
-    which = np.flatnonzero((d[first] != d) | (place[first] != place))
-    which = which[np.lexsort((place[which], d[which]))]
-    return _found(*_spans(d[which], place[which]))
+    again = (d[first] != d) | (place[first] != place)
+    which = np.flatnonzero(again)
+    spans = _span_row(*_spans(d[which], place[which])) if len(which) else None
+    fresh = np.flatnonzero(first == np.arange(len(at)))  # of a document that came twice, once
+    begin, stop = _stretches(at, owner, fresh)
+    a, z = fresh[begin], fresh[stop]
+    kept = _row(rows[0][0], None, d[a], place[a], _packed(strings, at[a], at[z] + WINDOW - 1)) if len(a) else None
+    return spans, kept
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by bucket; a bucket's rows are gathered and counted."""
+def _count(batches: Iterator[pa.RecordBatch], fold_bytes: int = FOLD_BYTES) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted by bucket and salt. Each part's rows are folded; of a salted part what is new in it is sent on."""
     turn_to("substring")
-    rows, now = [], None
+    rows: list[Row] = []
+    size = held = 0
+
+    def folded() -> list[Row]:
+        """Folds rows to one and returns the spans found."""
+        nonlocal rows, size, held
+        spans, kept = _fold(rows)
+        rows = [kept] if kept else []
+        held = size = _unpacked(kept[4]) if kept else 0
+        return [spans] if spans else []
+
+    now, out = None, []
     for b in batches:
-        for bucket, docs, places, packed in zip(*(b.column(c).to_pylist() for c in ("bucket", "docs", "places", "packed")), strict=True):
-            docs, places = np.frombuffer(docs, np.int64), np.frombuffer(places, np.int32)
-            if bucket is None:
-                yield _found(docs, places, np.frombuffer(packed, np.int32))
+        for row in zip(*(b.column(c).to_pylist() for c in _SENT.names), strict=True):
+            if row[0] is None:
+                out.append(row)
                 continue
-            if bucket != now and rows:
-                yield _count_bucket(rows)
-                rows = []
-            now = bucket
-            rows.append((docs, places, packed))
+            if row[:2] != now:
+                if rows:
+                    out += folded()
+                    if now[1] is not None:
+                        out += rows
+                rows, size, held, now = [], 0, 0, row[:2]
+            rows.append(row)
+            size += _unpacked(row[4])
+            if size > held + max(held, fold_bytes):
+                out += folded()
+        yield _rows(out)
+        out = []
     if rows:
-        yield _count_bucket(rows)
+        out += folded()
+        if now[1] is not None:
+            out += rows
+        yield _rows(out)
+
+
+def _unpacked(packed: bytes) -> int:
+    return zstandard.frame_content_size(packed)
+
+
+FOUND = "doc_id long, mark long, pos int, end int"
+
+
+def _found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Spans, a row each."""
+    for b in batches:
+        docs, pos, end = (b"".join(b.column(c).to_pylist()) for c in ("docs", "places", "packed"))
+        d = np.frombuffer(docs, DOC)
+        yield pa.RecordBatch.from_arrays([*(pa.array(np.ascontiguousarray(d[k])) for k in ("id", "mark")), pa.array(np.frombuffer(pos, np.int32)), pa.array(np.frombuffer(end, np.int32))], ["doc_id", "mark", "pos", "end"])
 
 
-def repeated_spans(scratch: Scratch, docs: DataFrame, block_bytes: int = BLOCK_BYTES, bucket_bytes: int = BUCKET_BYTES, frequent: int = FREQUENT, block_least: int = BLOCK_LEAST) -> DataFrame:
-    """doc_id (NULL_ID for null), pos and end: spans of words inside windows that start earlier as well. May overlap."""
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id"), F.col("text").cast("string"))
+def _document(doc_id: Column, text: Column) -> tuple[Column, Column]:
+    """What tells documents apart."""
+    return F.coalesce(doc_id.cast("long"), F.lit(NULL_ID)), F.xxhash64(text.cast("string"))
+
+
+def repeated_spans(scratch: Scratch, docs: DataFrame, block_bytes: int = BLOCK_BYTES, bucket_bytes: int = BUCKET_BYTES, frequent: int = FREQUENT, block_least: int = BLOCK_LEAST, fold_bytes: int = FOLD_BYTES) -> DataFrame:
+    """doc_id (NULL_ID for null), mark, pos and end: spans of words inside windows that start earlier as well. May overlap."""
+    doc_id, mark = _document(F.col("doc_id"), F.col("text"))
+    rows = docs.select(doc_id.alias("doc_id"), mark.alias("mark"), F.col("text").cast("string").alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(64, 3 * size // bucket_bytes)  # each word is sent about three times
-    sent = rows.mapInArrow(_send(block_bytes, buckets, frequent_runs(scratch, rows, block_bytes, frequent, block_least)), SENT)
-    # spans have no bucket: they are dealt out by their own content
-    key = F.coalesce(F.col("bucket"), F.xxhash64("docs", "places"))
-    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), buckets // 8)
-    return sent.repartition(tasks, key).sortWithinPartitions("bucket").mapInArrow(_count, FOUND)
+    often = frequent_runs(scratch, rows, block_bytes, frequent, block_least)
+    sent = rows.mapInArrow(_send(block_bytes, buckets, often), SENT)
+    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(MOST_TASKS, 3 * size // TASK_BYTES))
+
+    def counted(part: DataFrame) -> DataFrame:
+        # spans have no bucket: they are dealt out by their own content
+        key = F.when(F.col("bucket").isNull(), F.xxhash64("docs", "places")).otherwise(F.xxhash64("bucket", "salt"))
+        return part.repartition(tasks, key).sortWithinPartitions("bucket", "salt").mapInArrow(lambda b: _count(b, fold_bytes), SENT)
+
+    once = scratch.save(counted(sent), "counted")
+    spans = once.filter("bucket is null")
+    if len(often):
+        spans = spans.unionByName(counted(once.filter("bucket is not null")))
+    return spans.select("docs", "places", "packed").mapInArrow(_found, FOUND)
 
 
 def _removed(n: int, spans: list[dict] | None) -> np.ndarray:
@@ -353,45 +435,54 @@ def _kept(text: bytes | None, spans: list[dict] | None) -> tuple[int, int, bytes
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        got = [_kept(t, s) for t, s in zip(b.column("text").cast(pa.binary()).to_pylist(), b.column("__spans").to_pylist(), strict=True)]
+        got = [_kept(t, s) for t, s in zip(b.column("text").cast(pa.binary()).to_pylist(), b.column("spans").to_pylist(), strict=True)]
         n, gone, kept = zip(*got, strict=True) if got else ((), (), ())
         ids = b.column("doc_id")
         yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256"])
 
 
-def with_spans(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """docs and the column __spans: what to remove from each row, null for nothing."""
+def with_spans(spark: SparkSession, docs: DataFrame, name: str) -> DataFrame:
+    """docs and a column of that name: what to remove from each row, null for nothing."""
     ready(spark)
     scratch = Scratch(spark, "substring")
     spans = scratch.save(repeated_spans(scratch, docs), "spans")
-    by_doc = scratch.save(spans.groupBy(F.col("doc_id").alias("__id")).agg(F.collect_list(F.struct("pos", "end")).alias("__spans")), "by-doc")
+    scratch.drop("counted", "frequent")
+    own_id, own_mark = unused([*docs.columns, name], "id", "mark")
+    by_doc = scratch.save(spans.groupBy(F.col("doc_id").alias(own_id), F.col("mark").alias(own_mark)).agg(F.collect_set(F.struct("pos", "end")).alias(name)), "by-doc")
     scratch.drop("spans")
-    keyed = docs.withColumn("__id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)))
-    return keyed.join(by_doc, "__id", "left")
+    doc_id, mark = _document(F.col("doc_id"), F.col("text"))
+    keyed = docs.withColumns({own_id: doc_id, own_mark: mark})
+    return keyed.join(by_doc, [own_id, own_mark], "left").drop(own_id, own_mark)
 
 
 def removals(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_removed and kept_sha256 for every row of docs."""
-    rows = with_spans(spark, docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")))
-    return rows.select("doc_id", "text", "__spans").mapInArrow(_digests, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    rows = with_spans(spark, docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), "spans")
+    return rows.select("doc_id", "text", "spans").mapInArrow(_digests, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
-def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        texts = [_kept(t, s)[2].decode() if s else None for t, s in zip(b.column("text").cast(pa.binary()).to_pylist(), b.column("__spans").to_pylist(), strict=True)]
-        yield pa.RecordBatch.from_arrays([*(b.column(c) for c in b.schema.names if c != "__spans"), pa.array(texts, pa.string())], [*(c for c in b.schema.names if c != "__spans"), "__text"])
+def _texts(spans: str, new: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = [_kept(t, s)[2].decode() if s else None for t, s in zip(b.column("text").cast(pa.binary()).to_pylist(), b.column(spans).to_pylist(), strict=True)]
+            names = [c for c in b.schema.names if c != spans]
+            yield pa.RecordBatch.from_arrays([*map(b.column, names), pa.array(texts, pa.string())], [*names, new])
+
+    return run
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """docs with repeated spans taken out of text (kept words joined by one space) and n_chars brought up to date; texts
     that lose nothing stay as they are, and no row is dropped."""
     own = docs.columns
-    rows = with_spans(spark, docs).drop("__id")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + ", __text string"
-    out = rows.mapInArrow(_texts, schema)
-    new = {"text": F.coalesce("__text", "text")}
+    spans, changed = unused(own, "spans", "text")
+    rows = with_spans(spark, docs, spans)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + f", `{changed}` string"
+    out = rows.mapInArrow(_texts(spans, changed), schema)
+    text = F.col(changed)
+    new = {"text": F.coalesce(text, F.col("text"))}
     if "n_chars" in own:
-        new["n_chars"] = F.when(F.col("__text").isNotNull(), F.char_length("__text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+        new["n_chars"] = F.when(text.isNotNull(), F.char_length(text).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
     return out.select(*((new[c].alias(c) if c in new else F.col(f"`{c}`")) for c in own))
 
 

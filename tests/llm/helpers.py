@@ -6,7 +6,7 @@ import random
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 #: Names that operators use inside; a table that has them already must come through unharmed.
-CLASHING = ("score", "bucket", "digest", "spans", "x", "label", "rate", "copies", "item_ids", "component_id", "root", "n_words", "kept", "hash")
+CLASHING = ("score", "bucket", "digest", "spans", "x", "label", "rate", "copies", "item_ids", "component_id", "root", "n_words", "kept", "hash", "id", "mark", "row", "text_", "__id", "__mark", "__spans", "__text", "__kept", "__row", "__rate", "__copies", "__item_ids", "__n_windows", "___id")
 
 
 def docs(spark, rows, clashing=False):

@@ -7,6 +7,7 @@ from itertools import combinations
 
 import numpy as np
 import pytest
+import xxhash
 
 from plausia.llm import near_dedup, substring_dedup
 from tests.llm.helpers import SCHEMA, docs, odd_rows, prose
@@ -96,33 +97,47 @@ def test_components_of_paths_and_stars(spark):
 
 
 def brute_removals(rows):
+    """Rows in the order of documents; those that are alike are one."""
     seen, out = set(), []
-    words = {i: WORD.findall(t or "") for i, t in rows}
-    for i in sorted(words):
-        w, gone = words[i], set()
+    for i, t in sorted({(i, t or "") for i, t in rows}, key=lambda r: (r[0] is not None, r[0] or 0, text_hash(r[1]))):
+        w, gone = WORD.findall(t), set()
         for p in range(len(w) - 19):
             key = tuple(w[p : p + 20])
             if key in seen:
                 gone |= set(range(p, p + 20))
             seen.add(key)
-        out.append((i, len(w), len(gone), hashlib.sha256(" ".join(x for k, x in enumerate(w) if k not in gone).encode()).hexdigest()))
-    return set(out)
+        found = i, len(w), len(gone), hashlib.sha256(" ".join(x for k, x in enumerate(w) if k not in gone).encode()).hexdigest()
+        out += [found] * sum((j, u or "") == (i, t) for j, u in rows)
+    return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("block, bucket, frequent, least", [(6_000_000, 6_000_000, 20_000, 4), (2_000, 500, 20_000, 4), (2_000, 500, 5, 1)])
-def test_removals_equal_brute_force(spark, monkeypatch, block, bucket, frequent, least):
-    """Also with blocks and buckets so small that repeats meet only in buckets, and with frequent short runs."""
+def text_hash(text):
+    return np.uint64(xxhash.xxh64_intdigest(text.encode(), seed=42)).astype(np.int64)
+
+
+@pytest.mark.parametrize("block, bucket, frequent, least, fold", [(6_000_000, 6_000_000, 20_000, 4, 24_000_000), (2_000, 500, 20_000, 4, 2_000), (2_000, 500, 5, 1, 1_000), (500, 100_000, 3, 1, 200)])
+def test_removals_equal_brute_force(spark, monkeypatch, block, bucket, frequent, least, fold):
+    """Also with blocks and buckets so small that repeats meet only in buckets, with frequent short runs, whose buckets are salted, and
+    with rows folded as they come. Ids repeat and are null, with like and other texts."""
     r = random.Random(4)
     passage = prose(900, 70)
     rows = []
     for i in range(80):
         t = prose(i % 60, r.randint(0, 120))
-        rows.append((i, t[: len(t) // 2] + " " + passage + "\n" + t if i % 3 == 0 else t))
-    rows.append((200, "same " * 300))
+        rows.append((i if i % 7 else None if i % 2 else 7 * (i % 3), t[: len(t) // 2] + " " + passage + "\n" + t if i % 3 == 0 else t))
+    rows += [(200, "same " * 300), (200, "same " * 300), (200, "other words that stand nowhere else at all"), (None, passage + " alpha"), (None, passage + " alpha"), (None, prose(901, 40)), (1, passage)]
+    r.shuffle(rows)
     spans = substring_dedup.repeated_spans
-    monkeypatch.setattr(substring_dedup, "repeated_spans", lambda s, d: spans(s, d, block, bucket, frequent, least))
-    got = substring_dedup.removals(spark, docs(spark, [(i, t, "en", "a") for i, t in rows])).collect()
-    assert {tuple(x) for x in got} == brute_removals(rows)
+    monkeypatch.setattr(substring_dedup, "repeated_spans", lambda s, d: spans(s, d, block, bucket, frequent, least, fold))
+    got = substring_dedup.removals(spark, docs(spark, [(i, t, "en", "a") for i, t in rows]).repartition(3)).collect()
+    assert sorted((tuple(x) for x in got), key=str) == brute_removals(rows)
+
+
+def test_words_that_occur_nowhere_else_stay(spark):
+    passage = " ".join(f"p{i}" for i in range(25))
+    rows = [(None, passage + " alpha"), (None, "other " + passage), (1, "x1 " + passage), (2, passage + " tail"), (2, "other words that stand nowhere else at all")]
+    texts = [r.text for r in substring_dedup.without_repeats(spark, docs(spark, [(i, t, "en", "a") for i, t in rows])).collect()]
+    assert sorted(len(t.split()) for t in texts) == [1, 1, 1, 8, 26] and {"x1", "tail", rows[-1][1]} < set(texts)
 
 
 def test_equal_hashes_are_settled_by_their_words():
