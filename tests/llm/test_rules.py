@@ -68,8 +68,18 @@ OTHER = QUESTION.replace("3 kg", "7 kg").replace("12", "31").replace("5 kg", "9
 TORN = QUESTION.replace("Maria", "Sofia")
 
 
+SUM = "What is 12 + 34 * 5 - 7 / 2 ?"
+OTHER_SUM = "What is 99 + 31 * 6 - 8 / 3 ?"
+SHORT_SUM = "What is 12 times 34 plus 56?"
+NAMES = "Tom has 5 red pens. Ann has 7 blue pens. Bob takes 3 of them home."
+ITEMS = [
+    (1, QUESTION), (2, prose(50, 25)), (3, "too few words"), (4, "six plain words stand here alone"), (5, None), (6, ""), (7, SUM), (8, SHORT_SUM), (9, NAMES), (10, "Compute 3/4 of 88 plus 19 minus 6"),
+    (None, "an item that has no id of its own at all"), (4, "another text of the same id that is longer than a window of ten words"), (11, "Alice buys 3 kg of apples at the market"),
+]
+
+
 def questions(spark):
-    return spark.createDataFrame([(1, QUESTION), (2, prose(50, 25)), (3, "too few words"), (4, "six plain words stand here alone"), (5, None), (6, "")], "item_id long, text string")
+    return spark.createDataFrame(ITEMS, "item_id long, text string")
 
 
 def contamination_rows():
@@ -77,43 +87,63 @@ def contamination_rows():
     return [
         (1, clean + " " + QUESTION + " " + clean, "en", "a"), (2, clean + " " + OTHER + ". " + clean, "en", "a"), (3, clean, "en", "a"), (4, prose(50, 25).upper(), "en", "a"), (5, "x " * 20 + "six plain words stand here alone", "en", "a"),
         (6, QUESTION.replace("apples", "plums").replace("pears", "figs").replace("market", "shop").replace("friend", "aunt"), "en", "a"), (7, QUESTION[40:], "en", "a"),
+        (10, f"{clean} {SUM} {clean}", "en", "a"), (11, f"{clean}. {OTHER_SUM} {clean}", "en", "a"), (12, f"{clean} {SHORT_SUM} {clean}", "en", "a"), (13, f"{clean} {SHORT_SUM.replace('12', '13')} {clean}", "en", "a"),
+        (14, NAMES.replace("Tom", "Zoe").replace("Ann", "Kim").replace("Bob", "Max").replace("5", "8"), "en", "a"), (15, clean + " compute 3/4 of 88 plus 19 minus 6", "en", "a"), (16, "here is an item that has no id of its own at all", "en", "a"),
+        (17, "not another text of the same id that is longer than a window of ten words", "en", "a"), (18, clean + ". Yusuf buys 9 kg of apples at the market. " + clean, "en", "a"), (19, f"{clean} - {clean} + 7 * {clean}", "en", "a"),
+        (20, NAMES.replace("Tom", "Zoe").replace("blue pens", "blue hats"), "en", "a"), (21, TORN, "en", "a"),
     ]
 
 
-def test_both_ways_of_joining_find_the_same(spark):
-    d = docs(spark, contamination_rows() + odd_rows()[1:5], True)
+def brute_items(text):
+    """The ids of the items that a text holds and their windows, from every pair of windows."""
+    words, _ = decontamination.words_of(text)
+    ids, windows = set(), 0
+    for item_id, item in {(i, t) for i, t in ITEMS if t}:
+        theirs, _ = decontamination.words_of(item)
+        size = min(decontamination.WINDOW, len(theirs))
+        maps = {}
+        for i in range(len(words) - size + 1) if size >= decontamination.LEAST_EXACT else ():
+            for k in range(len(theirs) - size + 1):
+                m = decontamination.confirmed(theirs[k : k + size], words[i : i + size])
+                if m is not None:
+                    maps.setdefault(i - k, []).append(m)
+        for found in maps.values():
+            if decontamination.consistent(found):
+                ids.add(item_id)
+                windows += len(found)
+    return ids, windows
+
+
+def test_both_ways_of_joining_equal_brute_force(spark):
+    rows = contamination_rows() + odd_rows()[1:5]
+    d = docs(spark, rows, True)
     sent = decontamination.judged(spark, d, questions(spark)).collect()
     shuffled = decontamination.judged(spark, d, questions(spark), most_sent=0).collect()
     key = lambda rows: sorted(str(tuple(r)) for r in rows)
     assert key(sent) == key(shuffled)
+    want = {}
+    for i, t, *_ in rows:
+        want[i] = brute_items(t)
+    assert {r.doc_id: (set(r.item_ids), r.n_items, r.n_windows) for r in sent} == {i: (ids - {None}, len(ids), n) for i, (ids, n) in want.items()}
     hit = {r.doc_id: r.item_ids for r in sent if r.contaminated}
-    assert hit[1] == [1] and hit[2] == [1] and hit[5] == [4] and hit[4] == [2] and 3 not in hit and 6 not in hit and hit[7] == [1]
+    assert hit == {1: [1, 11], 2: [1, 11], 4: [2], 5: [4], 7: [1], 10: [7], 11: [7], 12: [8], 14: [9], 15: [10], 16: [], 17: [4], 18: [11], 21: [1, 11]}
 
 
-def test_templates_equal_brute_force():
-    """The matcher finds exactly the windows that comparing every pair of windows finds."""
-    texts = [t for _, t, *_ in contamination_rows()]
-    windows = [w for i, t in ((1, QUESTION), (2, prose(50, 25)), (4, "six plain words stand here alone")) for w in decontamination.item_windows(i, t)]
-    got = decontamination.Matcher(windows).match(texts)
-    for text, items in zip(texts, got, strict=True):
-        words = [w for w in text.split() if decontamination.core(w)]
-        found = set()
-        for _, size, item, _, own in windows:
-            for i in range(len(words) - size + 1):
-                if decontamination.confirmed(own, words[i : i + size]) is not None:
-                    found.add(item)
-        assert set(items) <= found and (found <= set(items) or not items)
+def test_what_must_and_must_not_be_found():
+    found = {i: brute_items(t)[0] for i, t, *_ in contamination_rows()}
+    assert all(x in found[i] for i, x in ((1, 1), (2, 1), (4, 2), (5, 4), (7, 1), (10, 7), (11, 7), (12, 8), (14, 9), (15, 10), (16, None), (17, 4), (18, 11)))
+    assert not found[3] and not found[13] and not found[19] and 1 not in found[6] and 9 not in found[20]
 
 
 def test_short_cuts_give_the_same_kinds():
-    for w in "word Word WORD word. Word! kg Kg two. 3kg e.g. (word) Ünder ß éa I A a. 12 $5 -- ... l'eau Élan, ÉLAN x: ten?".split():
+    for w in "word Word WORD word. Word! kg Kg two. 3kg e.g. (word) Ünder ß éa I A a. 12 $5 -- ... l'eau Élan, ÉLAN x: ten? + - = *. / ** ÷".split():
         assert decontamination.codes([w])[0] & np.uint64(15) == decontamination.kind(w), w
 
 
 def test_slots_must_be_consistent():
-    a = decontamination.slots("when 3 meets 3 in the old town 5 times".split(), True)
-    same = decontamination.slots("when 8 meets 8 in the old town 9 times".split(), True)
-    torn = decontamination.slots("when 8 meets 7 in the old town 9 times".split(), True)
+    a = decontamination.slots("when 3 meets 3 in the old town 5 times".split(), 0)
+    same = decontamination.slots("when 8 meets 8 in the old town 9 times".split(), 0)
+    torn = decontamination.slots("when 8 meets 7 in the old town 9 times".split(), 0)
     assert decontamination.mapping(a, same) == {(1, "3"): "8", (1, "5"): "9"} and decontamination.mapping(a, torn) is None
     assert decontamination.consistent([{(1, "3"): "8"}, {(1, "3"): "8"}]) and not decontamination.consistent([{(1, "3"): "8"}, {(1, "3"): "7"}])
 
