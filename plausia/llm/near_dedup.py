@@ -10,15 +10,18 @@ Documents are linked if 100 * intersection >= 75 * union of their sets of five-w
    below the threshold), are confirmed on the full sets, which are computed again for the documents concerned.
 4. Components by alternating large-star and small-star over edge tables.
 5. What stars can't settle: in a cluster of documents that share buckets but ended in several components, every pair from
-   different components is compared on the full sets, in blocks of bounded size; only links leave a block. Members of
-   the cluster's largest component are never compared with each other. Links found there join the components.
+   different components is compared on the full sets, in blocks of about 2 * CHUNK documents and CHUNK_SHINGLES shingles, whatever
+   the size of the cluster; only links leave a block. Members of the cluster's largest component are never compared with each
+   other. A cluster of over LARGE documents is parted before by a second banding, FINE bands of FINE_ROWS minima, which
+   documents of little likeness rarely share (a pair at the threshold misses all with odds of two in a million); what a band
+   leaves together is dealt to blocks in the same way. Links found there join the components.
 
 Hot groups: exact copies collapse by a partially aggregated minimum; buckets and stars are joined from written tables, so
 that Spark can split a skewed key; clusters are dealt out as many small blocks. Nothing is collected but counts.
 
 Defined results: null and empty texts and texts without words have no shingles, no links and are their own component; with
-fewer than five words the whole sequence is the one shingle; rows with the same doc_id count as one document if
-their texts are alike, and share the component of either otherwise; a null doc_id has no component and stays.
+fewer than five words the whole sequence is the one shingle; rows with one doc_id and the same set count as one document, rows with
+one doc_id and other sets are judged each by its own; a null doc_id has no component and stays. Columns may have any name.
 """
 
 from __future__ import annotations
@@ -30,21 +33,24 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from plausia.llm.common import Scratch, cached_for, ready, table, turn_to
+from plausia.llm.common import Scratch, cached_for, ready, table, turn_to, unused
 
 WORDS, BANDS, ROWS = 5, 32, 4
 HASHES = BANDS * ROWS
 #: A link: LINK_OF * intersection >= LINK * union.
 LINK, LINK_OF = 75, 100
 LEAST_AGREEMENT = 0.56
-#: Documents in a block of step 5, and columns of its incidence matrix at a time.
-BLOCK, SLICE = 32, 65_536
+#: Documents and shingles of a chunk of step 5 (a block holds two chunks), and columns of its incidence matrix at a time.
+CHUNK, CHUNK_SHINGLES, SLICE = 64, 1_000_000, 65_536
+#: Documents of a cluster beyond which it is banded again, and the second banding: minima that are drawn for each band.
+LARGE, FINE, FINE_ROWS = 8_192, 128, 8
 MAX_WORDS = 200_000
 
 _SEED = np.random.default_rng(20240607)
 _A = _SEED.integers(0, 2**63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _SEED.integers(0, 2**63, HASHES, dtype=np.uint64) * np.uint64(2)
 _PLACES = _SEED.integers(0, 2**63, WORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_FINE = np.stack([_SEED.choice(HASHES, FINE_ROWS, replace=False) for _ in range(FINE)])
 
 
 class _WordHashes(dict):
@@ -97,24 +103,32 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             size.append(len(x))
             digest.append(xxhash.xxh128_digest(x.tobytes()) if len(x) else None)
             mark.append(signature(x).tobytes() if len(x) else None)
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(size, pa.int64()), pa.array(digest, pa.binary()), pa.array(mark, pa.binary())], ["doc_id", "n_shingles", "digest", "signature"])
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("mark"), pa.array(size, pa.int64()), pa.array(digest, pa.binary()), pa.array(mark, pa.binary())], ["doc_id", "mark", "n_shingles", "digest", "signature"])
 
 
-def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each document and band: a 64-bit key of the band's number and minima."""
+def _keys(batches: Iterator[pa.RecordBatch], rows: np.ndarray, name: str) -> Iterator[pa.RecordBatch]:
+    """A row for each document and band: the batch's columns but the signature, and a 64-bit key of the band's number and minima."""
     for b in batches:
-        keys = []
-        for s in b.column("signature").to_pylist():
-            keys += [xxhash.xxh64_intdigest(s[i * 4 * ROWS : (i + 1) * 4 * ROWS], seed=i) for i in range(BANDS)]
-        ids = np.repeat(b.column("doc_id").to_numpy(zero_copy_only=False), BANDS)
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(np.array(keys, np.uint64).view(np.int64))], ["doc_id", "bucket"])
+        marks = np.frombuffer(b"".join(b.column("signature").to_pylist()), np.uint32).reshape(-1, HASHES)
+        keys = [xxhash.xxh64_intdigest(m[r].tobytes(), seed=i) for m in marks for i, r in enumerate(rows)]
+        names = [c for c in b.schema.names if c != "signature"]
+        at = pa.array(np.repeat(np.arange(len(marks)), len(rows)))
+        yield pa.RecordBatch.from_arrays([*(b.column(c).take(at) for c in names), pa.array(np.array(keys, np.uint64).view(np.int64))], [*names, name])
+
+
+def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return _keys(batches, np.arange(HASHES).reshape(BANDS, ROWS), "bucket")
+
+
+def _fine_bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return _keys(batches, _FINE, "cluster")
 
 
 def _with_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     turn_to("near")
     for b in batches:
         x = [shingles(t).tobytes() for t in b.column("text").cast(pa.binary()).to_pylist()]
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(x, pa.binary())], ["doc_id", "shingles"])
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(x, pa.binary()), pa.array([xxhash.xxh128_digest(y) for y in x], pa.binary())], ["doc_id", "shingles", "digest"])
 
 
 def linked(a: np.ndarray, b: np.ndarray) -> bool:
@@ -192,75 +206,121 @@ def components(scratch: Scratch, edges: DataFrame, name: str, most: int = 60) ->
     return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
+def _opened(members: DataFrame) -> DataFrame:
+    """Members (cluster, doc_id, root, n_shingles) of the clusters that hold several roots, with the cluster's n, n_main, main and weight."""
+    by_root = members.groupBy("cluster", "root").agg(F.count(F.lit(1)).alias("k"), F.sum("n_shingles").alias("w"))
+    by = by_root.groupBy("cluster").agg(F.sum("k").alias("n"), F.max(F.struct("k", "root")).alias("most"), F.count(F.lit(1)).alias("roots"), F.sum("w").alias("weight"))
+    shares = by.filter("roots > 1").select("cluster", "n", F.col("most.k").alias("n_main"), F.col("most.root").alias("main"), "weight")
+    return members.join(shares, "cluster")
+
+
 def _cross_blocks(members: DataFrame) -> DataFrame:
-    """Deals a cluster's rows (cluster, n, main, doc_id, root, shingles) to blocks that cover each pair of different
-    components: chunks of the largest component against chunks of the rest, and the rest against itself."""
+    """Deals rows of _opened to blocks (cluster, x, y) that cover each pair of different components: chunks of the largest
+    component against chunks of the rest, and the rest against itself. A cluster of two chunks' size is one block."""
     is_main = F.col("root") == F.col("main")
-    chunks = lambda n: F.ceil(n / F.greatest(F.lit(BLOCK), F.ceil(F.col("n") / 128))).cast("int")
+    share = F.greatest(F.lit(1.0 / CHUNK), F.col("weight") / F.col("n") / CHUNK_SHINGLES)  # chunks a document
+    chunks = lambda n: F.ceil(n * share).cast("int")
     rest_chunks, main_chunks = chunks(F.col("n") - F.col("n_main")), chunks(F.col("n_main"))
     own = F.pmod(F.xxhash64("doc_id"), F.when(is_main, main_chunks).otherwise(rest_chunks)).cast("int")
     rest = F.transform(F.sequence(F.lit(0), rest_chunks - 1), lambda i: F.struct(F.least(i, F.col("own")).alias("x"), F.greatest(i, F.col("own")).alias("y")))
     over = F.transform(F.sequence(F.lit(0), main_chunks - 1), lambda j: F.struct(F.col("own").alias("x"), (-1 - j).alias("y")))
     mains = F.transform(F.sequence(F.lit(0), rest_chunks - 1), lambda i: F.struct(i.alias("x"), (-1 - F.col("own")).alias("y")))
-    dealt = members.withColumn("own", own).withColumn("block", F.explode(F.when(is_main, mains).otherwise(F.concat(rest, over))))
-    return dealt.select("cluster", F.col("block.x").alias("x"), F.col("block.y").alias("y"), "doc_id", "root", "shingles")
+    whole = F.array(F.struct(F.lit(0).alias("x"), F.lit(0).alias("y")))
+    blocks = F.when(F.col("n") * share <= 2, whole).when(is_main, mains).otherwise(F.concat(rest, over))
+    return members.withColumn("own", own).withColumn("block", F.explode(blocks)).select("cluster", F.col("block.x").alias("x"), F.col("block.y").alias("y"), "doc_id", "root")
 
 
-def groups(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept for every row of docs."""
+def _grouped(spark: SparkSession, docs: DataFrame, large: int = LARGE) -> tuple[DataFrame, Scratch]:
+    """doc_id, mark (a hash of the text), n_shingles, digest (of the set) and component for every row of docs."""
     ready(spark)
     scratch = Scratch(spark, "near")
-    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    signed = scratch.save(texts.mapInArrow(_signed, "doc_id long, n_shingles long, digest binary, signature binary"), "signed")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    signed = texts.withColumn("mark", F.xxhash64("text")).mapInArrow(_signed, "doc_id long, mark long, n_shingles long, digest binary, signature binary")
+    signed = scratch.save(signed, "signed")
     known = signed.filter("digest is not null and doc_id is not null")
-    # one row for each distinct set; a doc_id that has several texts can stand for several sets
+    # one row for each distinct set; its node is its least doc_id, or a number of its own where that one has several sets
     reps = scratch.save(known.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("signature").alias("signature")), "reps")
-    marks = reps.select(F.col("rep").alias("doc_id"), "n", "signature")
+    twice = scratch.save(reps.groupBy("rep").count().filter("count > 1").select("rep"), "twice")
+    several = not twice.isEmpty()
+    if several:
+        other = F.shiftrightunsigned(F.xxhash64("digest"), 2) + F.lit(-(2**63)).cast("long")
+        node = F.when(F.col("several"), other).otherwise(F.col("rep"))
+        reps = scratch.save(reps.join(twice.withColumn("several", F.lit(True)), "rep", "left").select("digest", "rep", "n", "signature", node.alias("node")), "nodes")
+    else:
+        reps = reps.withColumn("node", F.col("rep"))
+    marks = reps.select(F.col("node").alias("doc_id"), "n", "signature")
 
     buckets = scratch.save(marks.select("doc_id", "signature").mapInArrow(_bands, "doc_id long, bucket long"), "buckets")
     centres = scratch.save(buckets.groupBy("bucket").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("z")).filter("a < z").select("bucket", "a"), "centres")
     near = scratch.save(buckets.join(centres, "bucket").filter("doc_id <> a").select("a", F.col("doc_id").alias("b")).distinct(), "near")
-    scratch.drop("buckets")
+    scratch.drop("buckets", "centres")
 
     left, right = (marks.select(F.col("doc_id").alias(k), F.col("n").alias(f"n{k}"), F.col("signature").alias(f"s{k}")) for k in "ab")
     with_b = scratch.save(near.join(right, "b"), "near-b")
     alike = scratch.save(with_b.join(left, "a").filter(F.expr(f"{LINK_OF} * least(na, nb) >= {LINK} * greatest(na, nb)")).select("a", "b", "sa", "sb").mapInArrow(_agree, "a long, b long").distinct(), "alike")
     scratch.drop("near-b")
 
-    wanted = scratch.save(near.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "wanted")
-    sets = scratch.save(texts.join(wanted, "doc_id", "left_semi").mapInArrow(_with_sets, "doc_id long, shingles binary").distinct(), "sets")
+    wanted = scratch.save(near.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "wanted")
+    if several:
+        ids = wanted.join(reps.select("node", "rep", "digest"), "node")
+        sets = texts.join(ids.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").mapInArrow(_with_sets, "doc_id long, shingles binary, digest binary")
+        sets = sets.join(ids.select("digest", "node"), "digest").select(F.col("node").alias("doc_id"), "shingles")
+    else:
+        sets = texts.join(wanted.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi").mapInArrow(_with_sets, "doc_id long, shingles binary, digest binary").select("doc_id", "shingles")
+    sets = scratch.save(sets.groupBy("doc_id").agg(F.first("shingles").alias("shingles")), "sets")
     with_a = scratch.save(alike.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("xa")), "a"), "alike-a")
     links = scratch.save(with_a.join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("xb")), "b").select("a", "b", "xa", "xb").mapInArrow(_confirm, "a long, b long").distinct(), "links")
-    scratch.drop("alike-a")
+    scratch.drop("alike", "alike-a", "wanted")
 
     found = scratch.save(components(scratch, links, "found"), "found")
     cluster = scratch.save(components(scratch, near, "cluster"), "cluster")
-    own_root = F.coalesce("root", "doc_id").alias("root")
+    scratch.drop("near")
     members = cluster.select(F.col("root").alias("cluster"), F.col("node").alias("doc_id")).unionByName(cluster.select(F.col("root").alias("cluster"), F.col("root").alias("doc_id")).distinct())
-    members = scratch.save(members.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("cluster", "doc_id", own_root), "members")
-    shares = scratch.save(members.groupBy("cluster", "root").agg(F.count(F.lit(1)).alias("k")).groupBy("cluster").agg(F.sum("k").alias("n"), F.max(F.struct("k", "root")).alias("most"), F.count(F.lit(1)).alias("roots")).filter("roots > 1").select("cluster", "n", F.col("most.k").alias("n_main"), F.col("most.root").alias("main")), "shares")
-    open_members = scratch.save(members.join(shares, "cluster"), "open")
-    dealt = _cross_blocks(open_members.join(sets, "doc_id"))
+    members = members.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").join(marks.select("doc_id", F.col("n").alias("n_shingles")), "doc_id")
+    members = scratch.save(members.select("cluster", "doc_id", F.coalesce("root", "doc_id").alias("root"), "n_shingles"), "members")
+    opened = scratch.save(_opened(members), "open")
+    far = opened.filter(F.col("n") > large)
+    if not far.isEmpty():
+        again = far.select("doc_id", "root", "n_shingles").join(marks.select("doc_id", "signature"), "doc_id").mapInArrow(_fine_bands, "doc_id long, root long, n_shingles long, cluster long")
+        again = scratch.save(again, "again").select(*members.columns)
+        opened = opened.filter(F.col("n") <= large).unionByName(scratch.save(_opened(again), "open-again"))
+    dealt = _cross_blocks(opened).join(sets, "doc_id")
     late = scratch.save(dealt.groupBy("cluster", "x", "y").applyInArrow(_blocks, "a long, b long").distinct(), "late")
+    scratch.drop("sets", "members", "cluster", "open", "open-again", "again")
 
-    if late.limit(1).count():
+    if not late.isEmpty():
         found = scratch.save(components(scratch, links.unionByName(late), "joined"), "joined")
-    root_of = F.coalesce(F.col("root"), F.col("rep"))
-    of_set = reps.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("digest", root_of.alias("component"))
-    rows = signed.select("doc_id", "n_shingles", "digest").join(of_set, "digest", "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
-    return rows.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    scratch.drop("links", "late")
+    component = reps.join(found, "node", "left").select("digest", "rep", F.coalesce("root", "node").alias("root"))
+    if several:  # roots may be numbers of sets: the component's least doc_id is sought
+        component = component.join(component.groupBy("root").agg(F.min("rep").alias("least")), "root").select("digest", F.col("least").alias("component"))
+    else:
+        component = component.select("digest", F.col("root").alias("component"))
+    component = scratch.save(component, "component")
+    scratch.drop("reps", "nodes", "found", "joined")
+    rows = signed.select("doc_id", "mark", "n_shingles", "digest").join(component, "digest", "left")
+    return rows.withColumn("component", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))), scratch
+
+
+def groups(spark: SparkSession, docs: DataFrame, large: int = LARGE) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept for every row of docs."""
+    rows, _ = _grouped(spark, docs, large)
+    return rows.select("doc_id", "n_shingles", F.col("component").alias("component_id"), F.coalesce(F.col("doc_id") == F.col("component"), F.lit(True)).alias("kept"))
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """One document of each group, the one with the least doc_id, and all that are in none, with docs' own columns. Of rows with
-    one doc_id the one with the least text stays; rows without a doc_id stay."""
-    kept = groups(spark, docs).filter("kept and doc_id is not null").select(F.col("doc_id").alias("__kept")).distinct()
+    one doc_id and one set one stays; rows with one doc_id and other sets stay as their own sets say; rows without a doc_id stay."""
+    rows, scratch = _grouped(spark, docs)
     own = [F.col(f"`{c}`") for c in docs.columns]
-    key = F.col("doc_id").cast("long")
-    first = docs.filter("doc_id is not null").join(kept, key == F.col("__kept"), "left_semi")
-    if not docs.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").isEmpty():
-        first = first.groupBy("doc_id").agg(F.min_by(F.struct(*own), F.struct(F.col("text").isNull(), "text")).alias("__row")).select("__row.*")
+    own_id, own_mark = unused(docs.columns, "id", "mark")
+    kept = rows.filter("doc_id = component").groupBy("doc_id", "digest").agg(F.min("mark").alias("mark"), F.count(F.lit(1)).alias("n"))
+    kept = scratch.save(kept.select(F.col("doc_id").alias(own_id), F.col("mark").alias(own_mark), "n"), "kept")
+    keyed = docs.filter("doc_id is not null").withColumns({own_id: F.col("doc_id").cast("long"), own_mark: F.xxhash64(F.col("text").cast("string"))})
+    first = keyed.join(kept.select(own_id, own_mark), [own_id, own_mark], "left_semi")
+    if not kept.filter("n > 1").isEmpty():  # rows may be there twice
+        (row,) = unused(docs.columns, "row")
+        first = first.groupBy(own_id, own_mark).agg(F.min_by(F.struct(*own), F.xxhash64(*own)).alias(row)).select(f"{row}.*")
     return first.select(*own).unionByName(docs.filter("doc_id is null").select(*own))
 
 

@@ -63,6 +63,31 @@ def test_links_that_no_star_sees_are_found(spark):
     assert {tuple(x) for x in got} == brute_groups(rows)
 
 
+def test_a_large_cluster_is_banded_again(spark):
+    r = random.Random(6)
+    base = prose(78, 150)
+    rows = [(i, edited(base, r.randint(2, 7), r)) for i in range(200)]
+    got = near_dedup.groups(spark, docs(spark, [(i, t, "en", "a") for i, t in rows]), large=20).collect()
+    assert {tuple(x) for x in got} == brute_groups(rows)
+
+
+def test_blocks_of_a_huge_cluster_are_small_and_hold_every_pair(spark):
+    from pyspark.sql import functions as F
+
+    n = 10_000
+    members = spark.range(n).select(F.lit(0).alias("cluster"), F.col("id").alias("doc_id"), F.when(F.col("id") < 9_000, 0).otherwise(F.col("id")).cast("long").alias("root"), F.lit(100).cast("long").alias("n_shingles"))
+    blocks = near_dedup._cross_blocks(near_dedup._opened(members)).groupBy("x", "y").agg(F.collect_list("doc_id").alias("ids")).collect()
+    assert max(len(b.ids) for b in blocks) < 4 * near_dedup.CHUNK
+    met = {}
+    for k, b in enumerate(blocks):
+        for i in b.ids:
+            met.setdefault(i, set()).add(k)
+    r = random.Random(1)
+    assert all(met[i] & met[j] for i, j in ((r.randrange(n), r.randrange(9_000, n)) for _ in range(3_000)) if i != j)
+    heavy = members.filter("doc_id >= 9000").withColumn("n_shingles", F.lit(500_000).cast("long"))
+    assert max(r["count"] for r in near_dedup._cross_blocks(near_dedup._opened(heavy)).groupBy("x", "y").count().collect()) < 20
+
+
 def test_groups_of_odd_rows(spark):
     got = {(x.doc_id, x.n_shingles): x for x in near_dedup.groups(spark, docs(spark, odd_rows(), True)).collect()}
     assert got[2, 0].component_id == 2 and got[2, 0].kept
@@ -72,6 +97,15 @@ def test_groups_of_odd_rows(spark):
     assert near_dedup.groups(spark, docs(spark, [])).count() == 0
 
 
+def test_rows_of_one_id_are_judged_by_their_own_texts(spark):
+    rows = [(1, prose(2, 60)), (2, prose(2, 60)), (2, prose(3, 60)), (3, prose(3, 60)), (3, prose(4, 50)), (3, prose(4, 50)), (4, prose(4, 50).upper()), (5, prose(5, 40)), (5, prose(5, 40) + " tail")]
+    df = docs(spark, [(i, t, "en", "a") for i, t in rows])
+    got = sorted((x.doc_id, x.n_shingles, x.component_id, x.kept) for x in near_dedup.groups(spark, df).collect())
+    assert got == [(1, 56, 1, True), (2, 56, 1, False), (2, 56, 2, True), (3, 46, 3, True), (3, 46, 3, True), (3, 56, 2, False), (4, 46, 3, False), (5, 36, 5, True), (5, 37, 5, True)]
+    out = near_dedup.one_of_each(spark, df).collect()
+    assert sorted((r.doc_id, r.text) for r in out) in [sorted([rows[0], rows[2], rows[4], x, y]) for x in rows[7:8] for y in rows[8:9]]
+
+
 def test_one_of_each_keeps_columns(spark):
     df = docs(spark, odd_rows(), True)
     out = near_dedup.one_of_each(spark, df)
