@@ -167,6 +167,7 @@ class PrefixCounter:
         self.letter_run, self.mark_run = regex.compile(r"\p{L}+"), regex.compile(r"[^\s\p{L}\p{N}]+")
         self.bytes = self._byte_letters()
         self.pairs: dict[tuple[str, str], bool] = {}
+        self.spines: tuple[dict[str, list[tuple[str, float]]], dict[str, list[tuple[str, float]]]] = ({}, {})  # at most an entry a token
         self.runs: dict[str, np.ndarray] = {}
         self.totals = _Totals(self)
 
@@ -184,9 +185,9 @@ class PrefixCounter:
         split = next(x for x in part["pretokenizers"] if x["type"] == "Split")
         return regex.compile(split["pattern"]["Regex"], regex.V1)
 
-    def _merged(self, symbols: list[str]) -> list[str]:
-        """Plain BPE: the pair of least rank first, the leftmost of equals."""
-        while len(symbols) > 1:
+    def _merged(self, symbols: list[str], few: int = 1) -> list[str]:
+        """Plain BPE: the pair of least rank first, the leftmost of equals, down to so few symbols."""
+        while len(symbols) > few:
             best = min((self.ranks.get(p, 1 << 60), i) for i, p in enumerate(zip(symbols, symbols[1:], strict=False)))
             if best[0] == 1 << 60:
                 break
@@ -194,14 +195,40 @@ class PrefixCounter:
             symbols[i : i + 2] = [symbols[i] + symbols[i + 1]]
         return symbols
 
+    def _spine(self, token: str, side: int) -> list[tuple[str, float]]:
+        """What stands at one end of a token (side 0: its begin, 1: its end) while it is merged, from the whole token to one byte, each
+        with the rank of the merge that takes it up. Pairs of symbols are merged in the order of their ranks, and a pair's rank is
+        above those that made its symbols."""
+        known = self.spines[side].get(token)
+        if known is None:
+            known, until = [(token, float("inf"))], token
+            while True:
+                if until.endswith(self.end) and len(until) > len(self.end):
+                    body = until[: -len(self.end)]
+                    symbols = [*body[:-1], body[-1] + self.end]
+                else:
+                    symbols = [*until]
+                if len(symbols) == 1:
+                    break
+                pair = self._merged(symbols, 2)
+                until = pair[side]
+                known.append((until, self.ranks[pair[0], pair[1]]))
+            self.spines[side][token] = known
+        return known
+
     def _may_follow(self, a: str, b: str, closed: bool) -> bool:
+        """Whether merging the bytes of two tokens afresh gives the same two: no pair across the border is merged while both of its
+        symbols stand there (of equal ranks the left one is merged first)."""
         key = (a, b + self.end) if closed else (a, b)
         known = self.pairs.get(key)
         if known is None:
-            symbols = [*a, *b]
-            if closed:
-                symbols[-1] += self.end
-            known = self._merged(symbols) == [*key]
+            ranks, known = self.ranks, True
+            ends, begins = self._spine(a, 1), self._spine(key[1], 0)
+            for x, until in ends:
+                for y, till in begins:
+                    r = ranks.get((x, y))
+                    if r is not None and r < until and r <= till:
+                        known = False
             if len(self.pairs) >= MAX_PAIRS:
                 self.pairs.clear()
             self.pairs[key] = known
