@@ -6,9 +6,10 @@ letters; a text's is the product over its words. The piece probabilities are fit
 and backward sums) on words of a bounded sample of labelled rows, smoothed with those of all languages together.
 
 The sample: SAMPLE rows a language are aimed at, by a hash of doc_id, after the labelled rows of each language have been
-counted; all rows are scored.
+counted. Their words are counted where they are; the SAMPLE_WORDS most frequent pairs of word and language reach the driver. All rows are
+scored. Of the vocabulary, pieces of up to MAX_PIECE letters are used; longer ones are covered by their parts.
 
-Words are runs of letters, in lower case. Runs of over MAX_LETTERS letters are scored in stretches of that length, so that the
+Words are runs of letters, as str.isalpha has them, in lower case. Runs of over MAX_LETTERS letters are scored in stretches of that length, so that the
 cost of a text grows with its length only. Letters that no piece holds count as one unknown piece.
 
 Defined results: null texts and texts without a letter are `und` with score 0; without training rows every other text is
@@ -30,15 +31,16 @@ from plausia.llm.common import cached_for, fold, held_out, ready, table, turn_to
 
 VOCABULARY = "piece_bpe_32k.model"
 FOLDS, HELD_OUT = 4, 2
-#: Labelled rows a language that the model is fitted on, and characters of them a language.
-SAMPLE, SAMPLE_CHARS = 400, 1_500_000
+#: Labelled rows a language that the model is fitted on, and counts of words at most.
+SAMPLE, SAMPLE_WORDS = 400, 400_000
 ROUNDS, SMOOTHING, UNKNOWN = 4, 2.0, 1e-7
 MAX_LETTERS, MAX_PIECE = 48, 12
 #: Words whose scores a worker keeps.
 MAX_WORDS = 400_000
 NONE = "und"
 
-_LETTERS = re.compile(r"[^\W\d_]+")
+#: Letters: what \w takes and is neither a digit, nor a number of another kind, nor an underscore.
+_LETTERS = re.compile(r"[^\W\d_" + "".join(c for c in map(chr, range(0x80, 0x110000)) if c.isnumeric() and not c.isdecimal() and not c.isalpha()) + "]+")
 
 
 def pieces(name: str = VOCABULARY) -> list[str]:
@@ -220,22 +222,30 @@ def _predicted(model: Model, key: int):
 
 
 def sample(docs: DataFrame, most: int = SAMPLE) -> tuple[dict[str, Counter], dict[str, int]]:
-    """Word counts of a bounded sample of labelled rows outside the held-out fold, and the labelled rows, by language."""
+    """Word counts of a bounded sample of labelled rows outside the held-out fold, and the number of labelled rows, by language."""
     labelled = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull()).filter(fold(F.col("doc_id"), FOLDS) != HELD_OUT)
     rows = {r.lang: r["count"] for r in labelled.groupBy("lang").count().collect()}  # one row a language
     share = F.lit(0.0)
     for lang, n in rows.items():
         share = F.when(F.col("lang") == lang, F.lit(min(1.0, most / n))).otherwise(share)
-    drawn = labelled.filter(F.pmod(F.xxhash64(F.col("doc_id")), F.lit(1_000_003)) < share * 1_000_003).select("doc_id", "lang", "text")
+    drawn = labelled.filter(F.pmod(F.xxhash64(F.col("doc_id")), F.lit(1_000_003)) < share * 1_000_003).select("lang", "text")
+    words = drawn.mapInArrow(_word_counts, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     counts: dict[str, Counter] = {lang: Counter() for lang in rows}
-    chars: Counter = Counter()
-    for r in sorted(drawn.toLocalIterator(), key=lambda r: r.doc_id):  # about `most` rows a language
-        if chars[r.lang] < SAMPLE_CHARS:
-            chars[r.lang] += len(r.text)
-            counts[r.lang].update(words_of(r.text))
+    for r in words.orderBy(F.desc("n"), "word", "lang").limit(SAMPLE_WORDS).collect():
+        counts[r.lang][r.word] = r.n
     return counts, rows
 
 
+def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    turn_to("language")
+    for b in batches:
+        counts: Counter = Counter()
+        for lang, text in zip(b.column("lang").to_pylist(), b.column("text").to_pylist(), strict=True):
+            for w, n in Counter(words_of(text)).items():
+                counts[lang, w] += n
+        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in counts], pa.string()), pa.array([k[1] for k in counts], pa.string()), pa.array([*counts.values()], pa.int64())], ["lang", "word", "n"])
+
+
 def predict(spark: SparkSession, docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """doc_id, held_out, lang_pred and score for every row of docs."""
     ready(spark)
