@@ -12,7 +12,7 @@ text can't be learned by heart. All rows are scored, whole.
 
 Defined results: null texts and texts without a word have the score of the bias alone; with fewer than two classes in the
 labels every score is the share of label 1 (0 without labels); several labels of one doc_id count as their maximum;
-repeated rows are scored each.
+repeated rows are scored each. Other columns of the input, whatever their names, are neither read nor returned.
 """
 
 from __future__ import annotations
@@ -187,7 +187,8 @@ def trained(docs: DataFrame, labels: DataFrame, scratch: Scratch, most: int = SA
     # about 2 * most ids, so small enough to send to every task that reads the texts
     texts = docs.filter(F.col("text").isNotNull()).join(F.broadcast(drawn), "doc_id").select("doc_id", "label", "text")
     bags, of = Bags(), array("b")
-    for r in texts.toLocalIterator():
+    # in one order whatever the layout of the table, so that a rerun fits the same floats
+    for r in texts.orderBy("doc_id", F.xxhash64("text")).toLocalIterator():
         bags.add(r.text)
         of.append(r.label)
     of = np.array(of, np.int64)
