@@ -25,7 +25,7 @@ rows fit the classifier, and all rows are mixed.
 
 Defined results: null and empty texts have no tokens and features of their own; without labels there is one domain, `all`,
 and every rate is the budget; a domain with the weight 0 has the target 0, one that the targets don't name is left free; a null doc_id is
-never labelled; several labels of one doc_id count as their maximum; repeated rows have rates each.
+never labelled; several labels of one doc_id count as their maximum; repeated rows have rates each. Columns may have any name.
 """
 
 from __future__ import annotations
@@ -36,7 +36,7 @@ import warnings
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from plausia.llm.common import Scratch, table
+from plausia.llm.common import NULL_ID, Scratch, table, unused
 
 #: Shares that the named domains should have of their tokens after mixing; scaled to a sum of 1 over those there are.
 TARGETS = {"q1_t0": 0.90, "q1_t1": 0.03, "q0_t0": 0.06, "q0_t1": 0.01}
@@ -76,6 +76,7 @@ def telling_words(docs: DataFrame, domains: DataFrame, scratch: Scratch, most: i
     """The words whose presence parts the domains best, by chi-square over a bounded sample of labelled rows."""
     n = domains.count()
     drawn = scratch.save(domains.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < min(1.0, sample / max(1, n)) * 1_000_003), "drawn")
+    # about `sample` ids
     texts = docs.join(F.broadcast(drawn), "doc_id").select("doc_id", "domain", F.explode(F.array_distinct(_plain_words(F.col("text")))).alias("word")).filter("word <> ''")
     of = {r.domain: r["count"] for r in drawn.groupBy("domain").count().collect()}  # a row a domain
     total = sum(of.values())
@@ -89,14 +90,14 @@ def telling_words(docs: DataFrame, domains: DataFrame, scratch: Scratch, most: i
 
 
 def features(docs: DataFrame, words: list[str]) -> DataFrame:
-    """doc_id, n_tokens and the array features of every row of docs."""
+    """doc_id, mark, n_tokens and the array features of every row of docs (doc_id, mark, text)."""
     text = F.coalesce(F.col("text"), F.lit(""))
     chars = F.char_length(text)
     tokens = F.size(F.array_remove(F.split(text, BLANK + "+"), ""))
     lines = F.split(text, "\n")
     found = F.array_intersect(_plain_words(text), F.array(*map(F.lit, words)).cast("array<string>"))
     raw = docs.select(
-        F.col("doc_id"), tokens.cast("long").alias("n_tokens"), chars.alias("chars"), F.regexp_count(text, F.lit(r"[#*$%&|<>]")).alias("symbols"),
+        F.col("doc_id"), F.col("mark"), tokens.cast("long").alias("n_tokens"), chars.alias("chars"), F.regexp_count(text, F.lit(r"[#*$%&|<>]")).alias("symbols"),
         F.regexp_count(text, F.lit("[A-Z]")).alias("upper"), F.size(lines).alias("lines"), F.size(F.array_distinct(lines)).alias("distinct_lines"),
         F.size(F.array_distinct(F.split(text, " "))).alias("distinct_words"), found.alias("found"),
     )
@@ -109,7 +110,7 @@ def features(docs: DataFrame, words: list[str]) -> DataFrame:
         _bands(F.col("distinct_lines") / F.col("lines"), [0.5, 0.7, 0.9, 1.0], "lines"),
         _bands(per_word("distinct_words"), [0.1, 0.2, 0.35, 0.5, 0.7, 0.9], "words"),
     )
-    return raw.select("doc_id", "n_tokens", F.concat(bands, F.when(F.size("found") == 0, F.array(F.lit("has none"))).otherwise(F.transform("found", lambda w: F.concat(F.lit("has:"), w)))).alias("features"))
+    return raw.select("doc_id", "mark", "n_tokens", F.concat(bands, F.when(F.size("found") == 0, F.array(F.lit("has none"))).otherwise(F.transform("found", lambda w: F.concat(F.lit("has:"), w)))).alias("features"))
 
 
 def posteriors(known: DataFrame, domains: DataFrame) -> tuple[list[str], DataFrame]:
@@ -214,31 +215,41 @@ def rates(known: DataFrame, names: list[str], targets: dict[str, float] | None =
     return rate, {d: (t if h else s, s) for d, t, s, h in zip(names, wanted, now, held, strict=True)}, gap
 
 
-def mixed(spark: SparkSession, docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, budget: float = BUDGET, iterations: int = ITERATIONS) -> DataFrame:
-    """doc_id, n_tokens, domain (the likeliest), posterior, rate, gap and copies for every row of docs. copies: the rate rounded
-    up or down by a hash of doc_id, so that copies match rates in the mean and a rerun gives the same."""
+def _rated(spark: SparkSession, docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None, budget: float, iterations: int) -> DataFrame:
+    """What mixed() returns, and mark, a hash of the row's text."""
     scratch = Scratch(spark, "mixing")
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("mark"), F.col("text").cast("string").alias("text"))
     domains = scratch.save(domain_of(labels), "domains")
     words = telling_words(rows, domains, scratch)
     known = scratch.save(features(rows, words), "features")
     names, known = posteriors(known, domains)
-    known = scratch.save(known.select("doc_id", "n_tokens", "posterior"), "posteriors")
+    known = scratch.save(known.select("doc_id", "mark", "n_tokens", "posterior"), "posteriors")
+    scratch.drop("features", "domains", "drawn")
     rate, per, gap = rates(known, names, targets, budget, iterations)
     if gap > TOLERANCE:
-        warnings.warn("mixing misses its targets: " + ", ".join(f"{d} wants {t:.6g} tokens and has {s:.6g}" for d, (t, s) in per.items()), stacklevel=2)
+        warnings.warn("mixing misses its targets: " + ", ".join(f"{d} wants {t:.6g} tokens and has {s:.6g}" for d, (t, s) in per.items()), stacklevel=3)
     domain = F.element_at(F.array(*map(F.lit, names)), F.array_position("posterior", F.array_max("posterior")).cast("int"))
-    out = known.select("doc_id", "n_tokens", domain.alias("domain"), "posterior", rate.alias("rate"), F.lit(gap).alias("gap"))
-    part = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id"), F.lit(0))), F.lit(1_000_003)) / F.lit(1_000_003.0)
+    out = known.select("doc_id", "mark", "n_tokens", domain.alias("domain"), "posterior", rate.alias("rate"), F.lit(gap).alias("gap"))
+    part = F.pmod(F.xxhash64("doc_id", "mark"), F.lit(1_000_003)) / F.lit(1_000_003.0)
     return out.withColumn("copies", (F.floor("rate") + F.when(part < F.col("rate") - F.floor("rate"), 1).otherwise(0)).cast("long"))
 
 
+def mixed(spark: SparkSession, docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, budget: float = BUDGET, iterations: int = ITERATIONS) -> DataFrame:
+    """doc_id, n_tokens, domain (the likeliest), posterior, rate, gap and copies for every row of docs. copies: the rate rounded
+    up or down by a hash of doc_id and text, so that copies match rates in the mean and a rerun gives the same."""
+    return _rated(spark, docs, labels, targets, budget, iterations).drop("mark")
+
+
 def drawn(spark: SparkSession, docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None) -> DataFrame:
     """docs with rate and copies (in the place of columns of these names), without the rows that get no copy. Rows with one
-    doc_id share the mean of their rates."""
-    by = mixed(spark, docs, labels, targets).groupBy(F.col("doc_id").alias("__id")).agg(F.avg("rate").alias("__rate"), F.max("copies").alias("__copies")).filter("__copies > 0")
+    doc_id and one text have one rate."""
+    own_id, own_mark, own_rate, own_copies = unused(docs.columns, "id", "mark", "rate", "copies")
+    key = lambda c: F.coalesce(c, F.lit(NULL_ID))
+    rated = _rated(spark, docs, labels, targets, BUDGET, ITERATIONS).filter("copies > 0")
+    by = rated.groupBy(key(F.col("doc_id")).alias(own_id), F.col("mark").alias(own_mark)).agg(F.first("rate").alias(own_rate), F.first("copies").alias(own_copies))
+    keyed = docs.withColumns({own_id: key(F.col("doc_id").cast("long")), own_mark: F.xxhash64(F.col("text").cast("string"))})
     own = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("rate", "copies")]
-    return docs.join(by, F.col("doc_id").cast("long").eqNullSafe(F.col("__id"))).select(*own, F.col("__rate").alias("rate"), F.col("__copies").alias("copies"))
+    return keyed.join(by, [own_id, own_mark]).select(*own, F.col(own_rate).alias("rate"), F.col(own_copies).alias("copies"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
