@@ -45,7 +45,7 @@ def test_policies_and_ablations_read_the_ledger_alone(spark):
 
 
 URLS = [None, "", "no scheme", "http://EXAMPLE.com/en/x", "https://www.Example.com/en/", "http://a.example.com/en/1?x=/en/", "http://x.net/es/1", "http://x.net/fr", "http://com/", "http://com", "http://foo.org/casino", "http://foo.org/casinos",
-        "http://foo.org/free-bets", "http://foo.org/free/free", "ftp://u:p@host.org:80/a#b?c", "http://foo.org?x=viagra", "http://xcom/", "://", "http://ads-track.org/", "http://example.com/EN/", "http://é.org/porn"]
+        "http://foo.org/free-bets", "http://foo.org/free/free", "ftp://u:p@host.org:80/a#b?c", "http://foo.org?x=viagra", "http://xcom/", "://", "http://ads-track.org/", "http://example.com/EN/", "http://é.org/porn", "http://foo.org/free-betting"]
 
 
 def test_urls_equal_sql(spark):
@@ -57,10 +57,21 @@ def test_urls_equal_sql(spark):
     none = lambda v: None if v is None or v != v else v
     rel = c.execute(url_filter.ORACLE_SQL)
     names = [x[0] for x in rel.description]
-    want = {tuple(none(dict(zip(names, r, strict=True))[k]) for k in ("page_id", "host", "path", "rule", "verdict", "n_terms")) for r in rel.fetchall()}
+    want = {tuple(none(dict(zip(names, r, strict=True))[k]) for k in ("page_id", "host", "path", "rule", "verdict", "n_terms", "soft_weight")) for r in rel.fetchall()}
     assert got == want
     by = {r[0]: r for r in got}
-    assert by[5][3:5] == ("example.com/en/", "block") and by[4][3:5] == ("www.example.com/en/", "allow") and by[10][4] == "block" and by[11][4] == "allow" and by[12][4] == "block" and by[13][4] == "allow"
+    assert by[5][3:5] == ("example.com/en/", "block") and by[4][3:5] == ("www.example.com/en/", "allow") and by[10][4] == "block" and by[11][4] == "allow" and by[12][4] == "allow" and by[13][4] == "allow" and by[21][4] == "block"
+
+
+def test_weights_matter_and_come_from_a_table(spark):
+    words = spark.createDataFrame([("alpha", 1.5), ("beta", 0.5), ("gamma", 0.5), ("delta", 9.0), ("omega", None), ("BETA", 0.25), ("", 1.0), (None, None)], "term string, weight double")
+    urls = ["http://a.org/alpha-beta", "http://a.org/beta/gamma", "http://a.org/alpha/alpha", "http://a.org/delta", "http://a.org/omega", "http://a.org/beta.gamma.alpha", "http://a.org/delta_beta", "http://a.org/xalpha-beta"]
+    pages = spark.createDataFrame([*enumerate(urls)], "page_id long, url string")
+    got = sorted(tuple(r) for r in url_filter.judged(spark, pages, (), words).select("page_id", "verdict", "n_terms", "soft_weight").collect())
+    assert [r[1] for r in got] == ["block", "allow", "allow", "allow", "block", "block", "block", "allow"]
+    assert [r[3] for r in got] == [2.0, 1.0, 1.5, 9.0, 0.0, 2.5, 9.5, 0.5]
+    none = url_filter.judged(spark, pages, (), words.limit(0)).collect()
+    assert {r.verdict for r in none} == {"allow"} and url_filter.judged(spark, pages.limit(0), (), words).count() == 0
 
 
 QUESTION = "Alice buys 3 kg of apples at the market and pays 12 dollars while her friend Maria buys 5 kg of pears for the same price"

@@ -1,6 +1,7 @@
 """Classifiers and counters: held-out accuracy, exact counts, defined results for odd rows."""
 
 import random
+import time
 import zlib
 
 import numpy as np
@@ -109,6 +110,71 @@ def test_languages_of_odd_rows(spark):
     assert language_id.predict(spark, unlabelled).first().lang_pred == "und"
 
 
+def test_numbers_that_are_no_letters_have_no_language(spark):
+    d, _ = labelled(spark, 100)
+    odd = docs(spark, [(900, "½ ² Ⅷ ① 12", "en", "a"), (901, "½ water", "en", "a")])
+    got = {r.doc_id: r.lang_pred for r in language_id.predict(spark, d.unionByName(odd)).collect()}
+    assert got[900] == "und" and got[901] != "und"
+    assert not any(language_id._LETTERS.search(c) for c in map(chr, range(0x110000)) if not c.isalpha()) and all(language_id._LETTERS.fullmatch(c) for c in map(chr, range(0x110000)) if c.isalpha())
+
+
+def test_language_predictions_equal_brute_force(spark):
+    """The query's scores from sums over every segmentation, one by one."""
+    d, _ = labelled(spark, 60)
+    vocabulary = language_id.pieces()
+    m = language_id.fit(*language_id.sample(d.select("doc_id", "text", "lang")), vocabulary)
+
+    def summed(s, c):
+        memo = [1.0]
+        for j in range(1, len(s) + 1):
+            memo.append(sum(memo[i] * (m.p[m.number[s[i:j]], c] if s[i:j] in m.number else language_id.UNKNOWN if j - i == 1 else 0.0) for i in range(max(0, j - language_id.MAX_PIECE), j)))
+        return np.log(memo[-1])
+
+    for r in language_id.predict(spark, d).limit(15).collect():
+        text = d.filter(F.col("doc_id") == r.doc_id).first().text
+        z = np.array([m.prior[c] + sum(summed("▁" + w, c) for w in language_id.words_of(text)) for c in range(len(m.languages))])
+        assert r.lang_pred == m.languages[int(z.argmax())] and np.isclose(r.score, 1 / np.exp(z - z.max()).sum())
+
+
+def test_quality_scores_equal_brute_force(spark):
+    """The query's scores from plain Gaussian densities with the same shrinkage."""
+    d, l = labelled(spark, 200)
+    q = quality_classifier
+    truth = {r.doc_id: r.quality for r in l.collect()}
+    x = {r.doc_id: np.array(q.statistics(r.text.encode())) for r in d.collect()}
+    train = {c: np.array([x[i] for i in x if zlib.crc32(str(i).encode()) % 5 and truth[i] == c]) for c in (0, 1)}
+    n = {c: len(v) for c, v in train.items()}
+    own = {c: np.cov(v.T, bias=True) for c, v in train.items()}
+    both = (n[0] * own[0] + n[1] * own[1]) / (n[0] + n[1])
+
+    def density(at, c):
+        s = (1 - q.SHRINK_POOLED) * own[c] + q.SHRINK_POOLED * both
+        s = (1 - q.SHRINK_DIAGONAL) * s + q.SHRINK_DIAGONAL * np.diag(np.diag(s)) + q.RIDGE * np.diag(1 + np.diag(both))
+        gap = at - train[c].mean(0)
+        return np.log(n[c] / (n[0] + n[1])) - 0.5 * np.linalg.slogdet(s)[1] - 0.5 * gap @ np.linalg.inv(s) @ gap
+
+    got = q.classify(spark, d, l).collect()
+    want = {i: density(v, 1) - density(v, 0) for i, v in x.items()}
+    assert all(np.isclose(r.log_density_difference, want[r.doc_id], rtol=1e-5, atol=1e-5) for r in got)
+    order = sorted(got, key=lambda r: want[r.doc_id])
+    assert all(a.score <= b.score + 1e-12 for a, b in zip(order, order[1:], strict=False))
+
+
+def test_toxicity_scores_equal_brute_force(spark, tmp_path):
+    """The query's scores from the softmax over averaged embeddings, word by word; and one fit whatever the table's layout."""
+    d, l = labelled(spark, 300)
+    got = {r.doc_id: r.score for r in toxicity.score(spark, d, l).collect()}
+    again = {r.doc_id: r.score for r in toxicity.score(spark, d.orderBy(F.rand(3)).repartition(5), l).collect()}
+    assert got == again
+    from plausia.llm.common import Scratch
+
+    m = toxicity.trained(d, l, Scratch(spark, "t"))
+    for r in d.limit(40).collect():
+        words = toxicity.words_of(r.text)
+        z = sum(np.mean([m.bucket[b] for b in toxicity.bag(w)]) for w in words) / (len(words) + toxicity.PADDING) + m.bias
+        assert np.isclose(got[r.doc_id], 1 / (1 + np.exp(-z)))
+
+
 def test_toxicity_on_held_out_rows_and_misspellings(spark):
     d, l = labelled(spark, 600)
     got = toxicity.score(spark, d, l).collect()
@@ -127,7 +193,7 @@ def test_toxicity_of_odd_rows(spark):
     assert {r.score for r in toxicity.score(spark, odd, none).collect()} == {0.0}
 
 
-ODD_TEXTS = ["The", "I'll", "we've", "l'eau", "''s", "'''ll", "naïve", "ÉCOLE", "İstanbul", "ΣΟΦΟΣ", "日本語テキスト", "한국어", "각각", "été", "👍🏽👩‍👩‍👧", "<|endoftext|>", "x<|startoftext|>y", "<|endoftext", "12345", "a1b2", "foo.bar,baz!!", "***&&&", "ﬁ", "क्षि", "ß", "antidisestablishmentarianism", "aaaaaaaaaaaaaaaa", "\x1c\x1f", "ǅ", "it's's", "'S"]
+ODD_TEXTS = ["The", "I'll", "we've", "l'eau", "''s", "'''ll", "naïve", "ÉCOLE", "İstanbul", "ΣΟΦΟΣ", "日本語テキスト", "한국어", "각각", "été", "👍🏽👩‍👩‍👧", "<|endoftext|>", "x<|startoftext|>y", "<|endoftext", "12345", "a1b2", "foo.bar,baz!!", "***&&&", "ﬁ", "क्षि", "ß", "antidisestablishmentarianism", "aaaaaaaaaaaaaaaa", "\x1c\x1f", "ǅ", "it's's", "'S", "'re\u0301", "'r", "d\u0323\u0307", "\u0301", "ที่นี่", "\u1112\u1161\u11ab", "\u037e", "\u212b", "!!!'"]
 
 
 @pytest.mark.parametrize("seed", range(3))
@@ -140,6 +206,36 @@ def test_counts_at_every_prefix_equal_the_library(seed):
         assert list(c.prefixes(t)) == want and c.total(t) == want[-1]
 
 
+@pytest.mark.parametrize("unit", ["ที่นี่กำลังใจ", "\u1112\u1161\u11ab\u1100\u1173\u11af", "e\u0301to\u0302", "abcdefg", "'", "<|endoftext|>"])
+def test_long_runs_cost_what_their_length_is(unit):
+    """200,000 code points without a blank, in any script, whole and at every prefix."""
+    c = token_counts.counter(token_counts.vocabulary_path())
+    text = (unit * (200_000 // len(unit) + 1))[:200_000]
+    began = time.process_time()
+    whole, prefixes = c.total(text), c.prefixes(text)
+    assert time.process_time() - began < 60
+    assert whole == prefixes[-1] == len(c.library.encode(text, add_special_tokens=False).ids)
+    assert [*prefixes[:150]] == [len(c.library.encode(text[:k], add_special_tokens=False).ids) for k in range(150)]
+
+
+def test_counts_are_the_ledgers_last_entries(spark):
+    rows = odd_rows() + [(50 + i, "".join(random.Random(i).choice(ODD_TEXTS) for _ in range(40)), "en", "a") for i in range(5)]
+    d = docs(spark, rows)
+    key = lambda r: (r.doc_id is None, r.doc_id or 0)
+    counts = sorted((*key(r), r.n_tokens) for r in token_counts.token_counts(spark, d).collect())
+    assert counts == sorted((*key(r), token_counts.tokens_at(bytes(r.steps), 10**9)) for r in token_counts.prefix_ledger(spark, d).collect())
+
+
+def test_tokens_follow_as_plain_merging_has_it():
+    c = token_counts.counter(token_counts.vocabulary_path())
+    r, opened, closed = random.Random(3), sorted(c.open), sorted(c.closed)
+    for _ in range(3_000):
+        ends = r.random() < 0.5
+        a, b = r.choice(opened), r.choice(closed if ends else opened)
+        symbols = [*a, *b[:-1], b[-1] + c.end] if ends else [*a, *b]
+        assert c._may_follow(a, b, ends) == (c._merged(symbols) == [a, b + c.end if ends else b]), (a, b, ends)
+
+
 def test_ledger_answers_budget_questions(spark):
     text = prose(3, 200) + " don't stop"
     c = token_counts.counter(token_counts.vocabulary_path())
