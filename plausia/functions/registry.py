@@ -56,21 +56,6 @@ def in_quoted_block(body: pd.Series, start: pd.Series, end: pd.Series) -> pd.Ser
     return pd.Series([None if b is None or pd.isna(s) else quotes.in_quoted_block(b, (int(s), int(e))) for b, s, e in zip(body, start, end, strict=True)], dtype=object)
 
 
-@F.pandas_udf(T.StringType())
-def own_words(body: pd.Series) -> pd.Series:
-    return body.map(lambda x: None if x is None else quotes.own_words(x))
-
-
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def sentences(text: pd.Series) -> pd.Series:
-    return text.map(lambda x: None if x is None else quotes.sentences(x))
-
-
-@F.pandas_udf(T.BooleanType())
-def found_unnegated(phrase: pd.Series, text: pd.Series) -> pd.Series:
-    return pd.Series([None if p is None or t is None else quotes.found_unnegated(p, t) for p, t in zip(phrase, text, strict=True)], dtype=object)
-
-
 @F.pandas_udf(T.StructType([T.StructField("min", T.DoubleType()), T.StructField("max", T.DoubleType()), T.StructField("currency", T.StringType())]))
 def parse_budget(text: pd.Series) -> pd.DataFrame:
     rows = [requests.parse_budget(t) or {} if t is not None else {} for t in text]
@@ -79,7 +64,7 @@ def parse_budget(text: pd.Series) -> pd.DataFrame:
 
 FUNCTIONS = {
     f.__name__: f
-    for f in (name_words, same_product, written_alike, spelling_slip, singular, unescaped, quote_plain, find_quote, in_quoted_block, own_words, sentences, found_unnegated, parse_budget)
+    for f in (name_words, same_product, written_alike, spelling_slip, singular, unescaped, quote_plain, find_quote, in_quoted_block, parse_budget)
 }
 
 

@@ -1,7 +1,8 @@
 """Matching names: blocking, verified pairs, grouping into products.
 
-Names that mean one product share a word, a slip's block (first letter and lengths), or a joined run; those are the keys that
-candidates are joined on, so no pair of names is compared without one. The exact test runs on candidates only.
+Every word of the shorter of two names that match stands in the longer one: as it is, misspelt, or joined with its neighbours. So
+a name looks for partners with its rarest word only, among the names that hold that word in one of those forms; a brand's word, which
+thousands of names share, is nobody's rarest but the brand's own. The exact test runs on these candidates only.
 """
 
 from __future__ import annotations
@@ -9,61 +10,145 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from plausia.functions import names as n
-from plausia.operators.copies import components
+from plausia.operators.copies import components, ensure_checkpoint_dir
 
+#: Short names that are sent to every task at most.
+MOST_ALIASES = 200_000
 
-def block_keys(name: str) -> list[str]:
-    """Keys such that names that could mean one product share one: the first words' slips need a key, and any other word too."""
-    words = n.name_words(name)
-    out = set(words) | {w.removesuffix("s") for w in words if len(w) > n.PLURAL_LENGTH}
-    for i in range(len(words)):
-        for k in range(2, n.JOINED + 1):
-            if i + k <= len(words):
-                out.add("".join(words[i : i + k]))
-    for w in words:
-        if len(w) >= n.DOUBLED_LENGTH:  # one letter left out, the first kept: any two words one edit or swap apart share one
-            out |= {"~" + w} | {"~" + w[:i] + w[i + 1 :] for i in range(1, len(w))}
-            out |= {"~~" + w[0] + "".join(sorted(w[1:]))}
-    return sorted(out)
 
+def forms(word: str) -> set[str]:
+    """What a word and its misspellings have in common: the word, and for longer ones each way to leave out a letter but the first, and
+    their letters in order."""
+    out = {word}
+    if len(word) >= min(n.PLURAL_LENGTH, n.DOUBLED_LENGTH):
+        out |= {"~" + word} | {"~" + word[:i] + word[i + 1 :] for i in range(1, len(word))} | {"~~" + word[0] + "".join(sorted(word[1:]))}
+    return out
 
-def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def joined_runs(words: tuple[str, ...], around: int | None = None) -> set[str]:
+    """Runs of neighbours as one word; only those that hold a place, if one is given."""
+    return {"".join(words[i : i + k]) for k in range(2, n.JOINED + 1) for i in range(len(words) - k + 1) if around is None or i <= around < i + k}
+
+
+def held_keys(words: tuple[str, ...]) -> list[str]:
+    return sorted({f for w in words for f in forms(w)} | joined_runs(words))
+
+
+def sought_keys(words: tuple[str, ...], at: int) -> list[str]:
+    return sorted(forms(words[at]) | joined_runs(words, at))
+
+
+def without_a_letter(word: Column) -> Column:
+    """A word and all that is left of it without one letter but the first: words one edit apart with one first letter share an entry."""
+    cut = F.transform(F.sequence(F.lit(1), F.length(word)), lambda i: F.when((i == 1) | (i > F.length(word)), word).otherwise(F.concat(F.substring(word, F.lit(1), i - 1), F.substring(word, i + 1, F.length(word)))))
+    return F.array_distinct(cut)
+
+
+def alias_lists(aliases: DataFrame | None) -> dict[str, n.Aliases]:
+    """A table of short names (category, short, full) by category; more than MOST_ALIASES are an error."""
+    if aliases is None:
+        return {}
+    rows = aliases.select("category", "short", "full").limit(MOST_ALIASES + 1).collect()
+    if len(rows) > MOST_ALIASES:
+        raise ValueError(f"more than {MOST_ALIASES} short names")
+    out: dict[str, list[tuple[str, str]]] = {}
+    for r in sorted(rows):
+        out.setdefault(r.category, []).append((r.short, r.full))
+    return {c: n.aliases_of(pairs) for c, pairs in out.items()}
+
+
+def _with_words(aliases: dict[str, n.Aliases]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            words = [list(n.name_words(x, aliases.get(c))) if x is not None else [] for c, x in zip(b.column("category").to_pylist(), b.column("name").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column("category"), b.column("name"), pa.array(words, pa.list_(pa.string()))], ["category", "name", "words"])
+
+    return run
+
+
+def named_words(names: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
+    """category, name and words of the distinct names that have words."""
+    distinct = names.select(F.col("category").cast("string"), F.col("name").cast("string")).distinct()
+    return distinct.mapInArrow(_with_words(alias_lists(aliases)), "category string, name string, words array<string>").filter("size(words) > 0")
+
+
+def _held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        keys = [block_keys(x) if x is not None else [] for x in b.column("name").to_pylist()]
+        keys = [held_keys(tuple(w)) for w in b.column("words").to_pylist()]
         yield pa.RecordBatch.from_arrays([*b.columns, pa.array(keys, pa.list_(pa.string()))], [*b.schema.names, "keys"])
 
 
-def candidate_pairs(names: DataFrame) -> DataFrame:
-    """names: category, name, distinct. Pairs (a < b) of a category's names that share a block key."""
-    keyed = names.select("category", "name").mapInArrow(_keyed, "category string, name string, keys array<string>").select("category", "name", F.explode("keys").alias("key"))
-    a, b = keyed.withColumnRenamed("name", "a"), keyed.withColumnRenamed("name", "b")
-    return a.join(b, ["category", "key"]).filter("a < b").select("category", "a", "b").distinct()
+def _sought(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        keys = [sought_keys(tuple(w), at) for w, at in zip(b.column("words").to_pylist(), b.column("at").to_pylist(), strict=True)]
+        names = ["category", "name", "words"]
+        yield pa.RecordBatch.from_arrays([*map(b.column, names), pa.array(keys, pa.list_(pa.string()))], [*names, "keys"])
+
+
+def candidate_pairs(named: DataFrame) -> DataFrame:
+    """Pairs (a < b, with their words wa and wb) of a category's names of which one holds the other's rarest word."""
+    places = named.select("category", "name", "words", F.posexplode("words").alias("at", "word"))
+    spread = places.groupBy("category", "word").agg(F.count(F.lit(1)).alias("spread"))
+    order = F.struct((F.col("word") == "and").alias("last"), "spread", "word", "at")  # an "and" may be left out by either name
+    rarest = places.join(spread, ["category", "word"]).groupBy("category", "name").agg(F.min(order).alias("r"), F.first("words").alias("words")).select("category", "name", "words", F.col("r.at").alias("at"))
+    schema = "category string, name string, words array<string>, keys array<string>"
+    seeks = rarest.mapInArrow(_sought, schema).select("category", F.col("name").alias("x"), F.col("words").alias("wx"), F.explode("keys").alias("key"))
+    holds = named.mapInArrow(_held, schema).select("category", F.col("name").alias("y"), F.col("words").alias("wy"), F.explode("keys").alias("key"))
+    met = seeks.join(holds, ["category", "key"]).filter("x <> y")
+    turn = F.col("x") < F.col("y")
+    pick = lambda p, q: F.when(turn, F.col(p)).otherwise(F.col(q))
+    return met.select("category", pick("x", "y").alias("a"), pick("y", "x").alias("b"), pick("wx", "wy").alias("wa"), pick("wy", "wx").alias("wb")).distinct()
 
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        pairs = [(n.name_words(x), n.name_words(y)) for x, y in zip(b.column("a").to_pylist(), b.column("b").to_pylist(), strict=True)]
+        pairs = [(tuple(x), tuple(y)) for x, y in zip(b.column("wa").to_pylist(), b.column("wb").to_pylist(), strict=True)]
         same, alike = [n.same_words(x, y) for x, y in pairs], [n.written_alike(x, y) for x, y in pairs]
-        out = pa.RecordBatch.from_arrays([b.column("category"), b.column("a"), b.column("b"), pa.array(alike)], ["category", "a", "b", "alike"])
+        out = pa.RecordBatch.from_arrays([b.column("category"), b.column("a"), b.column("b"), pa.array(alike, pa.bool_())], ["category", "a", "b", "alike"])
         yield out.filter(pa.array(same, pa.bool_()))
 
 
-def matching_pairs(names: DataFrame) -> DataFrame:
-    return candidate_pairs(names).mapInArrow(_verified, "category string, a string, b string, alike boolean")
+def matching_pairs(names: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
+    """category, a, b and alike for the pairs (a < b) of a category's names that mean one product."""
+    ensure_checkpoint_dir(names.sparkSession)
+    named = named_words(names, aliases).checkpoint()
+    return candidate_pairs(named).mapInArrow(_verified, "category string, a string, b string, alike boolean")
+
+
+def both_ways(pairs: DataFrame) -> DataFrame:
+    """category, name, other and alike, each pair from either end."""
+    ends = lambda x, y: pairs.select("category", F.col(x).alias("name"), F.col(y).alias("other"), "alike")
+    return ends("a", "b").unionByName(ends("b", "a"))
+
 
+def loose_names(pairs: DataFrame) -> DataFrame:
+    """category and name of the names that fit two names which don't fit one another.
 
-def group_products(names: DataFrame) -> DataFrame:
+    A name's first partner is held against its others: where one doesn't fit it, the name is loose, which settles names with
+    very many partners. Only where the first partner fits all others are the others held against one another.
+    """
+    ends = both_ways(pairs).filter("not alike").select("category", "name", "other")
+    known = pairs.select("category", F.col("a").alias("lo"), F.col("b").alias("hi"))
+
+    def torn(two: DataFrame) -> DataFrame:
+        """Of (category, name, x, y) the names of which some x and y aren't a pair."""
+        return two.select("category", "name", F.least("x", "y").alias("lo"), F.greatest("x", "y").alias("hi")).join(known, ["category", "lo", "hi"], "left_anti").select("category", "name").distinct()
+
+    first = ends.groupBy("category", "name").agg(F.min("other").alias("x"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    by_first = torn(ends.join(first, ["category", "name"]).filter("other <> x").withColumnRenamed("other", "y")).checkpoint()
+    open_ = ends.join(first.filter("n > 2").select("category", "name"), ["category", "name"], "left_semi").join(by_first, ["category", "name"], "left_anti")
+    x, y = open_.withColumnRenamed("other", "x"), open_.withColumnRenamed("other", "y")
+    return by_first.unionByName(torn(x.join(y, ["category", "name"]).filter("x < y"))).distinct()
+
+
+def group_products(names: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
     """name to product, within a category: names written alike are one; a name that fits longer names which don't fit one
     another is loose and stays apart; the rest join the names they match. names: category, name, n (mentions)."""
-    pairs = matching_pairs(names).checkpoint()
-    # a loose name matches two names that don't match each other
-    ends = pairs.select("category", F.col("a").alias("name"), F.col("b").alias("other"), "alike").unionByName(pairs.select("category", F.col("b").alias("name"), F.col("a").alias("other"), "alike"))
-    x, y = ends.filter("not alike").alias("x"), ends.filter("not alike").alias("y")
-    two = x.join(y, (F.col("x.category") == F.col("y.category")) & (F.col("x.name") == F.col("y.name")) & (F.col("x.other") < F.col("y.other"))).select("x.category", "x.name", F.col("x.other").alias("a"), F.col("y.other").alias("b"))
-    loose = two.join(pairs.select("category", "a", "b"), ["category", "a", "b"], "left_anti").select("category", "name").distinct().withColumn("loose", F.lit(True)).checkpoint()
+    pairs = matching_pairs(names, aliases).checkpoint()
+    loose = loose_names(pairs).withColumn("loose", F.lit(True)).checkpoint()
     firm = pairs.join(loose.select("category", F.col("name").alias("a")), ["category", "a"], "left_anti").join(loose.select("category", F.col("name").alias("b")), ["category", "b"], "left_anti")
     alike = pairs.filter("alike")
     key = lambda c: F.concat_ws("\t", "category", c)
@@ -77,3 +162,14 @@ def shown_names(groups: DataFrame) -> DataFrame:
     top = groups.groupBy("category", "product").agg(F.max("n").alias("top"))
     fit = groups.join(top, ["category", "product"]).filter(F.col("n") * 2 >= F.col("top"))
     return fit.groupBy("category", "product").agg(F.min_by("name", F.struct((-F.size(F.split("name", " "))).alias("w"), (-F.col("n")).alias("n"), "name")).alias("shown"))
+
+
+def looked_up(asked: DataFrame, entries: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
+    """Asked names (category, name) with every entry (category, name, entry, ...) whose name means the same: alike says whether it is
+    written alike. An asked name that is an entry's own fits it, alike."""
+    wanted = asked.select("category", "name").distinct()
+    every = wanted.unionByName(entries.select("category", "name")).distinct()
+    pairs = matching_pairs(every, aliases)
+    own = wanted.select("category", "name", F.col("name").alias("other"), F.lit(True).alias("alike"))
+    fits = wanted.join(both_ways(pairs), ["category", "name"]).unionByName(own)
+    return fits.join(entries.withColumnRenamed("name", "other"), ["category", "other"])

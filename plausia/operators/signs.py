@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from plausia.operators.copies import words
+
 #: Words that show what kind of thread a title opens; the first kind that fits wins.
 THREAD_KINDS = {
     "warning": r"\b(avoid|warning|stay away|regret|don.t buy|beware)\b",
@@ -66,6 +68,11 @@ def evidence_level(text: Column) -> Column:
     return F.when(f["untried"] | f["secondhand"], "no first-hand use").when(f["long"] & f["own"], "long-term use").when(f["short"] | f["own"], "short-term use").otherwise("no first-hand use")
 
 
+def terms_used(text: Column, terms: list[str]) -> Column:
+    """How many distinct words of a list a text uses, as whole words."""
+    return F.size(F.array_intersect(words(text), F.array(*map(F.lit, terms))))
+
+
 def unknown_tags(found: Column, vocabulary: list[str]) -> Column:
     return F.array_except(found, F.array(*map(F.lit, vocabulary)))
 

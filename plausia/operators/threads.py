@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from plausia.operators.copies import ensure_checkpoint_dir
 from plausia.rules import RULES, Rules
 
 DAY_US = 86_400_000_000
@@ -113,36 +114,43 @@ def agreeing_replies(replies: DataFrame, agrees: Column) -> DataFrame:
     return a.join(p, on).filter(~own).groupBy("p.thread_id", "p.comment_id").agg(F.count_distinct("a.comment_id").alias("replies_agree"))
 
 
-def depths(replies: DataFrame, most: int = 64) -> DataFrame:
-    """The distance of each comment to its thread's root, by joining one more level at a time while a level has rows. A comment whose
-    parent is missing is a root."""
-    edges = replies.select("thread_id", "comment_id", "parent_id")
-    parents = edges.select("thread_id", F.col("comment_id").alias("parent_id"))
-    known = edges.join(parents.withColumn("has", F.lit(True)), ["thread_id", "parent_id"], "left")
-    level = known.filter("has is null").select("thread_id", "comment_id", F.lit(0).alias("depth"))
-    out = level
-    for depth in range(1, most + 1):
-        level = known.filter("has").select("thread_id", "comment_id", "parent_id").join(level.select("thread_id", F.col("comment_id").alias("parent_id")), ["thread_id", "parent_id"]).select("thread_id", "comment_id", F.lit(depth).alias("depth"))
-        level = level.checkpoint() if depth % 8 == 0 else level
-        if level.isEmpty():
-            break
+def levels(replies: DataFrame, key: Column) -> DataFrame:
+    """thread_id, comment_id, depth and path, an array of the keys from a thread's root down to the comment.
+
+    Level by level: each step joins the comments of the next level to those found, until none is left; a step's rows are
+    checkpointed, and every comment is joined once. A comment without a parent, or whose parent isn't there, is a root; comments that
+    answer one another in a circle hang below no root and are an error.
+    """
+    ensure_checkpoint_dir(replies.sparkSession)
+    rows = replies.select("thread_id", "comment_id", "parent_id", key.alias("key")).checkpoint()
+    parents = rows.select("thread_id", F.col("comment_id").alias("parent_id")).distinct()
+    below = rows.join(parents, ["thread_id", "parent_id"], "left_semi").checkpoint()
+    level = rows.join(below.select("thread_id", "comment_id"), ["thread_id", "comment_id"], "left_anti").select("thread_id", "comment_id", F.lit(0).alias("depth"), F.array("key").alias("path")).checkpoint()
+    out, depth, found = level, 0, level.count()
+    every = rows.count()
+    while found < every:
+        depth += 1
+        above = level.select("thread_id", F.col("comment_id").alias("parent_id"), "path")
+        level = below.join(above, ["thread_id", "parent_id"]).select("thread_id", "comment_id", F.lit(depth).alias("depth"), F.array_append("path", F.col("key")).alias("path")).checkpoint()
+        n = level.count()
+        if not n:
+            raise ValueError(f"{every - found} comments answer one another in a circle")
+        found += n
         out = out.unionByName(level)
+        if depth % 16 == 0:
+            out = out.checkpoint()
     return out
 
 
+def depths(replies: DataFrame) -> DataFrame:
+    """The distance of each comment to its thread's root, however deep."""
+    return levels(replies, F.lit(0)).drop("path")
+
+
 def preorder(replies: DataFrame, score: Column) -> DataFrame:
-    """The place of each comment in a reading of its thread's tree: a comment, then its replies by score. Uses the path of
-    sort keys from the root, built level by level in a recursive query."""
-    replies.withColumn("score", score).createOrReplaceTempView("_preorder")
-    paths = replies.sparkSession.sql(
-        """WITH RECURSIVE t(thread_id, comment_id, depth, path) AS (
-             SELECT thread_id, comment_id, 0, array(lpad(CAST(100000 - score AS STRING), 8, '0') || lpad(CAST(comment_id AS STRING), 8, '0')) FROM _preorder WHERE parent_id IS NULL
-             UNION ALL
-             SELECT r.thread_id, r.comment_id, t.depth + 1, array_append(t.path, lpad(CAST(100000 - r.score AS STRING), 8, '0') || lpad(CAST(r.comment_id AS STRING), 8, '0'))
-             FROM t JOIN _preorder r ON r.thread_id = t.thread_id AND r.parent_id = t.comment_id)
-           SELECT * FROM t"""
-    )
-    return paths.withColumn("place", F.row_number().over(Window.partitionBy("thread_id").orderBy("path"))).drop("path")
+    """The place of each comment in a reading of its thread's tree: a comment, then its replies, the best score first."""
+    key = F.struct((-score.cast("long")).alias("score"), F.col("comment_id").alias("id"))
+    return levels(replies, key).withColumn("place", F.row_number().over(Window.partitionBy("thread_id").orderBy("path"))).drop("path")
 
 
 def integrity_problems(comments: DataFrame) -> DataFrame:

@@ -8,46 +8,33 @@ from plausia.operators import answers as a, ranking as r, signs as g
 from plausia.operators.copies import contradicting, ensure_checkpoint_dir
 from plausia.plans.ranking import _CREDIBLE, _RANKED, _VOTES, notes, placements
 from plausia.plans.ranking import _ranked as ranked
-from plausia.plans.views import MENTIONS, ORDINAL_SQL, REPLIES, mentions, replies, table
+from plausia.plans.views import MENTIONS, ORDINAL_SQL, REPLIES, TURNS, mentions, replies, table, turns
 
 
 
-def _turns(spark: SparkSession, sf: str) -> DataFrame:
-    """Turns of conversations with a rule's words put in by number, as texts of discussions."""
-    phrase = F.element_at(F.array(*map(F.lit, PHRASES)), ((F.col("conv_id") * 7 + F.col("turn")) % len(PHRASES) + 1).cast("int"))
-    return table(spark, sf, "conversations").select("conv_id", "turn", F.concat(phrase, F.lit(" "), F.substring("text", 1, 80)).alias("text"))
-
-
-PHRASES = [
-    "I have used it for 3 years, but it is overpriced", "sponsored by the shop, use my code", "my sister says it is better than mine", "avoid this one, it broke after 2 weeks", "never tried it, considering it",
-    "which one do you recommend?", "still going after 10 years, holy grail", "just got it, so far so good", "I work for the brand", "see https://shop.example/x?ref=abc",
-]
-_TURNS = "turns AS (SELECT conv_id, turn, list_extract([" + ", ".join(f"'{p}'" for p in PHRASES) + f"], ((conv_id * 7 + turn) % {len(PHRASES)} + 1)::INT) || ' ' || substr(text, 1, 80) AS text FROM conversations)"
-
-
 def independence_signs(spark: SparkSession, sf: str) -> DataFrame:
-    t = _turns(spark, sf)
+    t = turns(spark, sf)
     return t.select("conv_id", "turn", F.array_join(g.tags(F.col("text"), g.INDEPENDENCE), ",").alias("signs"), g.red_flags(F.col("text")).alias("red_flags"))
 
 
 def honesty_tags(spark: SparkSession, sf: str) -> DataFrame:
-    return _turns(spark, sf).select("conv_id", "turn", F.array_join(g.tags(F.col("text"), g.HONESTY), ",").alias("tags"))
+    return turns(spark, sf).select("conv_id", "turn", F.array_join(g.tags(F.col("text"), g.HONESTY), ",").alias("tags"))
 
 
 def evidence_levels(spark: SparkSession, sf: str) -> DataFrame:
-    return _turns(spark, sf).select("conv_id", "turn", g.evidence_level(F.col("text")).alias("evidence"))
+    return turns(spark, sf).select("conv_id", "turn", g.evidence_level(F.col("text")).alias("evidence"))
 
 
 def thread_kinds(spark: SparkSession, sf: str) -> DataFrame:
-    return _turns(spark, sf).filter("turn = 0").select("conv_id", g.first_of(F.col("text"), g.THREAD_KINDS, "other").alias("kind"))
+    return turns(spark, sf).filter("turn = 0").select("conv_id", g.first_of(F.col("text"), g.THREAD_KINDS, "other").alias("kind"))
 
 
 def says_changed(spark: SparkSession, sf: str) -> DataFrame:
-    return _turns(spark, sf).filter(F.rlike(F.lower("text"), F.lit(g.CHANGED))).select("conv_id", "turn")
+    return turns(spark, sf).filter(F.rlike(F.lower("text"), F.lit(g.CHANGED))).select("conv_id", "turn")
 
 
 def time_of_use(spark: SparkSession, sf: str) -> DataFrame:
-    return _turns(spark, sf).select("conv_id", "turn", F.round(g.longest_use_months(F.col("text")), 6).alias("months"))
+    return turns(spark, sf).select("conv_id", "turn", F.round(g.longest_use_months(F.col("text")), 6).alias("months"))
 
 
 def service_filter(spark: SparkSession, sf: str) -> DataFrame:
@@ -62,7 +49,7 @@ def unknown_tags(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def summary_problems(spark: SparkSession, sf: str) -> DataFrame:
-    t = _turns(spark, sf)
+    t = turns(spark, sf)
     cited = F.when(F.col("turn") % 2 == 0, F.col("text")).otherwise(F.lit("no numbers"))
     said = F.when(F.col("conv_id") % 3 == 0, F.concat(F.lit("Users say: "), "text")).otherwise(F.col("text"))
     return t.select("conv_id", "turn", F.array_join(g.summary_problems(said, cited, 14), ",").alias("problems"))
@@ -70,20 +57,20 @@ def summary_problems(spark: SparkSession, sf: str) -> DataFrame:
 
 def tip_similarity(spark: SparkSession, sf: str) -> DataFrame:
     """Pairs of a conversation's turns that say the same."""
-    t = _turns(spark, sf).withColumn("w", g.tip_words(F.col("text")))
+    t = turns(spark, sf).withColumn("w", g.tip_words(F.col("text")))
     x, y = t.alias("x"), t.alias("y")
     j = x.join(y, (F.col("x.conv_id") == F.col("y.conv_id")) & (F.col("x.turn") < F.col("y.turn")))
     return j.filter(g.similar_tips(F.col("x.text"), F.col("y.text"), F.col("x.w"), F.col("y.w"))).select("x.conv_id", F.col("x.turn").alias("a"), F.col("y.turn").alias("b"))
 
 
 def tip_groups(spark: SparkSession, sf: str) -> DataFrame:
-    return g.tip_groups(_turns(spark, sf).select(F.col("conv_id").alias("product"), F.col("turn").alias("ordinal"), F.col("text").alias("tip")))
+    return g.tip_groups(turns(spark, sf).select(F.col("conv_id").alias("product"), F.col("turn").alias("ordinal"), F.col("text").alias("tip")))
 
 
 def keyword_families(spark: SparkSession, sf: str) -> DataFrame:
     """Warnings whose text holds a family of words, with the families."""
     families = {"breakage": r"\b(broke|cracked)\b", "money": r"\b(overpriced|cheaper)\b", "trust": r"\b(sponsored|code)\b"}
-    return _turns(spark, sf).select("conv_id", "turn", F.array_join(g.tags(F.col("text"), families), ",").alias("families")).filter("families <> ''")
+    return turns(spark, sf).select("conv_id", "turn", F.array_join(g.tags(F.col("text"), families), ",").alias("families")).filter("families <> ''")
 
 
 def retype(spark: SparkSession, sf: str) -> DataFrame:
@@ -268,18 +255,18 @@ _BEST = "m AS (SELECT f.*, p.pick FROM flagged f JOIN picks p USING (category, p
 QUERIES = {
     "independence_signs": (
         independence_signs,
-        f"WITH {_TURNS} SELECT conv_id, turn, {_tags_sql(g.INDEPENDENCE)} AS signs, " + " + ".join(f"regexp_matches(lower(text), '{_rx(p)}')::INT * {2 if n == 'paid promotion' else 1}" for n, p in g.INDEPENDENCE.items()) + " AS red_flags FROM turns",
+        f"WITH {TURNS} SELECT conv_id, turn, {_tags_sql(g.INDEPENDENCE)} AS signs, " + " + ".join(f"regexp_matches(lower(text), '{_rx(p)}')::INT * {2 if n == 'paid promotion' else 1}" for n, p in g.INDEPENDENCE.items()) + " AS red_flags FROM turns",
     ),
-    "honesty_tags": (honesty_tags, f"WITH {_TURNS} SELECT conv_id, turn, {_tags_sql(g.HONESTY)} AS tags FROM turns"),
+    "honesty_tags": (honesty_tags, f"WITH {TURNS} SELECT conv_id, turn, {_tags_sql(g.HONESTY)} AS tags FROM turns"),
     "evidence_levels": (
         evidence_levels,
-        f"WITH {_TURNS} SELECT conv_id, turn, CASE WHEN {_USE['untried']} OR {_USE['secondhand']} THEN 'no first-hand use' WHEN {_USE['long']} AND {_USE['own']} THEN 'long-term use' WHEN {_USE['short']} OR {_USE['own']} THEN 'short-term use' ELSE 'no first-hand use' END AS evidence FROM turns",
+        f"WITH {TURNS} SELECT conv_id, turn, CASE WHEN {_USE['untried']} OR {_USE['secondhand']} THEN 'no first-hand use' WHEN {_USE['long']} AND {_USE['own']} THEN 'long-term use' WHEN {_USE['short']} OR {_USE['own']} THEN 'short-term use' ELSE 'no first-hand use' END AS evidence FROM turns",
     ),
-    "thread_kinds": (thread_kinds, f"WITH {_TURNS} SELECT conv_id, CASE " + " ".join(f"WHEN regexp_matches(lower(text), '{_rx(p)}') THEN '{n}'" for n, p in g.THREAD_KINDS.items()) + " ELSE 'other' END AS kind FROM turns WHERE turn = 0"),
-    "says_changed": (says_changed, f"WITH {_TURNS} SELECT conv_id, turn FROM turns WHERE regexp_matches(lower(text), '{_rx(g.CHANGED)}')"),
+    "thread_kinds": (thread_kinds, f"WITH {TURNS} SELECT conv_id, CASE " + " ".join(f"WHEN regexp_matches(lower(text), '{_rx(p)}') THEN '{n}'" for n, p in g.THREAD_KINDS.items()) + " ELSE 'other' END AS kind FROM turns WHERE turn = 0"),
+    "says_changed": (says_changed, f"WITH {TURNS} SELECT conv_id, turn FROM turns WHERE regexp_matches(lower(text), '{_rx(g.CHANGED)}')"),
     "time_of_use": (
         time_of_use,
-        f"WITH {_TURNS} SELECT conv_id, turn, round(list_max([x FOR x IN list_concat(" + ", ".join(f"[y::DOUBLE * {m} FOR y IN regexp_extract_all(lower(text), '\\b(\\d+) {u}s?\\b', 1)]" for u, m in (("year", "12.0"), ("month", "1.0"), ("week", "0.25"), ("day", "(1 / 30.0::DOUBLE)"))) + ") IF x <= 720]), 6) AS months FROM turns",
+        f"WITH {TURNS} SELECT conv_id, turn, round(list_max([x FOR x IN list_concat(" + ", ".join(f"[y::DOUBLE * {m} FOR y IN regexp_extract_all(lower(text), '\\b(\\d+) {u}s?\\b', 1)]" for u, m in (("year", "12.0"), ("month", "1.0"), ("week", "0.25"), ("day", "(1 / 30.0::DOUBLE)"))) + ") IF x <= 720]), 6) AS months FROM turns",
     ),
     "service_filter": (service_filter, f"SELECT p_partkey FROM part WHERE regexp_matches(lower(concat_ws(' ', p_name, CASE p_size % 10 WHEN 0 THEN 'treatment' WHEN 1 THEN 'Clinic' END)), '{g.SERVICE}')"),
     "unknown_tags": (
@@ -288,17 +275,17 @@ QUERIES = {
     ),
     "summary_problems": (
         summary_problems,
-        f"WITH {_TURNS}, s AS (SELECT *, CASE WHEN conv_id % 3 = 0 THEN 'Users say: ' || text ELSE text END AS said, CASE WHEN turn % 2 = 0 THEN text ELSE 'no numbers' END AS cited FROM turns) "
+        f"WITH {TURNS}, s AS (SELECT *, CASE WHEN conv_id % 3 = 0 THEN 'Users say: ' || text ELSE text END AS said, CASE WHEN turn % 2 = 0 THEN text ELSE 'no numbers' END AS cited FROM turns) "
         r"SELECT conv_id, turn, array_to_string([x FOR x IN [CASE WHEN len(regexp_split_to_array(trim(said, chr(10) || chr(9) || ' '), '\s+')) > 14 THEN 'too long' END, CASE WHEN regexp_matches(lower(said), '\b(users?|reviewers?|people|redditors?)\b') THEN 'speaks of people' END, "
         r"CASE WHEN NOT list_has_all(regexp_extract_all(cited, '\b(\d+(?:\.\d+)?)\b', 1), regexp_extract_all(said, '\b(\d+(?:\.\d+)?)\b', 1)) THEN 'number not cited' END] IF x IS NOT NULL], ',') AS problems FROM s",
     ),
     "tip_similarity": (
         tip_similarity,
-        f"WITH {_TURNS}, {_TIPS} SELECT x.conv_id, x.turn AS a, y.turn AS b FROM w x JOIN w y ON x.conv_id = y.conv_id AND x.turn < y.turn WHERE len(list_intersect(x.w, y.w)) >= 2 "
+        f"WITH {TURNS}, {_TIPS} SELECT x.conv_id, x.turn AS a, y.turn AS b FROM w x JOIN w y ON x.conv_id = y.conv_id AND x.turn < y.turn WHERE len(list_intersect(x.w, y.w)) >= 2 "
         "AND 2 * len(list_intersect(x.w, y.w)) >= 0.5 * (len(x.w) + len(y.w)) AND x.neg = y.neg AND NOT (len(x.nums) > 0 AND len(y.nums) > 0 AND NOT (list_has_all(x.nums, y.nums) AND list_has_all(y.nums, x.nums)))",
     ),
     "tip_groups": (tip_groups, None),
-    "keyword_families": (keyword_families, f"WITH {_TURNS}, f AS (SELECT conv_id, turn, {_tags_sql(_FAMILIES)} AS families FROM turns) SELECT * FROM f WHERE families <> ''"),
+    "keyword_families": (keyword_families, f"WITH {TURNS}, f AS (SELECT conv_id, turn, {_tags_sql(_FAMILIES)} AS families FROM turns) SELECT * FROM f WHERE families <> ''"),
     "retype": (retype, "WITH t AS (SELECT p_partkey, p_type, CASE WHEN p_type = 'ECONOMY' AND contains(p_name, 'ring') THEN 'RING' WHEN p_size > 45 THEN 'LARGE' ELSE p_type END AS new_type FROM part) SELECT * FROM t WHERE new_type <> p_type"),
     "contradicting_as_low": (
         contradicting_as_low,

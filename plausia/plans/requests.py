@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from plausia.functions import names as n, requests as q
 from plausia.operators import names as nm
+from plausia.operators.order import numbered
 from plausia.plans.views import table
 
 #: The vocabulary that requests are read with: the last words of part names.
@@ -64,10 +65,11 @@ def query_case_accuracy(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def typo_correction(spark: SparkSession, sf: str) -> DataFrame:
-    """Words one edit from exactly one vocabulary word with the same first letter: a join on the first letter, then a bounded distance."""
+    """Words one edit from exactly one vocabulary word with the same first letter: they meet on what is left without a letter."""
     v = table(spark, sf, "part").select(F.explode(F.split("p_name", " ")).alias("v")).distinct().filter("length(v) >= 5")
     w = v.select(F.concat(F.substring("v", 1, 2), F.expr("substring(v, 4, 20)")).alias("w")).distinct().join(v, F.col("w") == F.col("v"), "left_anti").filter("length(w) >= 4")
-    near = w.join(v, F.substring("w", 1, 1) == F.substring("v", 1, 1)).filter(F.levenshtein("w", "v", 1) == 1)
+    left, right = w.select("w", F.explode(nm.without_a_letter(F.col("w"))).alias("key")), v.select("v", F.explode(nm.without_a_letter(F.col("v"))).alias("key"))
+    near = left.join(right, "key").select("w", "v").distinct().filter(F.levenshtein("w", "v", 1) == 1)
     return near.groupBy("w").agg(F.count(F.lit(1)).alias("near"), F.min("v").alias("v")).filter("near = 1").select("w", "v")
 
 
@@ -80,21 +82,17 @@ def search_terms(spark: SparkSession, sf: str) -> DataFrame:
 
 def _list(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     """A list of entries and the names writers use for them."""
-    p = table(spark, sf, "part").filter("p_partkey < 300")
+    p = table(spark, sf, "part")
     base = F.concat_ws(" ", F.regexp_replace("p_brand", "#", ""), F.col("p_name"))
     entries = p.select(F.col("p_type").alias("category"), base.alias("name"), F.col("p_retailprice").alias("price"), (F.col("p_partkey") % 30).alias("day"), F.col("p_partkey").alias("entry"))
-    asked = p.filter("p_partkey % 3 = 0").select(F.col("p_type").alias("category"), F.concat(F.lit("the "), base, F.when(F.col("p_partkey") % 2 == 0, "s").otherwise("")).alias("name")).distinct()
+    asked = p.select(F.col("p_type").alias("category"), F.concat(F.lit("the "), base, F.when(F.col("p_partkey") % 2 == 0, "s").otherwise("")).alias("name")).distinct()
     return entries, asked
 
 
 def fuzzy_price_lookup(spark: SparkSession, sf: str) -> DataFrame:
     """The price of each asked name: entries whose name means the same product, written alike first, then newest, then cheapest."""
     entries, asked = _list(spark, sf)
-    every = entries.select("category", "name").unionByName(asked).distinct()
-    pairs = nm.matching_pairs(every)
-    ends = pairs.select("category", F.col("a").alias("name"), F.col("b").alias("other"), "alike").unionByName(pairs.select("category", F.col("b").alias("name"), F.col("a").alias("other"), "alike"))
-    same = asked.select("category", "name", F.col("name").alias("other"), F.lit(True).alias("alike"))
-    fits = asked.join(ends, ["category", "name"]).unionByName(same).join(entries.withColumnRenamed("name", "other"), ["category", "other"])
+    fits = nm.looked_up(asked, entries)
     best = fits.groupBy("category", "name").agg(F.min_by(F.struct("price", "entry"), F.struct((~F.col("alike")).alias("a"), (-F.col("day")).alias("d"), "price", "entry")).alias("p"), F.count(F.lit(1)).alias("fits"))
     return best.select("category", "name", "p.price", "p.entry", "fits")
 
@@ -102,22 +100,20 @@ def fuzzy_price_lookup(spark: SparkSession, sf: str) -> DataFrame:
 def facts_lookup(spark: SparkSession, sf: str) -> DataFrame:
     """The facts entry of each asked name; none where the name isn't written alike and fits two entries that are different products."""
     entries, asked = _list(spark, sf)
-    every = entries.select("category", "name").unionByName(asked).distinct()
-    pairs = nm.matching_pairs(every)
-    ends = pairs.select("category", F.col("a").alias("name"), F.col("b").alias("other"), "alike").unionByName(pairs.select("category", F.col("b").alias("name"), F.col("a").alias("other"), "alike"))
-    listed = entries.groupBy("category", F.col("name").alias("other")).agg(F.min("entry").alias("entry"), F.max("day").alias("day"))
-    fits = asked.join(ends, ["category", "name"]).join(listed, ["category", "other"])
-    one = fits.groupBy("category", "name").agg(F.min_by(F.struct("entry", "alike", "other"), F.struct((~F.col("alike")).alias("a"), (-F.col("day")).alias("d"), "other")).alias("p"), F.count(F.lit(1)).alias("n"), F.collect_list("other").alias("others"))
-    apart = one.select("category", "name", F.explode("others").alias("x"), F.col("p.other").alias("best")).filter("x <> best").join(pairs.select("category", F.col("a").alias("lo"), F.col("b").alias("hi"), F.lit(True).alias("same")), (F.least("x", "best") == F.col("lo")) & (F.greatest("x", "best") == F.col("hi")) & (one["category"] == pairs["category"]), "left").filter("same is null")
-    unclear = apart.select(one["category"].alias("category"), "name").distinct().withColumn("unclear", F.lit(True))
-    out = one.join(unclear, ["category", "name"], "left")
-    return out.select("category", "name", F.when(F.col("p.alike") | F.col("unclear").isNull(), F.col("p.entry")).alias("entry"))
+    listed = entries.groupBy("category", "name").agg(F.min("entry").alias("entry"), F.max("day").alias("day"))
+    fits = nm.looked_up(asked, listed).checkpoint()
+    best = fits.groupBy("category", "name").agg(F.min_by(F.struct("entry", "alike", "other"), F.struct((~F.col("alike")).alias("a"), (-F.col("day")).alias("d"), "other")).alias("p"))
+    open_ = fits.join(best.filter("not p.alike").select("category", "name", F.col("p.other").alias("best")), ["category", "name"]).filter("other <> best")
+    pairs = nm.matching_pairs(listed).select("category", F.col("a").alias("lo"), F.col("b").alias("hi"))
+    apart = open_.select("category", "name", F.least("other", "best").alias("lo"), F.greatest("other", "best").alias("hi")).join(pairs, ["category", "lo", "hi"], "left_anti")
+    unclear = apart.select("category", "name").distinct().withColumn("unclear", F.lit(True))
+    return best.join(unclear, ["category", "name"], "left").select("category", "name", F.when(F.col("unclear").isNull(), F.col("p.entry")).alias("entry"))
 
 
 def duplicate_names(spark: SparkSession, sf: str) -> DataFrame:
     """Pairs of names shown in one category that mean one product."""
     entries, asked = _list(spark, sf)
-    return nm.matching_pairs(entries.select("category", "name").unionByName(asked).distinct().filter("category = 'LARGE'"))
+    return nm.matching_pairs(entries.select("category", "name").unionByName(asked).distinct())
 
 
 def generic_names(spark: SparkSession, sf: str) -> DataFrame:
@@ -128,9 +124,9 @@ def generic_names(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def due_profiles(spark: SparkSession, sf: str) -> DataFrame:
-    """Writers to look up: quoted ones first, then those never looked up last, the stalest first."""
+    """Writers in the order in which to look them up: quoted ones first, then those never looked up last, the stalest first."""
     c = table(spark, sf, "customer").select("c_custkey", (F.col("c_custkey") % 4 == 0).alias("quoted"), F.when(F.col("c_custkey") % 5 != 0, F.col("c_custkey") * 37 % 1000).alias("looked"))
-    return c.withColumn("place", F.row_number().over(Window.orderBy(F.desc("quoted"), F.asc_nulls_last("looked"), "c_custkey"))).filter("place <= 200")
+    return numbered(c, F.desc("quoted"), F.asc_nulls_last("looked"), F.col("c_custkey"))
 
 
 QUERIES = {
@@ -152,6 +148,6 @@ QUERIES = {
     ),
     "due_profiles": (
         due_profiles,
-        "WITH c AS (SELECT c_custkey, c_custkey % 4 = 0 AS quoted, CASE WHEN c_custkey % 5 <> 0 THEN c_custkey * 37 % 1000 END AS looked FROM customer) SELECT *, row_number() OVER (ORDER BY quoted DESC, looked NULLS LAST, c_custkey) AS place FROM c QUALIFY place <= 200",
+        "WITH c AS (SELECT c_custkey, c_custkey % 4 = 0 AS quoted, CASE WHEN c_custkey % 5 <> 0 THEN c_custkey * 37 % 1000 END AS looked FROM customer) SELECT *, row_number() OVER (ORDER BY quoted DESC, looked NULLS LAST, c_custkey) AS place FROM c",
     ),
 }

@@ -4,23 +4,25 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from plausia.functions import registry as reg
-from plausia.operators import copies as c, names as nm
-from plausia.plans.views import COMMENTS, MENTIONS, comments, mentions, table, texts
+from plausia.functions import quotes, registry as reg
+from plausia.operators import copies as c, names as nm, signs as g
+from plausia.plans.views import COMMENTS, MENTIONS, TURNS, comments, mentions, table, texts, turns
 
+#: Words that stand for a field's own terms in the driver's texts.
+TERMS = ["thion", "ered", "anea", "onti", "erhe", "tion", "here"]
 
-def copied_text_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    return c.copy_pairs(texts(spark, sf))
+
+def copied_text_links(spark: SparkSession, sf: str) -> DataFrame:
+    """Each text that shares a run with a text by another writer: the class of texts with its runs, and how many such texts there are."""
+    return c.copy_links(texts(spark, sf))
 
 
 def copied_text_groups(spark: SparkSession, sf: str) -> DataFrame:
-    c.ensure_checkpoint_dir(spark)
     return c.components(c.star_edges(texts(spark, sf)))
 
 
 def first_posted_copy(spark: SparkSession, sf: str) -> DataFrame:
     """Of each group of copies the first posted counts; where no time is known the least id."""
-    c.ensure_checkpoint_dir(spark)
     groups = copied_text_groups(spark, sf)
     when = F.when(F.col("node") % 5 != 0, F.lit(1000) - F.col("node") % 7)
     return c.first_posted(groups, when).select("node", "root", "counts")
@@ -46,7 +48,7 @@ def quote_verification(spark: SparkSession, sf: str) -> DataFrame:
     d = texts(spark, sf).select("comment_id", plain(F.col("body")).alias("body"), c.words(F.col("body")).alias("w")).filter("size(w) >= 5")
     starts = d.select("comment_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(0), F.size("w") - 5), lambda i: key(F.col("w"), i)))).alias("key"))
     near = starts.join(qs.select("item_id", "key"), "key").select("item_id", "comment_id").distinct()
-    joined = near.join(d.select("comment_id", "body"), "comment_id").join(qs.select("item_id", "quote"), "item_id")
+    joined = d.select("comment_id", "body").join(near, "comment_id").join(qs.select("item_id", "quote"), "item_id")
     return joined.filter(reg.find_quote("body", "quote")["start"].isNotNull()).select("item_id", "comment_id")
 
 
@@ -83,15 +85,16 @@ def name_normalise(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def spelling_slips(spark: SparkSession, sf: str) -> DataFrame:
-    """Pairs of colours and nouns of part names one edit apart, in words of five letters or more with one first letter."""
+    """Pairs of colours and nouns of part names one edit apart, in words of five letters or more with one first letter. Words one edit
+    apart are alike once a letter is left out of one or both, so they meet on what is left."""
     w = table(spark, sf, "part").select(F.explode(F.split("p_name", " ")).alias("w")).distinct().select(F.explode(F.array("w", F.concat("w", F.lit("e")), F.expr("substring(w, 1, length(w) - 1)"))).alias("w")).distinct()
-    a, b = w.select(F.col("w").alias("a"), F.substring("w", 1, 1).alias("first")), w.select(F.col("w").alias("b"), F.substring("w", 1, 1).alias("first"))
-    return a.join(b, "first").filter((F.col("a") < F.col("b")) & (F.least(F.length("a"), F.length("b")) >= 5) & (F.levenshtein("a", "b", 1) == 1)).select("a", "b")
+    a, b = w.select(F.col("w").alias("a"), F.explode(nm.without_a_letter(F.col("w"))).alias("key")), w.select(F.col("w").alias("b"), F.explode(nm.without_a_letter(F.col("w"))).alias("key"))
+    return a.join(b, "key").filter((F.col("a") < F.col("b")) & (F.least(F.length("a"), F.length("b")) >= 5) & (F.levenshtein("a", "b", 1) == 1)).select("a", "b").distinct()
 
 
 def _written(spark: SparkSession, sf: str) -> DataFrame:
     """Names as writers write them: with the brand in front, some shortened, some misspelt, some plural."""
-    p = table(spark, sf, "part").filter("p_partkey < 400")
+    p = table(spark, sf, "part")
     base = F.concat_ws(" ", F.regexp_replace("p_brand", "#", ""), F.col("p_name"))
     form = F.element_at(F.array(base, F.concat(F.lit("the "), base), F.concat(base, F.lit("s")), F.regexp_replace(base, "Brand", "Brnad"), F.col("p_name")), (F.col("p_partkey") % 5 + 1).cast("int"))
     return p.groupBy(F.col("p_type").alias("category"), form.alias("name")).agg(F.count(F.lit(1)).alias("n"))
@@ -102,19 +105,17 @@ def matching_names(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def group_products(spark: SparkSession, sf: str) -> DataFrame:
-    c.ensure_checkpoint_dir(spark)
     return nm.group_products(_written(spark, sf))
 
 
 def shown_names(spark: SparkSession, sf: str) -> DataFrame:
-    c.ensure_checkpoint_dir(spark)
     return nm.shown_names(nm.group_products(_written(spark, sf)))
 
 
 def subset_placement(spark: SparkSession, sf: str) -> DataFrame:
     """Products whose words hold all words of a kind: exploded words, an equi-join, and a count that must be the kind's size."""
     p = table(spark, sf, "part").select("p_partkey", F.explode(F.array_distinct(F.split("p_name", " "))).alias("w"))
-    kinds = table(spark, sf, "part").filter("p_partkey % 37 = 0").select(F.col("p_name").alias("kind"), F.array_distinct(F.split("p_name", " ")).alias("ws")).distinct()
+    kinds = table(spark, sf, "part").select(F.split("p_name", " ")[1].alias("p_name")).union(table(spark, sf, "part").select("p_name")).select(F.col("p_name").alias("kind"), F.array_distinct(F.split("p_name", " ")).alias("ws")).distinct()
     k = kinds.select("kind", F.size("ws").alias("size"), F.explode("ws").alias("w"))
     return p.join(k, "w").groupBy("p_partkey", "kind", "size").agg(F.count(F.lit(1)).alias("n")).filter("n = size").select("p_partkey", "kind")
 
@@ -144,23 +145,21 @@ def linkable(spark: SparkSession, sf: str) -> DataFrame:
 def own_words(spark: SparkSession, sf: str) -> DataFrame:
     """The writers' own words of texts, quoted lines left out, as a digest."""
     d = texts(spark, sf).withColumn("body", F.when(F.col("comment_id") % 3 == 0, F.concat(F.lit("> quoted line\n"), "body")).otherwise(F.col("body")))
-    return d.select("comment_id", F.sha2(reg.own_words("body"), 256).alias("own"))
+    return d.select("comment_id", F.sha2(quotes.own_words(F.col("body")), 256).alias("own"))
 
 
 def sentence_counts(spark: SparkSession, sf: str) -> DataFrame:
-    return texts(spark, sf).select("comment_id", F.size(reg.sentences("body")).alias("sentences"))
+    return texts(spark, sf).select("comment_id", F.size(quotes.sentences(F.col("body"))).alias("sentences"))
 
 
 def enthusiast_terms(spark: SparkSession, sf: str) -> DataFrame:
     """Comments that use at least three distinct specialist terms."""
-    terms = ["thion", "ered", "anea", "onti", "erhe", "tion", "here"]
-    w = c.words(F.col("body"))
-    return texts(spark, sf).select("comment_id", F.size(F.array_intersect(w, F.array(*map(F.lit, terms)))).alias("terms")).filter("terms >= 3")
+    return texts(spark, sf).select("comment_id", g.terms_used(F.col("body"), TERMS).alias("terms")).filter("terms >= 3")
 
 
 def negated_phrases(spark: SparkSession, sf: str) -> DataFrame:
-    """Texts that hold a phrase with no negation in the three words before it."""
-    return texts(spark, sf).filter(F.col("body").contains("tion")).select("comment_id", reg.found_unnegated(F.lit("the tion"), F.lower("body")).alias("found"))
+    """Whether a turn holds a phrase with no negation in the three words before it."""
+    return turns(spark, sf).select("conv_id", "turn", quotes.found_unnegated("tried it", F.lower("text")).alias("found"))
 
 
 def budgets(spark: SparkSession, sf: str) -> DataFrame:
@@ -184,8 +183,24 @@ _REJECT = r"""t AS (SELECT conv_id, turn, text, array_to_string(string_split(tex
 f AS (SELECT *, starts_with(text, quote) AND (length(text) = length(quote) OR NOT regexp_matches(substr(text, length(quote) + 1, 1), '[\p{L}\p{N}'']')) AS found FROM t),
 reasons AS (SELECT CASE WHEN turn % 7 = 6 THEN 'comment unreadable' WHEN NOT found THEN 'quote not found' WHEN len(string_split(quote, ' ')) > 50 THEN 'quote too long'
   WHEN conv_id % 6 = 1 AND turn = 0 THEN 'not a reply' ELSE 'kept' END AS reason, count(*) AS n FROM f GROUP BY 1)"""
+_OWN = r"""WITH d AS (SELECT doc_id AS comment_id, CASE WHEN doc_id % 3 = 0 THEN '> quoted line' || chr(10) || text ELSE text END AS t FROM documents),
+r AS (SELECT comment_id, replace(replace(replace(replace(replace(replace(t, '&gt;', '>'), '&lt;', '<'), '&quot;', '"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&') AS t FROM d),
+l AS (SELECT comment_id, [x FOR x IN string_split(replace(lower(translate(t, '‘’', '''''')), chr(13) || chr(10), chr(10)), chr(10)) IF trim(x) <> ''] AS l FROM r),
+o AS (SELECT *, [x FOR x IN l IF NOT starts_with(ltrim(x), '>')] AS o FROM l)
+SELECT comment_id, sha256(array_to_string(CASE WHEN len(o) > 0 THEN o ELSE [regexp_replace(x, '^\s*>+', '') FOR x IN l] END, chr(10))) AS own FROM o"""
+_SENTENCES = r"""WITH p AS (SELECT doc_id AS comment_id, [x FOR x IN [regexp_replace(y, '^\s+|\s+$', '', 'g') FOR y IN string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(10), 'g'), chr(10))] IF x <> ''] AS p FROM documents)
+SELECT comment_id, len([i FOR i IN range(1, len(p) + 1) IF i = 1 OR NOT regexp_full_match(p[i], 'https?://\S+|www\.\S+')])::INT AS sentences FROM p"""
+_DENIED = quotes.denial_pattern().replace("'", "''")
+_NEGATED = rf"""WITH {TURNS}, p AS (SELECT conv_id, turn, string_split_regex(lower(text), '\btried it\b') AS p FROM turns),
+w AS (SELECT conv_id, turn, [[x FOR x IN string_split_regex(array_to_string(p[1:i], 'tried it'), '\s+') IF x <> ''] FOR i IN range(1, len(p))] AS w FROM p)
+SELECT conv_id, turn, len([x FOR x IN w IF NOT regexp_matches(array_to_string(x[greatest(1, len(x) - 2):len(x)], ' '), '{_DENIED}')]) > 0 AS found FROM w"""
 QUERIES = {
-    "copied_text_pairs": (copied_text_pairs, f"WITH {_RUNS} SELECT a, b FROM pairs"),
+    "copied_text_links": (
+        copied_text_links,
+        f"WITH {_RUNS}, s AS (SELECT run FROM h GROUP BY run HAVING min(id) < max(id)), k AS (SELECT id, coalesce(writer, '') AS w, list(run ORDER BY run) AS runs FROM h SEMI JOIN s USING (run) GROUP BY ALL), "
+        "c AS (SELECT id, min(id) OVER (PARTITION BY w, runs) AS rep FROM k), l AS (SELECT a AS id, b FROM pairs UNION SELECT b, a FROM pairs) "
+        "SELECT id AS comment_id, rep, count(*)::BIGINT AS links FROM l JOIN c USING (id) GROUP BY ALL",
+    ),
     "copied_text_groups": (copied_text_groups, f"WITH RECURSIVE {_GROUPS} SELECT node, root FROM groups"),
     "first_posted_copy": (first_posted_copy, f"WITH RECURSIVE {_GROUPS} SELECT node, root, counts FROM posted"),
     "repeated_copies": (repeated_copies, f"WITH RECURSIVE {_GROUPS} SELECT doc_id AS comment_id FROM documents WHERE doc_id NOT IN (SELECT node FROM posted WHERE NOT counts)"),
@@ -198,7 +213,7 @@ QUERIES = {
     "quote_verification": (
         quote_verification,
         r"WITH d AS (SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS t FROM documents), q AS (SELECT item_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS q FROM benchmark) "
-        r"SELECT item_id, doc_id AS comment_id FROM q JOIN d ON contains(t, q) WHERE regexp_matches(' ' || t || ' ', '[^\p{L}\p{N}'']' || regexp_escape(q) || '([^\p{L}\p{N}'']|$)') OR regexp_matches(q, '[^\p{L}\p{N}'']$')",
+        r"SELECT item_id, doc_id AS comment_id FROM q JOIN d ON contains(t, q) WHERE regexp_matches(' ' || t || ' ', '[^\p{L}\p{N}\p{M}]' || regexp_escape(q) || '([^\p{L}\p{N}\p{M}]|$)') OR regexp_matches(q, '[^\p{L}\p{N}\p{M}]$')",
     ),
     "reject_reasons": (reject_reasons, f"WITH {_REJECT} SELECT * FROM reasons"),
     "quote_pass_rate": (quote_pass_rate, f"WITH {_REJECT} SELECT (sum(n) FILTER (reason = 'kept'))::BIGINT AS kept, sum(n)::BIGINT AS n, round((sum(n) FILTER (reason = 'kept')) / sum(n), 9) AS pass_rate FROM reasons"),
@@ -217,7 +232,7 @@ QUERIES = {
     "shown_names": (shown_names, None),
     "subset_placement": (
         subset_placement,
-        "WITH k AS (SELECT DISTINCT p_name AS kind FROM part WHERE p_partkey % 37 = 0) SELECT p_partkey, kind FROM part, k WHERE list_has_all(string_split(p_name, ' '), string_split(kind, ' '))",
+        "WITH k AS (SELECT p_name AS kind FROM part UNION SELECT string_split(p_name, ' ')[2] FROM part) SELECT p_partkey, kind FROM part, k WHERE list_has_all(string_split(p_name, ' '), string_split(kind, ' '))",
     ),
     "page_facts": (page_facts, "SELECT page_id, nullif(regexp_extract(html, '<title>([^<]*)</title>', 1), '') AS title, nullif(regexp_extract(html, '<html lang=\"([^\"]*)\"', 1), '') AS lang, length(html) AS size FROM pages"),
     "sitemap_pages": (
@@ -226,13 +241,13 @@ QUERIES = {
         "SELECT page_id, host, plain, row_number() OVER (PARTITION BY host ORDER BY plain DESC, n, page_id) AS place FROM r",
     ),
     "linkable": (linkable, r"SELECT page_id, regexp_matches(url, '^https://[^/?#]+\.[a-z]+([/?#]|$)') AND NOT regexp_matches(url, '/search([/?#]|$)') AND NOT regexp_matches(url, '[?&](q|query|s|search|page)=') AS linkable FROM pages"),
-    "own_words": (own_words, None),
-    "sentence_counts": (sentence_counts, None),
+    "own_words": (own_words, _OWN),
+    "sentence_counts": (sentence_counts, _SENTENCES),
     "enthusiast_terms": (
         enthusiast_terms,
-        r"WITH t AS (SELECT doc_id AS comment_id, len(list_intersect(regexp_extract_all(lower(regexp_replace(text, 'https?://\S+', ' ', 'g')), '[\p{L}\p{N}]+'), ['thion', 'ered', 'anea', 'onti', 'erhe', 'tion', 'here']))::INT AS terms FROM documents) SELECT * FROM t WHERE terms >= 3",
+        r"WITH t AS (SELECT doc_id AS comment_id, len(list_intersect(regexp_extract_all(lower(regexp_replace(text, 'https?://\S+', ' ', 'g')), '[\p{L}\p{N}]+'), " + str(TERMS) + r"))::INT AS terms FROM documents) SELECT * FROM t WHERE terms >= 3",
     ),
-    "negated_phrases": (negated_phrases, None),
+    "negated_phrases": (negated_phrases, _NEGATED),
     "budgets": (
         budgets,
         "WITH a AS (SELECT c_custkey, floor(abs(c_acctbal)) AS x, c_custkey % 5 AS f FROM customer) SELECT c_custkey, CASE f WHEN 2 THEN least(10.0, x) WHEN 4 THEN x END::DOUBLE AS min, "

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from plausia.operators import threads as t
-from plausia.operators.copies import ensure_checkpoint_dir
+from plausia.operators.order import numbered
 from plausia.plans.views import COMMENTS, MENTIONS, REPLIES, comments, mentions, replies, table
 
 #: The day that rules about age count from.
@@ -104,7 +104,7 @@ def live_check_order(spark: SparkSession, sf: str) -> DataFrame:
     c = comments(spark, sf).groupBy("thread_id").agg(F.max(F.when(F.col("k") > 90, F.col("created_at"))).alias("checked"), F.bool_or(F.col("score") > 200).alias("quoted"))
     days = F.datediff(F.lit(TODAY).cast("date"), F.to_date("checked"))
     due = c.withColumn("days", days).withColumn("block", F.when(F.col("quoted") & (F.col("days").isNull() | (F.col("days") > 14)), 0).when(F.col("days").isNull() | (F.col("days") > 30), 1)).filter("block is not null")
-    return due.withColumn("place", F.row_number().over(Window.orderBy("block", F.asc_nulls_first("checked"), "thread_id"))).select("thread_id", "block", "place")
+    return numbered(due, "block", F.asc_nulls_first("checked"), "thread_id").select("thread_id", "block", "place")
 
 
 def direct_answers(spark: SparkSession, sf: str) -> DataFrame:
@@ -116,7 +116,6 @@ def reply_agreement(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def thread_depth(spark: SparkSession, sf: str) -> DataFrame:
-    ensure_checkpoint_dir(spark)
     return t.depths(replies(spark, sf))
 
 

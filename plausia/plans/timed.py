@@ -110,7 +110,7 @@ def recent_union(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def seeded_order(spark: SparkSession, sf: str) -> DataFrame:
-    return t.seeded_order(table(spark, sf, "supplier").select("s_suppkey"), "s_suppkey", "2026-10-15").filter("place <= 20")
+    return t.seeded_order(table(spark, sf, "supplier").select("s_suppkey"), "s_suppkey", "2026-10-15")
 
 
 def queue_waits(spark: SparkSession, sf: str) -> DataFrame:
@@ -156,6 +156,6 @@ QUERIES = {
         recent_union,
         "SELECT user_id, ts AS \"at\", event_id, event_type FROM events WHERE event_type IN ('view', 'click') QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1 AND ts > TIMESTAMP '2024-01-30' - INTERVAL 48 HOUR",
     ),
-    "seeded_order": (seeded_order, "SELECT s_suppkey, row_number() OVER (ORDER BY sha256('2026-10-15:' || s_suppkey::VARCHAR), s_suppkey) AS place FROM supplier QUALIFY place <= 20"),
+    "seeded_order": (seeded_order, "SELECT s_suppkey, row_number() OVER (ORDER BY sha256('2026-10-15:' || s_suppkey::VARCHAR), s_suppkey) AS place FROM supplier"),
     "queue_waits": (queue_waits, "WITH q AS (SELECT o_orderkey, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderdate, o_orderkey) AS p FROM orders) SELECT o_orderkey, CASE WHEN p <= 2000 THEN ceil(p / 75.0)::BIGINT END AS days FROM q"),
 }

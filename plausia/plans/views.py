@@ -113,3 +113,18 @@ def replies(spark: SparkSession, sf_dir: str) -> DataFrame:
 REPLIES = """replies AS (
   SELECT conv_id AS thread_id, turn AS comment_id, CASE WHEN turn % 3 <> 0 THEN turn - 1 WHEN turn > 0 THEN turn - 2 END AS parent_id,
     role AS author, text AS body FROM conversations)"""
+
+
+PHRASES = [
+    "I have used it for 3 years, but it is overpriced", "sponsored by the shop, use my code", "my sister says it is better than mine", "avoid this one, it broke after 2 weeks", "never tried it, considering it",
+    "which one do you recommend?", "still going after 10 years, holy grail", "just got it, so far so good", "I work for the brand", "see https://shop.example/x?ref=abc",
+]
+
+
+def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns of conversations with a rule's words put in by number, as texts of discussions."""
+    phrase = F.element_at(F.array(*map(F.lit, PHRASES)), ((F.col("conv_id") * 7 + F.col("turn")) % len(PHRASES) + 1).cast("int"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat(phrase, F.lit(" "), "text").alias("text"))
+
+
+TURNS = "turns AS (SELECT conv_id, turn, list_extract([" + ", ".join(f"'{p}'" for p in PHRASES) + f"], ((conv_id * 7 + turn) % {len(PHRASES)} + 1)::INT) || ' ' || text AS text FROM conversations)"
