@@ -103,6 +103,21 @@ def candidate_pairs(named: DataFrame) -> DataFrame:
     return met.select("category", pick("x", "y").alias("a"), pick("y", "x").alias("b"), pick("wx", "wy").alias("wa"), pick("wy", "wx").alias("wb")).distinct()
 
 
+def candidates(asked: DataFrame, index: DataFrame) -> DataFrame:
+    """Entries that each asked name could mean, a superset of those that match: names that share a form of a word. Both are tables of
+    named_words; index, the list's, is made once and kept for every request. Names are the few of a request, so no word is hot."""
+    schema = "category string, name string, words array<string>, keys array<string>"
+    a = asked.mapInArrow(_held, schema).select("category", "name", F.explode("keys").alias("key"))
+    b = index.mapInArrow(_held, schema).select("category", F.col("name").alias("entry"), F.explode("keys").alias("key"))
+    return a.join(b, ["category", "key"]).select("category", "name", "entry").distinct()
+
+
+def pairs_among(pairs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The pairs of which both names are wanted. pairs: a library's, made once; wanted: a request's names (category, name)."""
+    w = wanted.select("category", "name").distinct()
+    return pairs.join(w.withColumnRenamed("name", "a"), ["category", "a"], "left_semi").join(w.withColumnRenamed("name", "b"), ["category", "b"], "left_semi")
+
+
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         pairs = [(tuple(x), tuple(y)) for x, y in zip(b.column("wa").to_pylist(), b.column("wb").to_pylist(), strict=True)]
