@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from plausia.plans import answers, dimensions, evaluation, ranking, requests, texts, threads, timed, understanding
+from plausia.plans import answers, assembly, dimensions, evaluation, ranking, requests, texts, threads, timed, understanding
 
-ALL = {k: v for m in (ranking, threads, texts, dimensions, evaluation, timed, answers, requests, understanding) for k, v in m.QUERIES.items()}
+ALL = {k: v for m in (ranking, threads, texts, dimensions, evaluation, timed, answers, requests, understanding, assembly) for k, v in m.QUERIES.items()}
 QUERIES = {k: f for k, (f, _) in ALL.items()}
 ORACLES = {k: s for k, (_, s) in ALL.items() if s}
