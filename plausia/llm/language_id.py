@@ -39,10 +39,13 @@ MAX_LETTERS, MAX_PIECE = 48, 12
 MAX_WORDS = 400_000
 NONE = "und"
 
-#: Letters: what \w takes and is neither a digit, nor a number of another kind, nor an underscore.
+#: Letters, digits of other kinds, and numbers; nearly always letters only.
+_WIDE = re.compile(r"[^\W\d_]+")
+#: Letters: the same without numbers that are no letters.
 _LETTERS = re.compile(r"[^\W\d_" + "".join(c for c in map(chr, range(0x80, 0x110000)) if c.isnumeric() and not c.isdecimal() and not c.isalpha()) + "]+")
 
 
+
 def pieces(name: str = VOCABULARY) -> list[str]:
     """The vocabulary's pieces that lower-case words can be made of; ▁ marks a word's start."""
     import public_tokenizers
@@ -54,7 +57,9 @@ def pieces(name: str = VOCABULARY) -> list[str]:
 
 
 def words_of(text: str) -> list[str]:
-    return _LETTERS.findall(text.lower())
+    low = text.lower()
+    words = _WIDE.findall(low)
+    return words if not words or "".join(words).isalpha() else _LETTERS.findall(low)
 
 
 def stretches(word: str) -> list[str]:
