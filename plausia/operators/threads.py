@@ -154,11 +154,20 @@ def preorder(replies: DataFrame, score: Column) -> DataFrame:
 
 
 def integrity_problems(comments: DataFrame) -> DataFrame:
-    """A row for each broken rule of a set of replies: repeated ids, parents that aren't there."""
+    """A row for each broken rule of a set of comments: repeated ids, parents that aren't there, and, where comments have them, times
+    before their parent's and links that don't end with their own id."""
     twice = comments.groupBy("thread_id", "comment_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("thread_id", "comment_id", F.lit("repeated id").alias("problem"))
     ids = comments.select("thread_id", F.col("comment_id").alias("parent_id")).distinct()
     orphans = comments.filter("parent_id is not null").join(ids, ["thread_id", "parent_id"], "left_anti").select("thread_id", "comment_id", F.lit("parent not found").alias("problem"))
-    return twice.unionByName(orphans)
+    out = twice.unionByName(orphans)
+    if "created_at" in comments.columns:
+        above = comments.select("thread_id", F.col("comment_id").alias("parent_id"), F.col("created_at").alias("_above"))
+        early = comments.join(above, ["thread_id", "parent_id"]).filter(F.col("created_at") < F.col("_above"))
+        out = out.unionByName(early.select("thread_id", "comment_id", F.lit("older than its parent").alias("problem")).distinct())
+    if "url" in comments.columns:
+        other = comments.filter(F.col("url").isNotNull() & ~F.rtrim(F.regexp_replace("url", "/+$", "")).endswith(F.concat(F.lit("/"), F.col("comment_id").cast("string"))))
+        out = out.unionByName(other.select("thread_id", "comment_id", F.lit("link of another comment").alias("problem")).distinct())
+    return out
 
 
 def choose_mix(posts: DataFrame, total: int, quotas: dict[str, int], per_community: int) -> DataFrame:

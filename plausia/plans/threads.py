@@ -133,7 +133,10 @@ def reading_view(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def integrity_problems(spark: SparkSession, sf: str) -> DataFrame:
-    broken = replies(spark, sf).filter("comment_id <> 1 or thread_id % 5 <> 0")
+    at = F.make_dt_interval(F.lit(0), F.lit(0), F.when(F.col("comment_id") % 5 == 4, -1).otherwise(F.col("comment_id")).cast("int"))
+    own = F.when((F.col("thread_id") + F.col("comment_id")) % 13 == 0, F.lit("x")).otherwise(F.col("comment_id").cast("string"))
+    r = replies(spark, sf).withColumns({"created_at": F.lit("2024-01-01").cast("timestamp_ntz") + at, "url": F.concat(F.lit("https://site.example/"), F.col("thread_id").cast("string"), F.lit("/"), own, F.lit("/"))})
+    broken = r.filter("comment_id <> 1 or thread_id % 5 <> 0")
     return t.integrity_problems(broken.unionByName(broken.filter("comment_id = 2 and thread_id % 7 = 0")))
 
 
@@ -294,9 +297,12 @@ QUERIES = {
     ),
     "integrity_problems": (
         integrity_problems,
-        f"WITH {REPLIES}, b AS (SELECT * FROM replies WHERE comment_id <> 1 OR thread_id % 5 <> 0), c AS (SELECT * FROM b UNION ALL SELECT * FROM b WHERE comment_id = 2 AND thread_id % 7 = 0) "
+        f"WITH {REPLIES}, b AS (SELECT *, CASE WHEN comment_id % 5 = 4 THEN -1 ELSE comment_id END AS at, (thread_id + comment_id) % 13 = 0 AS wrong FROM replies WHERE comment_id <> 1 OR thread_id % 5 <> 0), "
+        "c AS (SELECT * FROM b UNION ALL SELECT * FROM b WHERE comment_id = 2 AND thread_id % 7 = 0) "
         "SELECT thread_id, comment_id, 'repeated id' AS problem FROM c GROUP BY ALL HAVING count(*) > 1 "
-        "UNION ALL SELECT thread_id, comment_id, 'parent not found' FROM c WHERE parent_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM c p WHERE p.thread_id = c.thread_id AND p.comment_id = c.parent_id)",
+        "UNION ALL SELECT thread_id, comment_id, 'parent not found' FROM c WHERE parent_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM c p WHERE p.thread_id = c.thread_id AND p.comment_id = c.parent_id) "
+        "UNION ALL SELECT DISTINCT c.thread_id, c.comment_id, 'older than its parent' FROM c JOIN c p ON p.thread_id = c.thread_id AND p.comment_id = c.parent_id AND c.at < p.at "
+        "UNION ALL SELECT DISTINCT thread_id, comment_id, 'link of another comment' FROM c WHERE wrong",
     ),
     "voice_level": (
         voice_levels,

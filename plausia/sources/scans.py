@@ -5,8 +5,11 @@ Every scan reads with a declared schema and keeps what it couldn't read as rows,
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, MapType, StringType, StructField, StructType
 
 from plausia.sources import schemas
 
@@ -32,22 +35,30 @@ def comments(threads_: DataFrame) -> DataFrame:
     return at.select("thread_id", "category", "ordinal", F.col("c.id").alias("comment_id"), F.col("c.parent_id").alias("parent_id"), F.when(F.col("c.author.name") != "[deleted]", F.col("c.author.name")).alias("author"), F.col("c.body").alias("body"), F.col("c.created_at").alias("created_at"), F.col("c.score").alias("score"), F.coalesce("c.status", F.lit("ok")).alias("status"))
 
 
-def flattened(nested: DataFrame, replies: str = "replies", depth: int = 12) -> DataFrame:
-    """Nested replies as flat rows (id, parent_id, body, depth): one level of arrays is opened at a time, down to the depth given."""
-    out, level = None, nested.select(F.col("id"), F.lit(None).cast("string").alias("parent_id"), "body", F.lit(0).alias("depth"), replies)
-    for i in range(depth):
-        rows = level.select("id", "parent_id", "body", "depth")
-        out = rows if out is None else out.unionByName(rows)
-        field = level.schema[replies].dataType
-        if not hasattr(field, "elementType") or replies not in getattr(field.elementType, "names", []):
-            if hasattr(field, "elementType"):
-                last = level.select(F.col("id").alias("parent_id"), F.explode(replies).alias("r")).select("r.id", "parent_id", "r.body", F.lit(i + 1).alias("depth"))
-                out = out.unionByName(last)
-            break
-        level = level.select(F.col("id").alias("parent_id"), F.explode(replies).alias("r")).select("r.id", "parent_id", "r.body", F.lit(i + 1).alias("depth"), F.col(f"r.{replies}").alias(replies))
+def flattened(nested: DataFrame, replies: str = "replies") -> DataFrame:
+    """Nested replies as flat rows (id, parent_id, body, depth): one level of arrays is opened at a time, as deep as the schema goes."""
+    level, depth = nested.select("id", F.lit(None).cast("string").alias("parent_id"), "body", replies), 0
+    out = level.select("id", "parent_id", "body", F.lit(0).alias("depth"))
+    while replies in level.columns:
+        depth += 1
+        deeper = replies in level.schema[replies].dataType.elementType.names
+        opened = level.select(F.col("id").alias("parent_id"), F.explode(replies).alias("r"))
+        level = opened.select("r.id", "parent_id", "r.body", *([F.col(f"r.{replies}").alias(replies)] if deeper else []))
+        out = out.unionByName(level.select("id", "parent_id", "body", F.lit(depth).alias("depth")))
     return out
 
 
+def own_replies(flat: DataFrame, post: str) -> DataFrame:
+    """Flat comments (id, parent_id, link_id) that belong to a post and whose parent is there; the others are dropped level by level."""
+    mine = flat.filter(typed_id(F.col("link_id")) == post)
+    while True:
+        here = mine.select(F.col("id").alias("parent_id"))
+        kept = mine.filter(F.col("parent_id").isNull() | (typed_id(F.col("parent_id")) == post)).unionByName(mine.filter(F.col("parent_id").isNotNull() & (typed_id(F.col("parent_id")) != post)).join(here, "parent_id", "left_semi").select(*mine.columns)).checkpoint()
+        if kept.count() == mine.count():
+            return kept
+        mine = kept
+
+
 def typed_id(raw: Column) -> Column:
     """An id without the prefix that says what kind of thing it names."""
     return F.regexp_replace(raw, "^t[0-9]_", "")
@@ -58,8 +69,12 @@ def thread_rows(raw: DataFrame) -> DataFrame:
     return raw.select(typed_id(F.col("id")).alias("id"), F.col("subreddit").alias("community"), "title", F.col("selftext").alias("body"), F.when(~F.col("author").isin("[deleted]", "[removed]"), F.col("author")).alias("author"), F.timestamp_seconds("created_utc").alias("created_at"), F.col("score").cast("long").alias("score"), F.col("num_comments").cast("long").alias("num_comments"))
 
 
-def extractions(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
-    return _read(spark, path, schemas.EXTRACTION, lines).filter(F.col("thread_id").isNotNull())
+def extractions(spark: SparkSession, path: str, lines: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Extractions that were read, and a row (file, problem) for each document that wasn't."""
+    every = _read(spark, path, schemas.EXTRACTION, lines)
+    problem = F.when(F.col(BROKEN).isNotNull(), "not an extraction").when(F.col("thread_id").isNull(), "no thread")
+    good = every.withColumn("_problem", problem)
+    return good.filter("_problem is null").drop("_problem", BROKEN, "file"), good.filter("_problem is not null").select("file", F.col("_problem").alias("problem"))
 
 
 def checked_mentions(found: DataFrame, comments_: DataFrame, most_words: int = 50) -> DataFrame:
@@ -91,9 +106,64 @@ def json_list(spark: SparkSession, path: str, schema: StructType = schemas.PRICE
     return rows.withColumn("checked_on", F.to_date("checked_on")) if "checked_on" in rows.columns else rows
 
 
-def records(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
-    """Lines of JSON; broken lines are left out."""
-    return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
+def records(spark: SparkSession, path: str, schema: StructType) -> tuple[DataFrame, DataFrame]:
+    """Lines of JSON, and a row (file, line) for each line that isn't a record."""
+    whole = StructType([*schema.fields, StructField(BROKEN, StringType())])
+    lines = spark.read.text(path).filter(F.trim("value") != "").select(F.input_file_name().alias("file"), "value", F.from_json("value", whole, {"columnNameOfCorruptRecord": BROKEN}).alias("r"))
+    return lines.filter(F.col(f"r.{BROKEN}").isNull()).select("r.*").drop(BROKEN), lines.filter(F.col(f"r.{BROKEN}").isNotNull()).select("file", F.col("value").alias("line"))
+
+
+SUMMARIES = StructType([StructField("name", StringType()), StructField("category", StringType()), StructField("summary", StringType()), StructField("cited", ArrayType(StringType()))])
+
+
+def summaries(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """A list of saved summaries: the whole ones, and a row (file, problem) for each entry that lacks its name, text or sources."""
+    every = _read(spark, path, SUMMARIES, lines=False)
+    problem = F.when(F.col(BROKEN).isNotNull(), "not a summary").when(F.col("name").isNull(), "no name").when(F.coalesce(F.trim("summary"), F.lit("")) == "", "no text").when(F.coalesce(F.size("cited"), F.lit(0)) <= 0, "cites nothing")
+    marked = every.withColumn("problem", problem)
+    return marked.filter("problem is null").drop("problem", BROKEN, "file"), marked.filter("problem is not null").select("file", "problem")
+
+
+def aliases(spark: SparkSession, path: str, section: str = "products") -> DataFrame:
+    """Short names of a file {section: {category: [{short, full}]}} as rows (category, short, full)."""
+    entry = StructType([StructField("short", StringType()), StructField("full", StringType())])
+    schema = StructType([StructField(section, MapType(StringType(), ArrayType(entry)))])
+    rows = spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(path)
+    return rows.select(F.explode(section).alias("category", "entries")).select("category", F.inline("entries"))
+
+
+def compressed_lines(spark: SparkSession, path: str, most_lines: int = 1_000, window: int = 31) -> DataFrame:
+    """The lines of zstd files (file, line), for files whose window is up to 1 << window bytes. A task reads a file as a stream and
+    hands on some lines at a time; what it holds of a file is its compressed bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import io
+
+        import zstandard
+
+        for b in batches:
+            for name, content in zip(b.column("path").to_pylist(), b.column("content"), strict=True):
+                reader = zstandard.ZstdDecompressor(max_window_size=1 << window).stream_reader(io.BytesIO(content.as_py()), read_across_frames=True)
+                lines: list[str] = []
+                for line in io.TextIOWrapper(reader, encoding="utf-8", errors="replace"):
+                    lines.append(line.rstrip("\n"))
+                    if len(lines) >= most_lines:
+                        yield pa.RecordBatch.from_arrays([pa.array([name] * len(lines)), pa.array(lines)], ["file", "line"])
+                        lines = []
+                if lines:
+                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(lines)), pa.array(lines)], ["file", "line"])
+
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    return files.repartition(max(1, len(files.inputFiles())), "path").mapInArrow(run, "file string, line string")
+
+
+def submissions(lines: DataFrame, schema: StructType, rules: list[tuple[str, Column]]) -> DataFrame:
+    """Dumped posts as rows with drop_reason: "not a record", or the first rule (reason, what drops) that holds; null for kept."""
+    rows = lines.select(F.from_json("line", schema, {"mode": "PERMISSIVE"}).alias("r")).select("r.*")
+    reason = F.when(F.coalesce(*(F.col(c).cast("string") for c in schema.names)).isNull(), "not a record")
+    for name, drops in rules:
+        reason = reason.when(drops, name)
+    return rows.withColumn("drop_reason", reason)
 
 
 def fingerprint(spark: SparkSession, path: str) -> DataFrame:

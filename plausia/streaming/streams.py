@@ -29,11 +29,15 @@ def windowed_counts(rows: DataFrame, minutes: int = 60, late: str = "2 hours") -
     return rows.withWatermark("at", late).groupBy(F.window("at", f"{minutes} minutes"), "kind").agg(F.count(F.lit(1)).alias("n"))
 
 
-def rate_limited(requests: DataFrame, limit: int, seconds: float) -> DataFrame:
+def rate_limited(requests: DataFrame, limit: int, seconds: float, late: str = "10 minutes") -> DataFrame:
     """requests: client, at, request_id. The seconds that each request must wait, 0 for accepted; only accepted ones count. A client's
-    state is its accepted times within the window: at most `limit` numbers, brought up to date by its next request."""
+    state is its accepted times within the window, at most `limit` numbers; it goes once the watermark, `late` behind the newest
+    request, has passed the window, so clients that never come back leave nothing. Requests later than that aren't judged."""
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         times = list(state.get[0]) if state.exists else []
         rows = pd.concat(list(frames)).sort_values(["at", "request_id"], kind="stable")
         waits = []
@@ -46,9 +50,19 @@ def rate_limited(requests: DataFrame, limit: int, seconds: float) -> DataFrame:
             else:
                 waits.append(max(1, -int(-(seconds - (now - times[0])) // 1)))
         state.update((times,))
+        state.setTimeoutTimestamp(max(int((times[-1] + seconds) * 1000), state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({"request_id": rows["request_id"], "client": key[0], "wait": waits})
 
-    return requests.groupBy("client").applyInPandasWithState(run, "request_id long, client long, wait long", "times array<double>", "update", GroupStateTimeout.NoTimeout)
+    timed = requests.withColumn("at", F.col("at").cast("timestamp")).withWatermark("at", late)
+    return timed.groupBy("client").applyInPandasWithState(run, "request_id long, client long, wait long", "times array<double>", "update", GroupStateTimeout.EventTimeTimeout)
+
+
+def flushed(rows: DataFrame, path: str, checkpoint: str, every: str = "300 seconds", most_files: int = 1):
+    """A stream written out in batches on a timer, each batch in its own folder; a batch that runs again replaces itself."""
+    from plausia.sources.sinks import append_batch
+
+    write = append_batch(path)
+    return rows.writeStream.foreachBatch(lambda batch, number: write(batch.coalesce(most_files), number)).option("checkpointLocation", checkpoint).trigger(processingTime=every)
 
 
 def run_available(df: DataFrame, name: str, checkpoint: str, mode: str) -> DataFrame:

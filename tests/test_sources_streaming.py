@@ -34,7 +34,11 @@ def test_threads_extractions_and_reasons(spark, folder):
     assert good.count() == 3 and [r.problem for r in bad.collect()] == ["not a thread"]
     c = scans.comments(good)
     assert c.count() == 6 and {r.author for r in c.collect()} == {"ann", None}
-    got = scans.checked_mentions(scans.extractions(spark, str(folder / "found")), c).orderBy("ordinal").collect()
+    (folder / "found" / "bad.json").write_text('{"mentions": [')
+    (folder / "found" / "none.json").write_text('{"mentions": []}')
+    found, lost = scans.extractions(spark, str(folder / "found"))
+    assert sorted(r.problem for r in lost.collect()) == ["no thread", "not an extraction"]
+    got = scans.checked_mentions(found, c).orderBy("ordinal").collect()
     assert [r.reject_reason for r in got] == [None, "quote not found", "comment not in thread", "quoted block", "not a reply"]
 
 
@@ -60,12 +64,67 @@ def test_depth_and_order_of_replies(spark):
 
 
 def test_upsert_keeps_the_newest_and_may_run_twice(spark, tmp_path):
-    write = sinks.upsert_batch(str(tmp_path / "t"), ["k"], "at")
-    one, two = spark.createDataFrame([(1, 1, "a"), (2, 1, "b")], "k int, at int, v string"), spark.createDataFrame([(1, 2, "c"), (2, 0, "old")], "k int, at int, v string")
+    at = str(tmp_path / "t")
+    write = sinks.upsert_batch(at, ["k"], "at", buckets=4)
+    one, two = spark.createDataFrame([(k, 1, "a") for k in range(20)], "k int, at int, v string"), spark.createDataFrame([(1, 2, "c"), (2, 0, "old"), (99, 1, "new")], "k int, at int, v string")
     write(one, 0)
     write(two, 1)
     write(two, 1)
-    assert {(r.k, r.v) for r in spark.read.parquet(str(tmp_path / "t" / "batch=1")).collect()} == {(1, "c"), (2, "b")}
+    got = {r.k: r.v for r in sinks.latest_rows(spark, at).collect()}
+    assert got == {k: "a" for k in range(20)} | {1: "c", 99: "new"} and sinks.latest_rows(spark, str(tmp_path / "none")) is None
+    assert len([x for x in (tmp_path / "t" / "batch=1").iterdir() if x.name.startswith("bucket=")]) <= 3
+
+
+def test_tables_change_in_one_step_and_appends_may_run_twice(spark, tmp_path):
+    at = str(tmp_path / "w")
+    sinks.write_table(spark.range(3), at)
+    before = sinks.read_table(spark, at)
+    sinks.write_table(spark.range(5), at, version="5")
+    assert before.count() == 3 and sinks.read_table(spark, at).count() == 5
+    assert len(sinks.vacuumed(spark, at)) == 1 and sinks.read_table(spark, at).count() == 5
+    with pytest.raises(FileNotFoundError):
+        sinks.read_table(spark, str(tmp_path / "missing"))
+    append = sinks.append_batch(str(tmp_path / "a"))
+    for n, df in ((0, spark.range(2)), (1, spark.range(3)), (1, spark.range(3))):
+        append(df, n)
+    assert spark.read.json(str(tmp_path / "a")).count() == 5
+
+
+def test_lists_lines_and_dumps(spark, tmp_path):
+    import zstandard
+
+    (tmp_path / "s.json").write_text(json.dumps([{"name": "pan", "summary": "Lasts.", "cited": ["c1"]}, {"name": "pot", "summary": " ", "cited": ["c1"]}, {"summary": "x", "cited": ["c"]}, {"name": "lid", "summary": "x", "cited": []}]))
+    good, bad = scans.summaries(spark, str(tmp_path / "s.json"))
+    assert [r.name for r in good.collect()] == ["pan"] and sorted(r.problem for r in bad.collect()) == ["cites nothing", "no name", "no text"]
+    (tmp_path / "a.json").write_text(json.dumps({"products": {"skin": [{"short": "TO", "full": "The Ordinary"}]}}))
+    assert [tuple(r) for r in scans.aliases(spark, str(tmp_path / "a.json")).collect()] == [("skin", "TO", "The Ordinary")]
+    (tmp_path / "r.jsonl").write_text('{"k": 1}\nnot json\n{"k": 2}\n')
+    from pyspark.sql.types import LongType, StringType, StructField, StructType
+
+    rows, broken = scans.records(spark, str(tmp_path / "r.jsonl"), StructType([StructField("k", LongType())]))
+    assert sorted(r.k for r in rows.collect()) == [1, 2] and [r.line for r in broken.collect()] == ["not json"]
+    (tmp_path / "dump").mkdir()
+    lines = [json.dumps({"id": f"t3_{i}", "score": i}) for i in range(2500)] + ["{broken", ""]
+    (tmp_path / "dump" / "x.zst").write_bytes(zstandard.ZstdCompressor().compress("\n".join(lines).encode()) + zstandard.ZstdCompressor().compress(b'\n{"id": "t3_z", "score": 7}'))
+    got = scans.compressed_lines(spark, str(tmp_path / "dump"))
+    assert sorted(r.line for r in got.collect() if r.line) == sorted([x for x in lines if x] + ['{"id": "t3_z", "score": 7}'])
+    kept = scans.submissions(got, StructType([StructField("id", StringType()), StructField("score", LongType())]), [("low", F.col("score") < 10), ("odd", F.col("score") % 2 == 1)])
+    assert {r.drop_reason: r["count"] for r in kept.groupBy("drop_reason").count().collect()} == {None: 1245, "low": 11, "odd": 1245, "not a record": 2}
+
+
+def test_replies_of_other_posts_and_orphans_are_dropped(spark):
+    flat = spark.createDataFrame([("a", None, "t3_p"), ("b", "t1_a", "t3_p"), ("c", "t1_gone", "t3_p"), ("d", "t1_c", "t3_p"), ("e", "t3_p", "t3_p"), ("f", None, "t3_other")], "id string, parent_id string, link_id string")
+    flat = flat.withColumn("parent_id", F.regexp_replace("parent_id", "^t1_", ""))
+    assert {r.id for r in scans.own_replies(flat, "p").collect()} == {"a", "b", "e"}
+
+
+def test_buffered_rows_are_flushed_on_a_timer(spark, tmp_path):
+    spark.range(4).write.parquet(str(tmp_path / "in"))
+    s = streams.events(spark, str(tmp_path / "in"), spark.range(1).schema, 100)
+    q = streams.flushed(s, str(tmp_path / "out"), str(tmp_path / "cp"), "1 second").start()
+    q.processAllAvailable()
+    q.stop()
+    assert spark.read.json(str(tmp_path / "out")).count() == 4
 
 
 def requests(spark):
@@ -74,6 +133,12 @@ def requests(spark):
     return spark.createDataFrame(rows, "client long, at timestamp_ntz, request_id long")
 
 
+def test_stretches_part_busy_clients(spark):
+    df = requests(spark)
+    got = {r.request_id: r.stretch for r in timed.stretches(df, "client", "at", 7.0).collect()}
+    assert got == {0: 0, 1: 0, 2: 0, 3: 0, 4: 1, 5: 1, 6: 1, 7: 2, 100: 0}
+
+
 def brute_waits(rows, limit, seconds):
     out, seen = {}, {}
     for r in sorted(rows, key=lambda r: (r.client, r.at, r.request_id)):
@@ -97,6 +162,20 @@ def test_rate_limits_in_batch_and_stream(spark, tmp_path):
     assert {r.request_id: r.wait for r in got.collect()} == want
 
 
+def test_state_of_clients_that_stay_away_goes(spark, tmp_path):
+    t0 = dt.datetime(2026, 1, 1)
+    for i, rows in enumerate([[(1, t0, 1)], [(2, t0 + dt.timedelta(hours=5), 2)], [(2, t0 + dt.timedelta(hours=9), 3)]]):
+        spark.createDataFrame(rows, "client long, at timestamp_ntz, request_id long").coalesce(1).write.parquet(str(tmp_path / f"in{i}"))
+        (tmp_path / "in").mkdir(exist_ok=True)
+        for f in (tmp_path / f"in{i}").glob("*.parquet"):
+            f.rename(tmp_path / "in" / f"{i}-{f.name}")
+    s = streams.events(spark, str(tmp_path / "in"), requests(spark).schema)
+    q = streams.rate_limited(s, 2, 10.0).writeStream.format("memory").queryName("gone").outputMode("update").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    assert spark.table("gone").count() == 3
+    assert q.lastProgress.stateOperators[0].numRowsTotal <= 1
+
+
 def test_ledger_stream_equals_batch(spark, tmp_path):
     rows = [(1, dt.datetime(2026, 1, 1), "passing"), (1, dt.datetime(2026, 1, 3), "unreadable"), (2, dt.datetime(2026, 1, 2), "deleted")]
     df = spark.createDataFrame(rows, "comment_id long, at timestamp, outcome string")
