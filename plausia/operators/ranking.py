@@ -50,11 +50,19 @@ def stands_out(needs_asked: bool = False, rules: Rules = RULES) -> Column:
 
 
 def thread_upvotes(mentions: DataFrame) -> DataFrame:
-    """Adds thread_comments and share_beaten: how many of a thread's other comments score strictly lower, as a share."""
-    comments = mentions.groupBy("thread_id", "comment_id").agg(F.max("upvotes").alias("score"))
-    scored = comments.withColumn("thread_comments", F.count(F.lit(1)).over(Window.partitionBy("thread_id")))
-    scored = scored.withColumn("share_beaten", F.percent_rank().over(Window.partitionBy("thread_id").orderBy("score")))
-    return mentions.join(scored.drop("score"), ["thread_id", "comment_id"])
+    """Adds thread_comments and share_beaten: how many of a thread's other comments score strictly lower, as a share.
+
+    One shuffle by thread: a comment's score is the most upvotes of its mentions, and its first mention stands for it when the
+    comments below a score are counted."""
+    of_comment = Window.partitionBy("thread_id", "comment_id")
+    of_thread = Window.partitionBy("thread_id")
+    lowest = F.lit(-(2**62))  # a comment without upvotes is below all others
+    rows = mentions.repartition("thread_id").withColumn("_score", F.coalesce(F.max("upvotes").over(of_comment).cast("long"), lowest))
+    rows = rows.withColumn("_first", (F.row_number().over(of_comment.orderBy("_score")) == 1).cast("long"))
+    below = F.coalesce(F.sum("_first").over(of_thread.orderBy("_score").rangeBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rows = rows.withColumns({"thread_comments": F.sum("_first").over(of_thread), "_below": below})
+    share = F.when(F.col("thread_comments") > 1, F.col("_below") / (F.col("thread_comments") - 1)).otherwise(F.lit(0.0))
+    return rows.withColumn("share_beaten", share).drop("_score", "_first", "_below")
 
 
 def voter() -> Column:
@@ -198,9 +206,13 @@ def skip_list(products: DataFrame, rules: Rules = RULES) -> DataFrame:
     return products.filter("on_skip_list").withColumn("shown", F.row_number().over(w)).filter(F.col("shown") <= rules.skip_shown)
 
 
+#: What scoring reads of a mention; nothing else goes through the shuffle of the votes.
+SCORED = ("category", "product_key", "product_name", "thread_id", "comment_id", "author", "stance", "voice", "evidence", "upvotes", "thread_comments", "share_beaten", "products_named", "meets_need", "weight", "ordinal")
+
+
 def rank_products(mentions: DataFrame, notes: DataFrame | None = None, placements: DataFrame | None = None, rules: Rules = RULES) -> DataFrame:
     """Mentions to ranked products, every category at once. Mentions need thread_upvotes' columns."""
-    votes = one_vote(mentions.withColumn("weight", mention_weight(rules)), "category", "product_key")
+    votes = one_vote(mentions.withColumn("weight", mention_weight(rules)).select(*SCORED), "category", "product_key")
     bonuses = None
     if notes is not None and placements is not None:
         heard = one_vote(notes.withColumn("weight", note_weight(rules)), "category", "kind_key")
