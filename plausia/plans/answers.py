@@ -252,6 +252,25 @@ _FAMILIES = {"breakage": r"\b(broke|cracked)\b", "money": r"\b(overpriced|cheape
 _TIPS = r"""w AS (SELECT *, list_distinct([regexp_replace(x, '(ing|ed|es|s|ly)$', '') FOR x IN regexp_extract_all(lower(text), '[a-z]{4,}')]) AS w, regexp_matches(lower(text), '\b(don.?t|no|not|never|avoid)\b') AS neg,
   list_distinct(regexp_extract_all(text, '\b(\d+(?:\.\d+)?)\b', 1)) AS nums FROM turns)"""
 _BEST = "m AS (SELECT f.*, p.pick FROM flagged f JOIN picks p USING (category, product_key) WHERE f.credible)"
+_SHOWN = f"""m AS (SELECT f.*, p.pick FROM flagged f JOIN picks p USING (category, product_key) WHERE f.credible),
+o AS (SELECT *, row_number() OVER (PARTITION BY category, product_key, stance ORDER BY abs(weight) DESC, upvotes DESC, {ORDINAL_SQL}) AS shown FROM m WHERE stance IN ('recommend', 'warn')),
+q AS (SELECT category, product_key, coalesce(list({{'comment_id': comment_id, 'voice': voice, 'evidence': evidence}} ORDER BY shown) FILTER (stance = 'recommend' AND shown <= 3), []) AS praise,
+  coalesce(list({{'comment_id': comment_id}} ORDER BY shown) FILTER (stance = 'warn' AND shown <= 2), []) AS warnings FROM o GROUP BY ALL),
+a AS (SELECT category, list({{'pick': pick, 'product_key': product_key, 'product_name': product_name, 'score': score, 'praise': coalesce(q.praise, []), 'warnings': coalesce(q.warnings, [])}} ORDER BY pick) AS picks
+  FROM picks LEFT JOIN q USING (category, product_key) GROUP BY 1),
+sk AS (SELECT * FROM ranked WHERE on_skip_list QUALIFY row_number() OVER (PARTITION BY category ORDER BY credible_warnings DESC, score, lower(product_name), product_key) <= 5),
+s AS (SELECT category, list(product_key ORDER BY credible_warnings DESC, score, lower(product_name), product_key) AS skip FROM sk GROUP BY 1)"""
+
+
+def _read(width: int) -> str:
+    """The ranking over the first threads of each category."""
+    return _RANKED.replace(
+        "votes AS (SELECT * FROM flagged QUALIFY",
+        "toc AS (SELECT category, thread_id, count(DISTINCT comment_id) AS n FROM mentions GROUP BY ALL), "
+        f"tor AS (SELECT category, thread_id FROM toc QUALIFY row_number() OVER (PARTITION BY category ORDER BY n DESC, thread_id) <= {width}), votes AS (SELECT * FROM flagged SEMI JOIN tor USING (category, thread_id) QUALIFY",
+    )
+
+
 QUERIES = {
     "independence_signs": (
         independence_signs,
@@ -308,10 +327,14 @@ QUERIES = {
     ),
     "best_mentions": (best_mentions, f"WITH {_RANKED}, {_BEST} SELECT category, product_key, row_number() OVER (PARTITION BY category, product_key ORDER BY weight DESC, upvotes DESC, {ORDINAL_SQL}) AS shown, comment_id, upvotes FROM m WHERE stance = 'recommend' QUALIFY shown <= 3"),
     "pick_warnings": (pick_warnings, f"WITH {_RANKED}, {_BEST} SELECT category, product_key, row_number() OVER (PARTITION BY category, product_key ORDER BY weight, upvotes DESC, {ORDINAL_SQL}) AS shown, comment_id FROM m WHERE stance = 'warn' QUALIFY shown <= 2"),
-    "written_answers": (written_answers, None),
+    "written_answers": (written_answers, f"WITH {_RANKED}, {_SHOWN} SELECT category, to_json({{'picks': coalesce(picks, []), 'skip': coalesce(skip, [])}})::VARCHAR AS answer FROM a FULL JOIN s USING (category)"),
     "need_rule": (need_rule, f"WITH {_RANKED}, n AS (SELECT category, product_key, count(*) FILTER (credible AND stance = 'recommend' AND meets_need) AS fitting_need FROM votes GROUP BY ALL) SELECT category, product_key, fitting_need FROM ranked JOIN n USING (category, product_key) WHERE qualifies AND fitting_need > 0"),
     "live_checked_picks": (live_checked_picks, None),
-    "wider_reading": (wider_reading, None),
+    "wider_reading": (
+        wider_reading,
+        f"WITH a AS (WITH {_read(16)} SELECT category, count(*) FILTER (qualifies) AS q FROM ranked GROUP BY 1), b AS (WITH {_read(200)} SELECT category, count(*) FILTER (qualifies) AS q FROM ranked GROUP BY 1) "
+        "SELECT category, CASE WHEN a.q < 3 AND b.q > a.q THEN b.q ELSE a.q END AS qualifying, CASE WHEN a.q < 3 AND b.q > a.q THEN 200 ELSE 16 END AS width FROM a LEFT JOIN b USING (category)",
+    ),
     "pick_labels": (
         pick_labels,
         f"WITH {_RANKED}, n AS (SELECT m.category, 'topic' || honesty::VARCHAR AS topic, m.product_key, pick, count(*) AS n FROM mentions m JOIN picks p ON p.category = m.category AND p.product_key = m.product_key WHERE {_CREDIBLE} AND stance = 'recommend' GROUP BY ALL), "

@@ -129,9 +129,13 @@ def due_profiles(spark: SparkSession, sf: str) -> DataFrame:
     return numbered(c, F.desc("quoted"), F.asc_nulls_last("looked"), F.col("c_custkey"))
 
 
+_READ = """asked AS (SELECT p_partkey, p_size, string_split(p_name, ' ')[2] AS noun, CASE WHEN p_partkey % 4 = 1 THEN substr(string_split(p_name, ' ')[2], 1, 3) || substr(string_split(p_name, ' ')[2], 5) ELSE string_split(p_name, ' ')[2] END AS w FROM part),
+v AS (SELECT DISTINCT noun AS v FROM asked), near AS (SELECT w, min(v) AS v FROM (SELECT DISTINCT w FROM asked) JOIN v ON v[1] = w[1] AND levenshtein(v, w) = 1 WHERE length(w) >= 5 AND w NOT IN (SELECT v FROM v) GROUP BY w HAVING count(*) = 1),
+read AS (SELECT p_partkey, noun, 'a sturdy ' || w || CASE WHEN p_partkey % 3 = 0 THEN ' under £' || p_size::VARCHAR ELSE '' END || CASE WHEN p_partkey % 5 = 0 THEN ', 12 inch' ELSE '' END AS request,
+  CASE WHEN w IN (SELECT v FROM v) THEN w ELSE near.v END AS kind, CASE WHEN p_partkey % 3 = 0 THEN p_size::DOUBLE END AS max, CASE WHEN p_partkey % 5 = 0 THEN 12.0::DOUBLE END AS size FROM asked LEFT JOIN near USING (w))"""
 QUERIES = {
-    "parsed_requests": (parsed_requests, None),
-    "query_case_accuracy": (query_case_accuracy, None),
+    "parsed_requests": (parsed_requests, f"WITH {_READ} SELECT p_partkey, request, CASE WHEN kind IS NULL THEN 'clarify' ELSE 'ok' END AS status, kind AS product_type, max, CASE WHEN max IS NOT NULL THEN 'GBP' END AS currency, size FROM read"),
+    "query_case_accuracy": (query_case_accuracy, f"WITH {_READ} SELECT count(*) AS cases, count(*) FILTER (kind = noun) AS right FROM read"),
     "typo_correction": (
         typo_correction,
         "WITH v AS (SELECT DISTINCT unnest(string_split(p_name, ' ')) AS v FROM part), l AS (SELECT v FROM v WHERE length(v) >= 5), w AS (SELECT DISTINCT substr(v, 1, 2) || substr(v, 4) AS w FROM l) "
