@@ -15,6 +15,11 @@ def name_words(name: pd.Series) -> pd.Series:
     return name.map(lambda x: None if x is None else list(names.name_words(x)))
 
 
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def plain_words(text: pd.Series) -> pd.Series:
+    return text.map(lambda x: None if x is None else names.plain_words(x))
+
+
 @F.pandas_udf(T.BooleanType())
 def same_product(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else names.same_product(x, y) for x, y in zip(a, b, strict=True)], dtype=object)
@@ -62,9 +67,15 @@ def parse_budget(text: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([{k: r.get(k) for k in ("min", "max", "currency")} for r in rows], columns=["min", "max", "currency"]).astype({"min": "float64", "max": "float64", "currency": object})
 
 
+@F.pandas_udf(T.StructType([T.StructField("value", T.DoubleType()), T.StructField("unit", T.StringType())]))
+def parse_size(text: pd.Series) -> pd.DataFrame:
+    rows = [(requests.parse_size(t) if t is not None else None) or {} for t in text]
+    return pd.DataFrame([{k: r.get(k) for k in ("value", "unit")} for r in rows], columns=["value", "unit"]).astype({"value": "float64", "unit": object})
+
+
 FUNCTIONS = {
     f.__name__: f
-    for f in (name_words, same_product, written_alike, spelling_slip, singular, unescaped, quote_plain, find_quote, in_quoted_block, parse_budget)
+    for f in (name_words, same_product, written_alike, spelling_slip, singular, unescaped, quote_plain, find_quote, in_quoted_block, parse_budget, plain_words, parse_size)
 }
 
 

@@ -114,6 +114,39 @@ def agreeing_replies(replies: DataFrame, agrees: Column) -> DataFrame:
     return a.join(p, on).filter(~own).groupBy("p.thread_id", "p.comment_id").agg(F.count_distinct("a.comment_id").alias("replies_agree"))
 
 
+def first_reason(rules: list[tuple[str, Column]], kept: str | None = None) -> Column:
+    """The name of the first rule that holds, in their order; what holds none is kept, under a name if one is given."""
+    out = F.lit(kept)
+    for name, holds in reversed(rules):
+        out = F.when(holds, F.lit(name)).otherwise(out)
+    return out
+
+
+def refresh_due(days: Column, comments: Column, rules: Rules = RULES) -> Column:
+    """Whether a thread is due to be read anew: after some days, or more where little is said."""
+    return days >= F.when(comments < rules.quiet_comments, rules.refresh_quiet_days).otherwise(rules.refresh_days)
+
+
+def retention_over(age_days: Column, archived: Column, rules: Rules = RULES) -> Column:
+    """Whether a comment's words may no longer be kept: unchecked for too long, longer where an archive gave them."""
+    return age_days > F.when(archived, rules.keep_days + rules.archive_days).otherwise(rules.keep_days)
+
+
+def post_score(asks_advice: Column, talked: Column, talk: Column, tiny: Column, old: Column, wanted: Column) -> Column:
+    """A post's score for reading: advice asked for counts most, then its kind and the talk under it; tiny and old ones lose. Unwanted
+    kinds have none."""
+    score = F.when(asks_advice, 3.0).otherwise(1.0) + F.when(talked, 0.5).otherwise(0.0) + F.log10(1 + talk) - F.when(tiny, 2.0).otherwise(0.0) - F.when(old, 1.5).otherwise(0.0)
+    return F.when(wanted, F.round(score, 6))
+
+
+def readable_above(replies: DataFrame, readable: Column) -> DataFrame:
+    """For each comment whether its parent can be read, and whether any comment further up can: what a reply that names nothing may be about."""
+    of = levels(replies.withColumn("_ok", readable), F.col("_ok"))
+    n = F.size("path")
+    earlier = F.exists(F.slice("path", F.lit(1), F.greatest(n - 2, F.lit(0))), lambda ok: ok)
+    return of.select("thread_id", "comment_id", F.coalesce(F.get("path", n - 2), F.lit(False)).alias("parent"), F.coalesce(earlier, F.lit(False)).alias("earlier"))
+
+
 def levels(replies: DataFrame, key: Column) -> DataFrame:
     """thread_id, comment_id, depth and path, an array of the keys from a thread's root down to the comment.
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from plausia.operators import answers as a, ranking as r, signs as g
+from plausia.operators import answers as a, ranking as r, signs as g, threads as t
 from plausia.operators.copies import contradicting, ensure_checkpoint_dir
 from plausia.plans.ranking import _CREDIBLE, _RANKED, _VOTES, notes, placements
 from plausia.plans.ranking import _ranked as ranked
@@ -102,12 +102,8 @@ def note_kinds(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def ancestor_readable(spark: SparkSession, sf: str) -> DataFrame:
-    """Replies whose parent or its parent is readable: what a reply that names nothing can be about."""
-    p = replies(spark, sf).withColumn("ok", F.col("comment_id") % 4 != 1)
-    one = p.select("thread_id", F.col("comment_id").alias("parent_id"), F.col("parent_id").alias("grand_id"), F.col("ok").alias("parent_ok"))
-    two = p.select("thread_id", F.col("comment_id").alias("grand_id"), F.col("ok").alias("grand_ok"))
-    j = p.join(one, ["thread_id", "parent_id"], "left").join(two, ["thread_id", "grand_id"], "left")
-    return j.select("thread_id", "comment_id", F.coalesce("parent_ok", F.lit(False)).alias("parent"), F.coalesce("grand_ok", F.lit(False)).alias("earlier"))
+    """Replies whose parent, or a comment further up, is readable: what a reply that names nothing can be about."""
+    return t.readable_above(replies(spark, sf), F.col("comment_id") % 4 != 1)
 
 
 def best_mentions(spark: SparkSession, sf: str) -> DataFrame:
@@ -322,8 +318,9 @@ QUERIES = {
     ),
     "ancestor_readable": (
         ancestor_readable,
-        f"WITH {REPLIES} SELECT r.thread_id, r.comment_id, coalesce(p.comment_id % 4 <> 1, false) AS parent, coalesce(q.comment_id % 4 <> 1, false) AS earlier FROM replies r LEFT JOIN replies p ON p.thread_id = r.thread_id AND p.comment_id = r.parent_id "
-        "LEFT JOIN replies q ON q.thread_id = r.thread_id AND q.comment_id = p.parent_id",
+        f"WITH RECURSIVE {REPLIES}, up AS (SELECT thread_id, comment_id, parent_id AS above, 1 AS d FROM replies WHERE parent_id IS NOT NULL UNION ALL SELECT u.thread_id, u.comment_id, r.parent_id, d + 1 FROM up u JOIN replies r ON r.thread_id = u.thread_id AND r.comment_id = u.above WHERE r.parent_id IS NOT NULL), "
+        "o AS (SELECT thread_id, comment_id, coalesce(bool_or(above % 4 <> 1) FILTER (d = 1), false) AS parent, coalesce(bool_or(above % 4 <> 1) FILTER (d > 1), false) AS earlier FROM up SEMI JOIN (SELECT thread_id, comment_id AS above FROM replies) x USING (thread_id, above) GROUP BY ALL) "
+        "SELECT r.thread_id, r.comment_id, coalesce(parent, false) AS parent, coalesce(earlier, false) AS earlier FROM replies r LEFT JOIN o USING (thread_id, comment_id)",
     ),
     "best_mentions": (best_mentions, f"WITH {_RANKED}, {_BEST} SELECT category, product_key, row_number() OVER (PARTITION BY category, product_key ORDER BY weight DESC, upvotes DESC, {ORDINAL_SQL}) AS shown, comment_id, upvotes FROM m WHERE stance = 'recommend' QUALIFY shown <= 3"),
     "pick_warnings": (pick_warnings, f"WITH {_RANKED}, {_BEST} SELECT category, product_key, row_number() OVER (PARTITION BY category, product_key ORDER BY weight, upvotes DESC, {ORDINAL_SQL}) AS shown, comment_id FROM m WHERE stance = 'warn' QUALIFY shown <= 2"),

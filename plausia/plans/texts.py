@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from plausia.functions import quotes, registry as reg
-from plausia.operators import copies as c, names as nm, signs as g
+from plausia.operators import copies as c, names as nm, pages, signs as g
+from plausia.operators.threads import first_reason
+from plausia.rules import RULES
 from plausia.plans.views import COMMENTS, MENTIONS, TURNS, comments, mentions, table, texts, turns
 
 #: Words that stand for a field's own terms in the driver's texts.
@@ -62,10 +64,8 @@ def reject_reasons(spark: SparkSession, sf: str) -> DataFrame:
     rows = t.select("conv_id", "turn", "text", altered.alias("quote"), (F.col("turn") % 7 == 6).alias("gone"), (F.col("turn") == 0).alias("root"), (F.col("conv_id") % 6 == 1).alias("refers"))
     # the quote stands word for word if the text starts with it and no word is cut
     found = F.col("text").startswith(F.col("quote")) & ((F.length("text") == F.length("quote")) | ~F.expr("substring(text, length(quote) + 1, 1)").rlike(r"[\p{L}\p{N}']"))
-    reason = (
-        F.when(F.col("gone"), "comment unreadable").when(~found, "quote not found").when(F.size(F.split("quote", " ")) > 50, "quote too long").when(F.col("refers") & F.col("root"), "not a reply")
-    )
-    return rows.groupBy(F.coalesce(reason, F.lit("kept")).alias("reason")).agg(F.count(F.lit(1)).alias("n"))
+    rules = [("comment unreadable", F.col("gone")), ("quote not found", ~found), ("quote too long", F.size(F.split("quote", " ")) > RULES.quote_max_words), ("not a reply", F.col("refers") & F.col("root"))]
+    return rows.groupBy(first_reason(rules, "kept").alias("reason")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def quote_pass_rate(spark: SparkSession, sf: str) -> DataFrame:
@@ -121,10 +121,44 @@ def subset_placement(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def page_facts(spark: SparkSession, sf: str) -> DataFrame:
-    """What a maker's page says in its head: title, language, and the address it gives."""
-    h = F.col("html")
-    one = lambda p: F.nullif(F.regexp_extract(h, p, 1), F.lit(""))
-    return table(spark, sf, "pages").select("page_id", one("<title>([^<]*)</title>").alias("title"), one('<html lang="([^"]*)"').alias("lang"), F.length(h).alias("size"))
+    """What a maker's page says of its product: by its structured data, else by its tags, else in its head."""
+    return pages.facts(table(spark, sf, "pages").select("page_id", "html")).select("page_id", "name", "title", "lang", "price", F.length("html").alias("size"))
+
+
+def product_words(spark: SparkSession, sf: str) -> DataFrame:
+    """The words of names as shops write them: leading and filler words, the line and the shop left out."""
+    name = F.concat(F.lit("The "), "p_name", F.lit(" Line from Costco"))
+    return table(spark, sf, "part").select("p_partkey", F.array_join(reg.name_words(name), " ").alias("words"))
+
+
+def plain_words(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "part").select("p_partkey", F.array_join(reg.plain_words(F.concat(F.lit("Café Crème: "), F.upper("p_name"), F.lit(" -- O'"))), " ").alias("words"))
+
+
+def joined_words(spark: SparkSession, sf: str) -> DataFrame:
+    """Whether names are written alike: as one word, or with another noun."""
+    other = F.when(F.col("p_partkey") % 2 == 0, F.regexp_replace("p_name", " ", "")).otherwise(F.regexp_replace("p_name", " .*", " gizmos"))
+    return table(spark, sf, "part").select("p_partkey", reg.written_alike("p_name", other).alias("alike"))
+
+
+def unescaped_names(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "part").select("p_partkey", reg.unescaped(F.concat(F.lit("&quot;"), "p_name", F.lit("&#34; &amp; S&ouml;hne"))).alias("name"))
+
+
+def singular_words(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "part").select("p_partkey", reg.singular(F.concat(F.split("p_name", " ")[1], F.lit("s"))).alias("word"))
+
+
+def short_names(spark: SparkSession, sf: str) -> DataFrame:
+    """Names with the short names of a list written out."""
+    names = table(spark, sf, "part").select(F.col("p_brand").alias("category"), F.col("p_name").alias("name")).distinct()
+    aliases = names.select("category").distinct().select("category", F.inline(F.array(F.struct(F.lit("Red").alias("short"), F.lit("Crimson").alias("full")), F.struct(F.lit("hot rod").alias("short"), F.lit("fast car").alias("full")))))
+    return nm.named_words(names, aliases).select("category", "name", F.array_join("words", " ").alias("words"))
+
+
+def sizes_asked(spark: SparkSession, sf: str) -> DataFrame:
+    text = F.concat(F.lit("a pan of "), F.col("p_size").cast("string"), F.when(F.col("p_partkey") % 3 == 0, "-inch or so").when(F.col("p_partkey") % 3 == 1, " millilitres").otherwise(" people"))
+    return table(spark, sf, "part").select("p_partkey", reg.parse_size(text).alias("s")).select("p_partkey", "s.value", "s.unit")
 
 
 def sitemap_pages(spark: SparkSession, sf: str) -> DataFrame:
@@ -234,7 +268,18 @@ QUERIES = {
         subset_placement,
         "WITH k AS (SELECT p_name AS kind FROM part UNION SELECT string_split(p_name, ' ')[2] FROM part) SELECT p_partkey, kind FROM part, k WHERE list_has_all(string_split(p_name, ' '), string_split(kind, ' '))",
     ),
-    "page_facts": (page_facts, "SELECT page_id, nullif(regexp_extract(html, '<title>([^<]*)</title>', 1), '') AS title, nullif(regexp_extract(html, '<html lang=\"([^\"]*)\"', 1), '') AS lang, length(html) AS size FROM pages"),
+    "page_facts": (
+        page_facts,
+        "WITH t AS (SELECT page_id, nullif(trim(regexp_extract(html, '<title>([^<]*)</title>', 1)), '') AS title, nullif(regexp_extract(html, '<html lang=\"([^\"]*)\"', 1), '') AS lang, length(html) AS size FROM pages) "
+        "SELECT page_id, title AS name, title, lang, NULL::DOUBLE AS price, size FROM t",
+    ),
+    "product_words": (product_words, "SELECT p_partkey, p_name AS words FROM part"),
+    "plain_words": (plain_words, "SELECT p_partkey, 'cafe creme ' || p_name || ' o' AS words FROM part"),
+    "joined_words": (joined_words, "SELECT p_partkey, p_partkey % 2 = 0 OR string_split(p_name, ' ')[2] = 'gizmo' AS alike FROM part"),
+    "unescaped_names": (unescaped_names, "SELECT p_partkey, '\"' || p_name || '\" & Söhne' AS name FROM part"),
+    "singular_words": (singular_words, "SELECT p_partkey, string_split(p_name, ' ')[2] AS word FROM part"),
+    "short_names": (short_names, "SELECT p_brand AS category, p_name AS name, CASE WHEN starts_with(p_name, 'red ') THEN 'crimson ' || substr(p_name, 5) WHEN p_name = 'hot rod' THEN 'fast car' ELSE p_name END AS words FROM part GROUP BY ALL"),
+    "sizes_asked": (sizes_asked, "SELECT p_partkey, p_size::DOUBLE AS value, CASE p_partkey % 3 WHEN 0 THEN 'inch' WHEN 1 THEN 'ml' END AS unit FROM part WHERE p_size > 0 AND p_partkey % 3 <> 2 UNION ALL SELECT p_partkey, NULL, NULL FROM part WHERE p_size <= 0 OR p_partkey % 3 = 2"),
     "sitemap_pages": (
         sitemap_pages,
         "WITH r AS (SELECT page_id, regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) AS host, NOT regexp_matches(url, '[?&](page|ref|utm_source)=') AS plain, length(url) AS n FROM pages WHERE regexp_matches(url, '/en/')) "

@@ -57,11 +57,8 @@ def post_score(spark: SparkSession, sf: str) -> DataFrame:
     """A ranking of posts by advice asked, age, talk and kind; posts of one kind are left out with a null score."""
     o = table(spark, sf, "orders")
     old = F.col("o_orderdate") < F.add_months(F.lit("1998-08-01").cast("date"), -36)
-    score = (
-        F.when(F.col("o_orderpriority").isin("1-URGENT", "2-HIGH"), 3.0).otherwise(1.0) + F.when(F.col("o_orderstatus") == "F", 0.5).otherwise(0.0)
-        + F.log10(1 + F.col("o_custkey")) - F.when(F.col("o_custkey") < 15, 2.0).otherwise(0.0) - F.when(old, 1.5).otherwise(0.0)
-    )
-    return o.select("o_orderkey", F.when(F.col("o_orderstatus") != "P", F.round(score, 6)).alias("score"))
+    score = t.post_score(F.col("o_orderpriority").isin("1-URGENT", "2-HIGH"), F.col("o_orderstatus") == "F", F.col("o_custkey"), F.col("o_custkey") < 15, old, F.col("o_orderstatus") != "P")
+    return o.select("o_orderkey", score.alias("score"))
 
 
 def coverage_by_kind(spark: SparkSession, sf: str) -> DataFrame:
@@ -71,11 +68,10 @@ def coverage_by_kind(spark: SparkSession, sf: str) -> DataFrame:
 
 def drop_reasons(spark: SparkSession, sf: str) -> DataFrame:
     """The first rule that drops a comment, counted."""
-    reason = (
-        F.when(F.col("status").isin("deleted", "removed"), "gone").when(F.col("created_at") < F.lit("2024-01-05").cast("timestamp_ntz"), "too early")
-        .when(F.col("kind") == "error", "kind").when(F.col("score") < 0, "score")
-    )
-    return comments(spark, sf).withColumn("reason", F.coalesce(reason, F.lit("kept"))).groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
+    rules = [
+        ("gone", F.col("status").isin("deleted", "removed")), ("too early", F.col("created_at") < F.lit("2024-01-05").cast("timestamp_ntz")), ("kind", F.col("kind") == "error"), ("score", F.col("score") < 0),
+    ]
+    return comments(spark, sf).withColumn("reason", t.first_reason(rules, "kept")).groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
 
 
 def recently_checked(spark: SparkSession, sf: str) -> DataFrame:
@@ -89,14 +85,14 @@ def due_for_refresh(spark: SparkSession, sf: str) -> DataFrame:
     """Due after 30 days, or 90 where little happens."""
     c = comments(spark, sf).groupBy("thread_id").agg(F.max("created_at").alias("last"), F.count(F.lit(1)).alias("n"))
     days = t.days_between(F.lit(TODAY).cast("timestamp_ntz"), F.col("last"))
-    return c.select("thread_id", days.alias("days"), (days >= F.when(F.col("n") < 60, 90).otherwise(30)).alias("due"))
+    return c.select("thread_id", days.alias("days"), t.refresh_due(days, F.col("n")).alias("due"))
 
 
 def retention_expired(spark: SparkSession, sf: str) -> DataFrame:
     """Comments whose words may no longer be kept: unchecked for over 37 days from an archive, over 30 otherwise."""
     c = comments(spark, sf).filter("status = 'ok'")
     age = F.datediff(F.lit(TODAY).cast("date"), F.to_date("created_at"))
-    return c.filter(age > F.when(F.col("k") % 2 == 0, 37).otherwise(30)).select("comment_id", age.alias("age"))
+    return c.filter(t.retention_over(age, F.col("k") % 2 == 0)).select("comment_id", age.alias("age"))
 
 
 def live_check_order(spark: SparkSession, sf: str) -> DataFrame:

@@ -54,6 +54,10 @@ class Rules:
     price_max_age_days: int = 30
     check_hours: int = 48
     keep_days: int = 30
+    archive_days: int = 7
+    refresh_days: int = 30
+    refresh_quiet_days: int = 90
+    quiet_comments: int = 60
 
 
 RULES = Rules()
