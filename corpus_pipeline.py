@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from plausia.llm import decontamination, mixing, near_dedup, quality_classifier, substring_dedup
-from plausia.llm.common import Scratch, ready, table
+from plausia.llm.common import Scratch, made, ready, sweep, table
 
 #: Shares of the tokens after mixing. The classifier has taken out low quality before.
 TARGETS = {"q1_t0": 0.97, "q1_t1": 0.03}
@@ -55,12 +55,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages one after the other over documents, each written and read again."""
+    """The stages one after the other over documents, each written and read again. A stage's own tables go once its result is written."""
     ready(spark)
     scratch = Scratch(spark, "pipeline")
     docs = table(spark, sf_dir, "documents")
     for i, (name, stage) in enumerate(STAGES):
+        before = made()
         docs = scratch.save(stage(spark, docs, sf_dir), name)
+        sweep(before)
         if i:
             scratch.drop(STAGES[i - 1][0])
     return docs
