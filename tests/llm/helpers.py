@@ -27,7 +27,8 @@ def prose(seed: int, n: int, words=("alpha", "beta", "gamma", "delta", "river",
 def odd_rows():
     """Nulls, empties, blanks, one very long text, ties and repeated rows."""
     long = prose(1, 30_000)
+    unspaced = "".join(u * 400 for u in ("ที่นี่กำลังใจ", "\u1112\u1161\u11ab", "e\u0301to\u0302", "日本語", "abcdefg", "<|endoftext|>", "'", "12345", "👍🏽"))
     return [
         (1, prose(2, 60), "en", "a"), (2, None, "en", "a"), (3, "", "fr", "b"), (4, " \t\n\x0b", None, None), (5, prose(2, 60), "en", "b"), (None, "no id here at all", "en", "a"),
-        (6, long, "en", "a"), (7, "word", "en", "a"), (7, "word", "en", "a"), (8, "Ünï çödé 日本語 \x1c tail", "de", "c"), (9, prose(2, 59) + " changed", "en", "a"), (None, None, None, None),
+        (6, long, "en", "a"), (7, "word", "en", "a"), (7, "word", "en", "a"), (8, "Ünï çödé 日本語 \x1c tail", "de", "c"), (9, prose(2, 59) + " changed", "en", "a"), (None, None, None, None), (10, unspaced, "th", "d"),
     ]

@@ -110,7 +110,7 @@ def test_one_of_each_keeps_columns(spark):
     df = docs(spark, odd_rows(), True)
     out = near_dedup.one_of_each(spark, df)
     assert out.columns == df.columns
-    assert sorted(x.doc_id for x in out.collect() if x.doc_id is not None) == [1, 2, 3, 4, 6, 7, 8]
+    assert sorted(x.doc_id for x in out.collect() if x.doc_id is not None) == [1, 2, 3, 4, 6, 7, 8, 10]
 
 
 def test_block_links_equal_pairwise_test():
