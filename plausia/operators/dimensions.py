@@ -66,6 +66,7 @@ def released_from(text: Column) -> Column:
 
 def leader(rows: DataFrame, key: str, by: str, score: str, lead: int, least: int) -> DataFrame:
     """For each key the one entry ahead of all others: at least `least`, and `lead` more than any other."""
-    top = rows.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(score, by)), asc=False).alias("s"))
-    second = F.coalesce(F.get("s", 1)[score], F.lit(0))
-    return top.filter((F.col("s")[0][score] >= least) & (F.col("s")[0][score] >= second + lead)).select(key, F.col("s")[0][by].alias(by), F.col("s")[0][score].alias(score))
+    top = rows.groupBy(key).agg(F.max(F.struct(score, by)).alias("_top"))
+    second = rows.join(top, key).filter(F.col(by) != F.col("_top")[by]).groupBy(key).agg(F.max(score).alias("_second"))
+    ahead = top.join(second, key, "left").filter((F.col("_top")[score] >= least) & (F.col("_top")[score] >= F.coalesce("_second", F.lit(0)) + lead))
+    return ahead.select(key, F.col("_top")[by].alias(by), F.col("_top")[score].alias(score))

@@ -8,23 +8,31 @@ thousands of names share, is nobody's rarest but the brand's own. The exact test
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from plausia.functions import names as n
-from plausia.operators.copies import components, ensure_checkpoint_dir
+from plausia.operators.copies import components
+from plausia.operators.saved import saved
 
 #: Short names that are sent to every task at most.
 MOST_ALIASES = 200_000
 
 
 def forms(word: str) -> set[str]:
-    """What a word and its misspellings have in common: the word, and for longer ones each way to leave out a letter but the first, and
-    their letters in order."""
+    """What a word and its misspellings have in common: the word, what is left of it without a letter that a slip may add or change, and
+    for long words their letters in order. Only slips that functions.names forgives: a word with a digit has its plural alone."""
     out = {word}
+    letters, long = word.isalpha(), len(word) >= n.TYPO_LENGTH and not any(map(str.isdigit, word))
     if len(word) >= min(n.PLURAL_LENGTH, n.DOUBLED_LENGTH):
-        out |= {"~" + word} | {"~" + word[:i] + word[i + 1 :] for i in range(1, len(word))} | {"~~" + word[0] + "".join(sorted(word[1:]))}
+        out.add("~" + word)
+        for i in range(1, len(word)):
+            if long or letters and word[i] == word[i - 1] or i == len(word) - 1 and word[i] == "s":
+                out.add("~" + word[:i] + word[i + 1 :])
+    if long:
+        out.add("~~" + word[0] + "".join(sorted(word[1:])))
     return out
 
 
@@ -89,18 +97,16 @@ def _sought(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def candidate_pairs(named: DataFrame) -> DataFrame:
-    """Pairs (a < b, with their words wa and wb) of a category's names of which one holds the other's rarest word."""
+    """Pairs (a < b) of a category's names of which one holds the other's rarest word."""
     places = named.select("category", "name", "words", F.posexplode("words").alias("at", "word"))
     spread = places.groupBy("category", "word").agg(F.count(F.lit(1)).alias("spread"))
     order = F.struct((F.col("word") == "and").alias("last"), "spread", "word", "at")  # an "and" may be left out by either name
     rarest = places.join(spread, ["category", "word"]).groupBy("category", "name").agg(F.min(order).alias("r"), F.first("words").alias("words")).select("category", "name", "words", F.col("r.at").alias("at"))
     schema = "category string, name string, words array<string>, keys array<string>"
-    seeks = rarest.mapInArrow(_sought, schema).select("category", F.col("name").alias("x"), F.col("words").alias("wx"), F.explode("keys").alias("key"))
-    holds = named.mapInArrow(_held, schema).select("category", F.col("name").alias("y"), F.col("words").alias("wy"), F.explode("keys").alias("key"))
+    seeks = rarest.mapInArrow(_sought, schema).select("category", F.col("name").alias("x"), F.explode("keys").alias("key"))
+    holds = named.mapInArrow(_held, schema).select("category", F.col("name").alias("y"), F.explode("keys").alias("key"))
     met = seeks.join(holds, ["category", "key"]).filter("x <> y")
-    turn = F.col("x") < F.col("y")
-    pick = lambda p, q: F.when(turn, F.col(p)).otherwise(F.col(q))
-    return met.select("category", pick("x", "y").alias("a"), pick("y", "x").alias("b"), pick("wx", "wy").alias("wa"), pick("wy", "wx").alias("wb")).distinct()
+    return met.select("category", F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
 def candidates(asked: DataFrame, index: DataFrame) -> DataFrame:
@@ -118,19 +124,24 @@ def pairs_among(pairs: DataFrame, wanted: DataFrame) -> DataFrame:
     return pairs.join(w.withColumnRenamed("name", "a"), ["category", "a"], "left_semi").join(w.withColumnRenamed("name", "b"), ["category", "b"], "left_semi")
 
 
-def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        pairs = [(tuple(x), tuple(y)) for x, y in zip(b.column("wa").to_pylist(), b.column("wb").to_pylist(), strict=True)]
-        same, alike = [n.same_words(x, y) for x, y in pairs], [n.written_alike(x, y) for x, y in pairs]
-        out = pa.RecordBatch.from_arrays([b.column("category"), b.column("a"), b.column("b"), pa.array(alike, pa.bool_())], ["category", "a", "b", "alike"])
-        yield out.filter(pa.array(same, pa.bool_()))
+def _verified(aliases: dict[str, n.Aliases]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = lru_cache(maxsize=100_000)(lambda category, name: n.name_words(name, aliases.get(category)))
+        for b in batches:
+            pairs = [(words(c, x), words(c, y)) for c, x, y in zip(*(b.column(k).to_pylist() for k in ("category", "a", "b")), strict=True)]
+            same = pa.array([n.same_words(x, y) for x, y in pairs], pa.bool_())
+            alike = pa.array([n.written_alike(x, y) for (x, y), fits in zip(pairs, same.to_pylist(), strict=True) if fits], pa.bool_())
+            out = pa.RecordBatch.from_arrays([b.column("category"), b.column("a"), b.column("b")], ["category", "a", "b"]).filter(same)
+            yield pa.RecordBatch.from_arrays([*out.columns, alike], ["category", "a", "b", "alike"])
+
+    return run
 
 
 def matching_pairs(names: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
     """category, a, b and alike for the pairs (a < b) of a category's names that mean one product."""
-    ensure_checkpoint_dir(names.sparkSession)
-    named = named_words(names, aliases).checkpoint()
-    return candidate_pairs(named).mapInArrow(_verified, "category string, a string, b string, alike boolean")
+    lists = alias_lists(aliases)
+    named = saved(named_words(names, aliases))
+    return candidate_pairs(named).mapInArrow(_verified(lists), "category string, a string, b string, alike boolean")
 
 
 def both_ways(pairs: DataFrame) -> DataFrame:
@@ -153,7 +164,7 @@ def loose_names(pairs: DataFrame) -> DataFrame:
         return two.select("category", "name", F.least("x", "y").alias("lo"), F.greatest("x", "y").alias("hi")).join(known, ["category", "lo", "hi"], "left_anti").select("category", "name").distinct()
 
     first = ends.groupBy("category", "name").agg(F.min("other").alias("x"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    by_first = torn(ends.join(first, ["category", "name"]).filter("other <> x").withColumnRenamed("other", "y")).checkpoint()
+    by_first = saved(torn(ends.join(first, ["category", "name"]).filter("other <> x").withColumnRenamed("other", "y")))
     open_ = ends.join(first.filter("n > 2").select("category", "name"), ["category", "name"], "left_semi").join(by_first, ["category", "name"], "left_anti")
     x, y = open_.withColumnRenamed("other", "x"), open_.withColumnRenamed("other", "y")
     return by_first.unionByName(torn(x.join(y, ["category", "name"]).filter("x < y"))).distinct()
@@ -162,8 +173,8 @@ def loose_names(pairs: DataFrame) -> DataFrame:
 def group_products(names: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
     """name to product, within a category: names written alike are one; a name that fits longer names which don't fit one
     another is loose and stays apart; the rest join the names they match. names: category, name, n (mentions)."""
-    pairs = matching_pairs(names, aliases).checkpoint()
-    loose = loose_names(pairs).withColumn("loose", F.lit(True)).checkpoint()
+    pairs = saved(matching_pairs(names, aliases))
+    loose = saved(loose_names(pairs).withColumn("loose", F.lit(True)))
     firm = pairs.join(loose.select("category", F.col("name").alias("a")), ["category", "a"], "left_anti").join(loose.select("category", F.col("name").alias("b")), ["category", "b"], "left_anti")
     alike = pairs.filter("alike")
     key = lambda c: F.concat_ws("\t", "category", c)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from plausia.operators.copies import ensure_checkpoint_dir
+from plausia.operators.saved import saved
 
 
 def numbered(rows: DataFrame, *order: Column | str, name: str = "place") -> DataFrame:
@@ -13,9 +13,8 @@ def numbered(rows: DataFrame, *order: Column | str, name: str = "place") -> Data
     A distributed sort; each task numbers its own stretch, and what the stretches before it hold is added. Only a count a task
     reaches the driver.
     """
-    ensure_checkpoint_dir(rows.sparkSession)
     # the number that Spark gives: the task in the upper bits, the place in the task in the lower 33
-    own = rows.orderBy(*order).withColumn("_own", F.monotonically_increasing_id()).checkpoint()
+    own = saved(rows.orderBy(*order).withColumn("_own", F.monotonically_increasing_id()))
     task = F.shiftright("_own", 33)
     counts = {r.t: r.n for r in own.groupBy(task.alias("t")).agg(F.count(F.lit(1)).alias("n")).collect()}
     before, offsets = 0, []

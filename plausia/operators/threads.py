@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from plausia.operators.copies import ensure_checkpoint_dir
+from plausia.operators.saved import saved
 from plausia.rules import RULES, Rules
 
 DAY_US = 86_400_000_000
@@ -151,27 +151,26 @@ def levels(replies: DataFrame, key: Column) -> DataFrame:
     """thread_id, comment_id, depth and path, an array of the keys from a thread's root down to the comment.
 
     Level by level: each step joins the comments of the next level to those found, until none is left; a step's rows are
-    checkpointed, and every comment is joined once. A comment without a parent, or whose parent isn't there, is a root; comments that
+    saved, and every comment is joined once. A comment without a parent, or whose parent isn't there, is a root; comments that
     answer one another in a circle hang below no root and are an error.
     """
-    ensure_checkpoint_dir(replies.sparkSession)
-    rows = replies.select("thread_id", "comment_id", "parent_id", key.alias("key")).checkpoint()
+    rows = saved(replies.select("thread_id", "comment_id", "parent_id", key.alias("key")))
     parents = rows.select("thread_id", F.col("comment_id").alias("parent_id")).distinct()
-    below = rows.join(parents, ["thread_id", "parent_id"], "left_semi").checkpoint()
-    level = rows.join(below.select("thread_id", "comment_id"), ["thread_id", "comment_id"], "left_anti").select("thread_id", "comment_id", F.lit(0).alias("depth"), F.array("key").alias("path")).checkpoint()
+    below = saved(rows.join(parents, ["thread_id", "parent_id"], "left_semi"))
+    level = saved(rows.join(below.select("thread_id", "comment_id"), ["thread_id", "comment_id"], "left_anti").select("thread_id", "comment_id", F.lit(0).alias("depth"), F.array("key").alias("path")))
     out, depth, found = level, 0, level.count()
     every = rows.count()
     while found < every:
         depth += 1
         above = level.select("thread_id", F.col("comment_id").alias("parent_id"), "path")
-        level = below.join(above, ["thread_id", "parent_id"]).select("thread_id", "comment_id", F.lit(depth).alias("depth"), F.array_append("path", F.col("key")).alias("path")).checkpoint()
+        level = saved(below.join(above, ["thread_id", "parent_id"]).select("thread_id", "comment_id", F.lit(depth).alias("depth"), F.array_append("path", F.col("key")).alias("path")))
         n = level.count()
         if not n:
             raise ValueError(f"{every - found} comments answer one another in a circle")
         found += n
         out = out.unionByName(level)
         if depth % 16 == 0:
-            out = out.checkpoint()
+            out = saved(out)
     return out
 
 

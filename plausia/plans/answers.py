@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from plausia.operators import answers as a, ranking as r, signs as g, threads as t
-from plausia.operators.copies import contradicting, ensure_checkpoint_dir
+from plausia.operators.copies import contradicting
+from plausia.operators.saved import saved
 from plausia.plans.ranking import _CREDIBLE, _RANKED, _VOTES, notes, placements
 from plausia.plans.ranking import _ranked as ranked
 from plausia.plans.views import MENTIONS, ORDINAL_SQL, REPLIES, TURNS, mentions, replies, table, turns
@@ -129,11 +130,10 @@ def need_rule(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def live_checked_picks(spark: SparkSession, sf: str) -> DataFrame:
-    ensure_checkpoint_dir(spark)
-    rows = r.thread_upvotes(mentions(spark, sf)).checkpoint()
+    rows = saved(r.thread_upvotes(mentions(spark, sf)))
     failing = rows.filter("comment_id % 9 = 0").select("comment_id").distinct()
     rank = lambda m: r.rank_products(m, notes(spark, sf), placements(spark, sf))
-    return a.live_checked(rows, rank, failing, lambda df, n: df.checkpoint())[0]
+    return a.live_checked(rows, rank, failing, lambda df, _: saved(df))[0]
 
 
 def wider_reading(spark: SparkSession, sf: str) -> DataFrame:

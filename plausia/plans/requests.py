@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from plausia.functions import names as n, requests as q
 from plausia.operators import names as nm
 from plausia.operators.order import numbered
+from plausia.operators.saved import saved
 from plausia.plans.views import table
 
 #: The vocabulary that requests are read with: the last words of part names.
@@ -101,7 +102,7 @@ def facts_lookup(spark: SparkSession, sf: str) -> DataFrame:
     """The facts entry of each asked name; none where the name isn't written alike and fits two entries that are different products."""
     entries, asked = _list(spark, sf)
     listed = entries.groupBy("category", "name").agg(F.min("entry").alias("entry"), F.max("day").alias("day"))
-    fits = nm.looked_up(asked, listed).checkpoint()
+    fits = saved(nm.looked_up(asked, listed))
     best = fits.groupBy("category", "name").agg(F.min_by(F.struct("entry", "alike", "other"), F.struct((~F.col("alike")).alias("a"), (-F.col("day")).alias("d"), "other")).alias("p"))
     open_ = fits.join(best.filter("not p.alike").select("category", "name", F.col("p.other").alias("best")), ["category", "name"]).filter("other <> best")
     pairs = nm.matching_pairs(listed).select("category", F.col("a").alias("lo"), F.col("b").alias("hi"))

@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import ArrayType, MapType, StringType, StructField, StructType
 
+from plausia.operators.saved import saved
 from plausia.sources import schemas
 
 BROKEN = "_corrupt_record"
@@ -53,7 +54,7 @@ def own_replies(flat: DataFrame, post: str) -> DataFrame:
     mine = flat.filter(typed_id(F.col("link_id")) == post)
     while True:
         here = mine.select(F.col("id").alias("parent_id"))
-        kept = mine.filter(F.col("parent_id").isNull() | (typed_id(F.col("parent_id")) == post)).unionByName(mine.filter(F.col("parent_id").isNotNull() & (typed_id(F.col("parent_id")) != post)).join(here, "parent_id", "left_semi").select(*mine.columns)).checkpoint()
+        kept = saved(mine.filter(F.col("parent_id").isNull() | (typed_id(F.col("parent_id")) == post)).unionByName(mine.filter(F.col("parent_id").isNotNull() & (typed_id(F.col("parent_id")) != post)).join(here, "parent_id", "left_semi").select(*mine.columns)))
         if kept.count() == mine.count():
             return kept
         mine = kept
