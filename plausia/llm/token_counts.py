@@ -161,7 +161,8 @@ class PrefixCounter:
         self.open = {t for t in vocab if not t.endswith(self.end) and self._merged(list(t)) == [t]}
         self.closed = {t[: -len(self.end)] for t in vocab if t.endswith(self.end) and self._merged([*t[: -len(self.end)][:-1], t[: -len(self.end)][-1:] + self.end]) == [t]}
         self.longest = max(map(len, self.open | self.closed))
-        self.kinds = {t: (t in self.open) + 2 * (t in self.closed) for t in self.open | self.closed}
+        # what may end a prefix: 1 for a token while the word goes on, 2 for one that ends it, 0 for the end of a longer token only
+        self.kinds = {t[i:]: 0 for t in self.open | self.closed for i in range(len(t))} | {t: (t in self.open) + 2 * (t in self.closed) for t in self.open | self.closed}
         self.table: dict[str, tuple[str, int, int]] = {}
         self.pattern = self._pattern(kept["pre_tokenizer"])
         self.letter_run, self.mark_run = regex.compile(r"\p{L}+"), regex.compile(r"[^\s\p{L}\p{N}]+")
@@ -234,29 +235,40 @@ class PrefixCounter:
             self.pairs[key] = known
         return known
 
+    def _ends(self, letters: str) -> list[tuple[int, str, int]]:
+        """The tokens that letters end with, the longest first: where each begins, itself, and its kind."""
+        kinds, out = self.kinds, []
+        for i in range(len(letters) - 1, -1, -1):
+            t = letters[i:]
+            what = kinds.get(t)
+            if what is None:
+                break
+            if what:
+                out.append((i, t, what))
+        out.reverse()
+        return out
+
     def _entry(self, letters: str, k: int, last: list[str], count: list[int]) -> tuple[str, int, int]:
         """The table's entry for letters[:k], from those of shorter prefixes: last token and count while the word goes on, and the
         count if it ends there."""
-        kinds, pairs, end = self.kinds, self.pairs, self.end
+        low = k - self.longest if k > self.longest else 0
         token, n, closed = "", 0, 0
-        for i in range(k - self.longest if k > self.longest else 0, k):  # the longest token first
-            t = letters[i:k]
-            what = kinds.get(t)
-            if what is None:
-                continue
-            prior = last[i]  # empty where the piece begins
-            if what & 1 and not n:
-                known = pairs.get((prior, t)) if prior else True
-                if known or known is None and self._may_follow(prior, t, False):
-                    token, n = t, count[i] + 1
-            if what & 2 and not closed:
-                known = pairs.get((prior, t + end)) if prior else True
-                if known or known is None and self._may_follow(prior, t, True):
-                    closed = count[i] + 1
+        for i, t, what in self._ends(letters[low:k]):
+            prior, before = last[low + i], count[low + i]  # an empty token where the piece begins
+            if what & 1 and not n and self._fits(prior, t, False):
+                token, n = t, before + 1
+            if what & 2 and not closed and self._fits(prior, t, True):
+                closed = before + 1
             if n and closed:
                 break
         return token, n, closed
 
+    def _fits(self, prior: str, t: str, closed: bool) -> bool:
+        if not prior:
+            return True
+        known = self.pairs.get((prior, t + self.end) if closed else (prior, t))
+        return self._may_follow(prior, t, closed) if known is None else known
+
     def piece(self, letters: str) -> list[int]:
         """For each length k from 1 on, the tokens of letters[:k] as a word of its own. letters: a letter for each byte."""
         table = self.table
@@ -278,7 +290,28 @@ class PrefixCounter:
     def closing(self, letters: str) -> int:
         """Tokens of letters as a word of its own: the table's entry for its last prefix."""
         entry = self.table.get(letters)
-        return entry[2] if entry else self.piece(letters)[-1]
+        if entry is None:
+            if len(letters) > LONGEST_KEPT:
+                return self.piece(letters)[-1]
+            entry = self._filled(letters)
+        return entry[2]
+
+    def _filled(self, letters: str) -> tuple[str, int, int]:
+        """The table's entry for a prefix, with those of shorter prefixes that it rests on and the table lacks."""
+        table = self.table
+        token, n, closed = "", 0, 0
+        for i, t, what in self._ends(letters):
+            prior, before = (table.get(letters[:i]) or self._filled(letters[:i]))[:2] if i else ("", 0)
+            if what & 1 and not n and self._fits(prior, t, False):
+                token, n = t, before + 1
+            if what & 2 and not closed and self._fits(prior, t, True):
+                closed = before + 1
+            if n and closed:
+                break
+        if len(table) >= MAX_PREFIXES:
+            table.clear()
+        entry = table[letters] = (token, n, closed)
+        return entry
 
     def _counts(self, run: str) -> np.ndarray:
         """The token count at each code point of a run without white space."""
