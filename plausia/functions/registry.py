@@ -73,9 +73,15 @@ def parse_size(text: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([{k: r.get(k) for k in ("value", "unit")} for r in rows], columns=["value", "unit"]).astype({"value": "float64", "unit": object})
 
 
+@F.pandas_udf(T.StructType([T.StructField("spf", T.IntegerType()), T.StructField("min_years", T.IntegerType())]))
+def parse_limits(text: pd.Series) -> pd.DataFrame:
+    rows = [(None, None) if t is None else (requests.parse_spf(t), requests.parse_min_years(t)) for t in text]
+    return pd.DataFrame(rows, columns=["spf", "min_years"]).astype("Int32")
+
+
 FUNCTIONS = {
     f.__name__: f
-    for f in (name_words, same_product, written_alike, spelling_slip, singular, unescaped, quote_plain, find_quote, in_quoted_block, parse_budget, plain_words, parse_size)
+    for f in (name_words, same_product, written_alike, spelling_slip, singular, unescaped, quote_plain, find_quote, in_quoted_block, parse_budget, plain_words, parse_size, parse_limits)
 }
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
 def _found(html: Column, pattern: str) -> Column:
@@ -39,3 +39,14 @@ def facts(pages: DataFrame, html: str = "html") -> DataFrame:
         }
     )
     return out.withColumn("name", F.coalesce(of("$.name"), shared(h, "og:title"), F.col("title"))).drop("_product")
+
+
+def candidates(urls: DataFrame, models: DataFrame) -> DataFrame:
+    """Of the addresses (page_id, url) of each host those that hold every word of a model (model, words), with their place, the shortest
+    first. Words are joined, and a pair counts if as many words met as the model has."""
+    words = urls.select("page_id", "url", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("url"), F.lit("([a-z0-9_]+)"), 1))).alias("w"))
+    wanted = models.select("model", F.size(F.array_distinct("words")).alias("size"), F.explode(F.array_distinct("words")).alias("w"))
+    fits = words.join(wanted, "w").groupBy("model", "size", "page_id", "url").agg(F.count(F.lit(1)).alias("n")).filter("n = size")
+    host = F.regexp_extract("url", "^[a-z]+://([^/?#]+)", 1)
+    place = F.row_number().over(Window.partitionBy("model", "host").orderBy(F.length("url"), "page_id"))
+    return fits.withColumn("host", host).withColumn("place", place).select("model", "host", "page_id", "url", "place")

@@ -161,6 +161,19 @@ def sizes_asked(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "part").select("p_partkey", reg.parse_size(text).alias("s")).select("p_partkey", "s.value", "s.unit")
 
 
+def limits_asked(spark: SparkSession, sf: str) -> DataFrame:
+    """Sun protection and years asked for in requests of many wordings."""
+    n = F.col("p_size").cast("string")
+    forms = [F.concat(F.lit("sunscreen spf "), n), F.concat(F.lit("a "), n, F.lit("+ spf cream")), F.concat(F.lit("should last "), n, F.lit(" years")), F.concat(n, F.lit(" years or more, factor "), n), F.concat(F.lit("for "), n, F.lit(" year olds")), F.concat(F.lit("a "), n, F.lit(" years pan"))]
+    return table(spark, sf, "part").select("p_partkey", reg.parse_limits(F.element_at(F.array(*forms), (F.col("p_partkey") % 6 + 1).cast("int"))).alias("l")).select("p_partkey", "l.spf", "l.min_years")
+
+
+def model_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """Pages of each host whose address holds every word of a model, the shortest address first."""
+    models = spark.createDataFrame([("english page", ["en", "page"]), ("spanish", ["es"]), ("french tracked", ["fr", "utm_source"])], "model string, words array<string>")
+    return pages.candidates(table(spark, sf, "pages").select("page_id", "url"), models).select("model", "page_id", "place")
+
+
 def sitemap_pages(spark: SparkSession, sf: str) -> DataFrame:
     """Candidate pages of each host, best first: addresses that hold the section asked for, without search keys."""
     u = F.col("url")
@@ -280,6 +293,15 @@ QUERIES = {
     "singular_words": (singular_words, "SELECT p_partkey, string_split(p_name, ' ')[2] AS word FROM part"),
     "short_names": (short_names, "SELECT p_brand AS category, p_name AS name, CASE WHEN starts_with(p_name, 'red ') THEN 'crimson ' || substr(p_name, 5) WHEN p_name = 'hot rod' THEN 'fast car' ELSE p_name END AS words FROM part GROUP BY ALL"),
     "sizes_asked": (sizes_asked, "SELECT p_partkey, p_size::DOUBLE AS value, CASE p_partkey % 3 WHEN 0 THEN 'inch' WHEN 1 THEN 'ml' END AS unit FROM part WHERE p_size > 0 AND p_partkey % 3 <> 2 UNION ALL SELECT p_partkey, NULL, NULL FROM part WHERE p_size <= 0 OR p_partkey % 3 = 2"),
+    "limits_asked": (
+        limits_asked,
+        "SELECT p_partkey, CASE WHEN p_partkey % 6 IN (0, 1, 3) AND p_size BETWEEN 1 AND 100 THEN p_size::INT END AS spf, CASE WHEN p_partkey % 6 IN (2, 3) AND p_size >= 1 THEN p_size::INT END AS min_years FROM part",
+    ),
+    "model_pages": (
+        model_pages,
+        "WITH m(model, words) AS (VALUES ('english page', ['en', 'page']), ('spanish', ['es']), ('french tracked', ['fr', 'utm_source'])), u AS (SELECT page_id, url, regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) AS host, regexp_extract_all(lower(url), '[a-z0-9_]+') AS w FROM pages) "
+        "SELECT model, page_id, row_number() OVER (PARTITION BY model, host ORDER BY length(url), page_id) AS place FROM m, u WHERE list_has_all(w, words)",
+    ),
     "sitemap_pages": (
         sitemap_pages,
         "WITH r AS (SELECT page_id, regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) AS host, NOT regexp_matches(url, '[?&](page|ref|utm_source)=') AS plain, length(url) AS n FROM pages WHERE regexp_matches(url, '/en/')) "

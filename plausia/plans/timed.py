@@ -109,6 +109,14 @@ def recent_union(spark: SparkSession, sf: str) -> DataFrame:
     return t.latest_union(e.filter("event_type = 'view'"), e.filter("event_type = 'click'"), "user_id", "at", F.lit("2024-01-30").cast("timestamp_ntz"), 48).select("user_id", "at", "event_id", "event_type")
 
 
+def server_windows(spark: SparkSession, sf: str) -> DataFrame:
+    """Requests that come while a server has said to wait."""
+    e = table(spark, sf, "events")
+    asked = e.filter("event_type <> 'error'").select(F.col("user_id").alias("client"), F.col("ts").alias("at"), F.col("event_id").alias("request_id"))
+    said = e.filter("event_type = 'error'").select(F.col("user_id").alias("client"), F.col("ts").alias("at"), (F.col("ts") + F.make_dt_interval(F.lit(0), F.lit(6))).alias("until"))
+    return t.server_blocked(asked, said).select("client", "request_id", "blocked")
+
+
 def seeded_order(spark: SparkSession, sf: str) -> DataFrame:
     return t.seeded_order(table(spark, sf, "supplier").select("s_suppkey"), "s_suppkey", "2026-10-15")
 
@@ -156,6 +164,10 @@ QUERIES = {
         recent_union,
         "SELECT user_id, ts AS \"at\", event_id, event_type FROM events WHERE event_type IN ('view', 'click') QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1 AND ts > TIMESTAMP '2024-01-30' - INTERVAL 48 HOUR",
     ),
+    "server_windows": (
+        server_windows,
+        "SELECT user_id AS client, event_id AS request_id, EXISTS (SELECT 1 FROM events x WHERE x.user_id = e.user_id AND x.event_type = 'error' AND x.ts <= e.ts AND e.ts < x.ts + INTERVAL 6 HOUR) AS blocked FROM events e WHERE event_type <> 'error'",
+    ),
     "seeded_order": (seeded_order, "SELECT s_suppkey, row_number() OVER (ORDER BY sha256('2026-10-15:' || s_suppkey::VARCHAR), s_suppkey) AS place FROM supplier"),
     "queue_waits": (queue_waits, "WITH q AS (SELECT o_orderkey, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderdate, o_orderkey) AS p FROM orders) SELECT o_orderkey, CASE WHEN p <= 2000 THEN ceil(p / 75.0)::BIGINT END AS days FROM q"),
 }

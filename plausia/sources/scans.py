@@ -78,20 +78,60 @@ def extractions(spark: SparkSession, path: str, lines: bool = False) -> tuple[Da
     return good.filter("_problem is null").drop("_problem", BROKEN, "file"), good.filter("_problem is not null").select("file", F.col("_problem").alias("problem"))
 
 
-def checked_mentions(found: DataFrame, comments_: DataFrame, most_words: int = 50) -> DataFrame:
-    """Extracted mentions beside their comments, with the first rule that each breaks (null for kept)."""
+SERVICE = r"\b(treatment|facials?|appointment|salon|clinic|repair service|subscription)\b"
+
+
+def checked(found: DataFrame, comments_: DataFrame, part: str = "mentions", most_words: int = 50, tags: list[str] | None = None, service: str = SERVICE) -> DataFrame:
+    """One part of the extractions (mentions, notes, agreements or care) beside their comments, with the first rule that each row breaks
+    (null for kept). comments_ are those of the threads: thread_id, comment_id, parent_id, body, status. tags: the evidence tags there
+    are, all if none are given. A comment that is one quoted block counts as its writer's own only if no other comment of the thread has
+    its words."""
     from plausia.functions.registry import find_quote, in_quoted_block
 
-    m = found.select("thread_id", F.posexplode("mentions").alias("ordinal", "m")).select("thread_id", "ordinal", "m.*")
-    c = comments_.select("thread_id", "comment_id", "parent_id", "body", "status", F.lit(True).alias("there"))
-    j = m.join(c, ["thread_id", "comment_id"], "left").withColumn("at", find_quote("body", "quote"))
+    m = found.select("thread_id", F.posexplode(part).alias("ordinal", "m")).select("thread_id", "ordinal", "m.*")
+    text = F.lower(F.regexp_replace(F.regexp_replace("body", r"(?m)^\s*(>|&gt;)+", ""), r"\s+", " "))
+    quoted = comments_.select("thread_id", F.trim(text).alias("_words")).filter("_words <> ''").groupBy("thread_id", "_words").agg(F.count(F.lit(1)).alias("_holders"))
+    c = comments_.select("thread_id", "comment_id", "parent_id", "body", "status", F.lit(True).alias("there"), F.trim(text).alias("_words")).join(quoted, ["thread_id", "_words"], "left")
+    above = comments_.select("thread_id", F.col("comment_id").alias("parent_id"), F.col("parent_id").alias("_grand"), F.col("status").alias("_above"))
+    further = comments_.select("thread_id", F.col("comment_id").alias("_grand"), F.col("status").alias("_further"))
+    j = m.join(c, ["thread_id", "comment_id"], "left").join(above, ["thread_id", "parent_id"], "left").join(further, ["thread_id", "_grand"], "left").withColumn("at", find_quote("body", "quote"))
     words = F.size(F.split(F.trim(F.expr("substring(body, at.start + 1, at.end - at.start)")), r"\s+"))
-    reason = (
-        F.when(F.col("there").isNull(), "comment not in thread").when(F.col("status") != "ok", "comment unreadable").when(F.col("at.start").isNull(), "quote not found")
-        .when(in_quoted_block("body", "at.start", "at.end"), "quoted block").when(words > most_words, "quote too long")
-        .when(F.col("refers_to").isin("parent", "earlier") & F.col("parent_id").isNull(), "not a reply")
+    only_quoted = F.coalesce(F.col("_holders") > 1, F.lit(False)) & F.rlike("body", F.lit(r"^\s*(>|&gt;)"))
+    rules = [
+        ("comment not in thread", F.col("there").isNull()), ("comment unreadable", F.col("status") != "ok"), ("quote not found", F.col("at.start").isNull()),
+        ("quoted block", in_quoted_block("body", "at.start", "at.end") | only_quoted), ("quote too long", words > most_words),
+    ]
+    if part == "mentions":
+        refers = F.col("refers_to")
+        rules += [
+            ("not a reply", refers.isin("parent", "earlier") & F.col("parent_id").isNull()), ("not a reply to a reply", (refers == "earlier") & F.col("_grand").isNull()),
+            ("named in an unreadable comment", (refers == "parent") & (F.col("_above") != "ok") | (refers == "earlier") & (F.col("_further") != "ok")),
+        ]
+        if tags is not None:
+            rules.append(("unknown tag", F.size(F.array_except(F.coalesce("evidence_tags", F.array().cast("array<string>")), F.array(*map(F.lit, tags)))) > 0))
+        rules.append(("a service", F.rlike(F.lower(F.coalesce("product_type", F.lit(""))), F.lit(service))))
+    elif part == "notes":
+        rules.append(("a service", F.rlike(F.lower(F.coalesce("about", F.lit(""))), F.lit(service))))
+    elif part == "agreements":
+        rules.append(("not a reply", F.col("parent_id").isNull()))
+    else:
+        rules.append(("asks a question", F.rtrim("quote").endswith("?")))
+    from plausia.operators.threads import first_reason
+
+    return j.withColumn("reject_reason", first_reason(rules)).drop("there", "body", "status", "at", "parent_id", "_words", "_holders", "_grand", "_above", "_further")
+
+
+def checked_mentions(found: DataFrame, comments_: DataFrame, most_words: int = 50) -> DataFrame:
+    return checked(found, comments_, "mentions", most_words)
+
+
+def comment_rows(raw: DataFrame) -> DataFrame:
+    """Raw comments as typed rows: ids without prefixes, a parent only if it is a comment, the post's id, and what became of the text."""
+    gone = F.when(F.col("body") == "[deleted]", "deleted").when(F.col("body") == "[removed]", "removed").otherwise("ok")
+    return raw.select(
+        typed_id(F.col("id")).alias("comment_id"), F.when(F.col("parent_id").startswith("t1_"), typed_id(F.col("parent_id"))).alias("parent_id"), typed_id(F.col("link_id")).alias("thread_id"),
+        F.when(~F.col("author").isin("[deleted]", "[removed]"), F.col("author")).alias("author"), F.when(gone == "ok", F.col("body")).alias("body"), F.timestamp_seconds("created_utc").alias("created_at"), F.col("score").cast("long").alias("score"), gone.alias("status"),
     )
-    return j.withColumn("reject_reason", reason).drop("there", "body", "status", "at", "parent_id")
 
 
 def gold_labels(spark: SparkSession, path: str, schema: StructType = schemas.LABELS) -> DataFrame:
@@ -170,3 +210,10 @@ def submissions(lines: DataFrame, schema: StructType, rules: list[tuple[str, Col
 def fingerprint(spark: SparkSession, path: str) -> DataFrame:
     """Name, size and time of each file: what a cached scan is keyed by. No content is read."""
     return spark.read.format("binaryFile").load(path).select("path", "length", "modificationTime")
+
+
+def changed_files(before: DataFrame, now: DataFrame) -> DataFrame:
+    """What a scan that was kept has to do: the files (path, change) that are new, changed or gone since its fingerprint."""
+    old, new = (df.select("path", F.struct("length", "modificationTime").alias(side)) for df, side in ((before, "was"), (now, "is")))
+    change = F.when(F.col("was").isNull(), "new").when(F.col("is").isNull(), "gone").when(F.col("was") != F.col("is"), "changed")
+    return old.join(new, "path", "full").select("path", change.alias("change")).filter("change is not null")

@@ -158,6 +158,17 @@ def test_money_in_words():
     assert requests.money_in_figures("two grand pounds or five pans") == "2000 pounds or five pans" and requests.money_in_figures("thirty-five euros") == "35 euros"
 
 
+@pytest.mark.parametrize(
+    "text, spf, years",
+    [
+        ("SPF 50+ cream", 50, None), ("spf50", 50, None), ("a 30 spf", 30, None), ("factor 15", 15, None), ("spf 500", None, None), ("30 pans", None, None), ("lasts 10+ years", None, 10), ("10 years or more", None, 10),
+        ("for 20 year olds", None, None), ("a 2026 kettle", None, None), ("should last me 5 yrs", None, 5), ("at least 3 years", None, 3), ("bought 3 years ago", None, None), ("", None, None),
+    ],
+)
+def test_limits(text, spf, years):
+    assert (requests.parse_spf(text), requests.parse_min_years(text)) == (spf, years)
+
+
 def test_requests():
     got = requests.parse_request("best ketle for hard water under £50, 1.7 l", {"kettle": "kettle", "frying pan": "pan"})
     assert got["status"] == "ok" and got["product_type"] == "kettle" or got["status"] == "clarify"

@@ -42,6 +42,43 @@ def test_threads_extractions_and_reasons(spark, folder):
     assert [r.reject_reason for r in got] == [None, "quote not found", "comment not in thread", "quoted block", "not a reply"]
 
 
+def test_every_part_of_an_extraction_is_checked(spark):
+    c = spark.createDataFrame(
+        [("t", "a", None, "we love it", "ok"), ("t", "b", "a", "same here, great pan", "ok"), ("t", "c", "b", "mine broke?", "ok"), ("t", "d", None, "gone", "deleted"), ("t", "e", "d", "I agree", "ok"), ("t", "f", None, "> we love it", "ok")],
+        "thread_id string, comment_id string, parent_id string, body string, status string",
+    )
+    rows = {
+        "mentions": [("b", "great pan", "parent", None, []), ("b", "great pan", "earlier", None, []), ("e", "I agree", "parent", None, []), ("b", "great pan", None, "Laser Treatment", []), ("b", "great pan", None, "pan", ["odd"]), ("a", "love it", None, None, ["age"]), ("f", "love it", None, None, [])],
+        "notes": [("a", "cast iron", "love it"), ("a", "a salon", "love it")], "agreements": [("b", "same here"), ("a", "love it")], "care": [("b", "great pan"), ("c", "mine broke?")],
+    }
+    found = spark.createDataFrame(
+        [("t", rows["mentions"], rows["notes"], rows["agreements"], rows["care"])],
+        "thread_id string, mentions array<struct<comment_id: string, quote: string, refers_to: string, product_type: string, evidence_tags: array<string>>>, notes array<struct<comment_id: string, about: string, quote: string>>, "
+        "agreements array<struct<comment_id: string, quote: string>>, care array<struct<comment_id: string, quote: string>>",
+    )
+    why = lambda part: [r.reject_reason for r in scans.checked(found, c, part, tags=["age"]).orderBy("ordinal").collect()]
+    assert why("mentions") == [None, "not a reply to a reply", "named in an unreadable comment", "a service", "unknown tag", None, "quoted block"]
+    assert why("notes") == [None, "a service"] and why("agreements") == [None, "not a reply"] and why("care") == [None, "asks a question"]
+
+
+def test_kept_scans_read_only_what_changed(spark, tmp_path):
+    (tmp_path / "f").mkdir()
+    for n in "abc":
+        (tmp_path / "f" / n).write_text(n)
+    before = spark.createDataFrame(scans.fingerprint(spark, str(tmp_path / "f")).collect())
+    (tmp_path / "f" / "a").unlink()
+    (tmp_path / "f" / "b").write_text("longer")
+    (tmp_path / "f" / "d").write_text("d")
+    got = {r.path.rpartition("/")[2]: r.change for r in scans.changed_files(before, scans.fingerprint(spark, str(tmp_path / "f"))).collect()}
+    assert got == {"a": "gone", "b": "changed", "d": "new"}
+
+
+def test_raw_comments_are_typed(spark):
+    raw = spark.createDataFrame([("t1_x", "t3_p", "t3_p", "[deleted]", "[removed]", 0, 3), ("y", "t1_x", "t3_p", "ann", "hello", 60, -1)], "id string, parent_id string, link_id string, author string, body string, created_utc long, score int")
+    got = {r.comment_id: (r.parent_id, r.thread_id, r.author, r.body, r.status, r.score) for r in scans.comment_rows(raw).collect()}
+    assert got == {"x": (None, "p", None, None, "removed", 3), "y": ("x", "p", "ann", "hello", "ok", -1)}
+
+
 def test_labels_and_lists(spark, tmp_path):
     (tmp_path / "m.csv").write_text("comment_id,product,category,stance,evidence,tags,note,kind\nc1,pan,kitchen,warn,none,a; b ,,\n,,,,,,,\nc2,pot,kitchen,warn,none,,,\n")
     assert [(r.comment_id, r.tags) for r in scans.gold_labels(spark, str(tmp_path / "m.csv")).collect()] == [("c1", ["a", "b"]), ("c2", [])]
