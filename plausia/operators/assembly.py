@@ -179,3 +179,63 @@ def case_scores(cases: DataFrame, *aspects: str) -> DataFrame:
     rows = [F.struct(F.lit(a).alias("aspect"), F.count_if(F.col(f"want_{a}").isNotNull()).alias("cases"), F.count_if(F.col(f"want_{a}") == F.col(f"got_{a}")).alias("right")) for a in aspects]
     one = cases.agg(F.array(*rows).alias("r")).select(F.inline("r"))
     return one.withColumn("share", F.round(F.try_divide("right", "cases"), 9))
+
+
+def verified_items(items: DataFrame, checks: DataFrame, since: Column) -> DataFrame:
+    """Items whose comment passed a check since then. checks: comment_id, at, outcome."""
+    good = checks.filter((F.col("outcome") == "passing") & (F.col("at") >= since)).select("comment_id").distinct()
+    return items.join(good, "comment_id", "left_semi")
+
+
+def reviewed(items: DataFrame, decisions: DataFrame, *keys: str) -> DataFrame:
+    """Items with the decisions of a review (keys, action, quote): removed ones go, requoted ones get the quote given."""
+    j = items.join(decisions.select(*keys, "action", F.col("quote").alias("_quote")), list(keys), "left")
+    return j.filter(~F.col("action").eqNullSafe("remove")).withColumn("quote", F.when(F.col("action") == "requote", F.col("_quote")).otherwise(F.col("quote"))).drop("action", "_quote")
+
+
+def naming_points(comments: Column) -> Column:
+    """What a thread gains by comments that name a product: half a point each, three at most."""
+    return F.least(F.lit(3.0), 0.5 * comments)
+
+
+def searched(threads: DataFrame, most: int) -> DataFrame:
+    """Each category's threads to read: relevant ones, by need and then relevance within spans of age, the best few. threads: category,
+    thread_id, span, needs, relevance."""
+    place = F.row_number().over(Window.partitionBy("category").orderBy("span", F.desc("needs"), F.desc("relevance"), "thread_id"))
+    return threads.filter("relevance > 0").withColumn("place", place).filter(F.col("place") <= most)
+
+
+def unconfirmed(asks: DataFrame, rules: DataFrame, facts: DataFrame) -> DataFrame:
+    """For each request (request, ask) and product what its rules (ask, fact, value, hard) say of the product's facts (product_key, kind, fact,
+    value): conflicts, cautions, and what no fact confirms. A rule may be for one kind of product only."""
+    wanted = asks.join(rules, "ask").select("request", F.coalesce("kind", F.lit("*")).alias("kind"), "fact", F.col("value").alias("wanted"), "hard").distinct()
+    products = facts.select("product_key", F.explode(F.array_distinct(F.array(F.coalesce("kind", F.lit("*")), F.lit("*")))).alias("kind")).distinct()
+    each = products.join(wanted, "kind")
+    state = F.when(F.col("value").isNull(), "unconfirmed").when(F.col("value") == F.col("wanted"), "meets").when(F.col("hard"), "conflict").otherwise("caution")
+    known = facts.select("product_key", "fact", "value").filter("value is not null")
+    return each.join(known, ["product_key", "fact"], "left").groupBy("request", "product_key").agg(*(F.count_if(state == x).alias(x) for x in ("meets", "conflict", "caution", "unconfirmed")))
+
+
+def fresh_profiles(profiles: DataFrame, today: Column, days: int = 30) -> DataFrame:
+    """Profiles of writers that were looked up lately enough to be used; numbers below zero are unknown."""
+    known = lambda c: F.when(F.col(c) >= 0, F.col(c)).alias(c)
+    return profiles.filter(F.datediff(today, "looked_up") <= days).select("writer", known("karma"), known("contributions"), "looked_up")
+
+
+def folded_lines(picks: DataFrame, qualifying: DataFrame) -> DataFrame:
+    """Picks that are a brand's whole line step aside for a product of that brand that qualifies itself: its best is shown in their place.
+    picks: category, brand, pick, is_line; qualifying: category, brand, product_key, place, is_line."""
+    own = qualifying.filter(~F.col("is_line")).groupBy("category", "brand").agg(F.min_by("product_key", "place").alias("instead"))
+    return picks.join(own, ["category", "brand"], "left").withColumn("instead", F.when(F.col("is_line"), F.col("instead")))
+
+
+def read_or_expired(threads: DataFrame, capacity: int, today: Column, rules: Rules = RULES) -> DataFrame:
+    """A pass over a library: the longest unread threads are read anew, as many as can be; of the others those beyond retention lose their
+    words. threads: thread_id, checked, archived."""
+    from plausia.operators.order import numbered
+    from plausia.operators.threads import retention_over
+
+    age = F.datediff(today, "checked")
+    placed = numbered(threads, F.asc_nulls_first("checked"), "thread_id")
+    over = F.coalesce(retention_over(age, F.col("archived"), rules), F.lit(True))
+    return placed.withColumn("state", F.when(F.col("place") <= capacity, "read").when(over, "expired").otherwise("kept"))

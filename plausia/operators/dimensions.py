@@ -37,14 +37,22 @@ def price_check(price: Column, currency: Column, checked_on: Column, limit: Colu
     )
 
 
+#: Rules of one request at most.
+MOST_RULES = 1_000
+
+
 def fact_checks(products: DataFrame, rules: DataFrame) -> DataFrame:
     """products (product_key, facts map) against a request's rules (fact, value, hard): conflicts, cautions and unconfirmed.
-    A fact that isn't given never clashes; it only leaves the requirement unconfirmed."""
-    joined = products.join(F.broadcast(rules))
-    given = F.try_element_at("facts", F.col("fact"))
-    state = F.when(given.isNull(), "unconfirmed").when(given == F.col("value"), "meets").when(F.col("hard"), "conflict").otherwise("caution")
-    one = joined.withColumn("state", state).groupBy("product_key")
-    return one.agg(*(F.count_if(F.col("state") == s).alias(s) for s in ("meets", "conflict", "caution", "unconfirmed")))
+    A fact that isn't given never clashes; it only leaves the requirement unconfirmed. A request's rules are few (more than MOST_RULES are
+    an error), so they become columns and each product is judged where it stands."""
+    few = rules.select("fact", "value", "hard").limit(MOST_RULES + 1).collect()
+    if len(few) > MOST_RULES:
+        raise ValueError(f"more than {MOST_RULES} rules")
+    given = [F.try_element_at("facts", F.lit(r.fact)) for r in few]
+    state = [F.when(g.isNull(), "unconfirmed").when(g == F.lit(r.value), "meets").otherwise("conflict" if r.hard else "caution") for g, r in zip(given, few, strict=True)]
+    states = F.array(*state).cast("array<string>")
+    count = lambda name: F.size(F.filter(states, lambda x: x == name)).cast("long").alias(name)
+    return products.select("product_key", *map(count, ("meets", "conflict", "caution", "unconfirmed")))
 
 
 def current_model(voices: DataFrame) -> DataFrame:

@@ -222,3 +222,35 @@ def deck(cards: DataFrame, key: str, group: str, secret: str, each: int) -> Data
     ranked = cards.withColumn("mark", mark).withColumn("place", F.row_number().over(Window.partitionBy(group).orderBy("mark")))
     side = F.when(F.conv(F.substring("mark", 64, 1), 16, 10).cast("int") % 2 == 0, "left").otherwise("right")
     return ranked.filter(F.col("place") <= each).withColumn("side", side)
+
+
+#: Numbers in words, as texts write them beside digits.
+NUMBER_WORDS = {w: str(i) for i, w in enumerate("zero one two three four five six seven eight nine ten eleven twelve".split())}
+
+
+def numbers_said(text: Column) -> Column:
+    """The numbers of a text, each once: digits, and words for small ones."""
+    words = F.create_map(*(F.lit(x) for pair in NUMBER_WORDS.items() for x in pair))
+    found = F.regexp_extract_all(F.lower(text), F.lit(r"(\d+(?:\.\d+)?|[a-z]+)"), 1)
+    return F.array_distinct(F.array_compact(F.transform(found, lambda x: F.when(F.rlike(x, F.lit("^[0-9]")), x).otherwise(F.try_element_at(words, x)))))
+
+
+def unbacked_numbers(summary: Column, cited: Column) -> Column:
+    """The numbers of a summary that no cited comment holds."""
+    return F.array_except(numbers_said(summary), numbers_said(cited))
+
+
+def stem(word: Column) -> Column:
+    """A word without its ending, for comparing needs."""
+    return F.regexp_replace(word, "(?<=[a-z]{3})(ing|ness|ly|ed|es|s)$", "")
+
+
+def has_word(words: Column, wanted: Column, variants: dict[str, str]) -> Column:
+    """Whether a title has a word asked for: one that begins with it, if it has four letters or more, its spelling elsewhere, or two neighbours
+    that make it together."""
+    other = F.lit(None).cast("string")
+    for a, b in variants.items():
+        other = F.when(wanted == a, F.lit(b)).when(wanted == b, F.lit(a)).otherwise(other)
+    one = F.exists(words, lambda w: (w == wanted) | ((F.length(wanted) >= 4) & F.startswith(w, wanted)) | F.coalesce(w == other, F.lit(False)))
+    joined = F.exists(F.transform(words, lambda w, i: F.concat(w, F.coalesce(F.get(words, i + 1), F.lit("")))), lambda w: w == wanted)
+    return one | joined

@@ -198,6 +198,57 @@ def case_scores(spark: SparkSession, sf: str) -> DataFrame:
     return s.case_scores(cases, "type", "status", "need")
 
 
+def items_verified(spark: SparkSession, sf: str) -> DataFrame:
+    c = comments(spark, sf)
+    checks = c.select("comment_id", F.col("created_at").alias("at"), F.when(F.col("k") % 4 == 0, "changed").otherwise("passing").alias("outcome"))
+    return s.verified_items(c.select("comment_id", "thread_id"), checks, F.lit("2024-01-20").cast("timestamp_ntz")).groupBy("thread_id").agg(F.count(F.lit(1)).alias("items"))
+
+
+def ethics_review(spark: SparkSession, sf: str) -> DataFrame:
+    """Items once a review's decisions are applied."""
+    items = replies(spark, sf).select("thread_id", "comment_id", F.substring("body", 1, 12).alias("quote"))
+    action = F.when(F.col("comment_id") % 3 == 0, "remove").otherwise("requote")
+    decisions = replies(spark, sf).filter("thread_id % 4 = 1").select("thread_id", "comment_id", action.alias("action"), F.substring("body", 1, 5).alias("quote"))
+    return s.reviewed(items, decisions, "thread_id", "comment_id")
+
+
+def naming_points(spark: SparkSession, sf: str) -> DataFrame:
+    n = mentions(spark, sf).groupBy("thread_id", "product_key").agg(F.count_distinct("comment_id").alias("comments"))
+    return n.groupBy("thread_id").agg(F.sum(s.naming_points(F.col("comments"))).alias("points"))
+
+
+def library_search(spark: SparkSession, sf: str) -> DataFrame:
+    m = mentions(spark, sf).groupBy("category", "thread_id").agg(F.count_if("meets_need").alias("needs"), F.count_distinct(F.when(F.col("stance") != "neutral", F.col("comment_id"))).alias("relevance"), F.max("created_at").alias("last"))
+    span = F.when(F.col("last") >= F.lit("2000-01-01").cast("timestamp_ntz"), 0).otherwise(1)
+    return s.searched(m.withColumn("span", span), 10).select("category", "thread_id", "place")
+
+
+def requirement_rules(spark: SparkSession, sf: str) -> DataFrame:
+    """How many products of each request meet, clash with or don't confirm what it asks for."""
+    rules = spark.createDataFrame([("gas", None, "hob", "gas", True), ("gas", "SMALL", "size", "small", False), ("light", None, "size", "small", True)], "ask string, kind string, fact string, value string, hard boolean")
+    asks = spark.createDataFrame([("r1", "gas"), ("r2", "light"), ("r3", "gas"), ("r3", "light")], "request string, ask string")
+    p = table(spark, sf, "part").select(F.col("p_partkey").alias("product_key"), F.col("p_type").alias("kind"), "p_size")
+    facts = p.select("product_key", "kind", F.inline(F.array(F.struct(F.lit("hob").alias("fact"), F.when(F.col("p_size") % 3 == 0, "gas").when(F.col("p_size") % 3 == 1, "induction").alias("value")), F.struct(F.lit("size").alias("fact"), F.when(F.col("p_size") < 20, "small").alias("value")))))
+    by = s.unconfirmed(asks, rules, facts)
+    return by.groupBy("request", "meets", "conflict", "caution", "unconfirmed").agg(F.count(F.lit(1)).alias("products"))
+
+
+def profiles_in_use(spark: SparkSession, sf: str) -> DataFrame:
+    p = table(spark, sf, "customer").select(F.col("c_custkey").alias("writer"), F.floor("c_acctbal").alias("karma"), (F.col("c_custkey") % 7 - 2).alias("contributions"), F.date_sub(F.lit("2024-03-01").cast("date"), (F.col("c_custkey") % 60).cast("int")).alias("looked_up"))
+    return s.fresh_profiles(p, F.lit("2024-03-01").cast("date"))
+
+
+def lines_folded(spark: SparkSession, sf: str) -> DataFrame:
+    """Picks that are lines, with the product shown in their place."""
+    products = _branded(ranked(spark, sf)).withColumn("is_line", F.col("product_key") % 3 == 0)
+    return s.folded_lines(r.picks(products), products.filter("qualifies")).select("category", "pick", "product_key", "is_line", "instead")
+
+
+def library_pass(spark: SparkSession, sf: str) -> DataFrame:
+    c = comments(spark, sf).groupBy("thread_id").agg(F.max(F.when(F.col("k") > 85, F.col("created_at"))).alias("checked"), (F.min("k") == 0).alias("archived"))
+    return s.read_or_expired(c, 40, F.lit("2024-02-20").cast("date")).select("thread_id", "place", "state")
+
+
 _KEY = "array_to_string(list_sort(list_distinct(regexp_extract_all(lower(name), '[\\p{L}\\p{N}'']+'))), ' ')"
 _BRAND = "string_split(product_name, ' ')[1]"
 _SKIPS = "skips AS (SELECT * FROM ranked WHERE on_skip_list QUALIFY row_number() OVER (PARTITION BY category ORDER BY credible_warnings DESC, score, lower(product_name), product_key) <= 5)"
@@ -206,6 +257,38 @@ _WORTH = (
     "worth AS (SELECT * FROM rest WHERE block IS NOT NULL QUALIFY row_number() OVER (PARTITION BY category ORDER BY block, place) <= 3)"
 )
 QUERIES = {
+    "items_verified": (items_verified, f"WITH {COMMENTS} SELECT thread_id, count(*) AS items FROM comments WHERE k % 4 <> 0 AND created_at >= TIMESTAMP '2024-01-20' GROUP BY 1"),
+    "ethics_review": (
+        ethics_review,
+        f"WITH {REPLIES} SELECT thread_id, comment_id, CASE WHEN thread_id % 4 = 1 THEN substr(body, 1, 5) ELSE substr(body, 1, 12) END AS quote FROM replies WHERE NOT (thread_id % 4 = 1 AND comment_id % 3 = 0)",
+    ),
+    "naming_points": (naming_points, f"WITH {MENTIONS}, n AS (SELECT thread_id, product_key, count(DISTINCT comment_id) AS c FROM mentions GROUP BY ALL) SELECT thread_id, sum(least(3.0, 0.5 * c))::DOUBLE AS points FROM n GROUP BY 1"),
+    "library_search": (
+        library_search,
+        f"WITH {MENTIONS}, m AS (SELECT category, thread_id, count(*) FILTER (meets_need) AS needs, count(DISTINCT comment_id) FILTER (stance <> 'neutral') AS rel, max(created_at) >= TIMESTAMP '2000-01-01' AS young FROM mentions GROUP BY ALL) "
+        "SELECT category, thread_id, row_number() OVER (PARTITION BY category ORDER BY young DESC, needs DESC, rel DESC, thread_id) AS place FROM m WHERE rel > 0 QUALIFY place <= 10",
+    ),
+    "requirement_rules": (
+        requirement_rules,
+        "WITH w(request, kind, fact, wanted, hard) AS (VALUES ('r1', NULL, 'hob', 'gas', true), ('r1', 'SMALL', 'size', 'small', false), ('r2', NULL, 'size', 'small', true), ('r3', NULL, 'hob', 'gas', true), ('r3', 'SMALL', 'size', 'small', false), ('r3', NULL, 'size', 'small', true)), "
+        "j AS (SELECT request, p_partkey, wanted, hard, CASE fact WHEN 'hob' THEN CASE p_size % 3 WHEN 0 THEN 'gas' WHEN 1 THEN 'induction' END ELSE CASE WHEN p_size < 20 THEN 'small' END END AS value FROM part JOIN w ON kind IS NULL OR kind = p_type), "
+        "b AS (SELECT request, p_partkey, count(*) FILTER (value = wanted) AS meets, count(*) FILTER (value <> wanted AND hard) AS conflict, count(*) FILTER (value <> wanted AND NOT hard) AS caution, count(*) FILTER (value IS NULL) AS unconfirmed FROM j GROUP BY ALL) "
+        "SELECT request, meets, conflict, caution, unconfirmed, count(*) AS products FROM b GROUP BY ALL",
+    ),
+    "profiles_in_use": (
+        profiles_in_use,
+        "SELECT c_custkey AS writer, CASE WHEN floor(c_acctbal) >= 0 THEN floor(c_acctbal)::BIGINT END AS karma, CASE WHEN c_custkey % 7 >= 2 THEN c_custkey % 7 - 2 END AS contributions, DATE '2024-03-01' - (c_custkey % 60)::INT AS looked_up FROM customer WHERE c_custkey % 60 <= 30",
+    ),
+    "lines_folded": (
+        lines_folded,
+        f"WITH {_RANKED}, o AS (SELECT category, {_BRAND} AS brand, arg_min(product_key, place) AS instead FROM ranked WHERE qualifies AND product_key % 3 <> 0 GROUP BY ALL) "
+        f"SELECT p.category, pick, p.product_key, p.product_key % 3 = 0 AS is_line, CASE WHEN p.product_key % 3 = 0 THEN instead END AS instead FROM picks p LEFT JOIN o ON o.category = p.category AND o.brand = {_BRAND.replace('product_name', 'p.product_name')}",
+    ),
+    "library_pass": (
+        library_pass,
+        f"WITH {COMMENTS}, t AS (SELECT thread_id, max(created_at) FILTER (k > 85) AS checked, min(k) = 0 AS archived FROM comments GROUP BY 1), p AS (SELECT *, row_number() OVER (ORDER BY checked NULLS FIRST, thread_id) AS place FROM t) "
+        "SELECT thread_id, place, CASE WHEN place <= 40 THEN 'read' WHEN checked IS NULL OR datediff('day', CAST(checked AS DATE), DATE '2024-02-20') > CASE WHEN archived THEN 37 ELSE 30 END THEN 'expired' ELSE 'kept' END AS state FROM p",
+    ),
     "groups_to_rank": (
         groups_to_rank,
         "SELECT CASE WHEN p_partkey % 7 = 0 AND p_brand <> 'Brand#1' THEN 'another category' WHEN p_size % 10 <> 0 AND p_partkey % 2 = 0 AND p_type <> 'SMALL' THEN 'another kind' WHEN p_size % 9 = 2 THEN 'names no one product' "

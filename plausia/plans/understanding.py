@@ -219,6 +219,24 @@ def deck_sample(spark: SparkSession, sf: str) -> DataFrame:
     return u.deck(table(spark, sf, "customer").select("c_custkey", "c_mktsegment"), "c_custkey", "c_mktsegment", "pairs-1", 10).select("c_custkey", "c_mktsegment", "place", "side")
 
 
+def backed_numbers(spark: SparkSession, sf: str) -> DataFrame:
+    """Summaries with a number, in digits or words, that their comment doesn't hold."""
+    summary = F.when(F.col("turn") % 3 == 0, "used for three years").when(F.col("turn") % 3 == 1, "broke after 2 weeks").otherwise("lasts ten years")
+    return turns(spark, sf).select("conv_id", "turn", F.array_join(u.unbacked_numbers(summary, F.col("text")), ",").alias("unbacked"))
+
+
+def titles_with_word(spark: SparkSession, sf: str) -> DataFrame:
+    wanted = F.when(F.col("p_partkey") % 4 == 0, "widg").when(F.col("p_partkey") % 4 == 1, "hotrod").when(F.col("p_partkey") % 4 == 2, "colour").otherwise("rin")
+    words = F.split(F.when(F.col("p_size") % 5 == 0, F.concat("p_name", F.lit(" color"))).otherwise(F.col("p_name")), " ")
+    return table(spark, sf, "part").filter(u.has_word(words, wanted, {"colour": "color"})).select("p_partkey")
+
+
+def need_stems(spark: SparkSession, sf: str) -> DataFrame:
+    """A request's words without the product's and little ones, as stems."""
+    w = F.array_except(u.tokens(F.col("text")), F.concat(F.split("p_name", " "), F.array(*map(F.lit, LITTLE))))
+    return asks(spark, sf).select("p_partkey", F.array_join(F.array_distinct(F.transform(w, u.stem)), ",").alias("stems"))
+
+
 def name_index(spark: SparkSession, sf: str) -> DataFrame:
     """Entries of a list that each asked name could mean: a table of keys that is made once and joined by each request."""
     entries = table(spark, sf, "part").select(F.col("p_type").alias("category"), "p_name").distinct().withColumnRenamed("p_name", "name")
@@ -338,6 +356,20 @@ QUERIES = {
         "WITH m AS (SELECT c_custkey, c_mktsegment, sha256('pairs-1:' || c_custkey::VARCHAR) AS mark FROM customer) SELECT c_custkey, c_mktsegment, row_number() OVER (PARTITION BY c_mktsegment ORDER BY mark) AS place, "
         "CASE WHEN strpos('02468ace', mark[64]) > 0 THEN 'left' ELSE 'right' END AS side FROM m QUALIFY place <= 10",
     ),
+    "backed_numbers": (
+        backed_numbers,
+        f"WITH {TURNS}, s AS (SELECT conv_id, turn, text, CASE turn % 3 WHEN 0 THEN '3' WHEN 1 THEN '2' ELSE '10' END AS n, CASE turn % 3 WHEN 0 THEN 'three' WHEN 1 THEN 'two' ELSE 'ten' END AS w FROM turns), "
+        "f AS (SELECT conv_id, turn, n, w, regexp_extract_all(lower(text), '\\d+(?:\\.\\d+)?|[a-z]+') AS t FROM s) SELECT conv_id, turn, CASE WHEN list_contains(t, n) OR list_contains(t, w) THEN '' ELSE n END AS unbacked FROM f",
+    ),
+    "titles_with_word": (
+        titles_with_word,
+        "SELECT p_partkey FROM part WHERE CASE p_partkey % 4 WHEN 0 THEN p_name LIKE '% widg%' WHEN 1 THEN p_name = 'hot rod' WHEN 2 THEN p_size % 5 = 0 ELSE false END",
+    ),
+    "need_stems": (
+        need_stems,
+        f"WITH {_ASKS}, w AS (SELECT p_partkey, [x FOR x IN {_words('text')} IF NOT list_contains(list_concat(string_split(p_name, ' '), {_sql_list(LITTLE)}), x)] AS w FROM asks), "
+        "s AS (SELECT p_partkey, [regexp_replace(x, '^(.*[a-z]{3})(?:ing|ness|ly|ed|es|s)$', '\\1') FOR x IN w] AS s FROM w) SELECT p_partkey, array_to_string([s[i] FOR i IN range(1, len(s) + 1) IF list_position(s, s[i]) = i], ',') AS stems FROM s",
+    ),
     "name_index": (name_index, None),
     "pairs_of_request": (pairs_of_request, None),
 }
