@@ -41,17 +41,8 @@ def contradicting_writers(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def quote_verification(spark: SparkSession, sf: str) -> DataFrame:
-    """Benchmark texts as quotes: the documents that hold each word for word. Candidates share the hash of five words at a
-    quote's start; only those are searched."""
-    q = table(spark, sf, "benchmark").select("item_id", F.col("text").alias("quote"))
-    plain = lambda t: F.trim(F.regexp_replace(t, r"\s+", " "))
-    key = lambda w, i: F.xxhash64(*(F.get(w, i + k) for k in range(5)))
-    qs = q.select("item_id", plain(F.col("quote")).alias("quote")).withColumn("key", key(c.words(F.col("quote")), F.lit(0)))
-    d = texts(spark, sf).select("comment_id", plain(F.col("body")).alias("body"), c.words(F.col("body")).alias("w")).filter("size(w) >= 5")
-    starts = d.select("comment_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(0), F.size("w") - 5), lambda i: key(F.col("w"), i)))).alias("key"))
-    near = starts.join(qs.select("item_id", "key"), "key").select("item_id", "comment_id").distinct()
-    joined = d.select("comment_id", "body").join(near, "comment_id").join(qs.select("item_id", "quote"), "item_id")
-    return joined.filter(reg.find_quote("body", "quote")["start"].isNotNull()).select("item_id", "comment_id")
+    """Benchmark texts as quotes: the documents that hold each word for word."""
+    return c.holders(texts(spark, sf), table(spark, sf, "benchmark").select("item_id", F.col("text").alias("quote")))
 
 
 def reject_reasons(spark: SparkSession, sf: str) -> DataFrame:

@@ -59,3 +59,14 @@ def test_gates_and_checks(spark):
     items = spark.createDataFrame([(1, 1, "works"), (1, 2, "gone"), (2, 1, "any")], "comment_id long, item int, quote string")
     kept = assembly.kept_after_edit(items, spark.createDataFrame([(1, "it works still")], "comment_id long, body string"))
     assert {(r.comment_id, r.item): r.kept for r in kept.collect()} == {(1, 1): True, (1, 2): False, (2, 1): True}
+
+
+def test_quotes_are_found_in_whatever_form(spark, monkeypatch):
+    from plausia.operators import copies
+
+    texts = spark.createDataFrame([(1, "it works  well and will last for years"), (2, "works"), (3, "it works, well and will last"), (4, None), (5, "")], "comment_id long, body string")
+    quotes = spark.createDataFrame([(1, "works well and will last for"), (2, "works"), (3, "absent words are not here now"), (4, ""), (5, None), (6, "well and will")], "item_id long, quote string")
+    want = {(1, 1), (2, 1), (2, 2), (2, 3), (6, 1), (6, 3)}
+    assert {tuple(r) for r in copies.holders(texts, quotes).collect()} == want
+    monkeypatch.setattr(copies, "MOST_STARTS", 1)
+    assert {tuple(r) for r in copies.holders(texts, quotes).collect()} == want
