@@ -1,8 +1,8 @@
 """Mixing sources to target weights: soft domain membership, and document rates by projected gradient and Newton steps.
 
 Domains are the label classes of the labelled table (`q1_t0` is quality 1, toxic 0). A naive Bayes classifier over a few
-features of a text (bands of its statistics, and which of the most telling words it holds) gives each document a posterior
-over the domains; so a document counts partly towards several. Rates r >= 0, one a document, minimise
+features of a text (bands of its statistics, and for each of the most telling words whether the text holds it or not) gives each
+document a posterior over the domains; so a document counts partly towards several. Rates r >= 0, one a document, minimise
 
     sum over domains of ((expected tokens - target) / natural tokens) ** 2, weighted by natural tokens,
 
@@ -50,6 +50,8 @@ SAMPLE, WORDS, LEAST_TEXTS, LEAST_SCORE = 4_000, 48, 8, 40.0
 ITERATIONS, TOLERANCE = 24, 1e-4
 RIDGES, NEWTON = (1e-6, 1e-8), 60
 SMOOTHING = 0.5
+#: What a telling word's feature begins with.
+HAS = "has:"
 BLANK = r"[\x20\x09-\x0D]"
 
 
@@ -73,7 +75,9 @@ def domain_of(labels: DataFrame) -> DataFrame:
 
 
 def telling_words(docs: DataFrame, domains: DataFrame, scratch: Scratch, most: int = WORDS, sample: int = SAMPLE) -> list[str]:
-    """The words whose presence parts the domains best, by chi-square over a bounded sample of labelled rows."""
+    """The words whose presence tells a document from those of the most common domain best: by chi-square over a bounded sample of
+    labelled rows, of the other domains where a word is more frequent than expected. A language's own words, which only say that a
+    text is prose, don't crowd them out."""
     n = domains.count()
     drawn = scratch.save(domains.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < min(1.0, sample / max(1, n)) * 1_000_003), "drawn")
     # about `sample` ids
@@ -82,9 +86,12 @@ def telling_words(docs: DataFrame, domains: DataFrame, scratch: Scratch, most: i
     total = sum(of.values())
     per = texts.groupBy("word").agg(F.count(F.lit(1)).alias("n"), *(F.count_if(F.col("domain") == d).alias(f"n_{d}") for d in sorted(of))).filter(F.col("n") >= LEAST_TEXTS)
     score = F.lit(0.0)
+    common = min(of, key=lambda d: (-of[d], d)) if len(of) > 1 else None
     for d, k in sorted(of.items()):
-        expected = F.col("n") * (k / total)
-        score = score + (F.col(f"n_{d}") - expected) * (F.col(f"n_{d}") - expected) / expected
+        if d != common:
+            expected = F.col("n") * (k / total)
+            more = F.greatest(F.lit(0.0), F.col(f"n_{d}") - expected)
+            score = score + more * more / expected
     score = score / (1.0001 - F.col("n") / total)
     return [r.word for r in per.select("word", score.alias("score")).filter(F.col("score") >= LEAST_SCORE).orderBy(F.desc("score"), "word").limit(most).collect()]
 
@@ -110,7 +117,7 @@ def features(docs: DataFrame, words: list[str]) -> DataFrame:
         _bands(F.col("distinct_lines") / F.col("lines"), [0.5, 0.7, 0.9, 1.0], "lines"),
         _bands(per_word("distinct_words"), [0.1, 0.2, 0.35, 0.5, 0.7, 0.9], "words"),
     )
-    return raw.select("doc_id", "mark", "n_tokens", F.concat(bands, F.when(F.size("found") == 0, F.array(F.lit("has none"))).otherwise(F.transform("found", lambda w: F.concat(F.lit("has:"), w)))).alias("features"))
+    return raw.select("doc_id", "mark", "n_tokens", F.concat(bands, F.transform("found", lambda w: F.concat(F.lit(HAS), w))).alias("features"))
 
 
 def posteriors(known: DataFrame, domains: DataFrame) -> tuple[list[str], DataFrame]:
@@ -123,11 +130,15 @@ def posteriors(known: DataFrame, domains: DataFrame) -> tuple[list[str], DataFra
     counts: dict[str, dict[str, int]] = {}
     for r in labelled.select("domain", F.explode("features").alias("f")).groupBy("f", "domain").count().collect():  # bands and WORDS words
         counts.setdefault(r.f, {})[r.domain] = r["count"]
-    total = sum(rows.values())
-    table_ = {f: [math.log((by.get(d, 0) + SMOOTHING) / (rows[d] + 2 * SMOOTHING)) - math.log((sum(by.values()) + SMOOTHING) / (total + 2 * SMOOTHING)) for d in names] for f, by in sorted(counts.items())}
+    share = lambda f, d: (counts[f].get(d, 0) + SMOOTHING) / (rows[d] + 2 * SMOOTHING)
+    # a band speaks for itself; a telling word speaks where it stands and, as much as it is usual in a domain, where it doesn't
+    words = [f for f in sorted(counts) if f.startswith(HAS)]
+    bands = [f for f in sorted(counts) if not f.startswith(HAS)]
+    table_ = {f: [math.log(share(f, d)) for d in names] for f in bands} | {f: [math.log(share(f, d)) - math.log(1 - share(f, d)) for d in names] for f in words}
     flat = [x for f, v in table_.items() for x in (F.lit(f), F.array(*map(F.lit, v)))]
     weight = F.create_map(*flat)
-    start = F.array(*(F.lit(math.log(rows[d] / total)) for d in names))
+    total = sum(rows.values())
+    start = F.array(*(F.lit(math.log(rows[d] / total) + sum(math.log(1 - share(f, d)) for f in words)) for d in names))
     log = F.aggregate("features", start, lambda a, f: F.zip_with(a, F.coalesce(F.try_element_at(weight, f), F.array(*[F.lit(0.0)] * len(names))), lambda x, y: x + y))
     lifted = F.transform(F.array(log), lambda a: F.transform(a, lambda x: F.exp(x - F.array_max(a))))[0]
     return names, known.withColumn("lifted", lifted).withColumn("posterior", F.transform("lifted", lambda x: x / F.aggregate("lifted", F.lit(0.0), lambda s, y: s + y))).drop("lifted")
