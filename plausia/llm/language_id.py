@@ -13,7 +13,8 @@ Words are runs of letters, as str.isalpha has them, in lower case. Runs of over
 cost of a text grows with its length only. Letters that no piece holds count as one unknown piece.
 
 Defined results: null texts and texts without a letter are `und` with score 0; without training rows every other text is
-`und` too, with score 0; of languages that score the same, the first by name wins; repeated rows are scored each.
+`und` too, with score 0; of languages that score the same, the first by name wins; repeated rows are scored each. Other columns of the
+input, whatever their names, are neither read nor returned.
 """
 
 from __future__ import annotations

@@ -9,7 +9,7 @@ hit in a document of 100,000 words are below one in a thousand million).
 
 Defined results: a null text has no words and no symbols; an empty text or one without words has 0 for every measure and
 fails the rule on few words; rules on shares don't fail where there is nothing to measure; repeated rows are judged
-each; a null doc_id stays null.
+each; a null doc_id stays null. Other columns of the input, whatever their names, are neither read nor returned.
 """
 
 from __future__ import annotations
