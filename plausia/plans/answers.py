@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from plausia.operators import answers as a, ranking as r, signs as g, threads as t
 from plausia.operators.copies import contradicting
 from plausia.operators.saved import saved
-from plausia.plans.ranking import _CREDIBLE, _RANKED, _VOTES, notes, placements
+from plausia.plans.ranking import _CREDIBLE, _RANKED, notes, placements
 from plausia.plans.ranking import _ranked as ranked
 from plausia.plans.views import MENTIONS, ORDINAL_SQL, REPLIES, TURNS, mentions, replies, table, turns
 

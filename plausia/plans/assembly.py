@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from plausia.operators import answers as a, assembly as s, ranking as r
 from plausia.operators.order import numbered
-from plausia.plans.ranking import _CREDIBLE, _KINDS, _RANKED, notes, placements
+from plausia.plans.ranking import _CREDIBLE, _RANKED, placements
 from plausia.plans.ranking import _kinds as kinds_of
 from plausia.plans.ranking import _ranked as ranked
 from plausia.plans.views import COMMENTS, MENTIONS, ORDINAL_SQL, PRICES, REPLIES, comments, mentions, prices, replies, table

@@ -7,8 +7,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from plausia.functions import quotes, registry as reg
 from plausia.operators import copies as c, names as nm, pages, signs as g
 from plausia.operators.threads import first_reason
+from plausia.plans.views import MENTIONS, TURNS, mentions, table, texts, turns
 from plausia.rules import RULES
-from plausia.plans.views import COMMENTS, MENTIONS, TURNS, comments, mentions, table, texts, turns
 
 #: Words that stand for a field's own terms in the driver's texts.
 TERMS = ["thion", "ered", "anea", "onti", "erhe", "tion", "here"]
