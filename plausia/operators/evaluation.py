@@ -45,41 +45,79 @@ def nearest_rank(rows: DataFrame, value: str, by: str) -> DataFrame:
     return rows.groupBy(by).agg(at(0.5).alias("p50"), at(0.95).alias("p95"), F.max(value).alias("max"))
 
 
+def matched(lefts: list, rights: list) -> dict:
+    """The right side of each matched left one. Pairs come by left, then right; smaller values are tried first."""
+    fits: dict = {}
+    for left, right in zip(lefts, rights):
+        fits.setdefault(left, []).append(right)
+    partner: dict = {}
+    own: dict = {}
+    for start in fits:
+        # breadth first to a free right side, then flip the path back
+        came, queue, end = {}, [start], None
+        for left in queue:
+            for right in fits[left]:
+                if right in came:
+                    continue
+                came[right] = left
+                if right not in partner:
+                    end = right
+                    break
+                queue.append(partner[right])
+            if end is not None:
+                break
+        while end is not None:
+            left = came[end]
+            before = own.get(left)
+            partner[end], own[left] = left, end
+            end = before
+    return own
+
+
 def max_matching(pairs: DataFrame) -> DataFrame:
-    """pairs: grp, left, right. As many pairs as possible in each group, each side at most once; smaller values are tried first.
-    A group is one comment's names, so it is small; the augmenting search is sequential."""
-
-    def match(rows):
-        import pandas as pd
-
-        fits = {k: sorted(v) for k, v in rows.groupby("left")["right"]}
-        partner: dict = {}
-        for start in sorted(fits):
-            # breadth first to a free right side, then flip the path back
-            came, queue, seen = {}, [start], set()
-            end = None
-            while queue and end is None:
-                left = queue.pop(0)
-                for right in fits.get(left, ()):
-                    if right in seen:
-                        continue
-                    seen.add(right)
-                    came[right] = left
-                    if right not in partner:
-                        end = right
-                        break
-                    queue.append(partner[right])
-            while end is not None:
-                left = came[end]
-                before = next((r for r, x in partner.items() if x == left), None)
-                partner[end] = left
-                if before is not None and before != end:
-                    del partner[before]
-                end = before if before is not None and left != start else None
-        out = sorted((left, right) for right, left in partner.items())
-        return pd.DataFrame({"grp": [rows["grp"].iloc[0]] * len(out), "left": [x for x, _ in out], "right": [x for _, x in out]})
-
-    return pairs.groupBy("grp").applyInPandas(match, "grp long, left long, right long")
+    """pairs: grp, left, right. As many pairs as possible in each group, each side at most once; smaller values are tried first, and a
+    side without a value pairs with nothing. A group is one comment's names, so it is small; the augmenting search is sequential.
+    Groups are very many, so they pass through Python as runs of sorted batches and not one by one."""
+
+    def match(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        kept: list = []  # batches' ends of the group that may go on in the next one
+
+        def done(parts):
+            none, grp, left, right = (np.concatenate(x) for x in zip(*parts))
+            starts = np.flatnonzero(np.concatenate(([True], (grp[1:] != grp[:-1]) | (none[1:] != none[:-1]))))
+            ends = np.append(starts[1:], len(grp)).tolist()
+            left, right = left.tolist(), right.tolist()
+            sizes, a, b = [], [], []
+            for i, j in zip(starts.tolist(), ends):
+                own = matched(left[i:j], right[i:j])
+                sizes.append(len(own))
+                a.extend(own)
+                b.extend(own.values())
+            keys = pa.array(np.repeat(grp[starts], sizes), pa.int64(), mask=np.repeat(none[starts], sizes).astype(bool))
+            return pa.RecordBatch.from_arrays([keys, pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["grp", "left", "right"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            last = (cols[0] == cols[0][-1]) & (cols[1] == cols[1][-1])
+            cut = int(np.argmax(last))
+            if cut == 0 and kept and (kept[-1][0][-1], kept[-1][1][-1]) != (cols[0][0], cols[1][0]):
+                yield done(kept)
+                kept = []
+            if cut:
+                yield done([*kept, [c[:cut] for c in cols]])
+                kept = []
+            kept.append([c[cut:] for c in cols])
+        if kept:
+            yield done(kept)
+
+    none = F.col("grp").isNull().cast("long").alias("none")
+    rows = pairs.filter("left is not null and right is not null").select(none, F.coalesce("grp", F.lit(0)).cast("long").alias("grp"), F.col("left").cast("long").alias("left"), F.col("right").cast("long").alias("right"))
+    return rows.repartition("none", "grp").sortWithinPartitions("none", "grp", "left", "right").mapInArrow(match, "grp long, left long, right long")
 
 
 def differences(new: DataFrame, old: DataFrame, key: str) -> DataFrame:

@@ -96,7 +96,8 @@ def nearest_rank_latency(spark: SparkSession, sf: str) -> DataFrame:
 def max_matching(spark: SparkSession, sf: str) -> DataFrame:
     """Pairs of an order's lines and suppliers that could stand for one another."""
     x = table(spark, sf, "lineitem")
-    pairs = x.select(F.col("l_orderkey").alias("grp"), F.col("l_linenumber").cast("long").alias("left"), (F.col("l_suppkey") % 5).alias("right")).unionByName(x.select(F.col("l_orderkey").alias("grp"), F.col("l_linenumber").cast("long").alias("left"), (F.col("l_partkey") % 5).alias("right"))).distinct()
+    right = F.explode(F.array_distinct(F.array(F.col("l_suppkey") % 5, F.col("l_partkey") % 5)))
+    pairs = x.select(F.col("l_orderkey").alias("grp"), F.col("l_linenumber").cast("long").alias("left"), right.alias("right"))
     return e.max_matching(pairs)
 
 

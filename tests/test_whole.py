@@ -2,6 +2,7 @@
 
 import pytest
 
+from plausia.operators import evaluation
 from plausia.plans import requests
 from plausia.plans.registry import QUERIES
 
@@ -37,3 +38,16 @@ def test_lines_of_every_order_are_matched(spark, tmp_path):
     lines = [(k, n, 5 * k + n, 5 * k + n) for k in range(1995, 2006) for n in (1, 2)]
     sf = saved(spark, tmp_path, lineitem=(lines, "l_orderkey long, l_linenumber int, l_suppkey long, l_partkey long"))
     assert {r.grp for r in QUERIES["max_matching"](spark, sf).select("grp").collect()} == set(range(1995, 2006))
+
+
+def test_matching_passes_groups_in_batches(spark, capsys):
+    rows = [(g, a, b) for g in range(300) for a, b in ((1, 1), (1, 2), (2, 1), (2, 1))] + [(None, 1, 1), (None, 2, 1), (7, 3, None), (7, None, 3)] + [(300, n, n) for n in range(40)]
+    most = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = evaluation.max_matching(spark.createDataFrame(rows, "grp long, left long, right long"))
+        assert sorted(map(tuple, got.collect()), key=str) == sorted([(g, a, 3 - a) for g in range(300) for a in (1, 2)] + [(None, 1, 1)] + [(300, n, n) for n in range(40)], key=str)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", most)
+    got.explain()
+    assert "FlatMapGroups" not in capsys.readouterr().out
